@@ -1,0 +1,253 @@
+"""Each operator against brute force on small frames with nulls, empty and long texts, ties and clashes."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidegrid.llm import decontaminate, jaccard_join, licenses, line_dedup, maxscore, mixing, pii, quality, sharding, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, size string, h string, key string, w string"
+
+
+def frame(spark, rows):
+    """rows (doc_id, text, source), with further columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "en", s, None, "x", "y", "h", "k", "w") for i, t, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(400)] + ["été", "Öl", "X"]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    out = []
+    for i in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 9, 40, 90]))]
+        if i % 7 == 0:
+            words = words[:20] + passage
+        out.append((i, " ".join(words), f"s{i % 3}"))
+    for i in range(120, 160):  # near copies of one text
+        words = (passage * 2)[:100]
+        words[rng.randrange(100)] = rng.choice(vocabulary)
+        out.append((i, "\t".join(words).upper() if i % 2 else " ".join(words), "s1"))
+    out += [(200 + i, out[5][1], "s0") for i in range(20)]
+    out += [(300, None, None), (301, "", ""), (302, " \n ", "s2"), (303, "One", "s2"), (304, "one", "s2"), (305, "a b c", None), (306, "word " * 30_000, "s2"), (None, "a b c", "s0"), (1, out[1][1], "s1")]
+    return out
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    if len(words) < 4:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+
+
+def brute_components(rows):
+    ids = [r for r in rows if r[0] is not None]
+    sets = [shingle_set(t) for _, t, _ in ids]
+    label = [i for i, _, _ in ids]
+    changed = True
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if (sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])) or ids[a][0] == ids[b][0]]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return sorted((i, len(s), c) for (i, _, _), s, c in zip(ids, sets, label, strict=True))
+
+
+def test_jaccard_classes(spark, rows):
+    found = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
+    assert sorted(tuple(r) for r in found if r[0] is not None) == brute_components(rows)
+    assert [tuple(r) for r in found if r[0] is None] == [(None, 1, None)]
+    assert jaccard_join.jaccard_classes(frame(spark, [])).collect() == []
+    kept = jaccard_join.one_per_class(frame(spark, rows)).select("doc_id").collect()
+    assert {r[0] for r in kept} == {c for _, _, c in brute_components(rows)} | {None}
+
+
+def test_sharding(spark, rows):
+    found = sharding.shard(frame(spark, rows), 7).collect()
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in found) == sorted((i or -1, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    held = [sorted(r.slot for r in found if r.shard == s) for s in range(7)]
+    assert all(slots == list(range(len(slots))) for slots in held) and sum(map(len, held)) == len(rows)
+    assert sharding.shard(frame(spark, []), 7).collect() == []
+
+
+def test_slot_map(spark, tmp_path):
+    loads = [(random.Random(i).randint(1, 100), 1) for i in range(1000)]
+    old = sharding.first_map(loads, 10)
+    new = sharding.rebalanced(old, loads, 11)
+    held = [sum(b for (b, _), s in zip(loads, m.shard, strict=True) if s == shard) for m in (old, new) for shard in range(m.n_shards)]
+    assert max(held[:10]) - min(held[:10]) <= 100 and max(held[10:]) - min(held[10:]) <= 250
+    assert all(a == b or b == 10 for a, b in zip(old.shard, new.shard, strict=True)) and new.version == 2
+    for m in (old, new):
+        sharding.write_map(spark, m, str(tmp_path / "maps"))
+    assert sharding.read_map(spark, str(tmp_path / "maps")) == new and sharding.read_map(spark, str(tmp_path / "maps"), 1) == old
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, value):
+    digits = [int(c) for c in re.sub("[^0-9]", "", value)]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def test_personal_data(spark):
+    texts = [None, "", "plain", "a@b.c", "é😀 x.y@z-1.com.de, a@b", "a@b.co_m@d.e a.b@c..d", "1.2.3.4.5.6.7.8 999.1.1.1 010.020.030.040", "4111 1111 1111 1111 4111-1111-1111-1112 " + "9" * 40, "+49 (30) 1234567 +1 2 +123456789012345678 +1--", "1" * 50_000, "a" * 50_000 + "@" + "b." * 20_000 + "c", "+4111111111111111", "me [at] example [dot] org", "call 555-123-4567"] + [f"mail u{i}@x{i}.org now" for i in range(30)]
+    found = {r.doc_id: r for r in pii.personal_data(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        spans = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text or "") if valid(k, m[0])] for k, p in BASE.items()}
+        joined = ",".join(s for k in BASE for s in spans[k])
+        assert found[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), text
+        assert [found[i][f"n_{k}"] for k in BASE] == [len(spans[k]) for k in BASE]
+        assert set(joined.split(",")) - {""} <= set(found[i].spans.split(","))
+    assert pii.personal_data(frame(spark, [])).collect() == []
+
+
+def test_quality_on_held_out_documents(spark):
+    rng, texts, label = random.Random(3), {}, {}
+    for i in range(600):
+        words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(10, 60))]
+        label[i] = int(rng.random() < 0.7)
+        texts[i] = " ".join(words).capitalize() + "." if label[i] else " ".join(w + rng.choice(["$$$", "###"]) for w in words)
+    docs = frame(spark, [(i, t, "s") for i, t in texts.items()] + [(1000, None, "s"), (1001, "", "s"), (None, "x", "s"), (1002, "very long " * 50_000, "s")])
+    labels = spark.createDataFrame([(i, q, 0) for i, q in label.items()] + [(5, 1 - label[5], 0), (None, 1, 0), (7000, None, 0)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    held = [i for i in label if found[i].held_out]
+    assert all(found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in label) and len(held) > 50
+    assert np.mean([found[i].predicted == label[i] for i in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found.values()) and {1000, 1001, 1002, None} <= set(found)
+    kept = quality.good_documents(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if r.predicted}
+    assert len({r.score for r in quality.quality(docs, labels.limit(0)).collect()}) == 1
+    assert quality.quality(frame(spark, []), labels).collect() == []
+
+
+def test_licenses(spark):
+    isc = next(t for n, t in licenses.KNOWN if n == "ISC")
+    texts = [None, "", "Some text.\nReleased under the MIT Licence!", "Copyright (c) 2020 X\n" + isc.upper().replace(". ", ".\n"), "Licensed under CC-BY NC 4.0", "not Released under the MIT License.", "Copyright X", "x\n" * 40_000]
+    found = {r.doc_id: (r.whole_license, r.licenses) for r in licenses.scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(0, None, "s")])).collect()}
+    assert found == {0: ("", ""), 1: ("", ""), 2: ("", "MIT"), 3: ("ISC", "ISC"), 4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), 5: ("", ""), 6: ("", ""), 7: ("", "")}
+    assert licenses.scan(frame(spark, []), licenses.built_in(spark).limit(0)).collect() == []
+
+
+def test_lines(spark):
+    pages = [(i, f"https://A.com/{i}", f"<p>Menu</p><p>own {i}</p><p> Menu </p>", "x") for i in range(6)] + [(10, "https://b.com", "<p>Menu</p>", "x"), (11, None, "<p>Menu", "x"), (12, "https://a.com/n", None, "x"), (13, "nothing", "", "x")]
+    found = {r.page_id: (r.host, r.n_lines, r.n_dropped, r.text) for r in line_dedup.without_boilerplate(spark.createDataFrame(pages, "page_id long, url string, html string, often string")).collect()}
+    assert found[3] == ("a.com", 3, 2, "own 3") and found[10] == ("b.com", 1, 0, "Menu") and found[11] == ("", 1, 0, "Menu")
+    assert found[12] == ("a.com", 0, 0, "") and found[13] == ("", 0, 0, "") and len(found) == len(pages)
+
+
+def brute_contamination(text, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    w, hit, ids = split(text), set(), set()
+    for item, t in items:
+        v = split(t)
+        n = min(10, len(v))
+        windows = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in windows:
+                hit |= set(range(i, i + n))
+                ids.add(str(item))
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+
+
+def test_contamination(spark, rows):
+    items = [(1, rows[120][1].replace(" ", "-")), (2, "one"), (10, rows[7][1]), (3, "a B c"), (4, None), (5, "..."), (6, "one x"), (6, "one x"), (7, "word " * 12), (8, "été öl")]
+    few = [r for r in rows if r[0] is None or r[0] % 3 == 0 or r[0] > 299] + [(400, "x one X été Öl", "s"), (401, "One, two. one x", "s")]
+    benchmark = spark.createDataFrame([(i, t, "s") for i, t in items] + [(None, "a", "s")], "item_id long, text string, token string")
+    found = decontaminate.contamination(frame(spark, few), benchmark).collect()
+    expected = [(i, *brute_contamination(t, items)) for i, t, _ in few]
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, expected))
+    assert {r.contaminated for r in decontaminate.contamination(frame(spark, few), benchmark.limit(0)).collect()} == {False}
+    clean = decontaminate.decontaminated(frame(spark, few), benchmark)
+    assert clean.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert {r.doc_id for r in clean.collect()} - {None} == {e[0] for e in expected if not e[-1]} - {None}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_top_k(spark, scale):
+    rng = np.random.default_rng(1)
+    x = (np.round(rng.normal(size=(230, 12)), 1) * scale).astype(np.float32)
+    x[150:] = x[100]
+    data = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(300, None), (350, [1.0, None]), (400, [float("nan")] * 12), (450, [float("inf")] * 12), (None, [9e4] * 12), (500, []), (501, [3e3])]
+    vectors = spark.createDataFrame([(i, v, 0) for i, v in data], "vec_id long, embedding array<float>, block int")
+    found = {}
+    for r in maxscore.top_k(vectors).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    sane = {i: [int(np.floor(256 * float(np.float32(c)))) for c in v] for i, v in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)}
+    for q in (i for i in sane if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(sane[q], v, strict=False)), i) for i, v in sane.items() if i != q)[:5]
+        assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert set(found) == {i for i in sane if i % 50 == 0}
+    assert maxscore.top_k(vectors.limit(0)).collect() == []
+
+
+def test_mixing(spark, rows):
+    docs = frame(spark, rows)
+    found = mixing.mix_sizes(docs).collect()
+    again = mixing.mix_sizes(docs.repartition(7)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id, r.size, r.taken, r.target)
+    assert sorted(map(key, found)) == sorted(map(key, again)) and len(found) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    assert sorted({(r.source_size, r.target) for r in found}) == sorted({(t.size, t.target) for t in mixing.targets([(s, 1, n) for s, n in sizes.items()], (3, 1, 2), 1.5, 2.0)})
+    assert all(r.taken <= 2 * r.size and r.taken % max(r.size, 1) == 0 for r in found)
+    source = {(i, size(t)): s for i, t, s in rows}
+    for s, n in sizes.items():
+        own = [r for r in found if source[r.doc_id, r.size] == s]
+        assert own[0].source_size == n and 0 <= own[0].target - sum(r.taken for r in own) <= 100 + 1e-6 + (30_000 if s == "s2" else 0)
+    drawn = mixing.mix(docs, 4)
+    assert drawn.columns == [*docs.columns, "mix_shard", "mix_order"]
+    assert drawn.count() == sum(r.draws if r.size else 1 for r in found)
+    assert mixing.mix_sizes(frame(spark, [])).collect() == []
+
+
+def test_mixing_targets_and_tree():
+    goal = {t.source: t.target for t in mixing.targets([("b", 1, 100), (None, 1, 10), ("a", 1, 1000)], (3, 1, 2), 1.5, 2.0)}
+    assert goal == {"a": 1445.0, "b": 200.0, None: 20.0} or sum(goal.values()) == pytest.approx(1665)
+    assert goal[None] == 20.0 and goal["b"] == 200.0
+    quotas = np.array([100, 0, 7, 33])
+    parts = mixing.split(quotas, 6, np.random.default_rng(0))
+    assert (parts.sum(0) == quotas).all() and parts.sum(1).max() - parts.sum(1).min() <= 3 and (parts >= 0).all()
+
+
+def test_urls(spark):
+    urls = ["https://x.net/a", "http://WWW.Example.net/en/1?q", "http://example.net", "http://a.example.com/de/x#y", "http://a.org/fr/", "http://a.org/x", "no url", None, "ftp://q.co.uk:80/z", "http://anet/", "x://http://b.net/"] * 2
+    pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(pages).collect()}
+    assert found[0] == ("x.net", "/a", "net/", "block") and found[1] == ("www.example.net", "/en/1", "example.net/en/", "allow")
+    assert found[2][:3] == ("example.net", "", None) and found[3] == ("a.example.com", "/de/x", "example.com/de/", "block") and found[4][2:] == ("org/fr/", "allow")
+    assert found[6][:3] == ("", "", None) == found[7][:3] and found[8][:2] == ("q.co.uk:80", "/z") and found[9][2] is None and found[10][:2] == ("http:", "//b.net/")
+    assert len(found) == len(urls) and url_filter.judged(pages.limit(0)).collect() == []
+
+
+def test_pipeline(spark, tmp_path, rows):
+    docs = frame(spark, [r for r in rows if r[0] is not None]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns, name
+    kept = [r for r in rows if r[0] is not None]
+    first = {c for _, _, c in brute_components(kept)}
+    expected = {i for i, t, _ in kept if i in first and not brute_contamination(t, [(1, rows[7][1])])[-1]}
+    assert {r.doc_id for r in left.collect()} == expected
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} <= expected and out.count() > 0
+    assert out.agg(F.max("shard")).first()[0] < 40
