@@ -6,7 +6,8 @@ shingles. Multiplying it by its transpose counts overlaps. Sizes bound which pro
 * a pair at similarity t overlaps in at least t * size of either set, so each row keeps only the
   first size - ceil(t * size) + 1 columns of one fixed order (frequent columns last, by a sketch of
   fixed size) and the product over these columns alone meets every pair that can qualify;
-* sets whose sizes differ by more than the factor t are discarded before they are counted.
+* a cell is discarded before it is counted if sizes and the places of a common column in that order
+  bound its overlap below t, and after a count over the kept columns if that count is too low.
 
 The surviving cells are counted exactly over the whole rows. The product runs in column blocks: in
 the first, each column is multiplied by one member (its hub) only, which joins groups of near copies
@@ -116,28 +117,43 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     signed = docs.mapInArrow(partial(_signatures, k=k, percent=percent, weight=weight), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
     signed = stored(signed)
     classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
-    tokens = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.count("*").alias("df")).where("df > 1").drop("df")
-    shared = stored(tokens.join(hubs, "token"))
-
-    def close(x: str, y: str):
-        return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-
-    star = stored(shared.where((F.col("hub") != F.col("node")) & close("hub_n", "n")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met")))
-    links = stored(_linked(star, docs, k, percent))
+    tokens = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    shared = stored(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "token"))
+    kept = shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("kept"))
+
+    def possible(an: str, ap: str, bn: str, bp: str):
+        """Whether two sets may overlap enough if their first common column is the ap-th and the bp-th of theirs."""
+        return F.least(F.col(an) - F.col(ap), F.col(bn) - F.col(bp)) * (100 + percent) >= (F.col(an) + F.col(bn)) * percent
+
+    def counted(cells: DataFrame) -> DataFrame:
+        """Cells (a, b) whose count over kept columns leaves the whole overlap a chance.
+
+        Of the two sets, let the kept columns of A end first. Outside them A has ceil(t * size) - 1 columns,
+        inside it meets B in kept columns only: the overlap is below the count plus ceil(t * size of A).
+        """
+        a, b = (kept.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("kept").alias(f"{x}k")) for x in "ab")
+        met = F.size(F.array_intersect("ak", "bk")) + F.ceil(F.greatest("an", "bn") * percent / 100) - 1
+        return cells.join(a, "a").join(b, "b").where(met >= F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))).select("a", "b")
+
+    # a column's hub: the member with the largest share of columns in common with others, which lies amid its near copies
+    central = shared.groupBy("node").agg((F.count("*") * 1000 / F.first("n")).cast("int").alias("central"))
+    hubs = shared.join(central, "node").groupBy("token").agg(F.max(F.struct("central", (-F.col("node")).alias("id"), "n", "pos")).alias("top"))
+    starred = shared.join(hubs.select("token", (-F.col("top.id")).alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.pos").alias("hub_pos")), "token")
+    star = starred.where((F.col("hub") != F.col("node")) & possible("hub_n", "hub_pos", "n", "pos")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    star = stored(counted(star))
+    links = stored(_linked(star, docs, k, percent).select("a", "b"))
     part = components(links)
     # second block: columns that still meet more than one component
-    at = shared.select("token", "node", "n").join(part, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
+    at = shared.join(part, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
     open_ = at.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     at = stored(at.join(open_, "token"))
     main = at.groupBy("token", "c").agg(F.count("*").alias("w")).groupBy("token").agg(F.max_by("c", F.struct("w", "c")).alias("main"))
     at = at.join(main, "token")
-    few = at.where("c <> main").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
+    few = at.where("c <> main").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"))
     # every cell between components has an end outside the column's main one
-    met = (F.col("xc") != F.col("c")) & close("xn", "n") & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
-    rest = few.join(at.select("token", "node", "n", "c", "main"), "token").where(met).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = stored(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    links = links.select("a", "b")
+    met = (F.col("xc") != F.col("c")) & possible("xn", "xp", "n", "pos") & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
+    rest = few.join(at, "token").where(met).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    rest = stored(counted(rest.join(star, ["a", "b"], "left_anti")))
     if rest.take(1):
         links = stored(links.union(_linked(rest, docs, k, percent).select("a", "b")))
         part = components(links)
