@@ -1,11 +1,373 @@
-"""Registered queries of the library and their DuckDB counterparts."""
+"""Registered queries of the library and their DuckDB counterparts.
+
+Fixtures are SQL that both engines read; operators do the rest in Spark, plain SQL in DuckDB.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.functions import expressions as ex
+from tidegrid.operators import clean, diagnose, gate, ordering, profile, recipe
+from tidegrid.sources import readers
+from tidegrid.spec import SeriesSpec
+
+Query = Callable[[SparkSession, str], DataFrame]
+SPEC, BY_KEY = SeriesSpec("ts", ("event_id",)), SeriesSpec("ts", ("event_id",))
+PANEL = SeriesSpec("ts", ("event_id",), ("user_id",))
+DIRTY = """SELECT event_id, ts, user_id, event_type,
+ CASE WHEN event_id % 17 = 0 OR event_id BETWEEN 100 AND 139 THEN NULL WHEN event_id % 501 = 0 THEN value * 50 ELSE value END AS v,
+ CASE WHEN event_id >= 9000 AND event_id % 3 <> 0 THEN NULL ELSE value END AS v_trail,
+ CASE WHEN event_id >= 9000 THEN NULL ELSE value END AS v_block,
+ CASE WHEN event_id % 2 = 0 THEN 0.0e0 ELSE value END AS v_zero,
+ CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(event_id AS STRING) END AS num_txt,
+ CASE WHEN event_id % 13 = 0 THEN 'bad' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS date_txt,
+ CASE event_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0' ELSE 'maybe' END AS flag_txt,
+ CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS t_gap,
+ 'x' AS const_txt, 5.0e0 + 0.0001e0 * (event_id % 2) AS const_num FROM events"""
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+MEASURES = ["v", "v_trail", "v_zero", "const_num"]
+DUP = "SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 100 = 0"
+JOINED = "SELECT n.n_name AS nation, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name"
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> None:
+    for t in TABLES:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    _tables(spark, sf_dir)
+    return spark.sql(query)
+
+
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, DIRTY)
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+def _on(name: str, made: Callable[[DataFrame], DataFrame], sql: str | None = None, base: str = DIRTY) -> None:
+    """A query over a fixture; {d} in sql stands for the fixture."""
+    _add(name, lambda spark, sf_dir: made(_sql(spark, sf_dir, base)), sql and "WITH d AS MATERIALIZED (" + base.replace("AS STRING", "AS VARCHAR") + ") " + sql)
+
+
+def _each(columns: list[str], select: str) -> str:
+    return " UNION ALL ".join(select.replace("@", c) for c in columns)
+
+
+# Sources -----------------------------------------------------------------------------------------
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tables(spark, sf_dir)
+    return readers.table_scan(spark, "nation")
+
+
+def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tables(spark, sf_dir)
+    return readers.sql_query(spark, f"/* joins come in as SQL */ {JOINED}; -- one statement")
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null profile of every listed table."""
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return profile.union_all([profile.nulls(df).select(F.lit(t).alias("table"), "col", "null_count") for t, df in frames.items()])
+
+
+_add("src_table_scan", _scan, "SELECT * FROM nation")
+_add("src_sql_query", _query, JOINED)
+_add("src_row_limit", lambda s, d: readers.read_source(s, f"{d}/orders.parquet", 100, ["o_orderkey"]), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
+_add("src_parquet", lambda s, d: readers.read_source(s, f"{d}/customer.parquet"), "SELECT * FROM customer")
+_add("profile_source_bytes", lambda s, d: profile.source_bytes(s.read.parquet(f"{d}/lineitem.parquet")))
+
+# Profile -----------------------------------------------------------------------------------------
+_ALL = ["event_id", "ts", "user_id", "event_type", "v", "v_trail", "v_block", "v_zero", "num_txt", "date_txt", "flag_txt", "t_gap", "const_txt", "const_num"]
+_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NUMBER = "regexp_matches(@, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$')"
+_STATS = """SELECT '@' AS col, CAST(count(@) AS BIGINT) AS n, min(@) AS min, max(@) AS max, round(avg(@), 6) AS mean, round(quantile_cont(@, 0.5), 6) AS median,
+ round(stddev_samp(@), 6) AS std, round(skewness(@), 6) AS skew, round(kurtosis(@), 6) AS kurtosis, round(quantile_cont(@, 0.25), 6) AS q1, round(quantile_cont(@, 0.75), 6) AS q3,
+ round(quantile_cont(@, 0.75) - quantile_cont(@, 0.25), 6) AS iqr FROM lineitem"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+_on("profile_shape", profile.shape, "SELECT count(*) AS rows, CAST(14 AS BIGINT) AS cols FROM d")
+_on("profile_nulls", profile.nulls, _each(_ALL, "SELECT '@' AS col, count(*) - count(@) AS null_count, round((count(*) - count(@)) * 100.0e0 / count(*), 6) AS null_pct FROM d"))
+_on("profile_dtypes", lambda d: profile.dtypes(d).select("col", "dtype_inferred"), "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in zip(_ALL, ["numeric", "datetime", "numeric", "categorical", "numeric", "numeric", "numeric", "numeric"], strict=False)) + ", ('flag_txt', 'categorical'), ('t_gap', 'categorical'), ('const_txt', 'categorical'), ('const_num', 'numeric')) t(col, dtype_inferred) UNION ALL " + _each(["num_txt", "date_txt"], f"SELECT '@', CASE WHEN count(*) FILTER (WHERE {_NUMBER}) > 0.8 * count(@) THEN 'numeric' WHEN count(try_cast(@ AS TIMESTAMP)) = count(@) THEN 'datetime' ELSE 'categorical' END FROM d"))
+_add("profile_numeric", lambda s, d: _rounded(profile.statistics(s.read.parquet(f"{d}/lineitem.parquet"), _LINE)), _each(_LINE, _STATS))
+_on("profile_cardinality", lambda d: profile.cardinality(d, ["event_type", "flag_txt", "num_txt", "const_txt"]), _each(["event_type", "flag_txt", "num_txt", "const_txt"], "SELECT '@' AS col, count(DISTINCT @) AS distinct_count FROM d"))
+_on("profile_top_values", lambda d: profile.top_values(d, ["event_type", "flag_txt", "t_gap"]), "SELECT * FROM (SELECT col, value, count(*) AS freq, row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, value NULLS LAST) AS rank FROM (" + _each(["event_type", "flag_txt", "t_gap"], "SELECT '@' AS col, @ AS value FROM d") + ") GROUP BY col, value) WHERE rank <= 5")
+_on("profile_duplicate_rows", profile.duplicate_rows, "SELECT (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS duplicates", DUP)
+_FREQ = "WITH s AS (SELECT DISTINCT {c} AS t FROM {f}), g AS (SELECT epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t) AS gap FROM s), h AS (SELECT quantile_cont(gap, 0.5) / 3.6e9 AS h FROM g) SELECT CASE WHEN h IS NULL THEN 'unknown' WHEN h <= 1.5 THEN 'hourly' WHEN h <= 36 THEN 'daily' WHEN h / 24 BETWEEN 5 AND 8 THEN 'weekly' WHEN h / 24 BETWEEN 25 AND 32 THEN 'monthly' WHEN h / 24 BETWEEN 85 AND 95 THEN 'quarterly' WHEN h / 24 BETWEEN 360 AND 370 THEN 'yearly' ELSE 'every_' || CAST(CAST(floor(h / 24) AS BIGINT) AS VARCHAR) || '_days' END AS frequency FROM h"
+_GRIDS = {"ts_frequency": ("l_shipdate", "lineitem"), "ts_frequency_events": ("ts", "events")}
+for _n, (_c, _f) in _GRIDS.items():
+    _add(_n, lambda s, d, c=_c, f=_f: profile.frequency(s.read.parquet(f"{d}/{f}.parquet"), c), _FREQ.format(c=_c, f=_f))
+for _unit in ("week", "month", "quarter", "year"):
+    _add(f"ts_frequency_{_unit}", lambda s, d, u=_unit: profile.frequency(_sql(s, d, f"SELECT date_trunc('{u}', o_orderdate) AS t FROM orders"), "t"), _FREQ.format(c="t", f=f"(SELECT date_trunc('{_unit}', o_orderdate) AS t FROM orders)"))
+_add("catalog_null_profile", _catalog)
+
+# Diagnosis ---------------------------------------------------------------------------------------
+_RUN = "(SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT @, row_number() OVER (ORDER BY ts, event_id) - row_number() OVER (PARTITION BY @ IS NULL ORDER BY ts, event_id) AS k FROM d) WHERE @ IS NULL GROUP BY k))"
+_GAPPED = ["v", "v_trail", "v_block", "v_zero"]
+
+
+def _patterns(d: DataFrame) -> DataFrame:
+    return profile.union_all([diagnose.missing_pattern(d, c, SPEC).withColumn("col", F.lit(c)) for c in _GAPPED])
+
+
+_PATTERN = _each(_GAPPED, f"""SELECT '@' AS col, n, null_count, max_run, CASE WHEN null_count = 0 THEN 'none' WHEN max_run > 0.4 * null_count THEN 'block' WHEN tail_nulls > 0.5 * tail THEN 'trailing' ELSE 'random' END AS pattern
+ FROM (SELECT count(*) AS n, count(*) - count(@) AS null_count, CAST({_RUN} AS BIGINT) AS max_run, count(*) FILTER (WHERE i > c - greatest(1, c // 10) AND @ IS NULL) AS tail_nulls, count(*) FILTER (WHERE i > c - greatest(1, c // 10)) AS tail
+ FROM (SELECT @, row_number() OVER (ORDER BY ts, event_id) AS i, count(*) OVER () AS c FROM d))""")
+_OUT = _each(MEASURES, """SELECT '@' AS col, coalesce(round(count(*) FILTER (WHERE @ < q1 - 1.5 * (q3 - q1) OR @ > q3 + 1.5 * (q3 - q1)) * 100.0e0 / count(@), 6), 0) AS iqr_pct,
+ coalesce(round(count(*) FILTER (WHERE s > 0 AND abs(@ - m) > 3 * s) * 100.0e0 / count(@), 6), 0) AS zscore_pct,
+ coalesce(round(count(*) FILTER (WHERE mad > 0 AND abs(@ - md) > 3 * mad) * 100.0e0 / count(@), 6), 0) AS mad_pct
+ FROM d, (SELECT avg(@) AS m, stddev_samp(@) AS s, quantile_cont(@, 0.5) AS md, quantile_cont(@, 0.25) AS q1, quantile_cont(@, 0.75) AS q3 FROM d),
+ (SELECT quantile_cont(abs(@ - (SELECT quantile_cont(@, 0.5) FROM d)), 0.5) AS mad FROM d)""")
+_on("missing_max_run", lambda d: ordering.longest_null_run(d, "v", SPEC).select(F.col("max_run").cast("long").alias("max_run")), f"SELECT CAST({_RUN.replace('@', 'v')} AS BIGINT) AS max_run")
+_on("missing_pattern", _patterns, _PATTERN)
+for _i, _m in enumerate(("iqr_pct", "zscore_pct", "mad_pct")):
+    _on("outlier_" + _m.removesuffix("_pct"), lambda d, m=_m: diagnose.outliers_global(d, MEASURES).select("col", m), f"SELECT col, {_m} FROM ({_OUT})")
+_W = "(ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)"
+_on("outlier_temporal", lambda d: diagnose.outliers_temporal(d, "v", SPEC, 24), f"SELECT round(count(*) FILTER (WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) * 100.0e0 / count(*), 6) AS temporal_pct FROM (SELECT v, quantile_cont(v, 0.25) OVER {_W} AS a, quantile_cont(v, 0.75) OVER {_W} AS b FROM d WHERE v IS NOT NULL)")
+_on("rolling_quartiles", lambda d: _rounded(ordering.rolling(d.select("event_id", "ts", "value"), SPEC, 24, q1=F.percentile("value", 0.25), q3=F.percentile("value", 0.75)).select("event_id", "q1", "q3")), f"SELECT event_id, round(quantile_cont(value, 0.25) OVER {_W}, 6) AS q1, round(quantile_cont(value, 0.75) OVER {_W}, 6) AS q3 FROM d", "SELECT * FROM events")
+_INT = "SELECT 'hourly' AS frequency, (SELECT coalesce(bool_and(ts >= p), true) FROM (SELECT ts, lag(ts) OVER (ORDER BY ts, event_id) AS p FROM d) WHERE p IS NOT NULL) AS is_monotonic, count(*) - count(DISTINCT ts) AS duplicate_timestamps, (SELECT count(*) FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) AS g FROM d) WHERE g > 5400000000) AS gap_count FROM d"
+_GAP = "SELECT * FROM events WHERE event_id NOT BETWEEN 5000 AND 5099"
+for _name, _cols, _base in (("ts_integrity", "*", _GAP), ("ts_monotonic", "is_monotonic", _GAP), ("ts_duplicates", "duplicate_timestamps", DUP), ("ts_gaps", "gap_count", _GAP)):
+    _on(_name, lambda d, c=_cols: diagnose.integrity(d, SPEC, BY_KEY).select(c), f"SELECT {_cols} FROM ({_INT.replace(chr(39) + 'hourly' + chr(39), '(' + _FREQ.format(c='ts', f='d') + ')')})", _base)
+_on("dtype_issues", profile.text_issues, f"SELECT 'date_txt' AS col, 'datetime_as_string' AS issue FROM d HAVING count(try_cast(date_txt AS TIMESTAMP)) > 0.8 * count(date_txt) AND count(*) FILTER (WHERE {_NUMBER.replace('@', 'date_txt')}) <= 0.8 * count(date_txt)")
+_on("constant_columns", lambda d: diagnose.constants(d, MEASURES, ["const_txt", "flag_txt"]), _each(MEASURES, "SELECT '@' AS col FROM d HAVING (abs(avg(@)) > 0 AND stddev_samp(@) / abs(avg(@)) < 0.001) OR (avg(@) = 0 AND stddev_samp(@) < 1e-9)") + " UNION ALL " + _each(["const_txt", "flag_txt"], "SELECT '@' FROM d HAVING count(DISTINCT @) <= 1"))
+_PROFILED = ["v", "v_zero", "flag_txt"]
+_on("column_profile", lambda d: diagnose.column_profile(d.select(*_PROFILED)), " UNION ALL ".join(f"SELECT '{c}' AS col, round((count(*) - count({c})) * 100.0e0 / count(*), 6) AS null_pct, round(count(DISTINCT {c}) * 100.0e0 / count(*), 6) AS distinct_pct, " + (f"round(count(*) FILTER (WHERE {c} = 0) * 100.0e0 / count(*), 6)" if c != "flag_txt" else "CAST(NULL AS DOUBLE)") + " AS zero_pct, " + (f"round(skewness({c}), 6)" if c != "flag_txt" else "CAST(NULL AS DOUBLE)") + " AS skew FROM d" for c in _PROFILED))
+_on("decision_payload", lambda d: diagnose.payload(_patterns(d), diagnose.outliers_global(d, MEASURES)).select("col", "kind"), f"SELECT col, 'missing' AS kind FROM ({_PATTERN}) WHERE null_count > 0 UNION ALL SELECT col, 'outliers' FROM ({_OUT}) WHERE iqr_pct > 0 OR zscore_pct > 0 OR mad_pct > 0")
+
+
+def _grids(d: DataFrame) -> DataFrame:
+    """The grid of each timestamp column of lineitem-like data."""
+    parts = [("ts", "ts"), ("day", "CAST(date_trunc('day', ts) AS TIMESTAMP)"), ("week", "date_trunc('week', ts)")]
+    return profile.union_all([profile.frequency(d.selectExpr(f"{e} AS t"), "t").select(F.lit(n).alias("col"), "frequency", F.lit(i).alias("pos")) for i, (n, e) in enumerate(parts)])
+
+
+_SHIFT = "SELECT CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice) * (CASE WHEN l_shipdate >= TIMESTAMP '1997-01-01' THEN 1.6e0 ELSE 1e0 END) * (CASE WHEN l_shipdate >= TIMESTAMP '1999-06-01' THEN 0.5e0 ELSE 1e0 END) AS y FROM lineitem GROUP BY l_shipdate"
+_on("pick_timestamp", lambda d: diagnose.pick_timestamp(_grids(d)), f"SELECT CASE WHEN ({_FREQ.format(c='ts', f='d')}) IN ('hourly', 'daily') THEN 'ts' ELSE 'day' END AS timestamp_col", "SELECT * FROM events")
+_CENTRED = "WITH c AS (SELECT d, y - avg(y) OVER () AS y, count(*) OVER () AS n, var_samp(y) OVER () AS var FROM ({q})), p AS (SELECT d, n, var, row_number() OVER (ORDER BY d) AS i, sum(y) OVER (ORDER BY d) AS s, sum(y) OVER () AS t FROM c), g AS (SELECT *, s * s / i + (t - s) * (t - s) / (n - i) - t * t / n AS gain FROM p WHERE i < n) SELECT CAST(d AS VARCHAR) AS break_at, CAST(1 AS BIGINT) AS round FROM g WHERE n >= 50 AND gain > ln(n) * var ORDER BY gain DESC, d DESC LIMIT 1"
+_add("structural_break", lambda s, d: diagnose.breaks(_sql(s, d, _SHIFT), "d", "y", 1).select(F.col("break_at").cast("string").alias("break_at"), "round"), _CENTRED.format(q=_SHIFT))
+_add("structural_breaks_all", lambda s, d: diagnose.breaks(_sql(s, d, _SHIFT), "d", "y").select(F.col("break_at").cast("string").alias("break_at"), "round"))
+
+# Recipe ------------------------------------------------------------------------------------------
+
+
+def _facts(c: str, kind: str, raw: str) -> str:
+    num = raw != "string"
+    stat = (lambda x: x) if num else (lambda x: "CAST(NULL AS DOUBLE)")
+    iqr = stat(f"@Q({c}, 0.75) - @Q({c}, 0.25)")
+    issue = {"date_txt": "'datetime_as_string'", "num_txt": "CAST(NULL AS STRING)"}.get(c, "CAST(NULL AS STRING)")
+    still = f"count(DISTINCT {c}) <= 1" if not num else f"coalesce(stddev_samp({c}) / abs(avg({c})) < 0.001, false)"
+    return f"SELECT '{c}' AS col, '{raw}' AS dtype_raw, '{kind}' AS dtype_inferred, count(*) AS n, (count(*) - count({c})) * 100.0e0 / count(*) AS null_pct, count(DISTINCT {c}) * 100.0e0 / count(*) AS distinct_pct, {stat(f'sum(CASE WHEN {c} = 0 THEN 1 ELSE 0 END) * 100.0e0 / count(*)')} AS zero_pct, {iqr} AS iqr, {stat(f'stddev_samp({c}) / 10')} AS skew, {'true' if c == 'v' else 'false'} AS any_outlier, {stat('0.5e0')} AS temporal_pct, {stat('2.0e0')} AS iqr_pct, {issue} AS issue, {still} AS constant FROM d"
+
+
+_FACTS = " UNION ALL ".join(_facts(*x) for x in (("event_id", "numeric", "bigint"), ("v", "numeric", "double"), ("v_block", "numeric", "double"), ("v_zero", "numeric", "double"), ("num_txt", "numeric", "string"), ("date_txt", "categorical", "string"), ("t_gap", "categorical", "string"), ("const_txt", "categorical", "string"), ("const_num", "numeric", "double")))
+_SPARK_FACTS = f"WITH d AS ({DIRTY}) {_FACTS.replace('@Q', 'percentile')}"
+_DUCK_FACTS = f"WITH d AS MATERIALIZED ({DIRTY.replace('AS STRING', 'AS VARCHAR')}), f AS ({_FACTS.replace('@Q', 'quantile_cont').replace('AS STRING', 'AS VARCHAR')}), "
+_DEFAULT = "r AS (SELECT col, CASE WHEN null_pct <= 0 THEN 'none' ELSE 'interpolate' END AS missing_strategy, CASE WHEN NOT any_outlier THEN 'keep' WHEN n >= 48 THEN 'stl_residuals' WHEN n >= 30 THEN 'rolling_iqr' ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN issue = 'numeric_as_string' THEN 'cast_numeric' WHEN issue = 'datetime_as_string' THEN 'parse_datetime' ELSE 'none' END AS type_fix, CASE WHEN constant THEN 'drop' ELSE 'keep' END AS action FROM f) "
+
+
+def _recipe(name: str, made: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    _add(name, lambda s, d: made(_sql(s, d, _SPARK_FACTS)), _DUCK_FACTS + _DEFAULT + sql)
+
+
+def _default(p: DataFrame) -> DataFrame:
+    return recipe.default_recipe(p, "ts", 24)
+
+
+_SWAPPED = F.when(F.col("missing_strategy") == "none", "keep").otherwise(F.col("missing_strategy"))
+_recipe("recipe_default", _default, "SELECT * FROM r")
+_recipe("recipe_outlier_choice", lambda p: _default(p).select("col", "outlier_strategy"), "SELECT col, outlier_strategy FROM r")
+_recipe("recipe_evidence", lambda p: recipe.evidence_recipe(p, "ts", 24).select("col", "outlier_strategy", "action"), "SELECT r.col, CASE WHEN outlier_strategy = 'keep' OR zero_pct > 50 THEN 'keep' WHEN temporal_pct IS NULL THEN 'clip_iqr' WHEN temporal_pct * 2 <= iqr_pct THEN CASE WHEN n >= 48 THEN 'stl_residuals' ELSE 'rolling_iqr' END ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN null_pct >= 95 OR distinct_pct >= 99 THEN 'drop' ELSE action END AS action FROM r JOIN f ON r.col = f.col")
+_recipe("recipe_normalize", lambda p: recipe.normalized(_default(p).withColumn("missing_strategy", _SWAPPED)), "SELECT * FROM r")
+_recipe("recipe_fill_missing_cols", lambda p: recipe.filled(_default(p).where("col <> 'v'"), p), "SELECT f.col, coalesce(missing_strategy, 'none') AS missing_strategy, coalesce(outlier_strategy, 'keep') AS outlier_strategy, coalesce(type_fix, 'none') AS type_fix, coalesce(action, 'keep') AS action FROM f LEFT JOIN (SELECT * FROM r WHERE col <> 'v') r ON r.col = f.col")
+_recipe("recipe_force_typefix", lambda p: recipe.forced_type_fix(_default(p).withColumn("type_fix", F.lit("none")), p).select("col", "type_fix"), "SELECT col, type_fix FROM r")
+_recipe("recipe_sanitize", lambda p: recipe.sanitized(_default(p).withColumn("outlier_strategy", F.lit("clip_iqr")).withColumn("action", F.lit("drop")), p, "ts"), "SELECT r.col, CASE WHEN dtype_inferred <> 'numeric' AND missing_strategy = 'interpolate' THEN 'forward_fill' ELSE missing_strategy END AS missing_strategy, CASE WHEN coalesce(iqr = 0 OR zero_pct >= 50, false) THEN 'keep' ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN dtype_raw = 'string' AND dtype_inferred = 'numeric' THEN 'cast_numeric' ELSE type_fix END AS type_fix, CASE WHEN constant OR distinct_pct >= 99 THEN 'drop' ELSE 'keep' END AS action FROM r JOIN f ON r.col = f.col")
+_recipe("recipe_audit_cols", lambda p: p.select("col", recipe.is_audit(F.concat("col", F.when(F.col("col") == "v", "_Updated_at").otherwise(""))).alias("audit")), "SELECT col, col = 'v' AS audit FROM f")
+_on("recipe_period", lambda d: recipe.options(_grids(d), "week"), "SELECT 'week' AS timestamp_col, f AS frequency, CAST(CASE f WHEN 'weekly' THEN 52 WHEN 'daily' THEN 7 ELSE 7 END AS BIGINT) AS period, true AS sort_by_timestamp FROM (SELECT (" + _FREQ.format(c="t", f="(SELECT date_trunc('week', ts) AS t FROM d)") + ") AS f)", "SELECT * FROM events")
+
+# Cleaning ----------------------------------------------------------------------------------------
+_VQ = "(SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.015) AS lo, quantile_cont(v, 0.985) AS hi, avg(v) AS m, quantile_cont(v, 0.5) AS md FROM d)"
+
+
+def _clean(name: str, made: Callable[[DataFrame], DataFrame], value: str, source: str = f"d, {_VQ}") -> None:
+    _on(name, lambda d: _rounded(made(d.select("event_id", "ts", "user_id", "v", "t_gap")).select("event_id", "v")), f"SELECT event_id, round({value}, 6) AS v FROM {source}")
+
+
+_clean("clean_winsorize", lambda d: clean.winsorize(d, "v"), "CASE WHEN v IS NOT NULL THEN greatest(lo, least(hi, v)) END")
+_clean("clean_clip_iqr", lambda d: clean.clip_iqr(d, "v"), "CASE WHEN v IS NOT NULL THEN greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), v)) END")
+_clean("clean_log1p", lambda d: clean.log_transform(d, "v"), "CASE WHEN v IS NOT NULL THEN ln(1 + greatest(v, 0)) END", "d")
+_clean("clean_mean_fill", lambda d: clean.fill_with(d, "v", "mean"), "coalesce(v, m)")
+_clean("clean_median_fill", lambda d: clean.fill_with(d, "v", "median"), "coalesce(v, md)")
+_clean("clean_remove_outliers", lambda d: clean.drop_rows(d, [clean.outlier_mask(d, "v")]), "v", f"d, {_VQ} WHERE NOT coalesce(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), false)")
+_clean("clean_ffill", lambda d: clean.fill(d, "v", SPEC, "forward"), "last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "d")
+_clean("clean_ffill_panel", lambda d: clean.fill(d, "v", PANEL, "forward"), "last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "d")
+_clean("clean_bfill", lambda d: clean.fill(d, "v", SPEC, "backward"), "first_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "d")
+_clean("clean_rolling_iqr", lambda d: clean.rolling_iqr(d, "v", SPEC, 24), "CASE WHEN v IS NOT NULL THEN greatest(a - 1.5 * (b - a), least(b + 1.5 * (b - a), v)) END", f"(SELECT event_id, v, quantile_cont(v, 0.25) OVER {_W} AS a, quantile_cont(v, 0.75) OVER {_W} AS b FROM d)")
+_LINEAR = "(SELECT event_id, v, x, last_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER u AS ax, last_value(v IGNORE NULLS) OVER u AS av, first_value(CASE WHEN v IS NOT NULL THEN x END IGNORE NULLS) OVER o AS bx, first_value(v IGNORE NULLS) OVER o AS bv FROM (SELECT event_id, ts, v, {x} AS x FROM d) WINDOW u AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), o AS (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+_BETWEEN = "CASE WHEN v IS NOT NULL THEN v WHEN av IS NULL THEN NULL WHEN bv IS NULL OR ax = bx THEN av ELSE av + (bv - av) * (x - ax) / (bx - ax) END"
+_clean("clean_interpolate_time", lambda d: clean.interpolate(d, "v", SPEC), _BETWEEN, _LINEAR.format(x="epoch_us(ts)"))
+_clean("clean_interpolate_linear", lambda d: clean.interpolate(d, "v", SPEC, by_time=False), _BETWEEN, _LINEAR.format(x="row_number() OVER (ORDER BY ts, event_id)"))
+_on("clean_fill_both", lambda d: clean.fill(d, "t_gap", SPEC, "both").select("event_id", "t_gap"), "SELECT event_id, coalesce(last_value(t_gap IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), first_value(t_gap IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS t_gap FROM d")
+_on("clean_flag_fill", lambda d: _rounded(clean.flag_and_fill(d, "v", SPEC).select("event_id", "v", "v_missing")), "SELECT event_id, round(last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS v, CAST(v IS NULL AS INTEGER) AS v_missing FROM d")
+_SEASON = """, f AS (SELECT event_id, ts, v, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y FROM d),
+ t AS (SELECT *, avg(y) OVER (ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS trend, (row_number() OVER (ORDER BY ts, event_id) - 1) % 24 AS phase FROM f),
+ s AS (SELECT *, avg(y - trend) OVER (PARTITION BY phase) AS season FROM t), r AS (SELECT *, y - trend - season AS res FROM s),
+ m AS (SELECT quantile_cont(res, 0.5) AS md FROM r), a AS (SELECT quantile_cont(abs(res - md), 0.5) AS mad FROM r, m)
+ SELECT event_id, round(CASE WHEN mad > 0 AND abs(res - md) > 3.5 * 1.4826 * mad THEN trend + season ELSE v END, 6) AS v FROM r, m, a"""
+for _name, _f in (("seasonal_decompose", clean.seasonal_repair), ("clean_seasonal", clean.stl_residuals)):
+    _add(_name, lambda s, d, f=_f: _rounded(f(_dirty(s, d).select("event_id", "ts", "v"), "v", SPEC, 24).select("event_id", "v")), "WITH d AS MATERIALIZED (" + DIRTY.replace("AS STRING", "AS VARCHAR") + ")" + _SEASON)
+_on("clean_drop_columns", lambda d: d.drop("const_txt", "const_num").select("event_id", "ts", "v_zero"), "SELECT event_id, ts, v_zero FROM d")
+_on("clean_parse_datetime", lambda d: d.select("event_id", ex.timestamp("date_txt").cast("timestamp_ntz").alias("t")), "SELECT event_id, try_cast(date_txt AS TIMESTAMP) AS t FROM d")
+_on("clean_cast_numeric", lambda d: d.select("event_id", ex.number("num_txt").alias("x")), f"SELECT event_id, CASE WHEN {_NUMBER.replace('@', 'num_txt')} THEN try_cast(num_txt AS DOUBLE) END AS x FROM d")
+_on("clean_encode_boolean", lambda d: d.select("event_id", ex.boolean("flag_txt").alias("b")), "SELECT event_id, CASE WHEN lower(flag_txt) IN ('yes', 'true', '1') THEN true WHEN lower(flag_txt) IN ('no', 'false', '0') THEN false END AS b FROM d")
+_on("clean_drop_rows", lambda d: clean.drop_rows(d, [F.col("v").isNull(), F.col("v_zero") == 0]).select("event_id"), "SELECT event_id FROM d WHERE v IS NOT NULL AND NOT coalesce(v_zero = 0, false)")
+_on("clean_dedupe", lambda d: d.dropDuplicates(), "SELECT DISTINCT * FROM d", DUP)
+_on("clean_sort", lambda d: d.where("ts is not null").orderBy("ts", "event_id").select("event_id", "ts"), "SELECT event_id, ts FROM d ORDER BY ts, event_id")
+_on("clean_snapshot", lambda d: clean.snapshot(d.select("v", "v_zero", "flag_txt")), "SELECT 'flag_txt' AS col, 0.0e0 AS null_pct, CAST(NULL AS DOUBLE) AS std UNION ALL " + _each(["v", "v_zero"], "SELECT '@', round((count(*) - count(@)) * 100.0e0 / count(*), 6), round(stddev_samp(@), 6) FROM d"))
+_LOSSY = "event_id % 5 <> 0"
+_on("clean_report", lambda d: clean.report(d, d.where(_LOSSY).drop("const_txt")), f"SELECT count(*) AS rows_before, count(*) FILTER (WHERE {_LOSSY}) AS rows_after, count(*) FILTER (WHERE NOT {_LOSSY}) AS rows_removed, round(count(*) FILTER (WHERE NOT {_LOSSY}) * 100.0e0 / count(*), 6) AS loss_pct, 'const_txt' AS dropped_columns FROM d")
+
+
+def _plan(d: DataFrame) -> DataFrame:
+    spark = d.sparkSession
+    steps = [("v", "forward_fill", "clip_iqr", "none", "keep"), ("t_gap", "drop_row", "keep", "none", "keep"), ("num_txt", "none", "keep", "cast_numeric", "keep"), ("const_txt", "none", "keep", "none", "drop")]
+    return spark.createDataFrame(steps, "col string, missing_strategy string, outlier_strategy string, type_fix string, action string")
+
+
+_on("clean_apply_recipe", lambda d: _rounded(clean.apply_recipe(d.select("event_id", "ts", "v", "t_gap", "num_txt", "const_txt"), _plan(d), SPEC, 24)), f"SELECT event_id, ts, v, t_gap, x AS num_txt FROM (SELECT event_id, ts, t_gap, CASE WHEN {_NUMBER.replace('@', 'num_txt')} THEN try_cast(num_txt AS DOUBLE) END AS x, round(last_value(CASE WHEN v IS NOT NULL THEN greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), v)) END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS v FROM d, {_VQ}) WHERE t_gap IS NOT NULL")
+
+# Gate --------------------------------------------------------------------------------------------
+_AS_OF = "2024-02-01 00:00:00"
+
+
+def _after(d: DataFrame) -> DataFrame:
+    return d.where(_LOSSY).withColumn("v", F.when(F.col("event_id") % 100 == 1, None).otherwise(F.col("v"))).withColumn("v_zero", F.lit(1.0)).withColumn("ts", F.when(F.col("event_id") % 1000 == 3, F.expr("ts + INTERVAL 3650 DAYS")).otherwise(F.col("ts")))
+
+
+_COLS = ["event_id", "ts", "v", "v_zero"]
+_AFT = f"WITH d AS MATERIALIZED ({DIRTY.replace('AS STRING', 'AS VARCHAR')}), a AS (SELECT event_id, CASE WHEN event_id % 1000 = 3 THEN ts + INTERVAL 3650 DAY ELSE ts END AS ts, CASE WHEN event_id % 100 = 1 THEN NULL ELSE v END AS v, 1.0e0 AS v_zero FROM d WHERE {_LOSSY}), "
+_CHECKS = {
+    "row_loss": "SELECT 'row_loss' AS \"check\", (SELECT count(*) FROM d) - count(*) <= 0.15 * (SELECT count(*) FROM d) AS passed, 'blocking' AS severity, CAST((SELECT count(*) FROM d) - count(*) AS VARCHAR) AS detail FROM a",
+    "series_length": "SELECT 'series_length', count(*) >= 30, 'blocking', CAST(count(*) AS VARCHAR) FROM a",
+    "null_regression": "SELECT 'no_null_regression', NOT w, 'blocking', CASE WHEN w THEN 'v' ELSE '' END FROM (SELECT (SELECT (count(*) - count(v)) * 100.0e0 / count(*) FROM a) - (SELECT (count(*) - count(v)) * 100.0e0 / count(*) FROM d) > 0.1 AS w)",
+    "variance": "SELECT 'numeric_variance', false, 'blocking', 'v_zero'",
+    "ts_nulls": "SELECT 'timestamp_nulls', count(*) = count(ts), 'blocking', CAST(count(*) - count(ts) AS VARCHAR) FROM a",
+    "forecastable": "SELECT 'forecastable_columns', true, 'blocking', '2'",
+    "monotonic": "SELECT 'timestamp_monotonic', count(*) = 0, 'blocking', CAST(count(*) AS VARCHAR) FROM (SELECT ts, lag(ts) OVER (ORDER BY ts, event_id) AS p FROM a) WHERE ts < p",
+    "future_ts": f"SELECT 'future_timestamps', count(*) = 0, 'warning', CAST(count(*) AS VARCHAR) FROM a WHERE ts > TIMESTAMP '{_AS_OF}' + INTERVAL 1 DAY",
+    "seasonal_history": "SELECT 'seasonal_history', count(*) >= 48, 'warning', CAST(count(*) AS VARCHAR) FROM a",
+}
+_GATE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "row_loss": gate.row_loss,
+    "series_length": lambda d, a: gate.series_length(a),
+    "null_regression": lambda d, a: gate.null_regression(d, a, []),
+    "variance": gate.variance,
+    "ts_nulls": lambda d, a: gate.ts_nulls(a, "ts"),
+    "forecastable": lambda d, a: gate.forecastable(a),
+    "monotonic": lambda d, a: gate.monotonic(a, SPEC, "ts"),
+    "future_ts": lambda d, a: gate.future(a, "ts", _AS_OF),
+    "seasonal_history": lambda d, a: gate.seasonal_history(a, 24),
+}
+
+
+def _gated(made: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = _dirty(spark, sf_dir).select(*_COLS)
+        return made(d, _after(d))
+
+    return query
+
+
+for _n, _made in _GATE.items():
+    _add(f"gate_{_n}", _gated(_made), f'{_AFT} c("check", passed, severity, detail) AS ({_CHECKS[_n]}) SELECT * FROM c')
+_add("gate_verdict", _gated(lambda d, a: gate.verdict(gate.validate(d, a, [], SPEC, 24, _AS_OF))), f'{_AFT} c("check", passed, severity, detail) AS (' + " UNION ALL ".join(_CHECKS.values()) + """) SELECT bool_and(passed OR severity = 'warning') AS passed, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT passed AND severity = 'warning'), '') AS warnings FROM c""")
+
+
+# Sinks -------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share; a temporary one only under a local master."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root or tempfile.mkdtemp(prefix='tidegrid-')}/artifacts/{uuid.uuid4().hex}"
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark) + "/orders.csv"
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    df.write.option("header", True).csv(path)
+    return readers.read_source(spark, path, schema="o_orderkey long, o_totalprice double, o_orderpriority string")
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark)
+    readers.write_cleaned(spark.read.parquet(f"{sf_dir}/events.parquet"), root, "run_1", "ts", ["event_id"])
+    return spark.read.parquet(f"{root}/cleaned")
+
+
+def _artifact(kind: str, made: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = _folder(spark)
+        readers.write_artifact(made(_dirty(spark, sf_dir)), root, kind, "run_1")
+        return spark.read.parquet(f"{root}/{kind}")
+
+    return query
+
+
+def _runs(d: DataFrame) -> DataFrame:
+    """Runs as users' events in place of artifact folders: one row per (run, kind)."""
+    kind = F.when(F.col("event_id") % 3 == 0, "raw").when(F.col("event_id") % 3 == 1, "diagnosis").otherwise("cleaned")
+    return d.groupBy(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), kind.alias("kind")).agg(F.count("*").alias("rows"))
+
+
+_add("src_csv", _csv, "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+_add("sink_raw", _artifact("raw", lambda d: d.select("event_id", "v")), f"SELECT event_id, v, 'run_1' AS run_id FROM ({DIRTY.replace('AS STRING', 'AS VARCHAR')})")
+_add("sink_artifacts", _artifact("profile", profile.nulls))
+_add("sink_cleaned", _cleaned, "SELECT *, 'run_1' AS run_id FROM events")
+_KIND = "SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, CASE event_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'diagnosis' ELSE 'cleaned' END AS kind, count(*) AS rows FROM events GROUP BY ALL"
+_LIST = f"SELECT run_id, max(CASE WHEN kind = 'raw' THEN rows END) AS rows, bool_or(kind = 'diagnosis') AS has_stage2, bool_or(kind = 'cleaned') AS has_stage3 FROM ({_KIND}) GROUP BY run_id"
+_add("run_listing", lambda s, d: readers.run_listing(_runs(s.read.parquet(f"{d}/events.parquet"))), _LIST)
+_add("run_summary", lambda s, d: (lambda r: readers.run_summary(readers.run_listing(r), r, r.where("kind = 'raw'").select("run_id", F.col("rows").alias("report_rows")), r.where("kind = 'cleaned'").select("run_id", F.col("rows").alias("gate_rows"))))(_runs(s.read.parquet(f"{d}/events.parquet"))), f"WITH k AS ({_KIND}) SELECT l.*, (SELECT count(*) FROM k WHERE k.run_id = l.run_id) AS recipe_columns, (SELECT rows FROM k WHERE k.run_id = l.run_id AND kind = 'raw') AS report_rows, (SELECT rows FROM k WHERE k.run_id = l.run_id AND kind = 'cleaned') AS gate_rows FROM ({_LIST}) l")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile, plan, clean and gate the dirty events; the checks as rows."""
+    d = _dirty(spark, sf_dir)
+    steps = _sql(spark, sf_dir, _SPARK_FACTS)
+    plan = recipe.sanitized(_default(steps), steps, "ts")
+    after = clean.apply_recipe(d, plan, SPEC, 24)
+    return gate.validate(d, after, ["num_txt", "date_txt"], SPEC, 24, _AS_OF)
+
+
+_add("pipeline_checks", flagship)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
