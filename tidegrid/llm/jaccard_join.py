@@ -29,7 +29,7 @@ from tidegrid.llm import words
 from tidegrid.llm.common import bitmap, stored
 from tidegrid.llm.components import components
 
-SKETCH_BITS = 16
+SKETCH_BITS = 18
 #: 2**23 flags are one MB; more documents than that only let more rows through.
 CANDIDATE_BITS = 23
 
