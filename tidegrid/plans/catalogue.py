@@ -192,11 +192,16 @@ def _default(p: DataFrame) -> DataFrame:
     return recipe.default_recipe(p, "ts", 24)
 
 
-_SWAPPED = F.when(F.col("missing_strategy") == "none", "keep").otherwise(F.col("missing_strategy"))
+
+
+def _swapped(r: DataFrame) -> DataFrame:
+    return r.withColumn("missing_strategy", F.when(F.col("missing_strategy") == "none", "keep").otherwise(F.col("missing_strategy")))
+
+
 _recipe("recipe_default", _default, "SELECT * FROM r")
 _recipe("recipe_outlier_choice", lambda p: _default(p).select("col", "outlier_strategy"), "SELECT col, outlier_strategy FROM r")
 _recipe("recipe_evidence", lambda p: recipe.evidence_recipe(p, "ts", 24).select("col", "outlier_strategy", "action"), "SELECT r.col, CASE WHEN outlier_strategy = 'keep' OR zero_pct > 50 THEN 'keep' WHEN temporal_pct IS NULL THEN 'clip_iqr' WHEN temporal_pct * 2 <= iqr_pct THEN CASE WHEN n >= 48 THEN 'stl_residuals' ELSE 'rolling_iqr' END ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN null_pct >= 95 OR distinct_pct >= 99 THEN 'drop' ELSE action END AS action FROM r JOIN f ON r.col = f.col")
-_recipe("recipe_normalize", lambda p: recipe.normalized(_default(p).withColumn("missing_strategy", _SWAPPED)), "SELECT * FROM r")
+_recipe("recipe_normalize", lambda p: recipe.normalized(_swapped(_default(p))), "SELECT * FROM r")
 _recipe("recipe_fill_missing_cols", lambda p: recipe.filled(_default(p).where("col <> 'v'"), p), "SELECT f.col, coalesce(missing_strategy, 'none') AS missing_strategy, coalesce(outlier_strategy, 'keep') AS outlier_strategy, coalesce(type_fix, 'none') AS type_fix, coalesce(action, 'keep') AS action FROM f LEFT JOIN (SELECT * FROM r WHERE col <> 'v') r ON r.col = f.col")
 _recipe("recipe_force_typefix", lambda p: recipe.forced_type_fix(_default(p).withColumn("type_fix", F.lit("none")), p).select("col", "type_fix"), "SELECT col, type_fix FROM r")
 _recipe("recipe_sanitize", lambda p: recipe.sanitized(_default(p).withColumn("outlier_strategy", F.lit("clip_iqr")).withColumn("action", F.lit("drop")), p, "ts"), "SELECT r.col, CASE WHEN dtype_inferred <> 'numeric' AND missing_strategy = 'interpolate' THEN 'forward_fill' ELSE missing_strategy END AS missing_strategy, CASE WHEN coalesce(iqr = 0 OR zero_pct >= 50, false) THEN 'keep' ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN dtype_raw = 'string' AND dtype_inferred = 'numeric' THEN 'cast_numeric' ELSE type_fix END AS type_fix, CASE WHEN constant OR distinct_pct >= 99 THEN 'drop' ELSE 'keep' END AS action FROM r JOIN f ON r.col = f.col")
