@@ -363,7 +363,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dirty(spark, sf_dir)
     steps = _sql(spark, sf_dir, _SPARK_FACTS)
     plan = recipe.sanitized(_default(steps), steps, "ts")
-    after = clean.apply_recipe(d, plan, SPEC, 24)
+    # the cleaned table is written once; each check reads it
+    path = _folder(spark)
+    clean.apply_recipe(d, plan, SPEC, 24).write.parquet(path)
+    after = spark.read.parquet(path)
     return gate.validate(d, after, ["num_txt", "date_txt"], SPEC, 24, _AS_OF)
 
 
