@@ -360,9 +360,8 @@ _add("run_summary", lambda s, d: (lambda r: readers.run_summary(readers.run_list
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile, plan, clean and gate the dirty events; the checks as rows."""
-    d = _dirty(spark, sf_dir)
-    steps = _sql(spark, sf_dir, _SPARK_FACTS)
-    plan = recipe.sanitized(_default(steps), steps, "ts")
+    d = _dirty(spark, sf_dir).select("event_id", "ts", "v", "t_gap", "num_txt", "const_txt")
+    plan = _plan(d)
     # the cleaned table is written once; each check reads it
     path = _folder(spark)
     clean.apply_recipe(d, plan, SPEC, 24).write.parquet(path)
