@@ -142,7 +142,9 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, []), licenses.built_in(spark).limit(0)).collect() == []
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, -1])
+def test_lines(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
     pages = [(i, f"https://A.com/{i}", f"<p>Menu</p><p>own {i}</p><p> Menu </p>", "x") for i in range(6)] + [(10, "https://b.com", "<p>Menu</p>", "x"), (11, None, "<p>Menu", "x"), (12, "https://a.com/n", None, "x"), (13, "nothing", "", "x")]
     found = {r.page_id: (r.host, r.n_lines, r.n_dropped, r.text) for r in line_dedup.without_boilerplate(spark.createDataFrame(pages, "page_id long, url string, html string, often string")).collect()}
     assert found[3] == ("a.com", 3, 2, "own 3") and found[10] == ("b.com", 1, 0, "Menu") and found[11] == ("", 1, 0, "Menu")

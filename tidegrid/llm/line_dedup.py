@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import stored
 from tidegrid.llm.url_filter import host_of
 
 #: Lines end at line breaks and at tags of blocks.
 BREAKS = r"[\r\n]+|(?i:</?(?:p|br|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|table|tr|td|th|title|head|body|html|script|style|meta|form|pre|blockquote)(?:\s[^>]*)?/?>)"
 RATIO, MIN_PAGES = 0.3, 5
+#: Up to this size the hosts' lists of lines are broadcast; larger ones are joined, each host dealt over SALTS parts.
+BROADCAST_BYTES, SALTS = 8 << 20, 16
 
 
 def lines_of(html: str, breaks: str = BREAKS) -> Column:
@@ -31,6 +34,17 @@ def boilerplate(lined: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return often.groupBy("host").agg(F.collect_list("line").alias("often"))
 
 
+def _with_lists(lined: DataFrame, often: DataFrame) -> DataFrame:
+    """lined (page_id, host, lines) with its host's list (null if it has none); no host meets in one task."""
+    often = stored(often)
+    n = often.agg(F.coalesce(F.sum(F.octet_length("host") + 8 * F.size("often") + 16), F.lit(0))).first()[0]
+    if n <= BROADCAST_BYTES:
+        return lined.join(F.broadcast(often), "host", "left")
+    dealt = lined.withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(SALTS)).cast("int"))
+    every = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, ["host", "salt"], "left").drop("salt")
+
+
 def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, breaks: str = BREAKS) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, n_lines, n_dropped, text.
 
@@ -41,7 +55,7 @@ def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int =
     """
     lined = pages.select("page_id", F.coalesce(host_of("url"), F.lit("")).alias("host"), lines_of("html", breaks).alias("lines"))
     often = boilerplate(lined.where("host <> ''").select("host", "lines"), ratio, min_pages)
-    out = lined.join(often, "host", "left")
+    out = _with_lists(lined, often)
     kept = F.when(F.col("often").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("often", F.xxhash64(x))))
     out = out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
