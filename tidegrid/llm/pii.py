@@ -1,10 +1,11 @@
 """Personal data by boosting over candidate spans; DataFrame operations only.
 
 Generators of high recall propose spans (which may overlap), each with features of its format and
-context. All candidates of all documents are counted by their features, a table of fixed size; boosted trees
-are fitted to these counts on the driver, with strict validity as the label, and become Column
-expressions. Scores are calibrated on the same counts, and a kind's threshold is the least score that is right in
-PRECISION of the cases. Strictly valid (base) spans always stay; others join them from the threshold on.
+context. Strict validity labels the candidates of the base patterns. All of these, in all documents, are counted
+by their features, a table of fixed size; boosted trees are fitted to these counts on the driver and become
+Column expressions. Scores are calibrated on the same counts by isotonic regression, and a kind's threshold is the
+least score that is right in PRECISION of the cases. Strictly valid (base) spans always stay; others, those of the
+further generators (which no rule labels, judged by the same features) included, join them from the threshold on.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\))\x20
 NATIONAL = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 CUE = r"(?i)mail|contact|write|phone|tel|call|fax|mobile|\bip\b|addr|host|server|card|visa|account|pay"
 PRECISION, TREES, RATE = 0.95, 30, 0.3
-FEATURES = ("kind", "form", "before", "after", "cue", "digits", "marks", "groups")
+FEATURES = ("kind", "before", "after", "cue", "digits", "marks", "groups")
 _OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 
@@ -166,17 +167,23 @@ def leaf(tree: Tree, row: Sequence[int]) -> float:
 
 
 def thresholds(rows: Sequence[tuple[tuple[int, ...], int, int]], trees: Sequence[Tree]) -> list[float]:
-    """For each kind the least score from which on PRECISION of the cases are right; infinite if none is."""
+    """For each kind the least score from which on PRECISION of the cases are right; infinite if none is.
+
+    Rates may not rise as scores fall: scores that break this are pooled, and a pool's rate is smoothed.
+    """
     out = []
     for kind in range(len(KINDS)):
-        scored = sorted(((sum(leaf(t, x) for t in trees), n, good) for x, n, good in rows if x[0] == kind), reverse=True)
-        least, at = math.inf, 0
-        while at < len(scored):
-            same = [r for r in scored[at:] if r[0] == scored[at][0]]
-            n, good = sum(r[1] for r in same), sum(r[2] for r in same)
-            if (good + 1) / (n + 2) < PRECISION:  # this score's own rate, smoothed
+        pools: list[tuple[float, int, int]] = []
+        for score, n, good in sorted(((sum(leaf(t, x) for t in trees), n, good) for x, n, good in rows if x[0] == kind), reverse=True):
+            while pools and (pools[-1][0] == score or good * pools[-1][1] >= pools[-1][2] * n):
+                _, n2, good2 = pools.pop()
+                n, good = n + n2, good + good2
+            pools.append((score, n, good))
+        least = math.inf
+        for score, n, good in pools:
+            if (good + 1) / (n + 2) < PRECISION:
                 break
-            least, at = scored[at][0], at + len(same)
+            least = score
         out.append(least)
     return out
 
@@ -206,7 +213,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     valid overlaps no valid one of its kind.
     """
     found = stored(candidates(docs))
-    counts = found.select(F.explode("spans").alias("s")).groupBy(*(F.col(f"s.{f}").alias(f) for f in FEATURES)).agg(F.count("*").alias("n"), F.count_if(F.col("s.base")).alias("good"))
+    counts = found.select(F.explode("spans").alias("s")).where("s.form = 0").groupBy(*(F.col(f"s.{f}").alias(f) for f in FEATURES)).agg(F.count("*").alias("n"), F.count_if(F.col("s.base")).alias("good"))
     # one row for each combination of features: at most the product of their few values
     rows = sorted(((tuple(r[f] for f in FEATURES), r["n"], r["good"]) for r in counts.collect()))
     trees = boosted(rows)
