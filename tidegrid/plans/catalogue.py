@@ -117,7 +117,7 @@ for _n, (_c, _f) in _GRIDS.items():
     _add(_n, lambda s, d, c=_c, f=_f: profile.frequency(s.read.parquet(f"{d}/{f}.parquet"), c), _FREQ.format(c=_c, f=_f))
 for _unit in ("week", "month", "quarter", "year"):
     _add(f"ts_frequency_{_unit}", lambda s, d, u=_unit: profile.frequency(_sql(s, d, f"SELECT date_trunc('{u}', o_orderdate) AS t FROM orders"), "t"), _FREQ.format(c="t", f=f"(SELECT date_trunc('{_unit}', o_orderdate) AS t FROM orders)"))
-_add("catalog_null_profile", _catalog)
+_add("catalog_null_profile", _catalog, " UNION ALL ".join(f"""SELECT '{t}' AS "table", col, null_count FROM (UNPIVOT (SELECT count(*) - count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME col VALUE null_count)""" for t in TABLES))
 
 # Diagnosis ---------------------------------------------------------------------------------------
 _RUN = "(SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT @, row_number() OVER (ORDER BY ts, event_id) - row_number() OVER (PARTITION BY @ IS NULL ORDER BY ts, event_id) AS k FROM d) WHERE @ IS NULL GROUP BY k))"
