@@ -28,8 +28,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them: not at all, once or twice."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents as often as the mix draws them: not at all, once or twice; written by output shard, shuffled within each."""
+    return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,6 +226,29 @@ def test_mixing(spark, rows):
     assert mixing.mix_sizes(frame(spark, [])).collect() == []
 
 
+def test_mixing_places_every_draw_by_the_tree(spark, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
+    docs = frame(spark, rows)
+    drawn = [(r.doc_id, r.text, r.mix_shard, r.mix_order) for r in mixing.mix(docs, 4).collect()]
+    found = mixing.mix_sizes(docs, 4).collect()
+    assert all(r.taken == r.size * len(r.mix_shard) and r.draws == len(r.mix_shard) == len(r.mix_order) for r in found)
+    key = lambda r: (r[0] is None, r)
+    assert sorted([(r.doc_id, s, o) for r in found for s, o in zip(r.mix_shard, r.mix_order, strict=True)], key=key) == sorted([(i, s, o) for i, _, s, o in drawn], key=key)
+    p = mixing.plan(docs)
+    slots = {}
+    for b in p.blocks.collect():
+        slots[b.key] = slots.get(b.key, 0) + b.slots
+    quotas = mixing.split(np.array([slots[k] for k in sorted(slots)]), 4, np.random.default_rng(7))
+    held = {(k, s): 0 for k in slots for s in range(4)}
+    for b in mixing._dealt(p, 4, 7).blocks.collect():
+        for s in b.shards if b.draws else []:
+            held[b.key, s] += 1
+    missed = {b.key for b in p.blocks.collect() if not b.draws}
+    assert missed != set(slots) and all(held[k, s] == quotas[s][i] for i, k in enumerate(sorted(slots)) if k not in missed for s in range(4))
+    written = [(r.doc_id, r.text) for r in corpus_pipeline.mixed(spark, docs, "").collect()]
+    assert len(set(written)) < len(written) and written == [(r.doc_id, r.text) for r in sorted(mixing.mix(docs).collect(), key=lambda r: (r.mix_shard, r.mix_order))]
+
+
 def test_mixing_targets_and_tree():
     goal = {t.source: t.target for t in mixing.targets([("b", 1, 100), (None, 1, 10), ("a", 1, 1000)], (3, 1, 2), 1.5, 2.0)}
     assert goal == {"a": 1445.0, "b": 200.0, None: 20.0} or sum(goal.values()) == pytest.approx(1665)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -114,7 +114,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 class Plan:
     sizes: DataFrame  # doc_id, source, size, key, h, block
     sources: list[Target]
-    blocks: DataFrame  # key, block, draws: whole passes over the block
+    blocks: DataFrame  # key, block, draws: whole passes over the block, slots: these and one more where the rest ends in it
     edge: DataFrame  # doc_id, key, h, size, n: documents drawn once more from the block in which the rest ends
 
 
@@ -134,7 +134,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     placed = by_block.withColumn("left", F.col("rest") - before)
     whole = (F.col("left") >= F.col("words")).cast("int")
     blocks = placed.select("key", "block", (F.col("passes") + whole).alias("draws"), F.when((F.col("left") > 0) & (whole == 0), F.col("left")).alias("left"))
-    blocks = stored(blocks)
+    blocks = stored(blocks.withColumn("slots", F.col("draws") + F.col("left").isNotNull().cast("int")))
     ends = blocks.where("left is not null").select("key", "block", "left")
     # one block a source, of about BLOCK_ROWS rows
     edge = sized.join(ends, ["key", "block"]).select("doc_id", "key", "h", "size", "left").groupBy("key").applyInPandas(_fill, "doc_id long, key string, h long, size long, chosen boolean")
@@ -142,56 +142,82 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     return Plan(sized, found, blocks.drop("left"), edge)
 
 
+def _dealt(p: Plan, n_shards: int, seed: int) -> Plan:
+    """p whose blocks have shards: the output shard of each of the block's slots, by the splitting tree's quotas.
+
+    A block that isn't drawn takes no slot; it has one shard still, for its rows without words.
+    """
+    spark = p.sizes.sparkSession
+    per_source = {r[0]: r[1] for r in p.blocks.groupBy("key").agg(F.sum("slots")).collect()}
+    keys = sorted(per_source)
+    quotas = split(np.array([per_source[k] for k in keys] or [0], np.int64), n_shards, np.random.default_rng(seed))
+    ends = np.cumsum(quotas, axis=0)
+    bounds = _per_source(spark, [(k, [int(x) for x in ends[:, i]]) for i, k in enumerate(keys)], "key string, ends array<long>")
+    first = F.sum("slots").over(Window.partitionBy("key").orderBy("block")) - F.col("slots")
+    shards = F.expr(f"transform(sequence(0, greatest(slots, 1) - 1), i -> least(size(filter(ends, e -> e <= first + i)), {n_shards - 1}))")
+    return replace(p, blocks=stored(p.blocks.withColumn("first", first).join(bounds, "key").select("key", "block", "draws", shards.alias("shards"))))
+
+
 def _drawn(rows: DataFrame, p: Plan) -> DataFrame:
-    """rows (with doc_id, key, h, size, block) and the number of draws of each."""
+    """rows (with doc_id, key, h, size, block), the number of draws of each and its block's shards, the n-th draw's at n - 1.
+
+    A row without words has no share in any target and is drawn once.
+    """
     same = Window.partitionBy("doc_id", "key", "h", "size").orderBy("doc_id")
     edge = p.edge.select("doc_id", "key", "h", "size", "n")
     out = rows.join(p.blocks, ["key", "block"]).join(edge.withColumnRenamed("doc_id", "e_id").withColumnRenamed("key", "e_key").withColumnRenamed("h", "e_h").withColumnRenamed("size", "e_size"), F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("h") == F.col("e_h")) & (F.col("key") == F.col("e_key")) & (F.col("size") == F.col("e_size")), "left")
     # equal rows of which only some fit are told apart by number
     few = out.where("n is not null").withColumn("draws", F.col("draws") + (F.row_number().over(same) <= F.col("n")).cast("int"))
-    return out.where("n is null").unionByName(few).drop("e_id", "e_key", "e_h", "e_size", "n")
+    out = out.where("n is null").unionByName(few).drop("e_id", "e_key", "e_h", "e_size", "n")
+    return out.withColumn("draws", F.when(F.col("size") == 0, 1).otherwise(F.col("draws")))
+
 
+def _place(h: str, draw: Column) -> Column:
+    """Random within a shard."""
+    return F.xxhash64(h, draw)
 
-def mix_sizes(docs: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, draws.
 
-    size counts words (null text: 0), target is the source's (see targets()), taken = draws * size is
-    what the mix takes of the document, at most cap times its size for a whole cap. Documents are taken
-    whole; a source's sum stays below its target by less than its smallest document left out of the last
-    block. A hash of doc_id and text decides, so reruns agree. A null source is a source of its own, an
+def mix_sizes(docs: DataFrame, n_shards: int = 16, seed: int = 7, **options) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, draws, mix_shard, mix_order.
+
+    The rows of mix(), one for each document instead of each draw: mix_shard and mix_order are arrays, an
+    element a draw, empty where there is none. size counts words (null text: 0), target is the source's
+    (see targets()), taken sums size over the draws, at most cap times size for a whole cap. Documents are
+    taken whole; a source's sum stays below its target by less than its smallest document left out of the
+    last block. A hash of doc_id and text decides, so reruns agree. A null source is a source of its own, an
     empty one too. Sources without words have target 0. Equal rows count each; an empty table gives no
     rows. Other columns are ignored.
     """
-    p = plan(docs, **options)
-    return _drawn(p.sizes, p).select("doc_id", "size", "source_size", "target", (F.col("draws") * F.col("size")).alias("taken"), "draws")
+    p = _dealt(plan(docs, seed=seed, **options), n_shards, seed)
+    out = _drawn(p.sizes, p).withColumn("mix_shard", F.slice("shards", F.lit(1), F.col("draws")))
+    order = F.transform("mix_shard", lambda _, i: _place("h", i + 1))
+    taken = F.aggregate("mix_shard", F.lit(0).cast("long"), lambda total, _: total + F.col("size"))
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws", "mix_shard", order.alias("mix_order"))
 
 
 def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, **options) -> DataFrame:
     """docs, each row as often as the mix draws it, with mix_shard and mix_order.
 
-    mix_shard comes from the splitting tree, mix_order is random within it: write with
-    repartition("mix_shard") and sortWithinPartitions("mix_shard", "mix_order"). A row without words
-    has no share in any target and stays once. Columns of docs stay; names that clash are replaced.
+    mix_shard comes from the splitting tree, mix_order is random within it: see in_order(). A row without
+    words has no share in any target and stays once. Columns of docs stay; names that clash are replaced.
     """
-    p = plan(docs, seed=seed, **options)
-    spark = docs.sparkSession
-    per_source = {r[0]: r[1] for r in p.blocks.groupBy("key").agg(F.sum(F.greatest("draws", F.lit(1)))).collect()}
-    keys = sorted(per_source)
-    quotas = split(np.array([per_source[k] for k in keys] or [0], np.int64), n_shards, np.random.default_rng(seed))
-    ends = np.cumsum(quotas, axis=0)
-    bounds = _per_source(spark, [(k, [int(x) for x in ends[:, i]]) for i, k in enumerate(keys)], "key string, ends array<long>")
-    order = Window.partitionBy("key").orderBy("block")
-    firsts = p.blocks.withColumn("first", F.sum(F.greatest("draws", F.lit(1))).over(order) - F.greatest("draws", F.lit(1))).join(bounds, "key").select("key", "block", "first", "ends")
-    chosen = _drawn(p.sizes.select("doc_id", "key", "h", "size", "block"), p).join(firsts, ["key", "block"])
-    chosen = chosen.withColumn("draws", F.when(F.col("size") == 0, 1).otherwise(F.col("draws"))).where("draws > 0")
-    chosen = chosen.groupBy("doc_id", "h", "key", "first", "ends").agg(F.sort_array(F.collect_list("draws")).alias("all"))
+    p = _dealt(plan(docs, seed=seed, **options), n_shards, seed)
+    chosen = _drawn(p.sizes.select("doc_id", "key", "h", "size", "block"), p).where("draws > 0")
+    chosen = chosen.groupBy("doc_id", "h", "key", "shards").agg(F.sort_array(F.collect_list("draws")).alias("all"))
     text_hash = F.xxhash64(F.lit(seed), "doc_id", "text")
     same = Window.partitionBy("mix_id", "mix_h", "mix_key").orderBy("mix_id")
     rows = docs.withColumns({"mix_h": text_hash, "mix_id": F.col("doc_id"), "mix_key": _name("source")})
-    out = rows.join(chosen, F.col("mix_id").eqNullSafe(chosen["doc_id"]) & (F.col("mix_h") == chosen["h"]) & (F.col("mix_key") == chosen["key"])).select(rows["*"], "first", "ends", "all")
+    out = rows.join(chosen, F.col("mix_id").eqNullSafe(chosen["doc_id"]) & (F.col("mix_h") == chosen["h"]) & (F.col("mix_key") == chosen["key"])).select(rows["*"], "shards", "all")
     one = out.where(F.size("all") == 1).withColumn("n", F.col("all")[0])
     more = out.where(F.size("all") > 1).withColumn("n", F.get("all", F.row_number().over(same) - 1))
     out = one.unionByName(more).withColumn("draw", F.explode(F.expr("sequence(1, cast(n as int))")))
-    shard = F.size(F.expr("filter(ends, e -> e <= first + draw - 1)"))
-    out = out.withColumn("mix_shard", F.least(shard, F.lit(n_shards - 1))).withColumn("mix_order", F.xxhash64("mix_h", "draw"))
+    out = out.where("draw > 0").withColumn("mix_shard", F.get("shards", F.col("draw") - 1)).withColumn("mix_order", _place("mix_h", F.col("draw")))
     return out.select(*docs.columns, "mix_shard", "mix_order")
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """Rows of mix() shard after shard, shuffled within each: the files written from it, one after the other, are the mix.
+
+    A shard is cut into ranges of mix_order, so no task holds a whole one.
+    """
+    return mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
