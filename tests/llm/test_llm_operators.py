@@ -268,6 +268,16 @@ def test_urls(spark):
     assert len(found) == len(urls) and url_filter.judged(pages.limit(0)).collect() == []
 
 
+def test_near_copies_of_the_stage(spark):
+    words = [f"w{i}" for i in range(1000)]
+    longer = lambda n: " ".join(words + [f"x{i}" for i in range(n)])
+    # 996 shingles of five words: 996 / 1215 = 0.82 (and 0.82 < 0.85 for four), 996 / 1256 = 0.793
+    for n, kept in ((219, [1]), (260, [1, 2])):
+        docs = frame(spark, [(1, " ".join(words), "s"), (2, longer(n), "s")])
+        assert sorted(r.doc_id for r in corpus_pipeline.first_of_each_class(spark, docs, "").collect()) == kept
+        assert len({r.component_id for r in jaccard_join.jaccard_classes(docs).collect()}) == 2
+
+
 def test_pipeline(spark, tmp_path, rows):
     docs = frame(spark, [r for r in rows if r[0] is not None]).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
