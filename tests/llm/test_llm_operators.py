@@ -268,6 +268,15 @@ def test_urls(spark):
     assert len(found) == len(urls) and url_filter.judged(pages.limit(0)).collect() == []
 
 
+def test_one_row_per_document(spark):
+    rows = [(1, "a b c d e", "s")] * 3 + [(2, "A B C D E", "s"), (3, "x", "s"), (3, "y", "s"), (4, None, "s"), (4, None, "s")] + [(None, "x", "s")] * 2 + [(None, "z", "s"), (None, None, "s"), (None, None, "t"), (None, "", "s")]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_per_class(frame(spark, rows)).collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [1, 3, 4]
+    assert sorted((t for i, t in kept if i is None), key=str) == ["", None, "x", "z"]
+    out = jaccard_join.one_per_class(frame(spark, rows[3:5]))
+    assert out.columns == frame(spark, []).columns and [tuple(r)[:2] for r in sorted(out.collect())] == [(2, "A B C D E"), (3, "x")]
+
+
 def test_near_copies_of_the_stage(spark):
     words = [f"w{i}" for i in range(1000)]
     longer = lambda n: " ".join(words + [f"x{i}" for i in range(n)])

@@ -168,7 +168,21 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 def one_per_class(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """docs without all but the first document of each class; columns as in docs.
 
-    Rows that repeat a kept doc_id stay only once; rows with a null doc_id stay.
+    Rows that repeat a kept doc_id stay only once, whatever their texts: the one of the smallest hash. Of rows
+    with a null doc_id one stays for each text, a null text included.
     """
     gone = jaccard_classes(docs, k, percent).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return _one_per_id(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
+
+
+def _one_per_id(docs: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id, and for each text where that is null."""
+    names = docs.columns
+    keyed = docs.withColumn("_id", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.sha2("text", 256)), F.lit("")))
+    # few rows repeat, as a rule: texts of the others needn't be dealt out
+    often = stored(keyed.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+    if not often.take(1):
+        return docs
+    # an aggregate, as its parts are joined before they are dealt: an id of very many rows meets in no one task
+    first = keyed.join(often, "_id", "left_semi").groupBy("_id").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_row"))
+    return keyed.join(often, "_id", "left_anti").select(*names).unionByName(first.select("_row.*"))
