@@ -303,3 +303,17 @@ def test_pipeline(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} <= expected and out.count() > 0
     assert out.agg(F.max("shard")).first()[0] < 40
+
+
+def test_words_built_to_collide(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    found = jaccard_join.jaccard_classes(frame(spark, [(1, one, "s"), (2, other, "s"), (3, one.upper(), "s")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_hub_of_many(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"]), "s") for i in range(3000)] + [(9000 + i, " ".join(f"y{i}_{j}" for j in range(30)), "s") for i in range(50)]
+    found = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
+    assert {r.component_id for r in found if r.doc_id < 3000} == {0} and all(r.component_id == r.doc_id for r in found if r.doc_id >= 9000)

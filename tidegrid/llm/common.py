@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Space and the five control characters 0x09-0x0D part words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,13 +34,46 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Have the driver delete path when it ends: tables under it serve this session only."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends here."""
+    """Write df as Parquet in the shared folder and read it again: lineage ends here. The driver deletes it when it ends."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    forgotten(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, value: str, keys: list[str], order: str, size: int = 4096) -> DataFrame:
+    """df with _before: the sum of value over the key's rows of smaller order (a whole number, unique within the key).
+
+    Stretches of `size` orders are summed first, so that no task holds all rows of a key.
+    """
+    stretch = df.withColumn("_stretch", F.floor(F.col(order) / size))
+    sums = stretch.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
+    up = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_stretch", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = stretch.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, [*keys, "_stretch"])
+    return out.withColumn("_before", F.col("_base") + F.col("_in")).drop("_stretch", "_base", "_in")
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df (stored, with _row: a unique number of which the high bits name a file's part) with its place from 0 among rows of equal keys.
+
+    Rows are numbered within a key and part, and the parts' counts added up, so that no task holds all rows of a frequent key.
+    """
+    part = df.withColumn("_part", F.shiftright("_row", 16))
+    counts = part.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = running(counts, "_n", keys, "_part").drop("_n")
+    at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_row")) - 1
+    return part.withColumn("_at", at).join(before, [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; plain ASCII takes the faster way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

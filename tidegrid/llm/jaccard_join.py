@@ -9,20 +9,23 @@ shingles. Multiplying it by its transpose counts overlaps. Sizes bound which pro
 * a cell is discarded before it is counted if sizes and the places of a common column in that order
   bound its overlap below t, and after a count over the kept columns if that count is too low.
 
-The surviving cells are counted exactly over the whole rows. The product runs in column blocks: in
-the first, each column is multiplied by one member (its hub) only, which joins groups of near copies
-without forming all their pairs. The second covers every cell between rows that are still in
-different components, so no link that matters is lost.
+The surviving cells are counted exactly over the whole rows: the columns are cut into COLUMN_BLOCKS
+blocks, each block's part of the product is computed by itself, and the parts are added up. The product
+runs twice: first each column of the kept ones is multiplied by one member (its hub) only, which joins
+groups of near copies without forming all their pairs. The second time covers every cell between rows
+that are still in different components, so no link that matters is lost. Rows whose sizes are too far
+apart never meet there, as the size's place on a logarithmic scale is part of the join's key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import words
@@ -32,6 +35,10 @@ from tidegrid.llm.components import components
 SKETCH_BITS = 18
 #: 2**23 flags are one MB; more documents than that only let more rows through.
 CANDIDATE_BITS = 23
+#: Column blocks are named by the highest bits of a shingle's hash.
+BLOCK_BITS = 3
+#: A row in more cells than this is dealt out, a part of it for each so many cells.
+HUB_CELLS = 512
 
 
 def _tally(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -56,16 +63,22 @@ def _sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return doc, s
 
 
+def _digests(s: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each document's set, whose hashes are s[at[i]:at[i + 1]]."""
+    out = []
+    for salt in (0x1234567, 0x89ABCDE):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mixed(s + np.uint64(salt)))])
+        out.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+    return out
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, bounds in words.chunks(batch, "text"):
             doc, s = _sets(data, bounds, k)
             n = np.bincount(doc, minlength=part.num_rows)
             at = np.concatenate([[0], np.cumsum(n)])
-            digests = []
-            for salt in (0x1234567, 0x89ABCDE):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mixed(s + np.uint64(salt)))])
-                digests.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+            digests = _digests(s, at)
             order = np.lexsort((s, weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
             rank = np.arange(len(s)) - at[doc]
             keep = rank < (n - (n * percent + 99) // 100 + 1)[doc]
@@ -74,28 +87,60 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, weight:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), prefix], ["doc_id", "n_shingles", "d1", "d2", "prefix"])
 
 
-def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, flags) -> Iterator[pa.RecordBatch]:
+def _candidate_blocks(batches: Iterator[pa.RecordBatch], k: int, flags) -> Iterator[pa.RecordBatch]:
     bits = np.array(flags.value, np.int64)
     for batch in batches:
         spot = batch.column(2).to_numpy()
         batch = batch.filter(pa.array((bits[spot >> 6] >> (spot & 63)) & 1 == 1))
         for part, data, bounds in words.chunks(batch, "text"):
             doc, s = _sets(data, bounds, k)
-            heads = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(s.view(np.int64)))], ["doc_id", "shingles"])
+            n = np.bincount(doc, minlength=part.num_rows)
+            d1, d2 = _digests(s, np.concatenate([[0], np.cumsum(n)]))
+            cell = (doc << BLOCK_BITS) + (s >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)  # hashes are sorted, so blocks are runs
+            cells, heads = np.unique(cell, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array([*heads, len(s)], pa.int32()), pa.array(s.view(np.int64)))
+            own = cells >> BLOCK_BITS
+            block = (cells & ((1 << BLOCK_BITS) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *(pa.array(x[own]) for x in (n, d1, d2)), pa.array(block), lists], ["doc_id", "n_shingles", "d1", "d2", "block", "shingles"])
+
+
+def _node() -> Column:
+    """A number for each set of shingles; documents without any have one of their own."""
+    return F.when(F.col("n_shingles") > 0, F.xxhash64("d1", "d2", "n_shingles")).otherwise(F.xxhash64(F.lit("without words"), "doc_id"))
+
 
+def _meet(cells: DataFrame, rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """cells (a, b) with av and bv, the value of their rows (node, value, keys); both must have equal keys.
 
-def _linked(cells: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Cells (a, b) whose whole rows are similar enough, by exact overlap."""
+    A row in very many cells is copied into parts, so that they don't meet in one task.
+    """
+    heavy = cells.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB_CELLS).select("a", F.ceil(F.col("n") / HUB_CELLS).cast("int").alias("parts"))
+    dealt = cells.join(heavy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    left, right = (rows.select(F.col("node").alias(x), F.col(value).alias(f"{x}v"), *keys) for x in "ab")
+    left = left.join(heavy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(right, "b").join(left, ["a", "part", *keys]).drop("part")
+
+
+def _linked(cells: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Cells (a, an, b, bn) whose whole rows are similar enough: overlaps are counted by column block and added up."""
     spark = docs.sparkSession
-    ids = cells.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    met = cells.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = stored(classes.select("node", F.col("low").alias("doc_id")).join(met, "node", "left_semi"))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << CANDIDATE_BITS))
     flags = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), CANDIDATE_BITS))
-    found = docs.select("doc_id", "text", hashed.alias("spot")).mapInArrow(partial(_candidate_sets, k=k, flags=flags), "doc_id long, shingles array<long>")
-    sets = stored(found.join(ids, "doc_id", "left_semi"))
-    pair = cells.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = pair.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("overlap"))
-    return both.where(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
+    found = docs.select("doc_id", "text", hashed.alias("spot")).mapInArrow(partial(_candidate_blocks, k=k, flags=flags), "doc_id long, n_shingles long, d1 long, d2 long, block int, shingles array<long>")
+    blocks = found.withColumn("node", _node()).join(ids, ["doc_id", "node"], "left_semi").select("node", "block", "shingles")
+    # of rows that repeat a document one stays: a short aggregate by reference, as few do
+    blocks = stored(blocks.groupBy("node", "block").agg(F.first("shingles").alias("shingles")))
+    parts = _meet(cells, blocks, "shingles", "block").select("a", "an", "b", "bn", F.size(F.array_intersect("av", "bv")).alias("overlap"))
+    both = parts.groupBy("a", "an", "b", "bn").agg(F.sum("overlap").alias("overlap"))
+    return both.where(F.col("overlap") * 100 >= percent * (F.col("an") + F.col("bn") - F.col("overlap"))).select("a", "b", "overlap")
+
+
+def _cell(x: str, xn: str, y: str, yn: str) -> list[Column]:
+    """Columns a, an, b, bn of a pair, the smaller node first."""
+    p, q = F.struct(F.col(x).alias("id"), F.col(xn).alias("n")), F.struct(F.col(y).alias("id"), F.col(yn).alias("n"))
+    return [F.least(p, q)["id"].alias("a"), F.least(p, q)["n"].alias("an"), F.greatest(p, q)["id"].alias("b"), F.greatest(p, q)["n"].alias("bn")]
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -108,60 +153,65 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     a doc_id count as linked; a null doc_id has its own shingles counted, no links and a null
     component. Other columns of docs are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tally = docs.select("text").mapInArrow(partial(_tally, k=k), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     weight = np.zeros(1 << SKETCH_BITS, np.int64)
     for bucket, n in tally:
         weight[bucket] = n
     signed = docs.mapInArrow(partial(_signatures, k=k, percent=percent, weight=weight), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
-    signed = stored(signed)
-    classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
-    tokens = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    signed = stored(signed.select("doc_id", "n_shingles", _node().alias("node"), "prefix"))
+    known = signed.where("doc_id is not null")
+    classes = stored(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix")))
+    tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = stored(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "token"))
-    kept = shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("kept"))
+    kept = shared.groupBy("node").agg(F.collect_list("token").alias("kept"))
 
     def possible(an: str, ap: str, bn: str, bp: str):
         """Whether two sets may overlap enough if their first common column is the ap-th and the bp-th of theirs."""
         return F.least(F.col(an) - F.col(ap), F.col(bn) - F.col(bp)) * (100 + percent) >= (F.col(an) + F.col(bn)) * percent
 
     def counted(cells: DataFrame) -> DataFrame:
-        """Cells (a, b) whose count over kept columns leaves the whole overlap a chance.
+        """Cells whose count over kept columns leaves the whole overlap a chance.
 
         Of the two sets, let the kept columns of A end first. Outside them A has ceil(t * size) - 1 columns,
         inside it meets B in kept columns only: the overlap is below the count plus ceil(t * size of A).
         """
-        a, b = (kept.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("kept").alias(f"{x}k")) for x in "ab")
-        met = F.size(F.array_intersect("ak", "bk")) + F.ceil(F.greatest("an", "bn") * percent / 100) - 1
-        return cells.join(a, "a").join(b, "b").where(met >= F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))).select("a", "b")
+        met = F.size(F.array_intersect("av", "bv")) + F.ceil(F.greatest("an", "bn") * percent / 100) - 1
+        return _meet(cells, kept, "kept").where(met >= F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))).select("a", "an", "b", "bn")
 
     # a column's hub: the member with the largest share of columns in common with others, which lies amid its near copies
     central = shared.groupBy("node").agg((F.count("*") * 1000 / F.first("n")).cast("int").alias("central"))
-    hubs = shared.join(central, "node").groupBy("token").agg(F.max(F.struct("central", (-F.col("node")).alias("id"), "n", "pos")).alias("top"))
-    starred = shared.join(hubs.select("token", (-F.col("top.id")).alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.pos").alias("hub_pos")), "token")
-    star = starred.where((F.col("hub") != F.col("node")) & possible("hub_n", "hub_pos", "n", "pos")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    star = stored(counted(star))
-    links = stored(_linked(star, docs, k, percent).select("a", "b"))
+    hubs = shared.join(central, "node").groupBy("token").agg(F.max(F.struct("central", F.col("node").alias("id"), "n", "pos")).alias("top"))
+    starred = shared.join(hubs.select("token", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.pos").alias("hub_pos")), "token")
+    star = starred.where((F.col("hub") != F.col("node")) & possible("hub_n", "hub_pos", "n", "pos")).select(*_cell("hub", "hub_n", "node", "n")).distinct()
+    star = stored(counted(stored(star)))
+    # rows of one doc_id and different sets
+    ids = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a < b")
+    own = known.select("doc_id", F.col("node").alias("b")).join(ids.select("doc_id", "a"), "doc_id").where("a < b").select("a", "b")
+    links = stored(_linked(star, classes, docs, k, percent).select("a", "b").union(own))
     part = components(links)
-    # second block: columns that still meet more than one component
+    # second: columns that still meet more than one component
+    scale = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-12
     at = shared.join(part, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
     open_ = at.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    at = stored(at.join(open_, "token"))
+    at = stored(at.join(open_, "token").withColumn("bucket", F.floor(F.log("n") / scale)))
     main = at.groupBy("token", "c").agg(F.count("*").alias("w")).groupBy("token").agg(F.max_by("c", F.struct("w", "c")).alias("main"))
     at = at.join(main, "token")
-    few = at.where("c <> main").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"))
-    # every cell between components has an end outside the column's main one
+    few = at.where("c <> main").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
+    # every cell between components has an end outside the column's main one; sizes that may link are one bucket apart at most
     met = (F.col("xc") != F.col("c")) & possible("xn", "xp", "n", "pos") & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
-    rest = few.join(at, "token").where(met).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = stored(counted(rest.join(star, ["a", "b"], "left_anti")))
+    rest = few.join(at, ["token", "bucket"]).where(met).select(*_cell("x", "xn", "node", "n")).distinct()
+    rest = stored(counted(stored(rest.join(star, ["a", "b"], "left_anti"))))
     if rest.take(1):
-        links = stored(links.union(_linked(rest, docs, k, percent).select("a", "b")))
+        links = stored(links.union(_linked(rest, classes, docs, k, percent).select("a", "b")))
         part = components(links)
-    named = classes.select("d1", "d2", "n_shingles", "node").join(part, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("found"))
+    named = classes.select("node", "low").join(part, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
+    lowest = named.groupBy("c").agg(F.min("low").alias("found"))
+    named = named.join(lowest, "c").select("node", "found")
     return (
-        signed.select("doc_id", "n_shingles", "d1", "d2")
-        .join(named, ["d1", "d2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+        signed.select("doc_id", "n_shingles", "node")
+        .join(named, "node", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("found")).alias("component_id"))
     )
 
 

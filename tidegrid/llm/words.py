@@ -1,4 +1,9 @@
-"""Words and shingles of many texts at once, as 64-bit hashes, with numpy inside Arrow batches."""
+"""Words and shingles of many texts at once, as 64-bit hashes, with numpy inside Arrow batches.
+
+A word's hash sums one random-looking value for each (place, byte) pair, drawn by table and finaliser:
+no arithmetic ties places together, so words that are built to defeat polynomial hashes don't meet.
+Two given words share a hash with a probability of 2**-64.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +15,14 @@ import pyarrow.compute as pc
 
 PIECE = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+_NEAR = 64  # places in a word whose values come from a table
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, *range(0x09, 0x0E)]] = False
-_POWERS: list[np.ndarray] = []
+_BYTE = _BYTE[_LOWER]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,15 +32,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            x = np.full(max(n, PIECE), base, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+_PLACE = mixed(np.arange(_NEAR, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _placed(place: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each place in a word."""
+    out = _PLACE[np.minimum(place, _NEAR - 1)]
+    far = place >= _NEAR
+    if far.any():
+        out[far] = mixed(place[far].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def _piece(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,11 +51,16 @@ def _piece(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     start[1:] &= ~inside[:-1] | first[1:]
     end[:-1] &= ~inside[1:] | first[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return starts, mixed(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    size = ends - starts
+    letters = data[inside]  # bytes of words, one word after the other
+    heads = np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(heads, size)
+    value = (_BYTE[letters] ^ _placed(place)) * np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(32)
+    h = np.add.reduceat(value, heads)
+    return starts, mixed(h ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
