@@ -11,13 +11,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegrid.llm.common import ascii_lower, stored
 
 #: What parts words, once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
-FLAG_BITS = 22
+#: Flags number at least 16 for each different shingle of the items, within these powers of two (512 KB to 64 MB of
+#: them). Beyond, more positions get through the flags; the join sorts them out.
+LEAST_BITS, MOST_BITS = 22, 29
 
 
 def _worded(rows: DataFrame, *keep: str | Column) -> DataFrame:
@@ -33,11 +36,11 @@ def _token(w: Column, i: Column, k: int) -> Column:
     return F.xxhash64(F.lit(k), *(F.get(w, i + j) for j in range(k)))
 
 
-def _flags(tokens: DataFrame) -> Column:
-    """2**FLAG_BITS flags in an array of longs, as a scalar subquery."""
-    spot = tokens.select(F.pmod("token", F.lit(1 << FLAG_BITS)).alias("b"))
+def _flags(tokens: DataFrame, bits: int) -> Column:
+    """2**bits flags in an array of longs, as a scalar subquery."""
+    spot = tokens.select(F.pmod("token", F.lit(1 << bits)).alias("b"))
     set_ = spot.groupBy(F.expr("shiftright(b, 6)").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m"))
-    every = tokens.sparkSession.range(1 << (FLAG_BITS - 6)).join(set_, "id", "left").select(F.struct("id", F.coalesce("m", F.lit(0).cast("long")).alias("m")).alias("x"))
+    every = tokens.sparkSession.range(1 << (bits - 6)).join(set_, "id", "left").select(F.struct("id", F.coalesce("m", F.lit(0).cast("long")).alias("m")).alias("x"))
     return every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["m"]).alias("flags")).scalar()
 
 
@@ -53,16 +56,17 @@ def _candidates(docs: DataFrame, tokens: DataFrame, k: int, window: int) -> Data
     Each row of docs also has one row with pos -1, so texts are read once.
     """
     w = F.col("w")
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * tokens.count()).bit_length()))
     read = _worded(docs, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
     def set_(i: Column) -> Column:
-        b = F.pmod(_token(w, i, k), F.lit(1 << FLAG_BITS))
+        b = F.pmod(_token(w, i, k), F.lit(1 << bits))
         word = F.get("flags", F.shiftright(b, 6).cast("int"))
         return F.getbit(word, b.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     spots = F.when(F.size("w") >= k, F.filter(F.sequence(F.lit(0), F.size("w") - k), set_)).otherwise(F.array().cast("array<int>"))
     # Catalyst folds the flags into the filter, so no row carries them
-    read = read.select("*", _flags(tokens).alias("flags")).select("doc_id", "text_hash", "w", spots.alias("spots"))
+    read = read.select("*", _flags(tokens, bits).alias("flags")).select("doc_id", "text_hash", "w", spots.alias("spots"))
     none = F.array().cast("array<string>")
     whole = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("token"), none.alias("before"), none.alias("after"))
     around = F.transform(
@@ -87,21 +91,16 @@ def _hits(docs: DataFrame, items: DataFrame, k: int, window: int) -> tuple[DataF
     read = stored(_candidates(docs, tokens, k, window))
     found = read.where("pos >= 0").drop("n_words")
     rarity = found.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = places.join(rarity, "token").groupBy("item_id", "w").agg(F.sort_array(F.collect_list(F.struct("q", "df", "token"))).alias("all"))
-    # the rarest shingle of each window; a window with a shingle that no document has can't occur
+    # the rarest shingle of each window, by one pass over an item's shingles in order; a window can occur only if all are there
     n = F.least(F.size("w"), F.lit(window))
-
-    def rarest(s: Column) -> Column:
-        inside = F.filter("all", lambda x: (x["q"] >= s) & (x["q"] <= s + n - k))
-        least = F.array_min(F.transform(inside, lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token"), x["q"].alias("q"))))
-        return F.when(F.size(inside) == n - k + 1, least)
-
-    prefix = ranked.select("item_id", "w", n.alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), rarest))).alias("a")).where("a is not null")
-    q = F.col("a.q")
+    inside = Window.partitionBy("item_id", "w").orderBy("q").rangeBetween(0, window - k)
+    ranked = places.join(rarity, "token").withColumns({"least": F.min(F.struct("df", "token", F.col("q").alias("at"))).over(inside), "there": F.count("*").over(inside)})
+    prefix = ranked.where((F.col("there") == n - k + 1) & (F.col("q") <= F.size("w") - n)).select("item_id", "w", n.alias("n"), F.col("least.token").alias("token"), F.col("least.at").alias("q")).distinct()
+    q = F.col("q")
     prefix = prefix.select(
         "item_id",
         "n",
-        F.col("a.token").alias("token"),
+        "token",
         F.reverse(F.slice(w, F.greatest(q - (n - k), F.lit(0)) + 1, F.least(q, n - k))).alias("i_before"),
         F.slice(w, q + 1, n).alias("i_after"),
     )

@@ -10,7 +10,7 @@ from tidegrid.llm.url_filter import host_of
 
 #: Lines end at line breaks and at tags of blocks.
 BREAKS = r"[\r\n]+|(?i:</?(?:p|br|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|table|tr|td|th|title|head|body|html|script|style|meta|form|pre|blockquote)(?:\s[^>]*)?/?>)"
-RATIO, MIN_PAGES = 0.3, 5
+RATIO = 0.3
 #: Up to this size the hosts' lists of lines are broadcast; larger ones are joined, each host dealt over SALTS parts.
 BROADCAST_BYTES, SALTS = 8 << 20, 16
 
@@ -21,13 +21,13 @@ def lines_of(html: str, breaks: str = BREAKS) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(lined: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """lined (host, lines) -> host, hashes of lines on more than ratio of its pages.
+def boilerplate(lined: DataFrame, ratio: float) -> DataFrame:
+    """lined (host, lines) -> host, hashes of lines on more than ratio of its pages and on two at least.
 
     A host has fewer such lines than its pages have lines on average, divided by ratio: the arrays
     stay short however many pages there are.
     """
-    total = lined.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    total = lined.groupBy("host").agg(F.count("*").alias("pages")).where("pages > 1")
     # the outer form: for the inner one Spark would infer a filter that splits each page twice
     held = lined.select("host", F.explode_outer(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     often = held.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1").join(total, "host").where(F.col("n") > F.col("pages") * ratio)
@@ -45,16 +45,16 @@ def _with_lists(lined: DataFrame, often: DataFrame) -> DataFrame:
     return dealt.join(every, ["host", "salt"], "left").drop("salt")
 
 
-def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, breaks: str = BREAKS) -> DataFrame:
+def without_boilerplate(pages: DataFrame, ratio: float = RATIO, breaks: str = BREAKS) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, n_lines, n_dropped, text.
 
-    A line goes from every page of a host if it is on more than `ratio` of the host's pages. A page
-    counts a line once. Hosts of fewer than min_pages pages, and pages without host (null url or none with
+    A line goes from every page of a host if it is on more than `ratio` of the host's pages and on two of them
+    at least. A page counts a line once. Hosts of one page, and pages without host (null url or none with
     '://'), keep all lines. text joins what is kept by line breaks; a null or empty html has no lines and the
     empty text. Repeated rows count as pages each; an empty table gives no rows. Other columns are ignored.
     """
     lined = pages.select("page_id", F.coalesce(host_of("url"), F.lit("")).alias("host"), lines_of("html", breaks).alias("lines"))
-    often = boilerplate(lined.where("host <> ''").select("host", "lines"), ratio, min_pages)
+    often = boilerplate(lined.where("host <> ''").select("host", "lines"), ratio)
     out = _with_lists(lined, often)
     kept = F.when(F.col("often").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("often", F.xxhash64(x))))
     out = out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))

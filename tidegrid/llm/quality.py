@@ -61,13 +61,12 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     inside = k > 0
     start = inside.copy()
     start[1:] &= ~inside[:-1] | (o[1:] != o[:-1])
-    word = np.cumsum(start)
-    code = np.zeros(int(word[-1]) + 1 if len(word) else 1, np.uint64)
-    place = np.arange(len(k)) - np.concatenate([[0], np.flatnonzero(start)])[word] if len(word) else np.zeros(0, np.int64)
-    near = inside & (place < 8)
-    np.add.at(code, word[near], (k[near].astype(np.uint64) + np.uint64(1)) << (np.uint64(3) * place[near].astype(np.uint64)))
-    shape = (words.mixed(code[1:]) >> np.uint64(58)).astype(np.int64)
-    at = o[start]
+    k, o = k[inside], o[inside]
+    heads = np.flatnonzero(start[inside])
+    place = np.arange(len(k)) - np.repeat(heads, np.diff([*heads, len(k)]))
+    code = np.add.reduceat(words.mixed((place.astype(np.uint64) << np.uint64(3)) + k.astype(np.uint64)), heads) if len(heads) else np.zeros(0, np.uint64)
+    shape = (words.mixed(code) >> np.uint64(58)).astype(np.int64)
+    at = o[heads]
     shapes = np.bincount(at * _SHAPES + shape, minlength=_SHAPES * n).reshape(n, _SHAPES) / np.maximum(np.bincount(at, minlength=n), 1)[:, None]
     own = distinct(doc, h) / w
     plain = [np.log1p(count), np.log1p(size), size / w, own, own * np.log1p(count), distinct(d3, s3) / n3, np.log1p(w / lines), count == 0]
@@ -137,7 +136,7 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """A model of labels (doc_id, quality) from documents whose crc32 of doc_id is not 0 modulo folds.
 
     MAX_LABELLED documents at most are fitted, the first by a hash of doc_id. A doc_id with both
-    labels, or none, teaches nothing.
+    labels, or none, teaches nothing; of several documents of one doc_id the one of the least features does.
     """
     spark = docs.sparkSession
     sure = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")
@@ -145,7 +144,8 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     label = {r[0]: r[1] for r in kept.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()}
     wanted = spark.sparkContext.broadcast(sorted(label))
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_sampled, wanted=wanted), "doc_id long, x array<double>")
-    rows = sorted((r[0], tuple(r[1])) for r in found.collect())  # as many as labels were chosen
+    # as many rows as labels were chosen: of rows that share a doc_id one teaches
+    rows = sorted((r[0], tuple(r[1])) for r in found.groupBy("doc_id").agg(F.min("x").alias("x")).collect())
     width = _features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     return fit(np.array([x for _, x in rows], np.float64).reshape(-1, width), np.array([label[i] for i, _ in rows]))
 

@@ -98,7 +98,7 @@ _HOST = _lower(f"regexp_extract({_URL_REST}, '^[^/?#]*', 0)")
 OP6 = f"""
 WITH l AS (SELECT page_id, coalesce({_HOST}, '') AS host,
   list_filter(list_transform(string_split_regex(coalesce(html, ''), {_quoted(line_dedup.BREAKS)}), lambda x: trim(x)), lambda x: x <> '') AS lines FROM pages),
-t AS (SELECT host, count(*) AS pages FROM l WHERE host <> '' GROUP BY host HAVING count(*) >= {line_dedup.MIN_PAGES}),
+t AS (SELECT host, count(*) AS pages FROM l WHERE host <> '' GROUP BY host),
 o AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l WHERE host <> '') GROUP BY host, line),
 b AS (SELECT o.host, list(o.line) AS often FROM o JOIN t ON o.host = t.host WHERE o.n > 1 AND o.n > t.pages * {line_dedup.RATIO} GROUP BY o.host),
 k AS (SELECT l.*, CASE WHEN b.often IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(b.often, x)) END AS kept FROM l LEFT JOIN b ON l.host = b.host)

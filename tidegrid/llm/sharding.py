@@ -114,8 +114,13 @@ def rebalanced(old: SlotMap, loads: list[Load], n_shards: int) -> SlotMap:
 
     for key in sorted(size.keys() - shard.keys(), key=lambda k: (-size[k], k)):
         put(key, lightest())
-    mean = sum(held) / n_shards
-    uneven = max(held) > mean * (1 + SLACK) or min(held) < mean * (1 - SLACK)
+    left, n = sum(held), n_shards
+    for b in sorted(size.values(), reverse=True):  # a part above the mean has a shard to itself: the others share the rest
+        if n == 1 or b <= left / n:
+            break
+        left, n = left - b, n - 1
+    mean = left / n
+    uneven = min(held) < mean * (1 - SLACK) or sum(h > mean * (1 + SLACK) for h in held) > n_shards - n
     for s in sorted(range(old.n_shards), key=lambda x: (-held[x], x)):
         for key in sorted(own[s], key=lambda k: (-size.get(k, 0), k)):
             b, to = size.get(key, 0), lightest()
