@@ -1,11 +1,13 @@
 """Personal data by boosting over candidate spans; DataFrame operations only.
 
 Generators of high recall propose spans (which may overlap), each with features of its format and
-context. Strict validity labels the candidates of the base patterns. All of these, in all documents, are counted
-by their features, a table of fixed size; boosted trees are fitted to these counts on the driver and become
-Column expressions. Scores are calibrated on the same counts by isotonic regression, and a kind's threshold is the
-least score that is right in PRECISION of the cases. Strictly valid (base) spans always stay; others, those of the
-further generators (which no rule labels, judged by the same features) included, join them from the threshold on.
+context and with a label from a view that the features leave out: checksums and ranges for cards, addresses,
+phones and account numbers; words in front of it (a key such as token =, or mail, phone) for generators that
+no checksum covers. All candidates of all documents are counted by their features, a table of fixed size; boosted
+trees are fitted to these counts on the driver and become Column expressions. Scores are calibrated on the same
+counts by isotonic regression, and a generator's threshold is the least score that is right in PRECISION of the
+cases. Spans that pass a strict rule always stay; others join them from the threshold on, so a value without the
+key that others of its format have is found, and a long word is not.
 """
 
 from __future__ import annotations
@@ -13,23 +15,29 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import stored
 
-KINDS = ("email", "ip", "card", "phone")
+#: The first four have base patterns, whose spans are counted.
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
+BASE_KINDS = 4
 # The base patterns, written so that no run of characters is scanned from each of its positions.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# Further generators: addresses spelt to escape a scan, and national numbers.
-SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++"
+# Further generators: addresses spelt to escape a scan, national numbers, account numbers, and runs that may be keys.
+SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++"
 NATIONAL = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+KEY = r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|credential)s?[\x20\x22']*[:=][\x20\x22']*$"
 CUE = r"(?i)mail|contact|write|phone|tel|call|fax|mobile|\bip\b|addr|host|server|card|visa|account|pay"
 PRECISION, TREES, RATE = 0.95, 30, 0.3
-FEATURES = ("kind", "before", "after", "cue", "digits", "marks", "groups")
+FEATURES = ("kind", "form", "before", "after", "cue", "digits", "marks", "groups", "letters")
 _OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 
@@ -44,7 +52,21 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
+def _mod97(value: Column) -> Column:
+    """The remainder of an account number read with its first four places last and letters as numbers."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4)))
+
+    def add(total: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(turned, i, F.lit(1)))
+        return F.when(code >= 65, (total * 100 + code - 55) % 97).otherwise((total * 10 + code - 48) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add)
+
+
 def _valid(kind: str, value: Column, digits: Column) -> Column:
+    if kind == "iban":
+        return _mod97(value) == 1
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
@@ -58,7 +80,13 @@ def _char(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
 
 
-def _spans(found: str, gaps: str, kind: str, form: int) -> Column:
+def _letters(value: Column) -> Column:
+    """Which characters a run holds: the cases of a value that reads like a word are the low ones."""
+    low, up, digit = value.rlike("[a-z]"), value.rlike("[A-Z]"), value.rlike("[0-9]")
+    return F.when(~digit, F.when(low & up, 1).otherwise(0)).when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), 2).when(low & up, 3).otherwise(4)
+
+
+def _spans(found: str, gaps: str, kind: str, form: int, view: str) -> Column:
     """Spans of one generator from its matches and the texts between them."""
     m, g = F.col(found), F.col(gaps)
 
@@ -68,34 +96,40 @@ def _spans(found: str, gaps: str, kind: str, form: int) -> Column:
         end = start + F.length(value)
         digits = F.regexp_replace(value, "[^0-9]", "")
         n = F.length(digits)
+        cue = gap["tail"].rlike(KEY if kind == "secret" else CUE)
+        sure = _valid(kind, value, digits) if view == "rule" else F.lit(False)
         span = F.struct(
             start.alias("start"),
             end.alias("end"),
-            (F.lit(form == 0) & _valid(kind, value, digits)).alias("base"),
+            sure.alias("sure"),
+            (sure if view == "rule" else cue).alias("label"),
             F.lit(KINDS.index(kind)).alias("kind"),
             F.lit(form).alias("form"),
             _char(F.right(gap["tail"], F.lit(1))).alias("before"),
             _char(after["head"]).alias("after"),
-            gap["tail"].rlike(CUE).cast("int").alias("cue"),
+            (cue.cast("int") if view == "rule" else F.lit(0)).alias("cue"),
             F.when(n == 0, 0).when(n < 9, 1).when(n < 13, 2).when(n < 17, 3).when(n < 20, 4).otherwise(5).alias("digits"),
             F.least(F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")), F.lit(4)).alias("marks"),
             value.rlike(r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1").cast("int").alias("groups"),
+            (_letters(value) if kind == "secret" else F.lit(0)).alias("letters"),
         )
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    empty = "array<struct<start:int,end:int,base:boolean,kind:int,form:int,before:int,after:int,cue:int,digits:int,marks:int,groups:int>>"
+    empty = "array<struct<start:int,end:int,sure:boolean,label:boolean,kind:int,form:int,before:int,after:int,cue:int,digits:int,marks:int,groups:int,letters:int>>"
     first = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out"))
     return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), first, add)["out"]).otherwise(first["out"])
 
 
-#: kind, form, pattern, and what a text must contain to be searched
-_GENERATORS: tuple[tuple[str, int, str, Callable[[Column], Column]], ...] = (
-    ("email", 0, EMAIL, lambda t: t.contains("@")),
-    ("email", 1, SPELT, lambda t: t.contains("at]") | t.contains("at)")),
-    ("ip", 0, IP, lambda t: t.rlike(r"[0-9]\.[0-9]")),
-    ("card", 0, CARD, lambda t: t.rlike("[0-9]")),
-    ("phone", 0, PHONE, lambda t: t.contains("+")),
-    ("phone", 1, NATIONAL, lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}")),
+#: kind, form, pattern, where labels come from, and what a text must contain to be searched
+_GENERATORS: tuple[tuple[str, int, str, str, Callable[[Column], Column]], ...] = (
+    ("email", 0, EMAIL, "rule", lambda t: t.contains("@")),
+    ("email", 1, SPELT, "cue", lambda t: t.contains("at]") | t.contains("at)")),
+    ("ip", 0, IP, "rule", lambda t: t.rlike(r"[0-9]\.[0-9]")),
+    ("card", 0, CARD, "rule", lambda t: t.rlike("[0-9]")),
+    ("phone", 0, PHONE, "rule", lambda t: t.contains("+")),
+    ("phone", 1, NATIONAL, "cue", lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}")),
+    ("iban", 0, IBAN, "rule", lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
+    ("secret", 0, SECRET, "cue", lambda t: t.rlike("[A-Za-z0-9+/_-]{20}")),
 )
 
 
@@ -103,12 +137,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, spans: an array of all generators' spans with their features."""
     text = F.col("t")
     cols = []
-    for i, (_, _, pattern, needs) in enumerate(_GENERATORS):
+    for i, (_, _, pattern, _, needs) in enumerate(_GENERATORS):
         has = needs(text)
         gap = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(24)).alias("tail"), F.left(p, F.lit(1)).alias("head")))
         cols += [F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"m{i}"), F.when(has, gap).alias(f"g{i}")]
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", *cols)
-    return read.select("doc_id", F.concat(*(_spans(f"m{i}", f"g{i}", kind, form) for i, (kind, form, _, _) in enumerate(_GENERATORS))).alias("spans"))
+    return read.select("doc_id", F.concat(*(_spans(f"m{i}", f"g{i}", kind, form, view) for i, (kind, form, _, view, _) in enumerate(_GENERATORS))).alias("spans"))
 
 
 # Boosting over counted patterns ------------------------------------------------------------------
@@ -117,46 +151,38 @@ Split = tuple[int, int]  # feature, value
 Tree = tuple[Split, Sequence[tuple[Split, float, float]]]  # root, then for yes and no: a split and its two leaves
 
 
-def _sums(rows: Sequence[tuple], grad: Sequence[float], hess: Sequence[float], keep: Sequence[int], split: Split) -> tuple[float, float, float, float]:
-    f, v = split
-    out = [0.0] * 4
-    for i in keep:
-        at = 0 if rows[i][f] == v else 2
-        out[at] += grad[i]
-        out[at + 1] += hess[i]
-    return tuple(out)
-
-
-def _best(rows, grad, hess, keep, splits) -> tuple[Split, float, float]:
-    def gain(s: Split) -> float:
-        g1, h1, g2, h2 = _sums(rows, grad, hess, keep, s)
-        return g1 * g1 / (h1 + 1) + g2 * g2 / (h2 + 1)
-
-    best = max(splits, key=lambda s: (gain(s), s))
-    g1, h1, g2, h2 = _sums(rows, grad, hess, keep, best)
-    return best, RATE * g1 / (h1 + 1), RATE * g2 / (h2 + 1)
+def _best(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, splits: Sequence[Split]) -> tuple[Split, float, float]:
+    """The split of the largest gain, and the two leaves' values; x has a column for each split: whether a row goes left."""
+    g1, h1 = grad @ x, hess @ x
+    g2, h2 = grad.sum() - g1, hess.sum() - h1
+    i = int(np.argmax(np.round(g1 * g1 / (h1 + 1) + g2 * g2 / (h2 + 1), 9)))
+    return splits[i], float(RATE * g1[i] / (h1[i] + 1)), float(RATE * g2[i] / (h2[i] + 1))
 
 
 def boosted(rows: Sequence[tuple[tuple[int, ...], int, int]]) -> list[Tree]:
     """Trees of depth two for (features, cases, right ones), by Newton steps on the logistic loss.
 
-    Cases of a pattern count at most a thousand, so that no frequent pattern drowns the others.
+    A pattern weighs by the root of its share of its kind's cases: sizes of tables don't matter, and no frequent
+    pattern drowns the others.
     """
-    x = [r[0] for r in rows]
-    weight = [min(r[1], 1000) for r in rows]
-    rate = [r[2] / r[1] for r in rows]
-    splits = sorted({(f, v) for row in x for f, v in enumerate(row)})
-    score, trees = [0.0] * len(x), []
-    for _ in range(TREES if len(splits) > len(FEATURES) else 0):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        grad = [w * (y - q) for w, y, q in zip(weight, rate, p, strict=True)]
-        hess = [w * q * (1 - q) for w, q in zip(weight, p, strict=True)]
-        every = range(len(x))
-        root, _, _ = _best(x, grad, hess, every, splits)
-        sides = [[i for i in every if (x[i][root[0]] == root[1]) == yes] for yes in (True, False)]
-        tree = (root, [_best(x, grad, hess, side, splits) for side in sides])
+    kinds: dict[int, int] = {}
+    for features, n, _ in rows:
+        kinds[features[0]] = kinds.get(features[0], 0) + n
+    weight = np.array([100 * math.sqrt(n / kinds[features[0]]) for features, n, _ in rows])
+    rate = np.array([good / n for _, n, good in rows])
+    splits = sorted({(f, v) for row, _, _ in rows for f, v in enumerate(row)})
+    if len(splits) <= len(FEATURES):
+        return []
+    x = np.array([[row[f] == v for f, v in splits] for row, _, _ in rows], float)
+    score, trees = np.zeros(len(rows)), []
+    for _ in range(TREES):
+        p = 1 / (1 + np.exp(-score))
+        grad, hess = weight * (rate - p), weight * p * (1 - p)
+        root, _, _ = _best(x, grad, hess, splits)
+        left = x[:, splits.index(root)] == 1
+        tree = (root, [_best(x[side], grad[side], hess[side], splits) for side in (left, ~left)])
         trees.append(tree)
-        score = [s + leaf(tree, row) for s, row in zip(score, x, strict=True)]
+        score = score + np.array([leaf(tree, row) for row, _, _ in rows])
     return trees
 
 
@@ -166,15 +192,15 @@ def leaf(tree: Tree, row: Sequence[int]) -> float:
     return yes if row[f2] == v2 else no
 
 
-def thresholds(rows: Sequence[tuple[tuple[int, ...], int, int]], trees: Sequence[Tree]) -> list[float]:
-    """For each kind the least score from which on PRECISION of the cases are right; infinite if none is.
+def thresholds(rows: Sequence[tuple[tuple[int, ...], int, int]], trees: Sequence[Tree]) -> dict[tuple[int, int], float]:
+    """For each generator (kind, form) the least score from which on PRECISION of the cases are right; infinite if none is.
 
     Rates may not rise as scores fall: scores that break this are pooled, and a pool's rate is smoothed.
     """
-    out = []
-    for kind in range(len(KINDS)):
+    out = {}
+    for maker in sorted({x[:2] for x, _, _ in rows}):
         pools: list[tuple[float, int, int]] = []
-        for score, n, good in sorted(((sum(leaf(t, x) for t in trees), n, good) for x, n, good in rows if x[0] == kind), reverse=True):
+        for score, n, good in sorted(((sum(leaf(t, x) for t in trees), n, good) for x, n, good in rows if x[:2] == maker), reverse=True):
             while pools and (pools[-1][0] == score or good * pools[-1][1] >= pools[-1][2] * n):
                 _, n2, good2 = pools.pop()
                 n, good = n + n2, good + good2
@@ -184,7 +210,7 @@ def thresholds(rows: Sequence[tuple[tuple[int, ...], int, int]], trees: Sequence
             if (good + 1) / (n + 2) < PRECISION:
                 break
             least = score
-        out.append(least)
+        out[maker] = least
     return out
 
 
@@ -209,31 +235,33 @@ def _joined(spans: Column) -> Column:
 def find_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, base, chosen: arrays of strictly valid spans, and of all that are to be redacted.
 
-    A span has kind (its place in KINDS), start and end in code points. A chosen span that is not
-    valid overlaps no valid one of its kind.
+    A span has kind (its place in KINDS), start and end in code points; base ones are of the first kinds. A chosen
+    span that no rule makes sure overlaps no sure one of its kind.
     """
     found = stored(candidates(docs))
-    counts = found.select(F.explode("spans").alias("s")).where("s.form = 0").groupBy(*(F.col(f"s.{f}").alias(f) for f in FEATURES)).agg(F.count("*").alias("n"), F.count_if(F.col("s.base")).alias("good"))
+    counts = found.select(F.explode("spans").alias("s")).groupBy(*(F.col(f"s.{f}").alias(f) for f in FEATURES)).agg(F.count("*").alias("n"), F.count_if(F.col("s.label")).alias("good"))
     # one row for each combination of features: at most the product of their few values
     rows = sorted(((tuple(r[f] for f in FEATURES), r["n"], r["good"]) for r in counts.collect()))
     trees = boosted(rows)
     least = thresholds(rows, trees)
-    base = F.filter("spans", lambda s: s["base"])
+    sure = F.filter("spans", lambda s: s["sure"])
 
     def added(s: Column) -> Column:
         score, bar = _scored(s, trees), F.lit(math.inf)
-        for kind, value in enumerate(least):
-            bar = F.when(s["kind"] == kind, F.lit(value - 1e-9)).otherwise(bar)
-        met = F.exists("base", lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~s["base"] & (score >= bar) & ~met
+        for (kind, form), value in least.items():
+            if value < math.inf:
+                bar = F.when((s["kind"] == kind) & (s["form"] == form), F.lit(value - 1e-9)).otherwise(bar)
+        met = F.exists("sure", lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return ~s["sure"] & (score >= bar) & ~met
 
-    return found.select("doc_id", base.alias("base"), "spans").select("doc_id", "base", F.concat("base", F.filter("spans", added)).alias("chosen"))
+    base = F.filter("sure", lambda s: s["kind"] < BASE_KINDS)
+    return found.select("doc_id", sure.alias("sure"), "spans").select("doc_id", base.alias("base"), F.concat("sure", F.filter("spans", added)).alias("chosen"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret for each row of docs (doc_id, text).
 
-    Counts and digest are of base spans; spans lists the chosen ones too. Null and empty texts have none
+    Counts and digest are of base spans; spans lists the chosen ones too, n_secret counts those of keys. Null and empty texts have none
     (the digest is of the empty string). Repeated rows get equal results, a null doc_id stays, other columns
     are ignored, an empty table gives no rows.
     """
@@ -242,5 +270,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("chosen")).alias("spans"))
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:BASE_KINDS])]
+    secrets = F.size(F.filter("chosen", lambda s: s["kind"] == KINDS.index("secret"))).cast("long")
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("chosen")).alias("spans"), secrets.alias("n_secret"))

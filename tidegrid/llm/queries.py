@@ -76,21 +76,24 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM s JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = s.doc_id
 """
 
-_NORMAL = "trim(regexp_replace(lower(trim(x)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+_NORMAL = "' ' || regexp_replace(lower(trim(x)), '[^\\p{L}\\p{N}]+', '  ', 'g') || ' '"
 for _a, _b in licenses.SPELLINGS:
-    _NORMAL = f"replace({_NORMAL}, {_quoted(_a)}, {_quoted(_b)})"
-_COPY = licenses.COPYRIGHT.replace("(?:portions )?", "(?:portions )?")
-_LINES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: CASE WHEN regexp_matches(lower(trim(x)), {_quoted(_COPY)}) THEN '' ELSE {_NORMAL} END), lambda y: y <> '')"
+    _NORMAL = f"replace({_NORMAL}, {_quoted(f' {_a.replace(' ', '  ')} ')}, {_quoted(f' {_b} ')})"
+_LINES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: CASE WHEN regexp_matches(lower(trim(x)), {_quoted(licenses.COPYRIGHT)}) THEN '' ELSE trim(regexp_replace({_NORMAL}, ' +', ' ', 'g')) END), lambda y: y <> '')"
+_LONG = "".join(f" UNION ALL SELECT {_quoted(n)}, {_quoted(f)}, {w}, {_quoted(d)}" for n, f, w, d in licenses.KNOWN_DIGESTS)
 OP5 = f"""
-WITH k AS (SELECT DISTINCT license, sha256(array_to_string({_LINES}, ' ')) AS digest FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}) v(license, text)),
+WITH t AS (SELECT license, array_to_string({_LINES}, ' ') AS t FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}) v(license, text)),
+k AS (SELECT DISTINCT license, string_split(t, ' ')[1] AS first, len(string_split(t, ' ')) AS n, sha256(t) AS digest FROM t WHERE t <> ''{_LONG}),
 d AS (SELECT doc_id, {_LINES} AS l FROM documents),
-u AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS whole, list_transform(l, lambda x: sha256(x)) AS units, len(l) AS n FROM d),
-f AS (SELECT doc_id, unnest(list_distinct(list_append(units, whole))) AS digest, whole FROM u),
-h AS (SELECT f.doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses,
-  coalesce(array_to_string(list_sort(list_distinct(list(license) FILTER (WHERE f.digest = f.whole))), ','), '') AS whole_license
-  FROM f JOIN k ON f.digest = k.digest GROUP BY f.doc_id)
-SELECT u.doc_id, CAST(u.n AS BIGINT) AS n_lines, u.whole AS text_digest, coalesce(h.whole_license, '') AS whole_license, coalesce(h.licenses, '') AS licenses
-FROM u LEFT JOIN h ON h.doc_id = u.doc_id
+s AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS whole, l, len(l) AS n FROM d),
+p AS (SELECT doc_id, whole, l, unnest(range(1, n + 1)) AS i FROM s),
+q AS (SELECT p.doc_id, p.whole, string_split(array_to_string(p.l[p.i:], ' '), ' ') AS w, list_transform(p.l[p.i:], lambda x: len(string_split(x, ' '))) AS sizes, string_split(p.l[p.i], ' ')[1] AS first FROM p),
+c AS (SELECT q.doc_id, q.whole, k.license, k.digest, q.w, k.n, sizes FROM q JOIN k ON k.first = q.first WHERE len(q.w) >= k.n),
+h AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses,
+  coalesce(array_to_string(list_sort(list_distinct(list(license) FILTER (WHERE digest = whole))), ','), '') AS whole_license
+  FROM c WHERE sha256(array_to_string(w[1:n], ' ')) = digest AND list_contains(list_transform(range(1, len(sizes) + 1), lambda j: list_sum(sizes[1:j])), n) GROUP BY doc_id)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_lines, s.whole AS text_digest, coalesce(h.whole_license, '') AS whole_license, coalesce(h.licenses, '') AS licenses
+FROM s LEFT JOIN h ON h.doc_id = s.doc_id
 """
 
 _URL_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
@@ -105,6 +108,32 @@ k AS (SELECT l.*, CASE WHEN b.often IS NULL THEN lines ELSE list_filter(lines, l
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM k
 """
 
+_PATH = f"regexp_extract({_URL_REST}, '^[^/?#]*([^?#]*)', 1)"
+_FITS = [(v, r, f"(host = {_quoted(r.partition('/')[0])} OR ends_with(host, {_quoted('.' + r.partition('/')[0])}))", f"starts_with(path, {_quoted('/' + r.partition('/')[2])})") for v, r in sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[1]))]
+_PLAIN = "(len(parts) < 2 OR regexp_matches(name, '^[0-9.]+$') OR ends_with(name, '.') OR starts_with(name, '['))"
+_SUFFIXED = f"len(parts) > 2 AND parts[-2] || '.' || parts[-1] IN ({', '.join(map(_quoted, url_filter.SUFFIXES))})"
+
+
+def _strength(groups: str) -> str:
+    return f"(SELECT coalesce(greatest(1.0e0, least(1000.0e0, CASE WHEN v - p * (1 - p) * i > 1e-9 THEN p * (1 - p) / (v - p * (1 - p) * i) - 1 ELSE 1000.0e0 END)), 1000.0e0) FROM (SELECT sum(bad) / sum(n) AS p, var_samp(bad / n) AS v, avg(1 / n) AS i FROM {groups} WHERE n > 0))"
+
+
+OP10 = f"""
+WITH u AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages),
+r AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, CASE {" ".join(f"WHEN {h} AND {p} THEN {_quoted(r)}" for _, r, h, p in _FITS)} END AS rule,
+  CASE {" ".join(f"WHEN {h} AND {p} THEN {_quoted(v)}" for v, _, h, p in _FITS)} END AS said, {" OR ".join(h for _, _, h, _ in _FITS)} AS reviewed FROM u),
+h AS (SELECT name, string_split(name, '.') AS parts, CAST(count(*) FILTER (WHERE reviewed) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE reviewed AND said = 'block') AS DOUBLE) AS bad FROM r GROUP BY name),
+g AS (SELECT name, n, bad, CASE WHEN {_PLAIN} THEN name WHEN {_SUFFIXED} THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+  CASE WHEN {_PLAIN} THEN name WHEN {_SUFFIXED} THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM h),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM g GROUP BY domain, suffix), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+m AS (SELECT {_strength("s")} AS ms, {_strength("d")} AS md, {_strength("g")} AS mh, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM s) AS p),
+a AS (SELECT suffix, (ms * p + bad) / (ms + n) AS x FROM s, m), b AS (SELECT domain, d.suffix, (md * a.x + bad) / (md + n) AS x FROM d JOIN a ON a.suffix = d.suffix, m),
+c AS (SELECT g.name, (mh * b.x + bad) / (mh + n) AS rate, mh + n AS w FROM g JOIN b ON b.domain = g.domain AND b.suffix = g.suffix, m),
+f AS (SELECT name, rate, rate - {url_filter.Z} * sqrt(rate * (1 - rate) / (w + 1)) AS bound FROM c)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound > {url_filter.MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS bad_rate, round(bound, 6) AS bound
+FROM r JOIN f ON f.name = r.name
+"""
+
 _OP7_WORDS = rf"regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP7 = f"""
 WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_OP7_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -131,4 +160,4 @@ SELECT * FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2, "op5_licenses": OP5, "op6_line_dedup": OP6, "op7_decontamination": OP7, "op8_top_k": OP8}
+    return {"op2_jaccard_join": OP2, "op5_licenses": OP5, "op6_line_dedup": OP6, "op7_decontamination": OP7, "op8_top_k": OP8, "op10_url_filter": OP10}
