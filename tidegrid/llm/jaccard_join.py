@@ -129,9 +129,12 @@ def _linked(cells: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << CANDIDATE_BITS))
     flags = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), CANDIDATE_BITS))
     found = docs.select("doc_id", "text", hashed.alias("spot")).mapInArrow(partial(_candidate_blocks, k=k, flags=flags), "doc_id long, n_shingles long, d1 long, d2 long, block int, shingles array<long>")
-    blocks = found.withColumn("node", _node()).join(ids, ["doc_id", "node"], "left_semi").select("node", "block", "shingles")
-    # of rows that repeat a document one stays: a short aggregate by reference, as few do
-    blocks = stored(blocks.groupBy("node", "block").agg(F.first("shingles").alias("shingles")))
+    blocks = stored(found.withColumn("node", _node()).join(ids, ["doc_id", "node"], "left_semi").select("node", "block", "shingles"))
+    # of rows that repeat a document one stays; few do, as a rule, and the others' sets needn't be dealt out for it
+    often = stored(blocks.groupBy("node", "block").agg(F.count("*").alias("n")).where("n > 1").select("node", "block"))
+    if often.take(1):
+        once = blocks.join(often, ["node", "block"], "left_semi").groupBy("node", "block").agg(F.min("shingles").alias("shingles"))
+        blocks = stored(blocks.join(often, ["node", "block"], "left_anti").unionByName(once))
     parts = _meet(cells, blocks, "shingles", "block").select("a", "an", "b", "bn", F.size(F.array_intersect("av", "bv")).alias("overlap"))
     both = parts.groupBy("a", "an", "b", "bn").agg(F.sum("overlap").alias("overlap"))
     return both.where(F.col("overlap") * 100 >= percent * (F.col("an") + F.col("bn") - F.col("overlap"))).select("a", "b", "overlap")
