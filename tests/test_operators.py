@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidegrid.functions import expressions as ex
-from tidegrid.operators import clean, ordering, profile, recipe
+from tidegrid.operators import clean, diagnose, gate, ordering, profile, recipe
+from tidegrid.operators.quantiles import quantiles
 from tidegrid.sources import readers
 from tidegrid.spec import SeriesSpec
 
@@ -58,7 +60,10 @@ def test_rolling_does_not_depend_on_blocks(series, window, size):
 def test_runs_lags_and_gaps(series):
     df, p = series
     runs = p.v.isna().astype(int).groupby(p.v.notna().cumsum()).sum()
-    assert ordering.longest_null_run(df, "v", SPEC).first()[0] == runs.max()
+    found = {r.col: r.max_run for r in ordering.null_runs(df, ["v", "s"], SPEC).collect()}
+    assert found == {"v": runs.max(), "s": 0}
+    panel = {r.s: r.max_run for r in ordering.null_runs(df, ["v"], PANEL).collect()}
+    assert panel == {s: g.v.isna().astype(int).groupby(g.v.notna().cumsum()).sum().max() for s, g in p.groupby("s")}
     np.testing.assert_array_equal(result(ordering.lagged(df, F.col("v"), SPEC, "l"), "l"), p.v.shift())
     assert ordering.gaps(df, SPEC, 3600).first()[0] == (p.ts.diff() > pd.Timedelta(hours=1)).sum()
 
@@ -84,6 +89,91 @@ def test_clip_keeps_nulls(spark):
     assert [r[0] for r in df.select(ex.clip(F.col("x"), F.lit(2.0), F.lit(3.0))).collect()] == [None, 2.0, 3.0]
 
 
+def test_quantiles_by_bounds(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=20_000), np.where(rng.random(20_000) < 0.6, 0.0, rng.integers(0, 50, 20_000))
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b}))
+    values = {"a": F.col("a"), "b": F.col("b"), "none": F.lit(None).cast("double")}
+    shares = [0.0, 0.015, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for most in (1 << 20, 200):
+        found = quantiles(df, values, shares, most)
+        assert found["none"] is None
+        np.testing.assert_allclose(found["a"], np.quantile(a, shares))
+        np.testing.assert_allclose(found["b"], np.quantile(b, shares))
+
+
+def test_plan_does_not_grow_with_columns(spark):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), *(None if (i + k) % 3 else float(i) for k in range(8))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, " + ", ".join(f"v{k} double" for k in range(8)))
+
+    def scans(n):
+        steps = spark.createDataFrame([(f"v{k}", "interpolate", "keep", "none", "keep") for k in range(n)], recipe_schema)
+        out = clean.apply_recipe(df, steps, SPEC, 24)
+        return out._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+
+    recipe_schema = "col string, missing_strategy string, outlier_strategy string, type_fix string, action string"
+    began = time.time()
+    assert scans(1) == scans(8) and time.time() - began < 60
+
+
+def test_rows_without_stamp_stay(spark):
+    rows = [(i, None if i % 4 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), None if i in (5, 6) else float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, v double")
+    steps = spark.createDataFrame([("v", "interpolate", "keep", "none", "keep")], "col string, missing_strategy string, outlier_strategy string, type_fix string, action string")
+    out = clean.apply_recipe(df, steps, SPEC, 24).collect()
+    assert [r.id for r in out] == [1, 2, 3, 5, 6, 7, 9, 10, 11, 0, 4, 8]
+    assert {r.id: r.v for r in out}[5] == 3 + 4 / 3  # by place: 3, 5, 6, 7
+
+
+def test_order_of_files(spark, tmp_path):
+    stamps = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=h) for h in (0, 1, 1, 5)]
+    for name, order in (("up", stamps), ("down", stamps[::-1])):
+        spark.createDataFrame([(t,) for t in order], "ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        assert gate.monotonic(spark.read.parquet(f"{tmp_path}/{name}"), "ts").first().passed == (name == "up")
+
+
+def test_few_or_odd_values_in_text(spark):
+    df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), "n/a" if i == 3 else str(i)) for i in range(20)], "id long, ts timestamp, x string")
+    assert profile.statistics(df, ["x"]).first().n == 19
+    assert diagnose.outliers_global(df, ["x"]).first().iqr_pct == 0
+    assert diagnose.outliers_temporal(df, ["x"], SPEC, 24).first().temporal_pct is None
+
+
+def test_grid_names():
+    day = 86_400_000_000
+    assert [profile.grid_name(x) for x in (None, day / 24, day, 8.5 * day, 9 * day, 31 * day, 91 * day, 365 * day)] == ["unknown", "hourly", "daily", "weekly", "every_9_days", "monthly", "quarterly", "yearly"]
+
+
+def test_breaks_of_series(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(120)]
+    rows = [("a", d, float(i >= 60) * 50 + i % 3) for i, d in enumerate(days)] + [("b", d, None if i < 3 else 7.0) for i, d in enumerate(days)] + [("c", d, float(i) * 9) for i, d in enumerate(days[:40])]
+    found = diagnose.breaks(spark.createDataFrame(rows, "s string, d date, y double"), "d", "y", series=("s",)).collect()
+    assert [(r.s, r.break_at) for r in found if r.s == "a"] == [("a", days[59])] and not [r for r in found if r.s == "c"]
+
+
+def test_artifacts_on_disk(spark, tmp_path):
+    for run in ("run_1", "run_2"):
+        readers.write_artifact(spark.range(5), str(tmp_path), "raw", run)
+    readers.write_artifact(spark.range(3), str(tmp_path), "cleaned", "run_2")
+    (tmp_path / "raw" / "run_id=broken").mkdir()
+    found = readers.run_listing(readers.written_artifacts(spark, str(tmp_path))).collect()
+    assert [tuple(r) for r in found] == [("run_2", 5, False, True), ("run_1", 5, False, False)]
+
+
+def test_jdbc_relation():
+    assert readers.jdbc_relation("s.t") == "s.t" and readers.jdbc_relation("t", 5) == "(SELECT * FROM t LIMIT 5) AS limited"
+    with pytest.raises(ValueError):
+        readers.jdbc_relation("t; DROP TABLE x")
+
+
+def test_reader_errors(spark, tmp_path):
+    with pytest.raises(ValueError):
+        readers.read_source(spark, "x.xls")
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n2,y\n")
+    df = readers.read_source(spark, f"{tmp_path}/a.csv", 1, ["a"])
+    assert df.dtypes[0] == ("a", "int") and df.count() == 1
+
+
 def test_guard():
     assert readers.guarded("select ';--' -- c\n;") .startswith("select ';--'")
     for bad in ("DROP TABLE x", "SELECT 1; DROP TABLE x", "-- SELECT\nDELETE FROM x"):

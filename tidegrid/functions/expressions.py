@@ -25,7 +25,8 @@ def no_nan(c: Column | str) -> Column:
 
 
 def timestamp(c: Column | str, formats: tuple[str, ...] = FORMATS) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(*(F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in formats))
 
 
 def micros(c: Column | str) -> Column:
@@ -33,7 +34,7 @@ def micros(c: Column | str) -> Column:
 
 
 def boolean(c: Column | str) -> Column:
-    low = F.lower(F.trim((F.col(c) if isinstance(c, str) else c).cast("string")))
+    low = F.lower((F.col(c) if isinstance(c, str) else c).cast("string"))
     return F.when(low.isin("yes", "true", "1"), True).when(low.isin("no", "false", "0"), False)
 
 

@@ -1,120 +1,188 @@
-"""Cleaning transforms, and a recipe applied as one plan."""
+"""Cleaning transforms, and a recipe applied step by step to all columns at once."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import expressions as ex
 from tidegrid.operators import ordering
-from tidegrid.operators.profile import _wide, numeric_columns, sane, statistics
+from tidegrid.operators.profile import _wide, numeric_columns, sane
+from tidegrid.operators.quantiles import quantiles
+from tidegrid.sources.scratch import stored
 from tidegrid.spec import DEFAULT, SeriesSpec
 
+_FENCES = (0.25, 0.75)
 
-def _quantiles(df: DataFrame, column: str, *p: float) -> list[Column]:
-    """Exact quantiles of a column as scalars: computed once, at hand in every task."""
-    found = df.agg(F.percentile(F.col(column).cast("double"), F.array(*(F.lit(x) for x in p))).alias("q")).scalar()
-    return [found[i] for i in range(len(p))]
 
+def _double(c: str) -> Column:
+    return F.col(c).cast("double")
 
-def winsorize(df: DataFrame, column: str) -> DataFrame:
-    low, high = _quantiles(df, column, *DEFAULT.winsor)
-    return df.withColumn(column, ex.clip(F.col(column), low, high))
 
+def _quantiles(df: DataFrame, columns: list[str], *shares: float) -> dict[str, list[float]]:
+    """Quantiles of columns as numbers; nulls are kept as nulls where a column has no values."""
+    found = quantiles(df, {c: ex.no_nan(_double(c)) for c in columns}, shares)
+    return {c: q or [math.nan] * len(shares) for c, q in found.items()}
 
-def _fences(df: DataFrame, column: str) -> tuple[Column, Column]:
-    q1, q3 = _quantiles(df, column, 0.25, 0.75)
-    return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
+def _clipped(c: str, low: float, high: float) -> Column:
+    """Outside values become the bound; without bounds (no values at all) nothing changes."""
+    return F.col(c) if math.isnan(low) else ex.clip(F.col(c), F.lit(low), F.lit(high))
 
-def clip_iqr(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, ex.clip(F.col(column), *_fences(df, column)))
 
+def _wide_fences(q: list[float]) -> tuple[float, float]:
+    q1, q3 = q
+    return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
-def log_transform(df: DataFrame, column: str) -> DataFrame:
-    v = F.col(column)
-    return df.withColumn(column, F.when(v.isNotNull(), F.log1p(F.greatest(v, F.lit(0.0)))))
 
+def winsorize(df: DataFrame, *columns: str) -> DataFrame:
+    q = _quantiles(df, list(columns), *DEFAULT.winsor)
+    return df.withColumns({c: _clipped(c, *q[c]) for c in columns})
 
-def outlier_mask(df: DataFrame, column: str) -> Column:
-    low, high = _fences(df, column)
-    return F.coalesce((F.col(column) < low) | (F.col(column) > high), F.lit(False))
+
+def clip_iqr(df: DataFrame, *columns: str) -> DataFrame:
+    q = _quantiles(df, list(columns), *_FENCES)
+    return df.withColumns({c: _clipped(c, *_wide_fences(q[c])) for c in columns})
 
 
-def rolling_iqr(df: DataFrame, column: str, spec: SeriesSpec, period: int) -> DataFrame:
-    """Clip to centred rolling fences; with fewer values than the window, to global ones."""
-    w, v = max(period, 7), F.col(column).cast("double")
-    few = df.agg(F.count(column) < w).scalar()
-    low, high = _fences(df, column)
-    out = ordering.rolling(df, spec, w, _q1=F.percentile(v, 0.25), _q3=F.percentile(v, 0.75))
-    wide = 1.5 * (F.col("_q3") - F.col("_q1"))
-    local = ex.clip(F.col(column), F.coalesce(F.col("_q1") - wide, F.col(column)), F.coalesce(F.col("_q3") + wide, F.col(column)))
-    return out.withColumn("_few", few).withColumn(column, F.when(F.col("_few"), ex.clip(F.col(column), low, high)).otherwise(local)).drop("_q1", "_q3", "_few")
+def log_transform(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.log1p(F.greatest(F.col(c), F.lit(0.0)))) for c in columns})
 
 
-def seasonal_repair(df: DataFrame, column: str, spec: SeriesSpec, period: int) -> DataFrame:
-    """Values whose residual from trend and season is far off become trend plus season.
+def outlier_masks(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """For each column whether a row is outside its global fences; nulls are not."""
+    q = {c: _wide_fences(x) for c, x in _quantiles(df, columns, *_FENCES).items()}
+    return {c: F.coalesce((F.col(c) < q[c][0]) | (F.col(c) > q[c][1]), F.lit(False)) for c in columns}
 
-    The series is filled both ways first; the trend is a centred mean over an odd window, the season
+
+def outlier_mask(df: DataFrame, column: str) -> Column:
+    return outlier_masks(df, [column])[column]
+
+
+def rolling_iqr(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
+    """Clip to centred rolling fences; a column with fewer values than the window, to global ones."""
+    columns, w = [columns] if isinstance(columns, str) else columns, max(period, 7)
+    count = df.agg(*(F.count(c).alias(c) for c in columns)).first() if columns else {}
+    few = [c for c in columns if count[c] < w]
+    local = [c for c in columns if count[c] >= w]
+    if local:
+        made = {f"_{q}_{c}": F.percentile(ex.no_nan(_double(c)), p) for c in local for q, p in (("q1", 0.25), ("q3", 0.75))}
+        out = ordering.rolling(df, spec, w, **made)
+        fences = {}
+        for c in local:
+            q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
+            fences[c] = ex.clip(F.col(c), F.coalesce(q1 - 1.5 * (q3 - q1), F.col(c)), F.coalesce(q3 + 1.5 * (q3 - q1), F.col(c)))
+        df = out.withColumns(fences).drop(*made)
+    return clip_iqr(df, *few) if few else df
+
+
+def seasonal_repair(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
+    """Values whose residual from trend and season is far off become trend plus season; all columns in one pass.
+
+    A series is filled both ways first; the trend is a centred mean over an odd window, the season
     the mean detrended value by ordinal modulo period. No spread of residuals: nothing changes.
     """
+    columns = [columns] if isinstance(columns, str) else columns
     w = period + 1 if period % 2 == 0 else period
-    df = fill(df, column, spec, "both", "_f")
-    rows = ordering.ordinal(ordering.rolling(df, spec, w, _trend=F.avg("_f")), spec, "_i").withColumn("_phase", F.col("_i") % period)
-    season = rows.groupBy(*spec.series, "_phase").agg(F.avg(F.col("_f") - F.col("_trend")).alias("_season"))
-    rows = rows.join(season, [*spec.series, "_phase"]).withColumn("_r", F.col("_f") - F.col("_trend") - F.col("_season"))
-    median = rows.agg(F.percentile("_r", 0.5)).scalar()
-    mad = rows.withColumn("_m", median).agg(F.percentile(F.abs(F.col("_r") - F.col("_m")), 0.5)).scalar()
-    off = (mad > 0) & (F.abs(F.col("_r") - median) > DEFAULT.residual * mad)
-    return rows.withColumn(column, F.when(off, F.col("_trend") + F.col("_season")).otherwise(F.col(column))).select(*(c for c in df.columns if c != "_f"))
-
-
-def stl_residuals(df: DataFrame, column: str, spec: SeriesSpec, period: int) -> DataFrame:
-    """seasonal_repair(), or rolling_iqr() where there are fewer than two seasons of values: one count decides."""
-    if df.agg(F.count(column)).first()[0] < 2 * period:
-        return rolling_iqr(df, column, spec, period)
-    return seasonal_repair(df, column, spec, period)
+    rows = ordering.ordered(df, spec)
+    rows = _filled(rows, {c: ("both", f"_f_{c}") for c in columns}, spec)
+    rows = ordering.ordinal(ordering.rolling(stored(rows), spec, w, **{f"_t_{c}": F.avg(f"_f_{c}") for c in columns}), spec, "_i")
+    rows = stored(rows.withColumn("_phase", F.col("_i") % period).drop("_i"))
+    season = rows.groupBy(*spec.series, "_phase").agg(*(F.avg(F.col(f"_f_{c}") - F.col(f"_t_{c}")).alias(f"_s_{c}") for c in columns))
+    key = F.struct(*spec.series, "_phase")  # of equal nulls, which a plain join would drop
+    rows = rows.withColumn("_key", key).join(season.select(key.alias("_key"), *(f"_s_{c}" for c in columns)), "_key")
+    residual = {c: F.col(f"_f_{c}") - F.col(f"_t_{c}") - F.col(f"_s_{c}") for c in columns}
+    median = {c: q[0] if q else math.nan for c, q in quantiles(rows, residual, [0.5]).items()}
+    mad = {c: q[0] if q else 0.0 for c, q in quantiles(rows, {c: F.abs(residual[c] - median[c]) for c in columns}, [0.5]).items()}
+    off = {c: F.abs(residual[c] - median[c]) > DEFAULT.residual * mad[c] for c in columns if mad[c] > 0}
+    return rows.withColumns({c: F.when(x, F.col(f"_t_{c}") + F.col(f"_s_{c}")).otherwise(F.col(c)) for c, x in off.items()}).select(*df.columns)
+
+
+def stl_residuals(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
+    """seasonal_repair(), or rolling_iqr() for columns of fewer than two seasons of values: one count decides."""
+    columns = [columns] if isinstance(columns, str) else columns
+    count = df.agg(*(F.count(c).alias(c) for c in columns)).first()
+    long = [c for c in columns if count[c] >= 2 * period]
+    out = seasonal_repair(df, long, spec, period) if long else df
+    short = [c for c in columns if c not in long]
+    return rolling_iqr(out, short, spec, period) if short else out
+
+
+def _filled(df: DataFrame, ways: dict[str, tuple[str, str]], spec: SeriesSpec) -> DataFrame:
+    """Each column filled in its way (forward, backward, both: forward first) under its name, in one pass."""
+    forward = {f"_fwd_{c}": F.col(c) for c, (way, _) in ways.items() if way in ("forward", "both")}
+    backward = {f"_bwd_{c}": F.col(c) for c, (way, _) in ways.items() if way in ("backward", "both")}
+    out = ordering.carried(df, spec, forward, backward)
+    parts = {"forward": ["_fwd_"], "backward": ["_bwd_"], "both": ["_fwd_", "_bwd_"]}
+    return out.withColumns({name: F.coalesce(*(F.col(x + c) for x in parts[way])) for c, (way, name) in ways.items()}).drop(*forward, *backward)
 
 
 def fill(df: DataFrame, column: str, spec: SeriesSpec, way: str, name: str | None = None) -> DataFrame:
     """Fill nulls forward, backward, or both ways (forward first)."""
-    v = F.col(column)
-    if way in ("forward", "both"):
-        df = ordering.carried(df, v, spec, "_fwd")
-    if way in ("backward", "both"):
-        df = ordering.carried(df, v, spec, "_bwd", forward=False)
-    value = {"forward": ["_fwd"], "backward": ["_bwd"], "both": ["_fwd", "_bwd"]}[way]
-    return df.withColumn(name or column, F.coalesce(*value)).drop("_fwd", "_bwd")
+    return _filled(df, {column: (way, name or column)}, spec)
 
 
 def flag_and_fill(df: DataFrame, column: str, spec: SeriesSpec) -> DataFrame:
     return fill(df.withColumn(f"{column}_missing", F.col(column).isNull().cast("int")), column, spec, "forward")
 
 
+def filled_in(df: DataFrame, spec: SeriesSpec, ways: dict[str, str] | None = None, linear: list[str] | None = None, by_time: bool = True) -> DataFrame:
+    """Columns filled in their ways and interpolated, all in one pass over the order.
+
+    Interpolation is linear between neighbours by time, or by position if by_time is false or any row lacks a stamp;
+    leading nulls stay, trailing ones take the last value.
+    """
+    ways, linear = ways or {}, linear or []
+    rows = ordering.ordered(df, spec)
+    if linear and by_time and rows.where(F.col(spec.ts).isNull()).take(1):
+        by_time = False
+    if linear:
+        rows = rows.withColumn("_x", ex.micros(spec.ts)) if by_time else ordering.ordinal(rows, spec, "_x")
+
+    def here(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.col("_x").alias("x"), _double(c).alias("v")))
+
+    forward = {f"_fwd_{c}": F.col(c) for c, way in ways.items() if way in ("forward", "both")} | {f"_a_{c}": here(c) for c in linear}
+    backward = {f"_bwd_{c}": F.col(c) for c, way in ways.items() if way in ("backward", "both")} | {f"_b_{c}": here(c) for c in linear}
+    out = ordering.carried(rows, spec, forward, backward)
+    new = {c: F.coalesce(*(F.col(x + c) for x in ("_fwd_", "_bwd_") if x + c in forward | backward)) for c in ways}
+    for c in linear:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        between = F.when(b.isNull() | (b["x"] == a["x"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("_x") - a["x"]) / (b["x"] - a["x"]))
+        new[c] = F.coalesce(F.col(c), F.when(a.isNotNull(), between))
+    return out.withColumns(new).select(*df.columns)
+
+
 def interpolate(df: DataFrame, column: str, spec: SeriesSpec, by_time: bool = True) -> DataFrame:
-    """Linear between neighbours by time or by position; leading nulls stay, trailing ones take the last value."""
-    if by_time:
-        df = df.withColumn("_x", ex.micros(spec.ts))
-    else:
-        df = ordering.ordinal(df, spec, "_x")
-    here = F.when(F.col(column).isNotNull() & F.col("_x").isNotNull(), F.struct(F.col("_x").alias("x"), F.col(column).cast("double").alias("v")))
-    df = ordering.carried(df, here, spec, "_a")
-    df = ordering.carried(df, here, spec, "_b", forward=False)
-    a, b = F.col("_a"), F.col("_b")
-    between = F.when((b["x"] == a["x"]) | b.isNull(), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("_x") - a["x"]) / (b["x"] - a["x"]))
-    return df.withColumn(column, F.coalesce(F.col(column), F.when(a.isNotNull(), between))).drop("_x", "_a", "_b")
+    """See filled_in()."""
+    return filled_in(df, spec, linear=[column], by_time=by_time)
 
 
-def fill_with(df: DataFrame, column: str, how: str) -> DataFrame:
-    v = F.col(column).cast("double")
-    value = df.agg((F.avg(v) if how == "mean" else F.percentile(v, 0.5)).alias("m")).scalar()
-    return df.withColumn(column, F.coalesce(F.col(column), value))
+def fill_with(df: DataFrame, how: str, *columns: str) -> DataFrame:
+    """Nulls become the column's mean or median."""
+    if how == "mean":
+        row = df.agg(*(F.avg(ex.no_nan(_double(c))).alias(c) for c in columns)).first()
+        value = {c: row[c] for c in columns}
+    else:
+        value = {c: q[0] if q else None for c, q in quantiles(df, {c: ex.no_nan(_double(c)) for c in columns}, [0.5]).items()}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in value.items() if v is not None})
 
 
 def drop_rows(df: DataFrame, masks: list[Column]) -> DataFrame:
+    """One filter of all masks; null is no reason to drop."""
+    gone = F.lit(False)
     for m in masks:
-        df = df.where(~F.coalesce(m, F.lit(False)))
-    return df
+        gone = gone | F.coalesce(m, F.lit(False))
+    return df.where(~gone)
+
+
+def sorted_by_time(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """df in time order. A timestamp stored as text is parsed first, and rows that don't parse go; others stay, without a stamp too."""
+    if dict(df.dtypes)[spec.ts] == "string":
+        df = df.withColumn(spec.ts, ex.timestamp(spec.ts)).where(F.col(spec.ts).isNotNull())
+    return df.orderBy(F.col(spec.ts).asc_nulls_last(), *(c for c in spec.ties if c in df.columns))
 
 
 def snapshot(df: DataFrame) -> DataFrame:
@@ -132,48 +200,47 @@ def report(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def apply_recipe(df: DataFrame, recipe: DataFrame, spec: SeriesSpec, period: int, dedupe: bool = True, sort: bool = True) -> DataFrame:
-    """Drop columns, fix types, treat outliers, fill, drop rows, remove repeats, sort: in this order, one lazy plan.
+    """Drop columns, fix types, treat outliers, fill, drop rows, remove repeats, sort: in this order.
 
-    The recipe has one row per column and is read by the driver to build the plan; data stays where it is.
+    The recipe has one row per column and is read by the driver to build the plans; data stays where it is. Each
+    step handles all its columns at once and starts from a stored table where the one before needed the order.
     """
     steps = {r["col"]: r for r in recipe.collect()}
     # columns that order the series stay until the end
     held = [c for c in steps if steps[c]["action"] == "drop" and c in df.columns]
-    out = df.drop(*(c for c in held if c not in spec.order))
+    out = df.drop(*(c for c in held if c not in [*spec.series, *spec.order]))
     fixes = {"parse_datetime": ex.timestamp, "cast_numeric": ex.number, "encode_boolean": ex.boolean}
-    for c in out.columns:
-        if c in steps and steps[c]["type_fix"] in fixes:
-            out = out.withColumn(c, fixes[steps[c]["type_fix"]](c))
-    masks, numeric = [], set(numeric_columns(out))
-    for c in (c for c in out.columns if c in steps and c in numeric):
-        how = steps[c]["outlier_strategy"]
-        if how == "remove":
-            out = out.withColumn(f"_out_{c}", outlier_mask(out, c))
-            masks.append(F.col(f"_out_{c}"))
-        elif how in ("winsorize", "clip_iqr", "log_transform"):
-            out = {"winsorize": winsorize, "clip_iqr": clip_iqr, "log_transform": log_transform}[how](out, c)
-        elif how in ("rolling_iqr", "stl_residuals"):
-            out = {"rolling_iqr": rolling_iqr, "stl_residuals": stl_residuals}[how](out, c, spec, period)
-    for c in (c for c in df.columns if c in out.columns and c in steps):
-        how = steps[c]["missing_strategy"]
-        if how == "drop_row":
-            masks.append(F.col(c).isNull())
-        elif how == "interpolate":
-            out = interpolate(out, c, spec) if c in numeric else fill(out, c, spec, "both")
-        elif how in ("forward_fill", "backward_fill"):
-            out = fill(out, c, spec, how.split("_")[0])
-        elif how in ("mean_fill", "median_fill") and c in numeric:
-            out = fill_with(out, c, how.split("_")[0])
-        elif how == "flag_and_fill":
-            out = flag_and_fill(out, c, spec)
-    out = drop_rows(out, masks).drop(*(c for c in out.columns if c.startswith("_out_")))
-    order = [c for c in spec.order if c in out.columns]
+    fixed = {c: fixes[steps[c]["type_fix"]](c) for c in out.columns if c in steps and steps[c]["type_fix"] in fixes}
+    out = ordering.ordered(sane(out.withColumns(fixed)) if fixed else sane(out), spec)
+    mine = [c for c in df.columns if c in out.columns and c in steps]
+    numeric = set(numeric_columns(out))
+
+    def having(field: str, *wanted: str, only: set[str] | None = None) -> list[str]:
+        return [c for c in mine if steps[c][field] in wanted and (only is None or c in only)]
+
+    marks = outlier_masks(out, having("outlier_strategy", "remove", only=numeric))
+    out = out.withColumns({f"_out_{c}": m for c, m in marks.items()})
+    for how, treat in (("winsorize", winsorize), ("clip_iqr", clip_iqr), ("log_transform", log_transform)):
+        columns = having("outlier_strategy", how, only=numeric)
+        out = treat(out, *columns) if columns else out
+    for how, repair in (("rolling_iqr", rolling_iqr), ("stl_residuals", stl_residuals)):
+        columns = having("outlier_strategy", how, only=numeric)
+        out = stored(repair(out, columns, spec, period)) if columns else out
+    flagged = having("missing_strategy", "flag_and_fill")
+    out = out.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in flagged})
+    for how in ("mean", "median"):
+        columns = having("missing_strategy", f"{how}_fill", only=numeric)
+        out = fill_with(out, how, *columns) if columns else out
+    between = having("missing_strategy", "interpolate")
+    ways = {c: "forward" for c in [*having("missing_strategy", "forward_fill"), *flagged]} | {c: "backward" for c in having("missing_strategy", "backward_fill")} | {c: "both" for c in between if c not in numeric}
+    linear = [c for c in between if c in numeric]
+    if ways or linear:
+        out = filled_in(out, spec, ways, linear, by_time=dict(out.dtypes)[spec.ts].startswith("timestamp"))
+    gone = [F.col(c).isNull() for c in having("missing_strategy", "drop_row")]
+    out = drop_rows(out, [*gone, *(F.col(f"_out_{c}") for c in marks)])
+    out = out.drop(ordering.ROW, *(f"_out_{c}" for c in marks))
     if dedupe:
         out = out.dropDuplicates()
     if sort:
-        out = out.where(F.col(spec.ts).isNotNull()).orderBy(*order)
+        out = sorted_by_time(out, spec)
     return out.drop(*(c for c in held if c != spec.ts))
-
-
-def cleaned_statistics(df: DataFrame) -> DataFrame:
-    return statistics(df)

@@ -2,69 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.functions.expressions import micros, pct
+from tidegrid.functions.expressions import micros, pct, timestamp
 from tidegrid.operators import ordering
-from tidegrid.operators.profile import _wide, cardinality, frequency, nulls, statistics
+from tidegrid.operators.profile import _wide, cardinality, dtypes, frequency, nulls, numeric_columns, sane, statistics, text_issues, union_all, value_of
+from tidegrid.operators.quantiles import quantiles
+from tidegrid.sources.scratch import stored
 from tidegrid.spec import DEFAULT, GAP_SECONDS, SeriesSpec
 
 
-def missing_pattern(df: DataFrame, column: str, spec: SeriesSpec) -> DataFrame:
-    """One row: n, null_count, max_run, pattern (none, block, trailing or random)."""
-    rn = ordering.ordinal(df.select(*spec.order, column), spec)
-    n = rn.agg(F.count("*").alias("n")).scalar()
-    tail = F.greatest(F.lit(1), F.floor(n / 10))
-    gone = F.col(column).isNull()
-    counts = rn.withColumn("_tail", F.col("rn") >= n - tail).agg(F.count("*").alias("n"), F.count_if(gone).alias("null_count"), F.count_if(gone & F.col("_tail")).alias("tail_nulls"), F.count_if("_tail").alias("tail"))
-    both = counts.withColumn("max_run", ordering.longest_null_run(df, column, spec).scalar())
+def missing_pattern(df: DataFrame, columns: str | list[str], spec: SeriesSpec) -> DataFrame:
+    """col, n, null_count, max_run, pattern (none, block, trailing or random): all columns in one pass over the order."""
+    columns = [columns] if isinstance(columns, str) else columns
+    rows = ordering.ordered(df.select(*spec.series, *(c for c in spec.order if c not in spec.series), *(c for c in columns if c not in [*spec.series, *spec.order])), spec)
+    n = rows.count()
+    tail = F.col("rn") >= n - max(1, n // 10)
+    counts = _wide(ordering.ordinal(rows, spec), columns, lambda c: {"n": F.count("*"), "null_count": F.count_if(F.col(c).isNull()), "tail_nulls": F.count_if(F.col(c).isNull() & tail), "tail": F.count_if(tail)})
+    both = counts.join(ordering.null_runs(rows, columns, spec), "col")
     pattern = F.when(F.col("null_count") == 0, "none").when(F.col("max_run") > 0.4 * F.col("null_count"), "block").when(F.col("tail_nulls") > 0.5 * F.col("tail"), "trailing").otherwise("random")
-    return both.select("n", "null_count", F.coalesce("max_run", F.lit(0)).cast("long").alias("max_run"), pattern.alias("pattern"))
+    return both.select("col", "n", "null_count", "max_run", pattern.alias("pattern"))
 
 
 def outliers_global(df: DataFrame, columns: list[str]) -> DataFrame:
-    """col, iqr_pct, zscore_pct, mad_pct: three passes of one aggregate each, statistics as scalars."""
-    stats = statistics(df, columns)
-    one = {c: stats.where(F.col("col") == c).select(F.struct("mean", "std", "median", "q1", "q3", "iqr")).scalar() for c in columns}
-    mads = df.agg(*(F.percentile(F.abs(F.col(c).cast("double") - one[c]["median"]), 0.5).alias(c) for c in columns))
-    mad = {c: mads.select(c).scalar() for c in columns}
+    """col, iqr_pct, zscore_pct, mad_pct: statistics, then the median distance, then one aggregate of counts; 0 without values."""
+    stats = {r.col: r for r in statistics(df, columns).collect()}  # a row for each column
+    values = {c: value_of(df, c) for c in columns}
+    mads = quantiles(df, {c: F.abs(values[c] - stats[c].median) for c in stats}, [0.5])
 
     def made(c: str):
-        v, s, n = F.col(c).cast("double"), one[c], F.count(F.col(c))
-        fences = (v < s["q1"] - DEFAULT.iqr * s["iqr"]) | (v > s["q3"] + DEFAULT.iqr * s["iqr"])
-        far = (s["std"] > 0) & (F.abs(v - s["mean"]) > DEFAULT.z * s["std"])
-        off = (mad[c] > 0) & (F.abs(v - s["median"]) > DEFAULT.mad * mad[c])
+        if c not in stats:
+            return {name: F.lit(0.0) for name in ("iqr_pct", "zscore_pct", "mad_pct")}
+        v, s, n = values[c], stats[c], F.count(values[c])
+        fences = (v < s.q1 - DEFAULT.iqr * s.iqr) | (v > s.q3 + DEFAULT.iqr * s.iqr)
+        far = F.abs(v - s.mean) > DEFAULT.z * s.std if s.std else F.lit(False)
+        off = F.abs(v - s.median) > DEFAULT.mad * mads[c][0] if mads[c][0] > 0 else F.lit(False)
         return {name: F.round(pct(F.count_if(x), n), 6) for name, x in (("iqr_pct", fences), ("zscore_pct", far), ("mad_pct", off))}
 
     return _wide(df, columns, made)
 
 
-def outliers_temporal(df: DataFrame, column: str, spec: SeriesSpec, period: int) -> DataFrame:
-    """One row: temporal_pct against centred rolling quartiles; null below thirty values."""
-    sane = df.where(F.col(column).isNotNull() & F.col(spec.ts).isNotNull())
-    v = F.col(column).cast("double")
-    rolled = ordering.rolling(sane, spec, max(period, 7), _q1=F.percentile(v, 0.25), _q3=F.percentile(v, 0.75))
-    wide = 1.5 * (F.col("_q3") - F.col("_q1"))
-    out = rolled.agg(F.count("*").alias("n"), F.count_if((v < F.col("_q1") - wide) | (v > F.col("_q3") + wide)).alias("k"))
-    return out.select(F.when(F.col("n") >= 30, F.round(F.col("k") * 100.0 / F.col("n"), 6)).alias("temporal_pct"))
+def outliers_temporal(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
+    """col, temporal_pct against centred rolling quartiles of a column's values in time order; null below thirty of them."""
+    out = []
+    for c in [columns] if isinstance(columns, str) else columns:
+        sane = df.select(*spec.series, *spec.order, value_of(df, c).alias("_v")).where(F.col("_v").isNotNull() & F.col(spec.ts).isNotNull())
+        rolled = ordering.rolling(sane, spec, max(period, 7), _q1=F.percentile("_v", 0.25), _q3=F.percentile("_v", 0.75))
+        wide = 1.5 * (F.col("_q3") - F.col("_q1"))
+        share = F.round(F.count_if((F.col("_v") < F.col("_q1") - wide) | (F.col("_v") > F.col("_q3") + wide)) * 100.0 / F.count("*"), 6)
+        out.append(rolled.agg(F.lit(c).alias("col"), F.when(F.count("*") >= 30, share).alias("temporal_pct")))
+    return union_all(out)
+
+
+def monotonic(df: DataFrame, ts: str, stored: SeriesSpec) -> DataFrame:
+    """One row: is_monotonic, whether stamps never fall in the order of `stored`; missing ones are left out."""
+    stamps = df.where(F.col(ts).isNotNull())
+    step = ordering.lagged(stamps, micros(ts), stored, "_before")
+    return step.agg(F.coalesce(F.bool_and(F.coalesce(micros(ts) >= F.col("_before"), F.lit(True))), F.lit(True)).alias("is_monotonic"))
 
 
 def integrity(df: DataFrame, spec: SeriesSpec, stored: SeriesSpec) -> DataFrame:
-    """One row: frequency, is_monotonic (in the order of `stored`), duplicate_timestamps, gap_count."""
+    """One row: frequency, is_monotonic (in the order of `stored`), duplicate_timestamps, gap_count.
+
+    A timestamp stored as text is parsed; if any of it doesn't parse: unknown, null, 0, 0.
+    """
+    if dict(df.dtypes)[spec.ts] == "string":
+        parsed = timestamp(spec.ts)
+        if df.where(F.col(spec.ts).isNotNull() & parsed.isNull()).take(1):
+            return df.sparkSession.createDataFrame([("unknown", None, 0, 0)], "frequency string, is_monotonic boolean, duplicate_timestamps long, gap_count long")
+        df = df.withColumn(spec.ts, parsed)
     stamps = df.where(F.col(spec.ts).isNotNull())
-    step = ordering.lagged(stamps, micros(spec.ts), stored, "_before")
-    name = frequency(df, spec.ts).scalar()
-    seconds = F.coalesce(*(F.when(name == k, F.lit(v)) for k, v in GAP_SECONDS.items()))
-    sorted_ = ordering.lagged(stamps, micros(spec.ts), spec, "_before").select((micros(spec.ts) - F.col("_before")).alias("_step")).withColumn("_seconds", seconds)
-    gap = sorted_.agg(F.count_if(F.col("_step") > F.col("_seconds") * (DEFAULT.gap * 1_000_000)).alias("g")).scalar()
-    return step.agg(
-        name.alias("frequency"),
-        F.coalesce(F.bool_and(F.coalesce(micros(spec.ts) >= F.col("_before"), F.lit(True))), F.lit(True)).alias("is_monotonic"),
-        (F.count("*") - F.count_distinct(F.col(spec.ts))).alias("duplicate_timestamps"),
-        gap.alias("gap_count"),
-    )
+    name = frequency(df, spec.ts).first()[0]
+    gaps = ordering.gaps(stamps, SeriesSpec(spec.ts, spec.ties), GAP_SECONDS[name] * DEFAULT.gap) if name in GAP_SECONDS else df.sparkSession.createDataFrame([(0,)], "gap_count long")
+    repeats = stamps.agg((F.count("*") - F.count_distinct(F.col(spec.ts))).alias("duplicate_timestamps"))
+    one = F.struct(F.lit(1))  # three tables of one row each
+    parts = [x.withColumn("_one", one) for x in (monotonic(df, spec.ts, stored), repeats, gaps)]
+    return parts[0].join(parts[1], "_one").join(parts[2], "_one").select(F.lit(name).alias("frequency"), "is_monotonic", "duplicate_timestamps", "gap_count")
 
 
 def constants(df: DataFrame, numeric: list[str], texts: list[str]) -> DataFrame:
@@ -76,18 +91,55 @@ def constants(df: DataFrame, numeric: list[str], texts: list[str]) -> DataFrame:
 
 def column_profile(df: DataFrame) -> DataFrame:
     """col, null_pct, distinct_pct, zero_pct, skew (null for text)."""
-    from tidegrid.operators.profile import numeric_columns
-
     numeric = numeric_columns(df)
     share = _wide(df, df.columns, lambda c: {"distinct_pct": F.round(pct(F.count_distinct(F.col(c)), F.count("*")), 6), "zero_pct": F.round(pct(F.count_if(F.col(c) == 0), F.count("*")), 6) if c in numeric else F.lit(None).cast("double")})
     return nulls(df).join(share, "col").join(statistics(df, numeric).select("col", F.round("skew", 6).alias("skew")), "col", "left").select("col", "null_pct", "distinct_pct", "zero_pct", "skew")
 
 
-def payload(missing: DataFrame, outliers: DataFrame) -> DataFrame:
-    """col, kind, json: what a decision needs, aggregates only; columns with nothing to report are left out."""
-    m = missing.where("null_count > 0").select("col", F.lit("missing").alias("kind"), F.to_json(F.struct("null_count", "pattern")).alias("json"))
-    o = outliers.where("iqr_pct > 0 or zscore_pct > 0 or mad_pct > 0").select("col", F.lit("outliers").alias("kind"), F.to_json(F.struct("iqr_pct", "zscore_pct", "mad_pct")).alias("json"))
-    return m.union(o)
+def facts(df: DataFrame, spec: SeriesSpec | None, period: int, measures: list[str] | None = None) -> DataFrame:
+    """All that recipes need to know, one row for each column: what profile and diagnosis find, joined by column.
+
+    col, dtype_raw, dtype_inferred, n, null_count, null_pct, max_run, pattern, distinct_pct, zero_pct, skew, iqr, iqr_pct,
+    zscore_pct, mad_pct, temporal_pct, any_outlier, issue, constant. Outliers are looked for in measures (all numeric
+    columns but the timestamp unless given), temporal ones and runs only with a spec.
+    """
+    df = sane(df)
+    kinds = dtypes(df)
+    inferred = {r.col: r.dtype_inferred for r in kinds.collect()}  # a row for each column, to choose the plan
+    numeric = [c for c in (measures or df.columns) if inferred[c] == "numeric"]
+    texts = [c for c in df.columns if inferred[c] == "categorical"]
+    n = F.count("*")
+
+    def share(c: str) -> dict[str, Column]:
+        flat = inferred[c] != "nested"
+        zero = F.count_if(value_of(df, c) == 0) if c in numeric else F.lit(None).cast("long")
+        return {"n": n, "null_count": n - F.count(F.col(c)), "distinct": F.count_distinct(F.col(c)) if flat else F.lit(None).cast("long"), "zeros": zero}
+
+    held = _wide(df, df.columns, share)
+    held = held.select("col", "n", "null_count", F.round(pct(F.col("null_count"), F.col("n")), 6).alias("null_pct"), F.round(pct(F.col("distinct"), F.col("n")), 6).alias("distinct_pct"), F.when(F.col("zeros").isNotNull(), F.round(pct(F.col("zeros"), F.col("n")), 6)).alias("zero_pct"))
+    stats = statistics(df, numeric)
+    out = kinds.join(held, "col").join(stats.select("col", F.round("skew", 6).alias("skew"), F.round("iqr", 6).alias("iqr")), "col", "left").join(outliers_global(df, numeric), "col", "left")
+    still = (F.abs("mean") > 0) & (F.col("std") / F.abs("mean") < DEFAULT.near_constant) | (F.col("mean") == 0) & (F.col("std") < 1e-9)
+    same = stats.where(still).select("col").union(cardinality(df, texts).where("distinct_count <= 1").select("col")) if texts else stats.where(still).select("col")
+    out = out.join(same.withColumn("constant", F.lit(True)), "col", "left").join(text_issues(df), "col", "left")
+    if spec:
+        out = out.join(missing_pattern(df, df.columns, spec).select("col", "max_run", "pattern"), "col").join(outliers_temporal(df, [c for c in numeric if c != spec.ts], spec, period), "col", "left")
+    else:
+        out = out.withColumns({"max_run": F.lit(None).cast("long"), "pattern": F.lit(None).cast("string"), "temporal_pct": F.lit(None).cast("double")})
+    found = [F.coalesce(F.col(x) > 0, F.lit(False)) for x in ("iqr_pct", "zscore_pct", "mad_pct", "temporal_pct")]
+    return out.select("col", "dtype_raw", "dtype_inferred", "n", "null_count", "null_pct", "max_run", "pattern", "distinct_pct", "zero_pct", "skew", "iqr", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct", (found[0] | found[1] | found[2] | found[3]).alias("any_outlier"), "issue", F.coalesce("constant", F.lit(False)).alias("constant"))
+
+
+def payload(profile: DataFrame) -> DataFrame:
+    """profile (of facts()) -> col, kind, json: what a decision needs, aggregates only; columns with nothing to report are left out."""
+    parts = [
+        ("missing", "null_count > 0", ["null_pct", "max_run", "pattern"]),
+        ("outliers", "any_outlier", ["iqr_pct", "zscore_pct", "mad_pct", "temporal_pct"]),
+        ("profile", "true", ["dtype_inferred", "n", "null_pct", "distinct_pct", "zero_pct", "skew"]),
+        ("issue", "issue is not null", ["issue"]),
+        ("constant", "constant", ["constant"]),
+    ]
+    return union_all([profile.where(keep).select("col", F.lit(kind).alias("kind"), F.to_json(F.struct(*names)).alias("json")) for kind, keep, names in parts])
 
 
 def pick_timestamp(grids: DataFrame) -> DataFrame:
@@ -96,29 +148,36 @@ def pick_timestamp(grids: DataFrame) -> DataFrame:
     return grids.agg(F.min_by("col", F.struct(rank.alias("rank"), "pos")).alias("timestamp_col"))
 
 
-def breaks(daily: DataFrame, date: str, value: str, rounds: int = 5, penalty: str = "bic") -> DataFrame:
-    """daily (one row per date) -> break_at, gain, round: level shifts by least-squares binary segmentation.
+def breaks(daily: DataFrame, date: str, value: str, rounds: int | None = None, penalty: str = "bic", series: tuple[str, ...] = ()) -> DataFrame:
+    """daily (one row per date and series) -> series, break_at, gain, round: level shifts by least-squares binary segmentation.
 
-    A segment is a window partition; each round splits every segment whose best gain exceeds the penalty.
-    Series under DEFAULT.break_rows rows have none. The grid is one row per date, so it stays small.
+    Missing values take the last one before, else 0. A segment is a window partition; each round splits every segment
+    of every series whose best gain exceeds the penalty, until none does (or rounds is reached). Series under
+    DEFAULT.break_rows rows have none. The grid has one row per date and series, so a series stays small.
     """
-    y = daily.select(F.col(date).alias("d"), F.col(value).cast("double").alias("y")).where("y is not null and d is not null")
-    n, var, mean = y.agg(F.count("*"), F.coalesce(F.var_samp("y"), F.lit(0.0)), F.coalesce(F.avg("y"), F.lit(0.0))).first()
-    factor = {"bic": F.log(F.lit(float(max(n, 1)))), "aic": F.lit(2.0)}.get(penalty, F.lit(1.0))
-    seg = y.withColumn("y", F.col("y") - mean).withColumn("seg", F.lit(0).cast("long"))
-    found = []
-    whole, up = Window.partitionBy("seg"), Window.partitionBy("seg").orderBy("d")
-    for k in range(1, rounds + 1 if n >= DEFAULT.break_rows else 1):
-        i, s = F.row_number().over(up), F.sum("y").over(up.rowsBetween(Window.unboundedPreceding, 0))
-        m, total = F.count("*").over(whole), F.sum("y").over(whole)
+    keys = list(series)
+    up = Window.partitionBy(*keys).orderBy("d")
+    y = daily.where(F.col(date).isNotNull()).select(*keys, F.col(date).alias("d"), F.col(value).cast("double").alias("y"))
+    y = y.withColumn("y", F.coalesce(F.last("y", True).over(up.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    whole = Window.partitionBy(*keys)
+    n, var = F.count("*").over(whole), F.var_pop("y").over(whole)
+    var = F.when(var == 0, 1.0).otherwise(var)
+    bar = {"bic": F.log(n.cast("double")) * var, "aic": 2 * var}.get(penalty, var)
+    y = y.select(*keys, "d", (F.col("y") - F.avg("y").over(whole)).alias("y"), n.alias("n"), bar.alias("bar"), F.lit("").alias("seg"))
+    seg, found, k = stored(y.where(F.col("n") >= DEFAULT.break_rows)), None, 0
+    own, upto = Window.partitionBy(*keys, "seg"), Window.partitionBy(*keys, "seg").orderBy("d")
+    while rounds is None or k < rounds:
+        k += 1
+        i, s = F.row_number().over(upto), F.sum("y").over(upto.rowsBetween(Window.unboundedPreceding, 0))
+        m, total = F.count("*").over(own), F.sum("y").over(own)
         gain = s * s / i + (total - s) * (total - s) / (m - i) - total * total / m
-        best = seg.withColumn("gain", F.when(i < m, gain)).groupBy("seg").agg(F.max_by(F.struct("d", "gain"), F.struct("gain", F.col("d"))).alias("b"))
-        best = best.select("seg", F.col("b.d").alias("break_at"), F.col("b.gain").alias("gain")).where(F.col("gain") > factor * var)
-        found.append(best.select("break_at", "gain", F.lit(k).cast("long").alias("round")))
-        seg = seg.join(best.select("seg", "break_at"), "seg", "left").withColumn("seg", F.col("seg") * 2 + F.coalesce((F.col("d") > F.col("break_at")).cast("long"), F.lit(0)) + 1).drop("break_at")
-    if not found:
-        return y.select(F.col("d").alias("break_at"), F.col("y").alias("gain"), F.lit(0).cast("long").alias("round")).limit(0)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+        best = seg.withColumn("gain", F.when(i < m, gain)).where("gain > bar").groupBy(*keys, "seg").agg(F.max_by(F.struct("d", "gain"), F.struct("gain", F.col("d"))).alias("b"))
+        best = stored(best.select(*keys, "seg", F.col("b.d").alias("break_at"), F.col("b.gain").alias("gain")))
+        rows = best.select(*keys, "break_at", "gain", F.lit(k).cast("long").alias("round"))
+        found = rows if found is None else found.union(rows)
+        if not best.take(1):
+            break
+        # segments that weren't split can't be later
+        split = seg.join(best.select(*keys, "seg", "break_at"), [*keys, "seg"])
+        seg = stored(split.withColumn("seg", F.concat("seg", F.when(F.col("d") > F.col("break_at"), "r").otherwise("l"))).drop("break_at"))
+    return found

@@ -49,8 +49,10 @@ def forecastable(after: DataFrame) -> DataFrame:
     return _check(snapshot(after).agg(F.count_if(F.col("std") > 0).alias("n")), "forecastable_columns", F.col("n") >= 1, F.col("n"))
 
 
-def monotonic(after: DataFrame, stored: SeriesSpec, ts: str) -> DataFrame:
-    """Stamps never fall in the order of `stored`; a null stamp fails."""
+def monotonic(after: DataFrame, ts: str, stored: SeriesSpec | None = None) -> DataFrame:
+    """Stamps never fall in the order of `stored`, by default that of the files that after was read from; a null stamp fails."""
+    if stored is None:
+        after, stored = ordering.in_storage_order(after)
     step = ordering.lagged(after, F.coalesce(micros(ts), F.lit(2**62)), stored, "_before")
     falls = F.count_if(F.col(ts).isNull() | F.coalesce(micros(ts) < F.col("_before"), F.lit(False)))
     return _check(step.agg(falls.alias("n")), "timestamp_monotonic", F.col("n") == 0, F.col("n"))
@@ -71,5 +73,5 @@ def verdict(checks: DataFrame) -> DataFrame:
 
 
 def validate(before: DataFrame, after: DataFrame, fixed: list[str], spec: SeriesSpec, period: int, as_of: str, stored: SeriesSpec | None = None) -> DataFrame:
-    """All checks as rows check, passed, severity, detail."""
-    return union_all([row_loss(before, after), series_length(after), null_regression(before, after, fixed), variance(before, after), ts_nulls(after, spec.ts), forecastable(after), monotonic(after, stored or spec, spec.ts), future(after, spec.ts, as_of), seasonal_history(after, period)])
+    """All checks as rows check, passed, severity, detail; stored is the order for monotonic()."""
+    return union_all([row_loss(before, after), series_length(after), null_regression(before, after, fixed), variance(before, after), ts_nulls(after, spec.ts), forecastable(after), monotonic(after, spec.ts, stored), future(after, spec.ts, as_of), seasonal_history(after, period)])

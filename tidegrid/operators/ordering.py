@@ -1,73 +1,97 @@
 """Operators that need row order, without putting a long series into one task.
 
-With series columns each series is a window partition. A single series is cut into blocks by time:
-work happens in the blocks, and one row per block carries what crosses them. Only the block rows,
-as many as there are days (or the unit chosen), meet in one task.
+A frame is sorted by ranges of its order keys and stored once, with _row: a number that ascends through the
+ranges, whose high bits name the range (a block). Everything later starts from that table: work happens in the
+blocks, and one row per block (and series) carries what crosses them. Blocks are bounded by bytes, not by
+dates: a dense day, rows without a stamp and one long series are cut like anything else. All columns of one
+order are handled in one pass, so plans don't grow with their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.functions.expressions import micros
+from tidegrid.sources.scratch import stored
 from tidegrid.spec import SeriesSpec
 
-_EARLY = "0001-01-01"
+ROW = "_row"
+
+
+def ordered(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """df in the order of spec (nulls first), stored, with _row; a frame that has _row is returned as it is."""
+    if ROW in df.columns:
+        return df
+    keys = [*spec.series, *spec.order]
+    return stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(ROW, F.monotonically_increasing_id()))
+
 
+def in_storage_order(df: DataFrame) -> tuple[DataFrame, SeriesSpec]:
+    """A frame read from Parquet files with the place of each row, and the order in which it was written."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    return placed, SeriesSpec("_file", ("_place",))
 
-def blocked(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """df with _block: the series and the unit of time; rows without a timestamp come first."""
-    start = F.coalesce(F.date_trunc(spec.unit, F.col(spec.ts)).cast("timestamp"), F.to_timestamp(F.lit(_EARLY)))
-    if spec.series:
-        start = F.to_timestamp(F.lit(_EARLY))
-    return df.withColumn("_block", F.struct(*(F.col(c) for c in spec.series), start.alias("_start")))
 
+def _blocked(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    return df.withColumn("_block", F.struct(*(F.col(c) for c in spec.series), F.shiftright(ROW, 33).alias("_part")))
 
-def _in_block(spec: SeriesSpec):
-    return Window.partitionBy("_block").orderBy(*spec.order)
 
+def _in_block(backward: bool = False):
+    # frames that end at the current row are running ones; those that begin there cost the square of the rows
+    return Window.partitionBy("_block").orderBy(F.desc(ROW) if backward else ROW)
 
-def _over_blocks(spec: SeriesSpec):
-    return Window.partitionBy(*(F.col(f"_block.{c}") for c in spec.series)).orderBy("_block._start")
+
+def _over_blocks(spec: SeriesSpec, backward: bool = False):
+    """The few rows of one series' blocks."""
+    part = F.col("_block._part")
+    return Window.partitionBy(*(F.col(f"_block.{c}") for c in spec.series)).orderBy(part.desc() if backward else part)
+
+
+def _done(out: DataFrame, df: DataFrame, *names: str) -> DataFrame:
+    """out with df's columns and names; _row only if df had it."""
+    return out.select(*(c for c in df.columns if c not in names), *names)
 
 
 def ordinal(df: DataFrame, spec: SeriesSpec, name: str = "rn") -> DataFrame:
-    """df with the row number (from 0) in its series."""
-    df = blocked(df, spec)
-    sizes = df.groupBy("_block").agg(F.count("*").alias("_n"))
-    offset = sizes.withColumn("_offset", F.sum("_n").over(_over_blocks(spec)) - F.col("_n")).drop("_n")
-    out = df.withColumn("_at", F.row_number().over(_in_block(spec))).join(offset, "_block")
-    return out.withColumn(name, F.col("_offset") + F.col("_at") - 1).drop("_block", "_at", "_offset")
-
-
-def carried(df: DataFrame, value: Column, spec: SeriesSpec, name: str, forward: bool = True) -> DataFrame:
-    """df with the last value that isn't null up to each row (or the first from it on)."""
-    df = blocked(df.withColumn("_v", value), spec)
-    key = F.struct(*spec.order)
-    pick = F.max_by if forward else F.min_by
-    ends = df.where("_v is not null").groupBy("_block").agg(pick("_v", key).alias("_end"))
-    ends = df.select("_block").distinct().join(ends, "_block", "left")
-    whole, frame = _over_blocks(spec), _in_block(spec)
-    if forward:
-        ends = ends.withColumn("_carry", F.last("_end", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)))
-        own = F.last("_v", True).over(frame.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        ends = ends.withColumn("_carry", F.first("_end", True).over(whole.rowsBetween(1, Window.unboundedFollowing)))
-        own = F.first("_v", True).over(frame.rowsBetween(0, Window.unboundedFollowing))
-    out = df.withColumn("_own", own).join(ends.select("_block", "_carry"), "_block")
-    return out.withColumn(name, F.coalesce("_own", "_carry")).drop("_block", "_v", "_own", "_carry")
+    """df with the row number (from 0) in its series. A frame with _row must hold all rows that were ordered."""
+    rows = _blocked(ordered(df, spec), spec)
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"), F.min(ROW).alias("_first"))
+    offset = sizes.select("_block", (F.sum("_n").over(_over_blocks(spec)) - F.col("_n") - F.col("_first")).alias("_offset"))
+    return _done(rows.join(offset, "_block").withColumn(name, F.col(ROW) + F.col("_offset")), df, name)
+
+
+def carried(df: DataFrame, spec: SeriesSpec, forward: Mapping[str, Column] | None = None, backward: Mapping[str, Column] | None = None) -> DataFrame:
+    """df with, for each name, the last value that isn't null up to each row (forward), or the first from it on (backward).
+
+    All of them in one pass: one aggregate by block, one window over blocks, one join, one window in blocks.
+    """
+    forward, backward = dict(forward or {}), dict(backward or {})
+    values = forward | backward
+    rows = _blocked(ordered(df, spec), spec).withColumns({f"_v_{k}": v for k, v in values.items()})
+
+    def at(k: str) -> Column:
+        return F.when(F.col(f"_v_{k}").isNotNull(), F.struct(F.col(ROW), F.col(f"_v_{k}").alias("v")))
+
+    ends = rows.groupBy("_block").agg(*(F.max(at(k)).alias(k) for k in forward), *(F.min(at(k)).alias(k) for k in backward))
+    earlier = (Window.unboundedPreceding, -1)
+    carry = [F.last(k, True).over(_over_blocks(spec, k in backward).rowsBetween(*earlier))["v"].alias(f"_c_{k}") for k in values]
+    ends = ends.select("_block", *carry)
+    own = {f"_o_{k}": F.last(f"_v_{k}", True).over(_in_block(k in backward).rowsBetween(Window.unboundedPreceding, 0)) for k in values}
+    out = rows.withColumns(own).join(ends, "_block").withColumns({k: F.coalesce(f"_o_{k}", f"_c_{k}") for k in values})
+    return _done(out, df, *values)
 
 
 def lagged(df: DataFrame, value: Column, spec: SeriesSpec, name: str) -> DataFrame:
     """df with the value of the row before, which may stand in an earlier block."""
-    df = blocked(df.withColumn("_v", value), spec)
-    last = df.groupBy("_block").agg(F.max_by(F.struct("_v"), F.struct(*spec.order)).alias("_end"))
-    last = last.withColumn("_carry", F.lag("_end").over(_over_blocks(spec))).select("_block", "_carry")
-    first = F.row_number().over(_in_block(spec)) == 1
-    out = df.withColumn("_own", F.when(first, None).otherwise(F.struct(F.lag("_v").over(_in_block(spec)).alias("_v")))).join(last, "_block")
-    return out.withColumn(name, F.coalesce("_own", "_carry")["_v"]).drop("_block", "_v", "_own", "_carry")
+    rows = _blocked(ordered(df, spec), spec).withColumn("_v", value)
+    last = rows.groupBy("_block").agg(F.max(F.struct(F.col(ROW), F.struct("_v").alias("v"))).alias("_end"))
+    last = last.select("_block", F.lag("_end").over(_over_blocks(spec))["v"].alias("_carry"))
+    own = F.when(F.row_number().over(_in_block()) > 1, F.struct(F.lag("_v").over(_in_block()).alias("_v")))
+    return _done(rows.withColumn("_own", own).join(last, "_block").withColumn(name, F.coalesce("_own", "_carry")["_v"]), df, name)
 
 
 def rolling(df: DataFrame, spec: SeriesSpec, window: int, size: int = 4096, **made: Column) -> DataFrame:
@@ -77,23 +101,32 @@ def rolling(df: DataFrame, spec: SeriesSpec, window: int, size: int = 4096, **ma
     """
     half = window // 2
     size = max(size, window)
-    df = ordinal(df, spec, "_rn").withColumn("_home", F.floor(F.col("_rn") / size))
+    rows = ordinal(df, spec, "_rn").withColumn("_home", F.floor(F.col("_rn") / size))
     low, high = F.floor((F.col("_rn") - (window - 1 - half)) / size), F.floor((F.col("_rn") + half) / size)
-    spread = df.withColumn("_b", F.explode(F.sequence(low, high)))
+    spread = rows.withColumn("_b", F.explode(F.sequence(low, high)))
     frame = Window.partitionBy(*spec.series, "_b").orderBy("_rn").rowsBetween(-half, window - 1 - half)
     out = spread.withColumns({k: v.over(frame) for k, v in made.items()})
-    return out.where("_b = _home").drop("_b", "_home", "_rn")
+    return _done(out.where("_b = _home"), df, *made)
+
 
+def null_runs(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFrame:
+    """col (and series), max_run: the longest run of nulls of each column, 0 without any; one pass for all columns.
 
-def longest_null_run(df: DataFrame, column: str, spec: SeriesSpec) -> DataFrame:
-    """One row (per series): max_run. Among nulls, ordinal minus the ordinal of nulls names the run."""
-    rn = ordinal(df.select(*spec.series, *spec.order, column), spec, "_i")
-    runs = ordinal(rn.where(F.col(column).isNull()), spec, "_j").groupBy(*spec.series, (F.col("_i") - F.col("_j")).alias("_run")).agg(F.count("*").alias("_len"))
-    return runs.groupBy(*spec.series).agg(F.coalesce(F.max("_len"), F.lit(0)).alias("max_run"))
+    Nulls with equally many values before them form a run.
+    """
+    rows = _blocked(ordered(df.select(*spec.series, *(c for c in spec.order if c not in spec.series), *(c for c in columns if c not in [*spec.series, *spec.order]), *([ROW] if ROW in df.columns else [])), spec), spec)
+    held = rows.groupBy("_block").agg(*(F.count(F.col(c)).alias(f"_n_{c}") for c in columns))
+    before = held.select("_block", *((F.sum(f"_n_{c}").over(_over_blocks(spec)) - F.col(f"_n_{c}")).alias(f"_p_{c}") for c in columns))
+    up = _in_block().rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.select("*", *(F.count(F.col(c)).over(up).alias(f"_k_{c}") for c in columns)).join(before, "_block")
+    cells = F.array(*(F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("col"), (F.col(f"_k_{c}") + F.col(f"_p_{c}")).alias("run"))) for c in columns))
+    runs = seen.select(*spec.series, F.explode(F.array_compact(cells)).alias("x")).groupBy(*spec.series, "x").agg(F.count("*").alias("len"))
+    longest = runs.groupBy(*spec.series, "x.col").agg(F.max("len").alias("max_run"))
+    every = (rows.select(*spec.series).distinct() if spec.series else df.sparkSession.range(1)).select(*spec.series, F.explode(F.array(*map(F.lit, columns))).alias("col"))
+    return every.join(longest, [*spec.series, "col"], "left").withColumn("max_run", F.coalesce("max_run", F.lit(0)).cast("long"))
 
 
 def gaps(df: DataFrame, spec: SeriesSpec, seconds: float) -> DataFrame:
-    """One row: gap_count, steps between sorted stamps (equal ones included) longer than seconds."""
-    stamps = df.where(F.col(spec.ts).isNotNull())
-    step = lagged(stamps, micros(spec.ts), spec, "_before").withColumn("_step", micros(spec.ts) - F.col("_before"))
+    """gap_count (by series), steps between sorted stamps (equal ones included) longer than seconds."""
+    step = lagged(df.where(F.col(spec.ts).isNotNull()), micros(spec.ts), spec, "_before").withColumn("_step", micros(spec.ts) - F.col("_before"))
     return step.groupBy(*spec.series).agg(F.count_if(F.col("_step") > seconds * 1_000_000).alias("gap_count"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidegrid.functions.expressions import kurtosis, micros, no_nan, number, pct, skew, timestamp
+from tidegrid.operators.quantiles import quantiles
 from tidegrid.spec import DEFAULT
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
@@ -78,6 +80,11 @@ def dtypes(df: DataFrame) -> DataFrame:
     return rates.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def datetime_columns(kinds: DataFrame) -> DataFrame:
+    """kinds (of dtypes()) -> col: those that hold timestamps."""
+    return kinds.where("dtype_inferred = 'datetime'").select("col")
+
+
 def text_issues(df: DataFrame) -> DataFrame:
     """col, issue: text columns typed categorical that mostly hold numbers or dates."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -87,17 +94,27 @@ def text_issues(df: DataFrame) -> DataFrame:
     return rates.join(kind, "col").where("dtype_inferred = 'categorical'").select("col", issue.alias("issue")).where("issue is not null")
 
 
-def statistics(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """col and min, max, mean, median, std, skew, kurtosis, q1, q3, iqr; columns without values are left out."""
+def value_of(df: DataFrame, c: str) -> Column:
+    """A column's numbers: text that isn't one, and NaN, count as missing."""
+    return number(c) if dict(df.dtypes)[c] == "string" else no_nan(F.col(c).cast("double"))
+
+
+def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """col, n and min, max, mean, median, std, skew, kurtosis, q1, q3, iqr; columns without values are left out.
+
+    One aggregate for the moments, and exact quantiles (see quantiles()); text counts as the numbers in it.
+    """
     columns = columns or numeric_columns(df)
+    values = {c: value_of(df, c) for c in columns}
 
     def made(c: str) -> dict[str, Column]:
-        v = F.col(c).cast("double")
-        q = (lambda p: F.percentile(v, p)) if exact else (lambda p: F.percentile_approx(v, p))
-        plain = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": q(0.5), "std": F.stddev_samp(v), "skew": skew(v), "kurtosis": kurtosis(v), "q1": q(0.25), "q3": q(0.75), "iqr": q(0.75) - q(0.25)}
-        return {"n": F.count(v)} | plain
+        v = values[c]
+        return {"n": F.count(v), "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_samp(v), "skew": skew(v), "kurtosis": kurtosis(v)}
 
-    return _wide(sane(df), columns, made).where("n > 0")
+    rows = {r.col: r for r in _wide(df, columns, made).collect()}  # a row for each column
+    q = quantiles(df, values, (0.25, 0.5, 0.75))
+    out = [(c, r.n, r.min, r.max, r.mean, q[c][1], r.std, r.skew, r.kurtosis, q[c][0], q[c][2], q[c][2] - q[c][0]) for c, r in rows.items() if r.n]
+    return df.sparkSession.createDataFrame(out, "col string, n long, " + ", ".join(f"{x} double" for x in ("min", "max", "mean", "median", "std", "skew", "kurtosis", "q1", "q3", "iqr")))
 
 
 def cardinality(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -121,17 +138,27 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def frequency(df: DataFrame, ts: str) -> DataFrame:
     """One row: the grid's name, from the median gap of distinct stamps.
 
-    Gaps are taken within days of stamps and stitched between them, so no task sorts all stamps.
+    Gaps are taken within blocks of stamps and stitched between them, so no task sorts all stamps.
     """
     from tidegrid.operators.ordering import lagged
     from tidegrid.spec import SeriesSpec
 
     stamps = df.select(F.col(ts).cast("timestamp").alias("_t")).where("_t is not null").distinct()
     step = lagged(stamps, micros("_t"), SeriesSpec("_t"), "_b").select((micros("_t") - F.col("_b")).alias("gap"))
-    hours = F.percentile("gap", 0.5) / 3.6e9
-    d = hours / 24
-    name = F.when(hours.isNull(), "unknown").when(hours <= 1.5, "hourly").when(hours <= 36, "daily").when(d.between(5, 8), "weekly").when(d.between(25, 32), "monthly").when(d.between(85, 95), "quarterly").when(d.between(360, 370), "yearly")
-    return step.agg(F.coalesce(name, F.concat(F.lit("every_"), F.floor(d).cast("string"), F.lit("_days"))).alias("frequency"))
+    gap = quantiles(step, {"gap": F.col("gap")}, [0.5])["gap"]
+    return df.sparkSession.createDataFrame([(grid_name(gap[0] if gap else None),)], "frequency string")
+
+
+def grid_name(gap: float | None) -> str:
+    """The name of a median gap in microseconds; without a gap, unknown. Above 36 hours, whole days count."""
+    if gap is None:
+        return "unknown"
+    hours = gap / 3.6e9
+    days = math.floor(hours / 24)
+    if hours <= 36:
+        return "hourly" if hours <= 1.5 else "daily"
+    named = {"weekly": (5, 8), "monthly": (25, 32), "quarterly": (85, 95), "yearly": (360, 370)}
+    return next((k for k, (low, high) in named.items() if low <= days <= high), f"every_{days}_days")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

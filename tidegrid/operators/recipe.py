@@ -37,14 +37,16 @@ def _fix(issue: Column) -> Column:
 
 
 def default_recipe(profile: DataFrame, timestamp_col: str | None, period: int) -> DataFrame:
-    has_ts = F.lit(timestamp_col is not None)
-    missing = F.when(F.col("null_pct") <= 0, "none").when(has_ts, "interpolate").otherwise("forward_fill")
+    """profile (of diagnose.facts()) -> a recipe; a constant column is dropped and nothing else is done to it."""
+    has_ts, live = F.lit(timestamp_col is not None), ~F.col("constant")
+    missing = F.when(live & (F.col("null_pct") > 0), F.when(has_ts, "interpolate").otherwise("forward_fill")).otherwise("none")
+    outlier = outlier_choice(F.coalesce("any_outlier", F.lit(False)), has_ts, F.col("n"), F.lit(period))
     return profile.select(
         "col",
         missing.alias("missing_strategy"),
-        outlier_choice(F.coalesce("any_outlier", F.lit(False)), has_ts, F.col("n"), F.lit(period)).alias("outlier_strategy"),
-        _fix(F.col("issue")).alias("type_fix"),
-        F.when(F.col("constant"), "drop").otherwise("keep").alias("action"),
+        F.when(live, outlier).otherwise("keep").alias("outlier_strategy"),
+        F.when(live, _fix(F.col("issue"))).otherwise("none").alias("type_fix"),
+        F.when(live, "keep").otherwise("drop").alias("action"),
     )
 
 
@@ -80,13 +82,13 @@ def forced_type_fix(recipe: DataFrame, issues: DataFrame) -> DataFrame:
     return recipe.join(issues.select("col", "issue"), "col", "left").withColumn("type_fix", fix).drop("issue")
 
 
-def options(grids: DataFrame, user_timestamp: str | None = None) -> DataFrame:
-    """grids (col, frequency, pos) -> timestamp_col, frequency, period, sort_by_timestamp; a user's choice wins."""
+def options(grids: DataFrame, user_timestamp: str | None = None, duplicates: int = 0) -> DataFrame:
+    """grids (col, frequency, pos) -> timestamp_col, frequency, period, sort_by_timestamp, drop_duplicates; a user's choice wins."""
     from tidegrid.operators.diagnose import pick_timestamp
 
     name = pick_timestamp(grids).select(F.coalesce(F.nullif(F.lit(user_timestamp or ""), F.lit("")), "timestamp_col").alias("timestamp_col"))
     out = name.join(grids.select(F.col("col").alias("timestamp_col"), "frequency"), "timestamp_col", "left")
-    return out.select("timestamp_col", F.coalesce("frequency", F.lit("unknown")).alias("frequency"), period_of(F.col("frequency")).cast("long").alias("period"), F.col("timestamp_col").isNotNull().alias("sort_by_timestamp"))
+    return out.select("timestamp_col", F.coalesce("frequency", F.lit("unknown")).alias("frequency"), period_of(F.col("frequency")).cast("long").alias("period"), F.col("timestamp_col").isNotNull().alias("sort_by_timestamp"), F.lit(duplicates > 0).alias("drop_duplicates"))
 
 
 def sanitized(recipe: DataFrame, profile: DataFrame, timestamp_col: str | None) -> DataFrame:
@@ -95,10 +97,10 @@ def sanitized(recipe: DataFrame, profile: DataFrame, timestamp_col: str | None)
     empty = F.coalesce(F.col("null_pct") >= DEFAULT.drop_null_pct, F.lit(False))
     is_ts = F.col("col") == F.lit(timestamp_col or "")
     text = F.col("dtype_raw") == "string"
-    fix = F.when(empty, F.col("type_fix")).when(text & (F.col("dtype_inferred") == "numeric"), "cast_numeric").when(text & (F.col("dtype_inferred") == "datetime"), "parse_datetime").otherwise(F.col("type_fix"))
+    fix = F.when(empty | (F.col("type_fix") != "none"), F.col("type_fix")).when(text & (F.col("dtype_inferred") == "numeric"), "cast_numeric").when(text & (F.col("dtype_inferred") == "datetime"), "parse_datetime").otherwise(F.col("type_fix"))
     justified = F.col("constant") | (F.col("distinct_pct") >= DEFAULT.identifier_pct) | is_audit(F.col("col"))
     action = F.when(empty, "drop").when(is_ts, "keep").when((F.col("action") == "drop") & ~justified, "keep").otherwise(F.col("action"))
-    numeric = F.col("dtype_inferred") == "numeric"
+    numeric = (F.col("dtype_inferred") == "numeric") | (fix == "cast_numeric")
     missing = F.when(empty, F.col("missing_strategy")).when(is_ts, "drop_row").when(~numeric & F.col("missing_strategy").isin("interpolate", "mean_fill", "median_fill"), "forward_fill").otherwise(F.col("missing_strategy"))
     flat = (F.col("iqr") == 0) | (F.col("zero_pct") >= DEFAULT.zero_pct)
     outlier = F.when(empty, F.col("outlier_strategy")).when(is_ts, "keep").when(F.col("outlier_strategy").isin(*_IQR_FAMILY) & F.coalesce(flat, F.lit(False)), "keep").otherwise(F.col("outlier_strategy"))

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from tidegrid.functions import expressions as ex
 from tidegrid.operators import clean, diagnose, gate, ordering, profile, recipe
 from tidegrid.sources import readers
+from tidegrid.sources.scratch import fresh_folder, stored
 from tidegrid.spec import SeriesSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
-SPEC, BY_KEY = SeriesSpec("ts", ("event_id",)), SeriesSpec("ts", ("event_id",))
+#: Time order, and the order in which events were stored.
+SPEC, BY_KEY = SeriesSpec("ts", ("event_id",)), SeriesSpec("event_id")
 PANEL = SeriesSpec("ts", ("event_id",), ("user_id",))
 DIRTY = """SELECT event_id, ts, user_id, event_type,
  CASE WHEN event_id % 17 = 0 OR event_id BETWEEN 100 AND 139 THEN NULL WHEN event_id % 501 = 0 THEN value * 50 ELSE value END AS v,
@@ -28,7 +30,7 @@ DIRTY = """SELECT event_id, ts, user_id, event_type,
  CASE event_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0' ELSE 'maybe' END AS flag_txt,
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS t_gap,
  'x' AS const_txt, 5.0e0 + 0.0001e0 * (event_id % 2) AS const_num FROM events"""
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 MEASURES = ["v", "v_trail", "v_zero", "const_num"]
 DUP = "SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 100 = 0"
 JOINED = "SELECT n.n_name AS nation, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name"
@@ -81,8 +83,9 @@ def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null profile of every listed table."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    return profile.union_all([profile.nulls(df).select(F.lit(t).alias("table"), "col", "null_count") for t, df in frames.items()])
+    _tables(spark, sf_dir)
+    names = [t for t in readers.listed_tables(spark) if t in TABLES]  # a session may hold views of others
+    return profile.union_all([profile.nulls(readers.table_scan(spark, t)).select(F.lit(t).alias("table"), "col", "null_count") for t in names])
 
 
 _add("src_table_scan", _scan, "SELECT * FROM nation")
@@ -111,12 +114,15 @@ _add("profile_numeric", lambda s, d: _rounded(profile.statistics(s.read.parquet(
 _on("profile_cardinality", lambda d: profile.cardinality(d, ["event_type", "flag_txt", "num_txt", "const_txt"]), _each(["event_type", "flag_txt", "num_txt", "const_txt"], "SELECT '@' AS col, count(DISTINCT @) AS distinct_count FROM d"))
 _on("profile_top_values", lambda d: profile.top_values(d, ["event_type", "flag_txt", "t_gap"]), "SELECT * FROM (SELECT col, value, count(*) AS freq, row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, value NULLS LAST) AS rank FROM (" + _each(["event_type", "flag_txt", "t_gap"], "SELECT '@' AS col, @ AS value FROM d") + ") GROUP BY col, value) WHERE rank <= 5")
 _on("profile_duplicate_rows", profile.duplicate_rows, "SELECT (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS duplicates", DUP)
-_FREQ = "WITH s AS (SELECT DISTINCT {c} AS t FROM {f}), g AS (SELECT epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t) AS gap FROM s), h AS (SELECT quantile_cont(gap, 0.5) / 3.6e9 AS h FROM g) SELECT CASE WHEN h IS NULL THEN 'unknown' WHEN h <= 1.5 THEN 'hourly' WHEN h <= 36 THEN 'daily' WHEN h / 24 BETWEEN 5 AND 8 THEN 'weekly' WHEN h / 24 BETWEEN 25 AND 32 THEN 'monthly' WHEN h / 24 BETWEEN 85 AND 95 THEN 'quarterly' WHEN h / 24 BETWEEN 360 AND 370 THEN 'yearly' ELSE 'every_' || CAST(CAST(floor(h / 24) AS BIGINT) AS VARCHAR) || '_days' END AS frequency FROM h"
+_FREQ = "WITH s AS (SELECT DISTINCT {c} AS t FROM {f}), g AS (SELECT epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t) AS gap FROM s), h AS (SELECT quantile_cont(gap, 0.5) / 3.6e9 AS h FROM g) SELECT CASE WHEN h IS NULL THEN 'unknown' WHEN h <= 1.5 THEN 'hourly' WHEN h <= 36 THEN 'daily' WHEN floor(h / 24) BETWEEN 5 AND 8 THEN 'weekly' WHEN floor(h / 24) BETWEEN 25 AND 32 THEN 'monthly' WHEN floor(h / 24) BETWEEN 85 AND 95 THEN 'quarterly' WHEN floor(h / 24) BETWEEN 360 AND 370 THEN 'yearly' ELSE 'every_' || CAST(CAST(floor(h / 24) AS BIGINT) AS VARCHAR) || '_days' END AS frequency FROM h"
 _GRIDS = {"ts_frequency": ("l_shipdate", "lineitem"), "ts_frequency_events": ("ts", "events")}
 for _n, (_c, _f) in _GRIDS.items():
     _add(_n, lambda s, d, c=_c, f=_f: profile.frequency(s.read.parquet(f"{d}/{f}.parquet"), c), _FREQ.format(c=_c, f=_f))
 for _unit in ("week", "month", "quarter", "year"):
     _add(f"ts_frequency_{_unit}", lambda s, d, u=_unit: profile.frequency(_sql(s, d, f"SELECT date_trunc('{u}', o_orderdate) AS t FROM orders"), "t"), _FREQ.format(c="t", f=f"(SELECT date_trunc('{_unit}', o_orderdate) AS t FROM orders)"))
+_EIGHT = "SELECT TIMESTAMP '2024-01-01' + event_id * INTERVAL '{h}' HOUR AS t FROM events"
+for _n, _h in (("week_and_half_day", 204), ("third_day", 72)):  # 8.5 days count as 8
+    _add(f"ts_frequency_{_n}", lambda s, d, h=_h: profile.frequency(_sql(s, d, _EIGHT.format(h=h)), "t"), _FREQ.format(c="t", f=f"({_EIGHT.format(h=_h)})"))
 _add("catalog_null_profile", _catalog, " UNION ALL ".join(f"""SELECT '{t}' AS "table", col, null_count FROM (UNPIVOT (SELECT count(*) - count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME col VALUE null_count)""" for t in TABLES))
 
 # Diagnosis ---------------------------------------------------------------------------------------
@@ -125,7 +131,7 @@ _GAPPED = ["v", "v_trail", "v_block", "v_zero"]
 
 
 def _patterns(d: DataFrame) -> DataFrame:
-    return profile.union_all([diagnose.missing_pattern(d, c, SPEC).withColumn("col", F.lit(c)) for c in _GAPPED])
+    return diagnose.missing_pattern(d, _GAPPED, SPEC)
 
 
 _PATTERN = _each(_GAPPED, f"""SELECT '@' AS col, n, null_count, max_run, CASE WHEN null_count = 0 THEN 'none' WHEN max_run > 0.4 * null_count THEN 'block' WHEN tail_nulls > 0.5 * tail THEN 'trailing' ELSE 'random' END AS pattern
@@ -136,22 +142,79 @@ _OUT = _each(MEASURES, """SELECT '@' AS col, coalesce(round(count(*) FILTER (WHE
  coalesce(round(count(*) FILTER (WHERE mad > 0 AND abs(@ - md) > 3 * mad) * 100.0e0 / count(@), 6), 0) AS mad_pct
  FROM d, (SELECT avg(@) AS m, stddev_samp(@) AS s, quantile_cont(@, 0.5) AS md, quantile_cont(@, 0.25) AS q1, quantile_cont(@, 0.75) AS q3 FROM d),
  (SELECT quantile_cont(abs(@ - (SELECT quantile_cont(@, 0.5) FROM d)), 0.5) AS mad FROM d)""")
-_on("missing_max_run", lambda d: ordering.longest_null_run(d, "v", SPEC).select(F.col("max_run").cast("long").alias("max_run")), f"SELECT CAST({_RUN.replace('@', 'v')} AS BIGINT) AS max_run")
+_on("missing_max_run", lambda d: ordering.null_runs(d, ["v"], SPEC).select("max_run"), f"SELECT CAST({_RUN.replace('@', 'v')} AS BIGINT) AS max_run")
 _on("missing_pattern", _patterns, _PATTERN)
 for _i, _m in enumerate(("iqr_pct", "zscore_pct", "mad_pct")):
     _on("outlier_" + _m.removesuffix("_pct"), lambda d, m=_m: diagnose.outliers_global(d, MEASURES).select("col", m), f"SELECT col, {_m} FROM ({_OUT})")
 _W = "(ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)"
-_on("outlier_temporal", lambda d: diagnose.outliers_temporal(d, "v", SPEC, 24), f"SELECT round(count(*) FILTER (WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) * 100.0e0 / count(*), 6) AS temporal_pct FROM (SELECT v, quantile_cont(v, 0.25) OVER {_W} AS a, quantile_cont(v, 0.75) OVER {_W} AS b FROM d WHERE v IS NOT NULL)")
+_on("outlier_temporal", lambda d: diagnose.outliers_temporal(d, "v", SPEC, 24).select("temporal_pct"), f"SELECT round(count(*) FILTER (WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) * 100.0e0 / count(*), 6) AS temporal_pct FROM (SELECT v, quantile_cont(v, 0.25) OVER {_W} AS a, quantile_cont(v, 0.75) OVER {_W} AS b FROM d WHERE v IS NOT NULL)")
 _on("rolling_quartiles", lambda d: _rounded(ordering.rolling(d.select("event_id", "ts", "value"), SPEC, 24, q1=F.percentile("value", 0.25), q3=F.percentile("value", 0.75)).select("event_id", "q1", "q3")), f"SELECT event_id, round(quantile_cont(value, 0.25) OVER {_W}, 6) AS q1, round(quantile_cont(value, 0.75) OVER {_W}, 6) AS q3 FROM d", "SELECT * FROM events")
-_INT = "SELECT 'hourly' AS frequency, (SELECT coalesce(bool_and(ts >= p), true) FROM (SELECT ts, lag(ts) OVER (ORDER BY ts, event_id) AS p FROM d) WHERE p IS NOT NULL) AS is_monotonic, count(*) - count(DISTINCT ts) AS duplicate_timestamps, (SELECT count(*) FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) AS g FROM d) WHERE g > 5400000000) AS gap_count FROM d"
-_GAP = "SELECT * FROM events WHERE event_id NOT BETWEEN 5000 AND 5099"
-for _name, _cols, _base in (("ts_integrity", "*", _GAP), ("ts_monotonic", "is_monotonic", _GAP), ("ts_duplicates", "duplicate_timestamps", DUP), ("ts_gaps", "gap_count", _GAP)):
-    _on(_name, lambda d, c=_cols: diagnose.integrity(d, SPEC, BY_KEY).select(c), f"SELECT {_cols} FROM ({_INT.replace(chr(39) + 'hourly' + chr(39), '(' + _FREQ.format(c='ts', f='d') + ')')})", _base)
+_INT = "SELECT 'hourly' AS frequency, (SELECT coalesce(bool_and(ts >= p), true) FROM (SELECT ts, lag(ts) OVER (ORDER BY place, event_id) AS p FROM d WHERE ts IS NOT NULL) WHERE p IS NOT NULL) AS is_monotonic, count(*) - count(DISTINCT ts) AS duplicate_timestamps, (SELECT count(*) FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) AS g FROM d) WHERE g > 5400000000) AS gap_count FROM d"
+_GAP = "SELECT *, event_id AS place FROM events WHERE event_id NOT BETWEEN 5000 AND 5099"
+_DUP_PLACED = f"SELECT *, event_id AS place FROM ({DUP})"
+_SHUFFLED = "SELECT *, event_id * 7919 % 10000 AS place FROM events"
+STORED = SeriesSpec("place", ("event_id",))
+for _name, _cols, _base in (("ts_integrity", "*", _GAP), ("ts_monotonic", "is_monotonic", _GAP), ("ts_monotonic_shuffled", "is_monotonic", _SHUFFLED), ("ts_integrity_shuffled", "*", _SHUFFLED), ("ts_duplicates", "duplicate_timestamps", _DUP_PLACED), ("ts_gaps", "gap_count", _GAP)):
+    _on(_name, lambda d, c=_cols: diagnose.integrity(d, SPEC, STORED).select(c), f"SELECT {_cols} FROM ({_INT.replace(chr(39) + 'hourly' + chr(39), '(' + _FREQ.format(c='ts', f='d') + ')')})", _base)
+_TEXT_TS = "SELECT event_id, event_id AS place, CASE WHEN event_id % 13 = 0 THEN 'bad' ELSE CAST(ts AS STRING) END AS ts FROM events"
+_on("ts_integrity_unparsed", lambda d: diagnose.integrity(d, SPEC, STORED), "SELECT CASE WHEN ok THEN '?' ELSE 'unknown' END AS frequency, CASE WHEN ok THEN true END AS is_monotonic, CAST(0 AS BIGINT) AS duplicate_timestamps, CAST(0 AS BIGINT) AS gap_count FROM (SELECT count(try_cast(ts AS TIMESTAMP)) = count(ts) AS ok FROM d)", _TEXT_TS)
 _on("dtype_issues", profile.text_issues, f"SELECT 'date_txt' AS col, 'datetime_as_string' AS issue FROM d HAVING count(try_cast(date_txt AS TIMESTAMP)) > 0.8 * count(date_txt) AND count(*) FILTER (WHERE {_NUMBER.replace('@', 'date_txt')}) <= 0.8 * count(date_txt)")
 _on("constant_columns", lambda d: diagnose.constants(d, MEASURES, ["const_txt", "flag_txt"]), _each(MEASURES, "SELECT '@' AS col FROM d HAVING (abs(avg(@)) > 0 AND stddev_samp(@) / abs(avg(@)) < 0.001) OR (avg(@) = 0 AND stddev_samp(@) < 1e-9)") + " UNION ALL " + _each(["const_txt", "flag_txt"], "SELECT '@' FROM d HAVING count(DISTINCT @) <= 1"))
 _PROFILED = ["v", "v_zero", "flag_txt"]
 _on("column_profile", lambda d: diagnose.column_profile(d.select(*_PROFILED)), " UNION ALL ".join(f"SELECT '{c}' AS col, round((count(*) - count({c})) * 100.0e0 / count(*), 6) AS null_pct, round(count(DISTINCT {c}) * 100.0e0 / count(*), 6) AS distinct_pct, " + (f"round(count(*) FILTER (WHERE {c} = 0) * 100.0e0 / count(*), 6)" if c != "flag_txt" else "CAST(NULL AS DOUBLE)") + " AS zero_pct, " + (f"round(skewness({c}), 6)" if c != "flag_txt" else "CAST(NULL AS DOUBLE)") + " AS skew FROM d" for c in _PROFILED))
-_on("decision_payload", lambda d: diagnose.payload(_patterns(d), diagnose.outliers_global(d, MEASURES)).select("col", "kind"), f"SELECT col, 'missing' AS kind FROM ({_PATTERN}) WHERE null_count > 0 UNION ALL SELECT col, 'outliers' FROM ({_OUT}) WHERE iqr_pct > 0 OR zscore_pct > 0 OR mad_pct > 0")
+_NUMERIC = ["event_id", "user_id", "v", "v_trail", "v_block", "v_zero", "num_txt", "const_num"]
+_VALUE = {c: f"CASE WHEN {_NUMBER.replace('@', c)} THEN try_cast({c} AS DOUBLE) END" if c == "num_txt" else f"CAST({c} AS DOUBLE)" for c in _NUMERIC}
+
+
+def _fact(c: str) -> str:
+    """One row of facts about a column of the fixture d."""
+    raw = f"CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END"
+    text = f"CASE WHEN count(*) FILTER (WHERE {_NUMBER.replace('@', f'CAST({c} AS VARCHAR)')}) > 0.8 * count({c}) THEN 'numeric' WHEN count(try_cast(CAST({c} AS VARCHAR) AS TIMESTAMP)) = count({c}) THEN 'datetime' ELSE 'categorical' END"
+    kind = f"CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN {text} WHEN 'TIMESTAMP' THEN 'datetime' ELSE 'numeric' END"
+    issue = f"CASE WHEN any_value(typeof({c})) = 'VARCHAR' AND {text} = 'categorical' AND count(try_cast(CAST({c} AS VARCHAR) AS TIMESTAMP)) > 0.8 * count({c}) THEN 'datetime_as_string' END"
+    base = f"SELECT '{c}' AS col, {raw} AS dtype_raw, {kind} AS dtype_inferred, count(*) AS n, count(*) - count({c}) AS null_count, round((count(*) - count({c})) * 100.0e0 / count(*), 6) AS null_pct, round(count(DISTINCT {c}) * 100.0e0 / count(*), 6) AS distinct_pct, {issue} AS issue, count(DISTINCT {c}) <= 1 AS single FROM d"
+    pattern = f"SELECT max_run, pattern FROM ({_PATTERN_OF.replace('@', c)})"
+    if c not in _NUMERIC:
+        none = ", ".join(f"CAST(NULL AS DOUBLE) AS {x}" for x in ("zero_pct", "skew", "iqr", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct"))
+        return f"SELECT b.* EXCLUDE (single), max_run, pattern, {none}, false AS any_outlier, dtype_inferred = 'categorical' AND single AS constant FROM ({base}) b, ({pattern})"
+    v = f"(SELECT ts, event_id, {_VALUE[c]} AS x FROM d)"
+    rates = f"""SELECT round(zeros * 100.0e0 / rows, 6) AS zero_pct, skew, round(q3 - q1, 6) AS iqr, round(count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) * 100.0e0 / count(x), 6) AS iqr_pct,
+ round(count(*) FILTER (WHERE s > 0 AND abs(x - m) > 3 * s) * 100.0e0 / count(x), 6) AS zscore_pct, round(count(*) FILTER (WHERE mad > 0 AND abs(x - md) > 3 * mad) * 100.0e0 / count(x), 6) AS mad_pct,
+ coalesce((abs(m) > 0 AND s / abs(m) < 0.001) OR (m = 0 AND s < 1e-9), false) AS constant
+ FROM {v}, (SELECT count(*) AS rows, count(*) FILTER (WHERE x = 0) AS zeros, round(skewness(x), 6) AS skew, avg(x) AS m, stddev_samp(x) AS s, quantile_cont(x, 0.5) AS md, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM {v}),
+ (SELECT quantile_cont(abs(x - (SELECT quantile_cont(x, 0.5) FROM {v})), 0.5) AS mad FROM {v}) GROUP BY ALL"""
+    local = f"SELECT round(count(*) FILTER (WHERE x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) * 100.0e0 / count(*), 6) AS temporal_pct FROM (SELECT x, quantile_cont(x, 0.25) OVER {_W} AS a, quantile_cont(x, 0.75) OVER {_W} AS b FROM {v} WHERE x IS NOT NULL)"
+    return f"SELECT b.* EXCLUDE (single), max_run, pattern, r.* EXCLUDE (constant), temporal_pct, iqr_pct > 0 OR zscore_pct > 0 OR mad_pct > 0 OR temporal_pct > 0 AS any_outlier, constant FROM ({base}) b, ({pattern}), ({rates}) r, ({local})"
+
+
+_PATTERN_OF = f"""SELECT '@' AS col, n, null_count, max_run, CASE WHEN null_count = 0 THEN 'none' WHEN max_run > 0.4 * null_count THEN 'block' WHEN tail_nulls > 0.5 * tail THEN 'trailing' ELSE 'random' END AS pattern
+ FROM (SELECT count(*) AS n, count(*) - count(@) AS null_count, CAST({_RUN} AS BIGINT) AS max_run, count(*) FILTER (WHERE i > c - greatest(1, c // 10) AND @ IS NULL) AS tail_nulls, count(*) FILTER (WHERE i > c - greatest(1, c // 10)) AS tail
+ FROM (SELECT @, row_number() OVER (ORDER BY ts, event_id) AS i, count(*) OVER () AS c FROM d))"""
+_DUCK_DIRTY = f"WITH d AS MATERIALIZED ({DIRTY.replace('AS STRING', 'AS VARCHAR')}), "
+_DUCK_FACTS = _DUCK_DIRTY + f"f AS MATERIALIZED ({' UNION ALL BY NAME '.join(map(_fact, _ALL))}), "
+_known: dict[tuple[str, str], DataFrame] = {}
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts about the fixture's columns, found once in a session as a run's profile artifact is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _known:
+        _known[key] = stored(diagnose.facts(_dirty(spark, sf_dir), SPEC, 24))
+    return _known[key]
+
+
+def _reported(p: DataFrame) -> DataFrame:
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    return diagnose.payload(p).select("col", "kind", *(F.round(field(x).cast("double"), 6).alias(x) for x in ("null_pct", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct", "distinct_pct", "zero_pct", "skew")), field("max_run").cast("long").alias("max_run"), *(field(x).alias(x) for x in ("pattern", "issue", "dtype_inferred")))
+
+
+def _part(kind: str, keep: str, *names: str) -> str:
+    every = ("null_pct", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct", "distinct_pct", "zero_pct", "skew", "max_run", "pattern", "issue", "dtype_inferred")
+    return f"SELECT col, '{kind}' AS kind, " + ", ".join(x if x in names else f"NULL AS {x}" for x in every) + f" FROM f WHERE {keep}"
+
+
+_add("column_facts", _facts, _DUCK_FACTS.rstrip(", ") + " SELECT * FROM f")
+_add("decision_payload", lambda s, d: _reported(_facts(s, d)), _DUCK_FACTS.rstrip(", ") + " " + " UNION ALL ".join((_part("missing", "null_count > 0", "null_pct", "max_run", "pattern"), _part("outliers", "any_outlier", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct"), _part("profile", "true", "dtype_inferred", "null_pct", "distinct_pct", "zero_pct", "skew"), _part("issue", "issue IS NOT NULL", "issue"), _part("constant", "constant"))))
 
 
 def _grids(d: DataFrame) -> DataFrame:
@@ -162,36 +225,60 @@ def _grids(d: DataFrame) -> DataFrame:
 
 _SHIFT = "SELECT CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice) * (CASE WHEN l_shipdate >= TIMESTAMP '1997-01-01' THEN 1.6e0 ELSE 1e0 END) * (CASE WHEN l_shipdate >= TIMESTAMP '1999-06-01' THEN 0.5e0 ELSE 1e0 END) AS y FROM lineitem GROUP BY l_shipdate"
 _on("pick_timestamp", lambda d: diagnose.pick_timestamp(_grids(d)), f"SELECT CASE WHEN ({_FREQ.format(c='ts', f='d')}) IN ('hourly', 'daily') THEN 'ts' ELSE 'day' END AS timestamp_col", "SELECT * FROM events")
-_CENTRED = "WITH c AS (SELECT d, y - avg(y) OVER () AS y, count(*) OVER () AS n, var_samp(y) OVER () AS var FROM ({q})), p AS (SELECT d, n, var, row_number() OVER (ORDER BY d) AS i, sum(y) OVER (ORDER BY d) AS s, sum(y) OVER () AS t FROM c), g AS (SELECT *, s * s / i + (t - s) * (t - s) / (n - i) - t * t / n AS gain FROM p WHERE i < n) SELECT CAST(d AS VARCHAR) AS break_at, CAST(1 AS BIGINT) AS round FROM g WHERE n >= 50 AND gain > ln(n) * var ORDER BY gain DESC, d DESC LIMIT 1"
+_CENTRED = "WITH c AS (SELECT d, y - avg(y) OVER () AS y, count(*) OVER () AS n, CASE WHEN var_pop(y) OVER () = 0 THEN 1 ELSE var_pop(y) OVER () END AS var FROM ({q})), p AS (SELECT d, n, var, row_number() OVER (ORDER BY d) AS i, sum(y) OVER (ORDER BY d) AS s, sum(y) OVER () AS t FROM c), g AS (SELECT *, s * s / i + (t - s) * (t - s) / (n - i) - t * t / n AS gain FROM p WHERE i < n) SELECT CAST(d AS VARCHAR) AS break_at, CAST(1 AS BIGINT) AS round FROM g WHERE n >= 50 AND gain > ln(n) * var ORDER BY gain DESC, d DESC LIMIT 1"
 _add("structural_break", lambda s, d: diagnose.breaks(_sql(s, d, _SHIFT), "d", "y", 1).select(F.col("break_at").cast("string").alias("break_at"), "round"), _CENTRED.format(q=_SHIFT))
-_add("structural_breaks_all", lambda s, d: diagnose.breaks(_sql(s, d, _SHIFT), "d", "y").select(F.col("break_at").cast("string").alias("break_at"), "round"))
+
+
+def _rounds(q: str, rounds: int) -> str:
+    """Binary segmentation written out for so many rounds; more than the data need."""
+    out = f"WITH c0 AS (SELECT d, y - avg(y) OVER () AS y, ln(count(*) OVER ()) * var_pop(y) OVER () AS bar, count(*) OVER () AS n, '' AS seg FROM ({q}))"
+    for k in range(1, rounds + 1):
+        out += f""", g{k} AS (SELECT *, CASE WHEN i < m THEN s * s / i + (t - s) * (t - s) / (m - i) - t * t / m END AS gain FROM (SELECT *, row_number() OVER u AS i, sum(y) OVER u AS s, count(*) OVER w AS m, sum(y) OVER w AS t FROM c{k - 1} WHERE n >= 50 WINDOW u AS (PARTITION BY seg ORDER BY d), w AS (PARTITION BY seg))),
+ b{k} AS (SELECT seg, max_by(d, gain) AS break_at FROM g{k} WHERE gain > bar GROUP BY seg), c{k} AS (SELECT c.d, c.y, c.bar, c.n, c.seg || CASE WHEN c.d > b.break_at THEN 'r' ELSE 'l' END AS seg FROM c{k - 1} c JOIN b{k} b ON b.seg = c.seg)"""
+    return out + " " + " UNION ALL ".join(f"SELECT CAST(break_at AS VARCHAR) AS break_at, CAST({k} AS BIGINT) AS round FROM b{k}" for k in range(1, rounds + 1))
+
+
+_add("structural_breaks_all", lambda s, d: diagnose.breaks(_sql(s, d, _SHIFT), "d", "y").select(F.col("break_at").cast("string").alias("break_at"), "round"), _rounds(_SHIFT, 6))
 
 # Recipe ------------------------------------------------------------------------------------------
 
 
-def _facts(c: str, kind: str, raw: str) -> str:
-    num = raw != "string"
-    stat = (lambda x: x) if num else (lambda x: "CAST(NULL AS DOUBLE)")
-    iqr = stat(f"@Q({c}, 0.75) - @Q({c}, 0.25)")
-    issue = {"date_txt": "'datetime_as_string'", "num_txt": "CAST(NULL AS STRING)"}.get(c, "CAST(NULL AS STRING)")
-    still = f"count(DISTINCT {c}) <= 1" if not num else f"coalesce(stddev_samp({c}) / abs(avg({c})) < 0.001, false)"
-    return f"SELECT '{c}' AS col, '{raw}' AS dtype_raw, '{kind}' AS dtype_inferred, count(*) AS n, (count(*) - count({c})) * 100.0e0 / count(*) AS null_pct, count(DISTINCT {c}) * 100.0e0 / count(*) AS distinct_pct, {stat(f'sum(CASE WHEN {c} = 0 THEN 1 ELSE 0 END) * 100.0e0 / count(*)')} AS zero_pct, {iqr} AS iqr, {stat(f'stddev_samp({c}) / 10')} AS skew, {'true' if c == 'v' else 'false'} AS any_outlier, {stat('0.5e0')} AS temporal_pct, {stat('2.0e0')} AS iqr_pct, {issue} AS issue, {still} AS constant FROM d"
+def _default_sql(ts: bool, period: int) -> str:
+    outlier = f"CASE WHEN NOT any_outlier OR constant THEN 'keep' WHEN n >= {2 * period} THEN 'stl_residuals' WHEN n >= 30 THEN 'rolling_iqr' ELSE 'clip_iqr' END" if ts else "CASE WHEN NOT any_outlier OR constant THEN 'keep' ELSE 'clip_iqr' END"
+    return f"SELECT col, CASE WHEN constant OR null_pct <= 0 THEN 'none' ELSE '{'interpolate' if ts else 'forward_fill'}' END AS missing_strategy, {outlier} AS outlier_strategy, CASE WHEN constant THEN 'none' WHEN issue = 'numeric_as_string' THEN 'cast_numeric' WHEN issue = 'datetime_as_string' THEN 'parse_datetime' ELSE 'none' END AS type_fix, CASE WHEN constant THEN 'drop' ELSE 'keep' END AS action FROM f"
 
 
-_FACTS = " UNION ALL ".join(_facts(*x) for x in (("event_id", "numeric", "bigint"), ("v", "numeric", "double"), ("v_block", "numeric", "double"), ("v_zero", "numeric", "double"), ("num_txt", "numeric", "string"), ("date_txt", "categorical", "string"), ("t_gap", "categorical", "string"), ("const_txt", "categorical", "string"), ("const_num", "numeric", "double")))
-_SPARK_FACTS = f"WITH d AS ({DIRTY}) {_FACTS.replace('@Q', 'percentile')}"
-_DUCK_FACTS = f"WITH d AS MATERIALIZED ({DIRTY.replace('AS STRING', 'AS VARCHAR')}), f AS ({_FACTS.replace('@Q', 'quantile_cont').replace('AS STRING', 'AS VARCHAR')}), "
-_DEFAULT = "r AS (SELECT col, CASE WHEN null_pct <= 0 THEN 'none' ELSE 'interpolate' END AS missing_strategy, CASE WHEN NOT any_outlier THEN 'keep' WHEN n >= 48 THEN 'stl_residuals' WHEN n >= 30 THEN 'rolling_iqr' ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN issue = 'numeric_as_string' THEN 'cast_numeric' WHEN issue = 'datetime_as_string' THEN 'parse_datetime' ELSE 'none' END AS type_fix, CASE WHEN constant THEN 'drop' ELSE 'keep' END AS action FROM f) "
+_DEFAULT = f"r AS ({_default_sql(True, 24)}) "
+#: Timestamp or none, and season lengths at which each branch of the outlier choice is reached; the last has few rows.
+_CASES = {"ts": ("ts", 24), "none": (None, 24), "season": ("ts", 1_000_000), "short": ("ts", 24)}
+
+
+def _cases(made: Callable[[DataFrame, str | None, int], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    def query(p: DataFrame) -> DataFrame:
+        few = p.withColumn("n", F.lit(20).cast("long"))
+        return profile.union_all([made(few if k == "short" else p, *case).withColumn("case", F.lit(k)) for k, case in _CASES.items()])
+
+    return query
+
+
+def _cases_sql(made: Callable[[str, str | None, int], str]) -> str:
+    return " UNION ALL ".join(f"SELECT *, '{k}' AS \"case\" FROM ({made('(SELECT * REPLACE (20 AS n) FROM f)' if k == 'short' else 'f', *case)})" for k, case in _CASES.items())
 
 
 def _recipe(name: str, made: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    _add(name, lambda s, d: made(_sql(s, d, _SPARK_FACTS)), _DUCK_FACTS + _DEFAULT + sql)
+    _add(name, lambda s, d: made(_facts(s, d)), _DUCK_FACTS + _DEFAULT + sql)
 
 
 def _default(p: DataFrame) -> DataFrame:
     return recipe.default_recipe(p, "ts", 24)
 
 
+def _evidence_sql(f: str, ts: str | None, period: int) -> str:
+    local = f"CASE WHEN n >= {2 * period} THEN 'stl_residuals' ELSE 'rolling_iqr' END"
+    fill = "CASE WHEN constant THEN 'none' ELSE 'interpolate' END" if ts else "CASE WHEN dtype_inferred = 'numeric' AND abs(skew) > 1 THEN 'median_fill' WHEN dtype_inferred = 'numeric' THEN 'mean_fill' ELSE 'forward_fill' END"
+    return f"""SELECT col, CASE WHEN null_pct <= 0 THEN 'none' WHEN null_pct < 1 THEN 'drop_row' ELSE {fill} END AS missing_strategy,
+ CASE WHEN NOT any_outlier OR constant OR zero_pct > 50 THEN 'keep' WHEN temporal_pct IS NULL THEN 'clip_iqr' WHEN temporal_pct * 2 <= iqr_pct THEN {local} ELSE 'clip_iqr' END AS outlier_strategy,
+ CASE WHEN null_pct >= 95 OR (distinct_pct >= 99 AND col <> '{ts or ''}') OR constant THEN 'drop' ELSE 'keep' END AS action FROM {f}"""
 
 
 def _swapped(r: DataFrame) -> DataFrame:
@@ -199,14 +286,35 @@ def _swapped(r: DataFrame) -> DataFrame:
 
 
 _recipe("recipe_default", _default, "SELECT * FROM r")
-_recipe("recipe_outlier_choice", lambda p: _default(p).select("col", "outlier_strategy"), "SELECT col, outlier_strategy FROM r")
-_recipe("recipe_evidence", lambda p: recipe.evidence_recipe(p, "ts", 24).select("col", "outlier_strategy", "action"), "SELECT r.col, CASE WHEN outlier_strategy = 'keep' OR zero_pct > 50 THEN 'keep' WHEN temporal_pct IS NULL THEN 'clip_iqr' WHEN temporal_pct * 2 <= iqr_pct THEN CASE WHEN n >= 48 THEN 'stl_residuals' ELSE 'rolling_iqr' END ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN null_pct >= 95 OR distinct_pct >= 99 THEN 'drop' ELSE action END AS action FROM r JOIN f ON r.col = f.col")
+_recipe("recipe_outlier_choice", _cases(lambda p, ts, period: recipe.default_recipe(p, ts, period).select("col", "missing_strategy", "outlier_strategy")), _cases_sql(lambda f, ts, period: f"SELECT col, missing_strategy, outlier_strategy FROM ({_default_sql(ts is not None, period).replace(' FROM f', ' FROM ' + f)})"))
+#: Few nulls, nearly none but nulls, and a zero-inflated column, for the branches that the fixture itself doesn't reach.
+_TURNED = {"null_pct": {"v_trail": 0.5, "t_gap": 96.0}, "zero_pct": {"v_zero": 60.0}, "temporal_pct": {"v": 0.001}}
+
+
+def _turned(p: DataFrame) -> DataFrame:
+    for field, values in _TURNED.items():
+        p = p.withColumn(field, F.coalesce(*(F.when(F.col("col") == c, F.lit(x)) for c, x in values.items()), F.col(field)))
+    return p
+
+
+_TURN = "(SELECT * REPLACE (" + ", ".join("CASE col " + " ".join(f"WHEN '{c}' THEN {x}e0" for c, x in values.items()) + f" ELSE {field} END AS {field}" for field, values in _TURNED.items()) + ") FROM {f})"
+_recipe("recipe_evidence", lambda p: _cases(lambda q, ts, period: recipe.evidence_recipe(q, ts, period).select("col", "missing_strategy", "outlier_strategy", "action"))(_turned(p)), _cases_sql(lambda f, ts, period: _evidence_sql(_TURN.format(f=f), ts, period)))
 _recipe("recipe_normalize", lambda p: recipe.normalized(_swapped(_default(p))), "SELECT * FROM r")
 _recipe("recipe_fill_missing_cols", lambda p: recipe.filled(_default(p).where("col <> 'v'"), p), "SELECT f.col, coalesce(missing_strategy, 'none') AS missing_strategy, coalesce(outlier_strategy, 'keep') AS outlier_strategy, coalesce(type_fix, 'none') AS type_fix, coalesce(action, 'keep') AS action FROM f LEFT JOIN (SELECT * FROM r WHERE col <> 'v') r ON r.col = f.col")
 _recipe("recipe_force_typefix", lambda p: recipe.forced_type_fix(_default(p).withColumn("type_fix", F.lit("none")), p).select("col", "type_fix"), "SELECT col, type_fix FROM r")
-_recipe("recipe_sanitize", lambda p: recipe.sanitized(_default(p).withColumn("outlier_strategy", F.lit("clip_iqr")).withColumn("action", F.lit("drop")), p, "ts"), "SELECT r.col, CASE WHEN dtype_inferred <> 'numeric' AND missing_strategy = 'interpolate' THEN 'forward_fill' ELSE missing_strategy END AS missing_strategy, CASE WHEN coalesce(iqr = 0 OR zero_pct >= 50, false) THEN 'keep' ELSE 'clip_iqr' END AS outlier_strategy, CASE WHEN dtype_raw = 'string' AND dtype_inferred = 'numeric' THEN 'cast_numeric' ELSE type_fix END AS type_fix, CASE WHEN constant OR distinct_pct >= 99 THEN 'drop' ELSE 'keep' END AS action FROM r JOIN f ON r.col = f.col")
+
+
+def _harsh(p: DataFrame) -> DataFrame:
+    """A recipe that drops everything, clips everything and averages what is missing."""
+    return _default(p).withColumns({"outlier_strategy": F.lit("clip_iqr"), "action": F.when(F.col("col") == "v_trail", "keep").otherwise("drop"), "missing_strategy": F.when(F.col("missing_strategy") == "none", "none").otherwise("mean_fill"), "type_fix": F.when(F.col("col") == "flag_txt", "encode_boolean").otherwise(F.col("type_fix"))})
+
+
+_recipe("recipe_sanitize", lambda p: recipe.sanitized(_harsh(_turned(p)), _turned(p), "ts"), f"""SELECT col, CASE WHEN null_pct >= 95 THEN m WHEN col = 'ts' THEN 'drop_row' WHEN m = 'mean_fill' AND dtype_inferred <> 'numeric' AND t <> 'cast_numeric' THEN 'forward_fill' ELSE m END AS missing_strategy,
+ CASE WHEN null_pct >= 95 THEN 'clip_iqr' WHEN col = 'ts' OR coalesce(iqr = 0 OR zero_pct >= 50, false) THEN 'keep' ELSE 'clip_iqr' END AS outlier_strategy, t AS type_fix,
+ CASE WHEN null_pct >= 95 THEN 'drop' WHEN col IN ('ts', 'v_trail') THEN 'keep' WHEN constant OR distinct_pct >= 99 THEN 'drop' ELSE 'keep' END AS action
+ FROM (SELECT f.*, CASE WHEN constant OR null_pct <= 0 THEN 'none' ELSE 'mean_fill' END AS m, CASE WHEN col = 'flag_txt' THEN 'encode_boolean' WHEN issue = 'datetime_as_string' AND NOT constant THEN 'parse_datetime' WHEN null_pct < 95 AND dtype_raw = 'string' AND dtype_inferred = 'numeric' THEN 'cast_numeric' ELSE 'none' END AS t FROM {_TURN.format(f='f')} f)""")
 _recipe("recipe_audit_cols", lambda p: p.select("col", recipe.is_audit(F.concat("col", F.when(F.col("col") == "v", "_Updated_at").otherwise(""))).alias("audit")), "SELECT col, col = 'v' AS audit FROM f")
-_on("recipe_period", lambda d: recipe.options(_grids(d), "week"), "SELECT 'week' AS timestamp_col, f AS frequency, CAST(CASE f WHEN 'weekly' THEN 52 WHEN 'daily' THEN 7 ELSE 7 END AS BIGINT) AS period, true AS sort_by_timestamp FROM (SELECT (" + _FREQ.format(c="t", f="(SELECT date_trunc('week', ts) AS t FROM d)") + ") AS f)", "SELECT * FROM events")
+_on("recipe_period", lambda d: recipe.options(_grids(d), "week"), "SELECT 'week' AS timestamp_col, f AS frequency, CAST(CASE f WHEN 'weekly' THEN 52 WHEN 'daily' THEN 7 ELSE 7 END AS BIGINT) AS period, true AS sort_by_timestamp, false AS drop_duplicates FROM (SELECT (" + _FREQ.format(c="t", f="(SELECT date_trunc('week', ts) AS t FROM d)") + ") AS f)", "SELECT * FROM events")
 
 # Cleaning ----------------------------------------------------------------------------------------
 _VQ = "(SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.015) AS lo, quantile_cont(v, 0.985) AS hi, avg(v) AS m, quantile_cont(v, 0.5) AS md FROM d)"
@@ -219,8 +327,8 @@ def _clean(name: str, made: Callable[[DataFrame], DataFrame], value: str, source
 _clean("clean_winsorize", lambda d: clean.winsorize(d, "v"), "CASE WHEN v IS NOT NULL THEN greatest(lo, least(hi, v)) END")
 _clean("clean_clip_iqr", lambda d: clean.clip_iqr(d, "v"), "CASE WHEN v IS NOT NULL THEN greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), v)) END")
 _clean("clean_log1p", lambda d: clean.log_transform(d, "v"), "CASE WHEN v IS NOT NULL THEN ln(1 + greatest(v, 0)) END", "d")
-_clean("clean_mean_fill", lambda d: clean.fill_with(d, "v", "mean"), "coalesce(v, m)")
-_clean("clean_median_fill", lambda d: clean.fill_with(d, "v", "median"), "coalesce(v, md)")
+_clean("clean_mean_fill", lambda d: clean.fill_with(d, "mean", "v"), "coalesce(v, m)")
+_clean("clean_median_fill", lambda d: clean.fill_with(d, "median", "v"), "coalesce(v, md)")
 _clean("clean_remove_outliers", lambda d: clean.drop_rows(d, [clean.outlier_mask(d, "v")]), "v", f"d, {_VQ} WHERE NOT coalesce(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), false)")
 _clean("clean_ffill", lambda d: clean.fill(d, "v", SPEC, "forward"), "last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "d")
 _clean("clean_ffill_panel", lambda d: clean.fill(d, "v", PANEL, "forward"), "last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "d")
@@ -245,7 +353,10 @@ _on("clean_cast_numeric", lambda d: d.select("event_id", ex.number("num_txt").al
 _on("clean_encode_boolean", lambda d: d.select("event_id", ex.boolean("flag_txt").alias("b")), "SELECT event_id, CASE WHEN lower(flag_txt) IN ('yes', 'true', '1') THEN true WHEN lower(flag_txt) IN ('no', 'false', '0') THEN false END AS b FROM d")
 _on("clean_drop_rows", lambda d: clean.drop_rows(d, [F.col("v").isNull(), F.col("v_zero") == 0]).select("event_id"), "SELECT event_id FROM d WHERE v IS NOT NULL AND NOT coalesce(v_zero = 0, false)")
 _on("clean_dedupe", lambda d: d.dropDuplicates(), "SELECT DISTINCT * FROM d", DUP)
-_on("clean_sort", lambda d: d.where("ts is not null").orderBy("ts", "event_id").select("event_id", "ts"), "SELECT event_id, ts FROM d ORDER BY ts, event_id")
+_on("clean_sort", lambda d: clean.sorted_by_time(d, SPEC).select("event_id", "ts"), "SELECT event_id, ts FROM d ORDER BY ts, event_id")
+_on("clean_sort_text", lambda d: clean.sorted_by_time(d.select("event_id", "date_txt"), SeriesSpec("date_txt", ("event_id",))).select("event_id", F.col("date_txt").cast("timestamp_ntz").alias("t")), "SELECT event_id, try_cast(date_txt AS TIMESTAMP) AS t FROM d WHERE try_cast(date_txt AS TIMESTAMP) IS NOT NULL")
+_NULL_TS = DIRTY.replace("SELECT event_id, ts,", "SELECT event_id, CASE WHEN event_id % 50 = 7 THEN NULL ELSE ts END AS ts,")
+_on("clean_interpolate_null_ts", lambda d: _rounded(clean.interpolate(d, "v", SPEC).select("event_id", "v")), f"SELECT event_id, round({_BETWEEN}, 6) AS v FROM {_LINEAR.format(x='row_number() OVER (ORDER BY ts NULLS FIRST, event_id)').replace('ORDER BY ts, event_id ROWS', 'ORDER BY ts NULLS FIRST, event_id ROWS')}", _NULL_TS)
 _on("clean_snapshot", lambda d: clean.snapshot(d.select("v", "v_zero", "flag_txt")), "SELECT 'flag_txt' AS col, 0.0e0 AS null_pct, CAST(NULL AS DOUBLE) AS std UNION ALL " + _each(["v", "v_zero"], "SELECT '@', round((count(*) - count(@)) * 100.0e0 / count(*), 6), round(stddev_samp(@), 6) FROM d"))
 _LOSSY = "event_id % 5 <> 0"
 _on("clean_report", lambda d: clean.report(d, d.where(_LOSSY).drop("const_txt")), f"SELECT count(*) AS rows_before, count(*) FILTER (WHERE {_LOSSY}) AS rows_after, count(*) FILTER (WHERE NOT {_LOSSY}) AS rows_removed, round(count(*) FILTER (WHERE NOT {_LOSSY}) * 100.0e0 / count(*), 6) AS loss_pct, 'const_txt' AS dropped_columns FROM d")
@@ -273,10 +384,10 @@ _CHECKS = {
     "row_loss": "SELECT 'row_loss' AS \"check\", (SELECT count(*) FROM d) - count(*) <= 0.15 * (SELECT count(*) FROM d) AS passed, 'blocking' AS severity, CAST((SELECT count(*) FROM d) - count(*) AS VARCHAR) AS detail FROM a",
     "series_length": "SELECT 'series_length', count(*) >= 30, 'blocking', CAST(count(*) AS VARCHAR) FROM a",
     "null_regression": "SELECT 'no_null_regression', NOT w, 'blocking', CASE WHEN w THEN 'v' ELSE '' END FROM (SELECT (SELECT (count(*) - count(v)) * 100.0e0 / count(*) FROM a) - (SELECT (count(*) - count(v)) * 100.0e0 / count(*) FROM d) > 0.1 AS w)",
-    "variance": "SELECT 'numeric_variance', false, 'blocking', 'v_zero'",
+    "variance": "SELECT 'numeric_variance', w = '', 'blocking', w FROM (SELECT CASE WHEN (SELECT stddev_samp(v_zero) FROM d) > 0 AND (SELECT stddev_samp(v_zero) FROM a) = 0 THEN 'v_zero' ELSE '' END AS w)",
     "ts_nulls": "SELECT 'timestamp_nulls', count(*) = count(ts), 'blocking', CAST(count(*) - count(ts) AS VARCHAR) FROM a",
-    "forecastable": "SELECT 'forecastable_columns', true, 'blocking', '2'",
-    "monotonic": "SELECT 'timestamp_monotonic', count(*) = 0, 'blocking', CAST(count(*) AS VARCHAR) FROM (SELECT ts, lag(ts) OVER (ORDER BY ts, event_id) AS p FROM a) WHERE ts < p",
+    "forecastable": "SELECT 'forecastable_columns', k >= 1, 'blocking', CAST(k AS VARCHAR) FROM (SELECT CAST(stddev_samp(event_id) > 0 AS INTEGER) + CAST(stddev_samp(v) > 0 AS INTEGER) + CAST(stddev_samp(v_zero) > 0 AS INTEGER) AS k FROM a)",
+    "monotonic": "SELECT 'timestamp_monotonic', count(*) = 0, 'blocking', CAST(count(*) AS VARCHAR) FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS p FROM a) WHERE ts < p",
     "future_ts": f"SELECT 'future_timestamps', count(*) = 0, 'warning', CAST(count(*) AS VARCHAR) FROM a WHERE ts > TIMESTAMP '{_AS_OF}' + INTERVAL 1 DAY",
     "seasonal_history": "SELECT 'seasonal_history', count(*) >= 48, 'warning', CAST(count(*) AS VARCHAR) FROM a",
 }
@@ -287,7 +398,7 @@ _GATE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "variance": gate.variance,
     "ts_nulls": lambda d, a: gate.ts_nulls(a, "ts"),
     "forecastable": lambda d, a: gate.forecastable(a),
-    "monotonic": lambda d, a: gate.monotonic(a, SPEC, "ts"),
+    "monotonic": lambda d, a: gate.monotonic(a, "ts", BY_KEY),
     "future_ts": lambda d, a: gate.future(a, "ts", _AS_OF),
     "seasonal_history": lambda d, a: gate.seasonal_history(a, 24),
 }
@@ -303,21 +414,14 @@ def _gated(made: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 for _n, _made in _GATE.items():
     _add(f"gate_{_n}", _gated(_made), f'{_AFT} c("check", passed, severity, detail) AS ({_CHECKS[_n]}) SELECT * FROM c')
-_add("gate_verdict", _gated(lambda d, a: gate.verdict(gate.validate(d, a, [], SPEC, 24, _AS_OF))), f'{_AFT} c("check", passed, severity, detail) AS (' + " UNION ALL ".join(_CHECKS.values()) + """) SELECT bool_and(passed OR severity = 'warning') AS passed, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT passed AND severity = 'warning'), '') AS warnings FROM c""")
+_add("gate_verdict", _gated(lambda d, a: gate.verdict(gate.validate(d, a, [], SPEC, 24, _AS_OF, BY_KEY))), f'{_AFT} c("check", passed, severity, detail) AS (' + " UNION ALL ".join(_CHECKS.values()) + """) SELECT bool_and(passed OR severity = 'warning') AS passed, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT passed AND severity = 'warning'), '') AS warnings FROM c""")
 
 
 # Sinks -------------------------------------------------------------------------------------------
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share; a temporary one only under a local master."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root or tempfile.mkdtemp(prefix='tidegrid-')}/artifacts/{uuid.uuid4().hex}"
+    return fresh_folder(spark, "artifacts")
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +454,7 @@ def _runs(d: DataFrame) -> DataFrame:
 
 _add("src_csv", _csv, "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
 _add("sink_raw", _artifact("raw", lambda d: d.select("event_id", "v")), f"SELECT event_id, v, 'run_1' AS run_id FROM ({DIRTY.replace('AS STRING', 'AS VARCHAR')})")
-_add("sink_artifacts", _artifact("profile", profile.nulls))
+_add("sink_artifacts", _artifact("profile", profile.nulls), f"WITH d AS MATERIALIZED ({DIRTY.replace('AS STRING', 'AS VARCHAR')}) " + _each(_ALL, "SELECT '@' AS col, count(*) - count(@) AS null_count, round((count(*) - count(@)) * 100.0e0 / count(*), 6) AS null_pct, 'run_1' AS run_id FROM d"))
 _add("sink_cleaned", _cleaned, "SELECT *, 'run_1' AS run_id FROM events")
 _KIND = "SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, CASE event_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'diagnosis' ELSE 'cleaned' END AS kind, count(*) AS rows FROM events GROUP BY ALL"
 _LIST = f"SELECT run_id, max(CASE WHEN kind = 'raw' THEN rows END) AS rows, bool_or(kind = 'diagnosis') AS has_stage2, bool_or(kind = 'cleaned') AS has_stage3 FROM ({_KIND}) GROUP BY run_id"
@@ -358,15 +462,18 @@ _add("run_listing", lambda s, d: readers.run_listing(_runs(s.read.parquet(f"{d}/
 _add("run_summary", lambda s, d: (lambda r: readers.run_summary(readers.run_listing(r), r, r.where("kind = 'raw'").select("run_id", F.col("rows").alias("report_rows")), r.where("kind = 'cleaned'").select("run_id", F.col("rows").alias("gate_rows"))))(_runs(s.read.parquet(f"{d}/events.parquet"))), f"WITH k AS ({_KIND}) SELECT l.*, (SELECT count(*) FROM k WHERE k.run_id = l.run_id) AS recipe_columns, (SELECT rows FROM k WHERE k.run_id = l.run_id AND kind = 'raw') AS report_rows, (SELECT rows FROM k WHERE k.run_id = l.run_id AND kind = 'cleaned') AS gate_rows FROM ({_LIST}) l")
 
 
+def _planned(p: DataFrame) -> DataFrame:
+    """The recipe that follows from facts: defaults, forced casts, sanitized."""
+    return recipe.sanitized(recipe.forced_type_fix(_default(p), p), p, "ts")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile, plan, clean and gate the dirty events; the checks as rows."""
-    d = _dirty(spark, sf_dir).select("event_id", "ts", "v", "t_gap", "num_txt", "const_txt")
-    plan = _plan(d)
-    # the cleaned table is written once; each check reads it
+    """Profile, diagnose, plan, clean and gate the dirty events, all their columns; the checks as rows."""
+    d, plan = _dirty(spark, sf_dir), stored(_planned(_facts(spark, sf_dir)))
     path = _folder(spark)
     clean.apply_recipe(d, plan, SPEC, 24).write.parquet(path)
-    after = spark.read.parquet(path)
-    return gate.validate(d, after, ["num_txt", "date_txt"], SPEC, 24, _AS_OF)
+    fixed = [r.col for r in plan.where("type_fix <> 'none'").collect()]  # a row for each column
+    return gate.validate(d, spark.read.parquet(path), fixed, SPEC, 24, _AS_OF)
 
 
 _add("pipeline_checks", flagship)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +45,21 @@ def sql_query(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(guarded(query))
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> DataFrame:
-    """A read-only JDBC scan, split by a numeric column."""
+def jdbc_relation(table: str, row_limit: int | None = None) -> str:
+    """What a JDBC scan reads: a checked table name, or a query for its first rows."""
     if not _NAME.match(table):
         raise ValueError(f"not a table name: {table}")
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, sessionInitStatement="SET default_transaction_read_only = on", **options)
+    return table if row_limit is None else f"(SELECT * FROM {table} LIMIT {int(row_limit)}) AS limited"
+
+
+def listed_tables(spark: SparkSession) -> list[str]:
+    """Names of the session's tables and views that hold user data, ordered."""
+    return sorted(t.name for t in spark.catalog.listTables() if not t.name.startswith("_"))
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8, row_limit: int | None = None, **options: str) -> DataFrame:
+    """A read-only JDBC scan, split by a numeric column; a row limit goes into the query."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=jdbc_relation(table, row_limit), sessionInitStatement="SET default_transaction_read_only = on", **options)
     if column and bounds:
         reader = reader.options(partitionColumn=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
     return reader.load()
@@ -65,6 +76,22 @@ def write_cleaned(df: DataFrame, root: str, run_id: str, ts: str, ties: list[str
     write_artifact(ranged.sortWithinPartitions(ts, *ties), root, "cleaned", run_id)
 
 
+def written_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """run_id, kind, rows of the artifacts under root; runs whose files can't be read are left out."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for kind in sorted(x.getPath().getName() for x in fs.listStatus(folder)):
+        for run in sorted(x.getPath().getName() for x in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}"))):
+            if not run.startswith("run_id="):
+                continue
+            try:
+                found.append(spark.read.parquet(f"{root}/{kind}/{run}").agg(F.lit(run.partition("=")[2]).alias("run_id"), F.lit(kind).alias("kind"), F.count("*").alias("rows")))
+            except Exception:  # noqa: BLE001  a broken run is skipped, whatever the reader says about it
+                continue
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "run_id string, kind string, rows long")
+
+
 def run_listing(artifacts: DataFrame) -> DataFrame:
     """artifacts (run_id, kind, rows) -> run_id, rows, has_stage2, has_stage3; newest first."""
     return artifacts.groupBy("run_id").agg(F.max(F.when(F.col("kind") == "raw", F.col("rows"))).alias("rows"), F.bool_or(F.col("kind") == "diagnosis").alias("has_stage2"), F.bool_or(F.col("kind") == "cleaned").alias("has_stage3")).orderBy(F.desc("run_id"))
