@@ -39,6 +39,8 @@ CANDIDATE_BITS = 23
 BLOCK_BITS = 3
 #: A row in more cells than this is dealt out, a part of it for each so many cells.
 HUB_CELLS = 512
+#: A table of this many short rows (under 16 MB) is broadcast, a longer one joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def _tally(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -114,10 +116,16 @@ def _meet(cells: DataFrame, rows: DataFrame, value: str, *keys: str) -> DataFram
 
     A row in very many cells is copied into parts, so that they don't meet in one task.
     """
-    heavy = cells.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB_CELLS).select("a", F.ceil(F.col("n") / HUB_CELLS).cast("int").alias("parts"))
-    dealt = cells.join(heavy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     left, right = (rows.select(F.col("node").alias(x), F.col(value).alias(f"{x}v"), *keys) for x in "ab")
-    left = left.join(heavy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    heavy = cells.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB_CELLS)
+    heavy = stored(heavy.select("a", F.ceil(F.col("n") / HUB_CELLS).cast("int").alias("parts")))
+    n = heavy.count()
+    if not n:
+        return cells.join(right, "b").join(left, ["a", *keys])
+    few = F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy  # 12 bytes a row
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = cells.join(few, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+    left = left.join(few, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return dealt.join(right, "b").join(left, ["a", "part", *keys]).drop("part")
 
 
