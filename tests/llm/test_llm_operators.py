@@ -340,3 +340,54 @@ def test_hub_of_many(spark):
     rows = [(i, " ".join([*base, f"x{i}"]), "s") for i in range(3000)] + [(9000 + i, " ".join(f"y{i}_{j}" for j in range(30)), "s") for i in range(50)]
     found = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
     assert {r.component_id for r in found if r.doc_id < 3000} == {0} and all(r.component_id == r.doc_id for r in found if r.doc_id >= 9000)
+
+
+def test_keys_without_a_name_in_front(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    named = [(i, f'text before token = "{key()}" after', "s") for i in range(60)]
+    bare = [(100 + i, f'a list of "{key()}" alone', "s") for i in range(20)]
+    words = [(200 + i, f'the "{"".join(rng.choice("abcdefgh") for _ in range(30))}" word', "s") for i in range(60)]
+    count = lambda rows: {r.doc_id: r.n_secret for r in pii.personal_data(frame(spark, rows)).collect()}
+    found = count(named + bare + words)
+    assert all(found[i] == 1 for i, _, _ in named) and not any(found[i] for i, _, _ in words + bare)
+    found = count(named + bare[:1] + words)  # nearly all of the form are named: the other one is found by its form
+    assert all(found[i] == 1 for i, _, _ in named + bare[:1]) and not any(found[i] for i, _, _ in words)
+
+
+def test_account_numbers(spark):
+    rows = [(1, "pay to DE89 3704 0044 0532 0130 00 now", "s"), (2, "pay to DE88 3704 0044 0532 0130 00 now", "s")]
+    found = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert "iban:7:34" in found[1].split(",") and "iban" not in found[2]
+
+
+def test_planted_hosts(spark):
+    rules = [("block", f"a{i}.bad.com/") for i in range(9)] + [("allow", f"b{i}.good.org/") for i in range(9)]
+    urls = [f"http://a{i}.bad.com/{j}" for i in range(9) for j in range(20)] + [f"http://b{i}.good.org/{j}" for i in range(9) for j in range(20)]
+    urls += ["http://new.bad.com/x", "http://user@new.bad.com:8080/x", "http://new.good.org/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.judged(pages, rules).collect()}
+    new, port, good = (found[360 + i] for i in range(3))
+    assert new.rule is None and new.verdict == port.verdict == "block" and new.bound == port.bound and good.verdict == "allow"
+    labelled = spark.createDataFrame([("http://new.good.org/y", True)] * 400, "url string, bad boolean")
+    assert {r.page_id: r.verdict for r in url_filter.judged(pages, rules, labelled).collect()}[362] == "block"
+
+
+def test_licence_of_many_lines(spark):
+    mit = dict((n, t) for n, t in licenses.KNOWN if len(t) > 500 and n == "MIT")["MIT"].split()
+    wrapped = "\n".join(" ".join(mit[i : i + 11]) for i in range(0, len(mit), 11))
+    rows = [(1, f"MIT License\n\nCopyright (c) 2020 A\n\n{wrapped}\n\ndef f():\n  pass", "s"), (2, wrapped.replace("Software", "Hardware"), "s"), (3, wrapped, "s"), (4, "subversion of\nLicensed under the MIT License", "s"), (5, "not licensed under the MIT License. at all", "s")]
+    found = {r.doc_id: (r.whole_license, r.licenses) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert found == {1: ("", "MIT"), 2: ("", ""), 3: ("MIT", "MIT"), 4: ("", "MIT"), 5: ("", "")}
+
+
+def test_top_k_of_any_finite_value(spark):
+    rows = [(0, [1e20, 1.0]), (1, [1.0, -2.0]), (2, [-1e20, 3.0]), (3, [0.5, 0.5]), (50, [1.0, 1.0]), (51, [3e38, 3e38])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(c) * 256 if abs(c) >= 2**53 else int(np.floor(c * 256)) for c in v] for i, v in rows}
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    expected = []
+    for q in (0, 50):
+        scores = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in whole if i != q)[:5]
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, maxscore.top_k(df).collect())) == expected

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegrid.llm import words
 from tidegrid.llm.common import bitmap, stored
@@ -36,7 +37,9 @@ SKETCH_BITS = 18
 #: 2**23 flags are one MB; more documents than that only let more rows through.
 CANDIDATE_BITS = 23
 #: Column blocks are named by the highest bits of a shingle's hash.
-BLOCK_BITS = 3
+BLOCK_BITS = 2
+#: A bucket of sizes spans this many times the ratio that sizes of a link may have at most.
+SIZE_STEPS = 8
 #: A row in more cells than this is dealt out, a part of it for each so many cells.
 HUB_CELLS = 512
 #: A table of this many short rows (under 16 MB) is broadcast, a longer one joined by shuffle.
@@ -174,8 +177,11 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     known = signed.where("doc_id is not null")
     classes = stored(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix")))
     tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = stored(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "token"))
-    kept = shared.groupBy("node").agg(F.collect_list("token").alias("kept"))
+    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "token")
+    # the share of a row's columns that it has in common with others; a window of one row's columns, so no longer than a text
+    central = (F.count("*").over(Window.partitionBy("node")) * 1000 / F.col("n")).cast("int")
+    shared = stored(shared.withColumn("central", central))
+    kept = stored(shared.groupBy("node").agg(F.collect_list("token").alias("kept")))
 
     def possible(an: str, ap: str, bn: str, bp: str):
         """Whether two sets may overlap enough if their first common column is the ap-th and the bp-th of theirs."""
@@ -191,8 +197,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
         return _meet(cells, kept, "kept").where(met >= F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))).select("a", "an", "b", "bn")
 
     # a column's hub: the member with the largest share of columns in common with others, which lies amid its near copies
-    central = shared.groupBy("node").agg((F.count("*") * 1000 / F.first("n")).cast("int").alias("central"))
-    hubs = shared.join(central, "node").groupBy("token").agg(F.max(F.struct("central", F.col("node").alias("id"), "n", "pos")).alias("top"))
+    hubs = shared.groupBy("token").agg(F.max(F.struct("central", F.col("node").alias("id"), "n", "pos")).alias("top"))
     starred = shared.join(hubs.select("token", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.pos").alias("hub_pos")), "token")
     star = starred.where((F.col("hub") != F.col("node")) & possible("hub_n", "hub_pos", "n", "pos")).select(*_cell("hub", "hub_n", "node", "n")).distinct()
     star = stored(counted(stored(star)))
@@ -202,14 +207,15 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     links = stored(_linked(star, classes, docs, k, percent).select("a", "b").union(own))
     part = components(links)
     # second: columns that still meet more than one component
-    scale = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-12
+    near = math.log(100 / percent) + 1e-6  # logarithms of sizes that may link are at most this far apart
+    bucket = lambda shift: F.floor((F.log("n") + shift) / (SIZE_STEPS * near))
     at = shared.join(part, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
     open_ = at.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    at = stored(at.join(open_, "token").withColumn("bucket", F.floor(F.log("n") / scale)))
+    at = stored(at.join(open_, "token").withColumn("bucket", bucket(0.0)))
     main = at.groupBy("token", "c").agg(F.count("*").alias("w")).groupBy("token").agg(F.max_by("c", F.struct("w", "c")).alias("main"))
     at = at.join(main, "token")
-    few = at.where("c <> main").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
-    # every cell between components has an end outside the column's main one; sizes that may link are one bucket apart at most
+    few = at.where("c <> main").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"), F.explode(F.array_distinct(F.array(bucket(-near), bucket(0.0), bucket(near)))).alias("bucket"))
+    # every cell between components has an end outside the column's main one; sizes that may link are in one of these buckets
     met = (F.col("xc") != F.col("c")) & possible("xn", "xp", "n", "pos") & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
     rest = few.join(at, ["token", "bucket"]).where(met).select(*_cell("x", "xn", "node", "n")).distinct()
     rest = stored(counted(stored(rest.join(star, ["a", "b"], "left_anti"))))

@@ -6,8 +6,8 @@ phones and account numbers; words in front of it (a key such as token =, or mail
 no checksum covers. All candidates of all documents are counted by their features, a table of fixed size; boosted
 trees are fitted to these counts on the driver and become Column expressions. Scores are calibrated on the same
 counts by isotonic regression, and a generator's threshold is the least score that is right in PRECISION of the
-cases. Spans that pass a strict rule always stay; others join them from the threshold on, so a value without the
-key that others of its format have is found, and a long word is not.
+cases. Spans that pass a strict rule, or have such words in front, always stay; others join them from the threshold on,
+so a value without a name is found where nearly all of its format have one, and a long word is not.
 """
 
 from __future__ import annotations
@@ -252,7 +252,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
             if value < math.inf:
                 bar = F.when((s["kind"] == kind) & (s["form"] == form), F.lit(value - 1e-9)).otherwise(bar)
         met = F.exists("sure", lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~s["sure"] & (score >= bar) & ~met
+        return ~s["sure"] & (s["label"] | (score >= bar)) & ~met
 
     base = F.filter("sure", lambda s: s["kind"] < BASE_KINDS)
     return found.select("doc_id", sure.alias("sure"), "spans").select("doc_id", base.alias("base"), F.concat("sure", F.filter("spans", added)).alias("chosen"))
