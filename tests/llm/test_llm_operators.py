@@ -141,9 +141,9 @@ def test_personal_data(spark):
 
 
 def test_thresholds_pool_scores_whose_rates_rise():
-    trees = [((1, 1), (((2, 1), 3.0, 2.0), ((2, 1), 1.0, 0.0)))]
-    rows = [((0, 1, 1), 1, 1), ((0, 1, 0), 60, 60), ((0, 0, 1), 2, 0), ((0, 0, 0), 10, 5), ((1, 1, 1), 50, 20)]
-    assert pii.thresholds(rows, trees) == [2.0, float("inf"), float("inf"), float("inf")]
+    trees = [((2, 1), (((3, 1), 3.0, 2.0), ((3, 1), 1.0, 0.0)))]
+    rows = [((0, 0, 1, 1), 1, 1), ((0, 0, 1, 0), 60, 60), ((0, 0, 0, 1), 2, 0), ((0, 0, 0, 0), 10, 5), ((1, 0, 1, 1), 50, 20)]
+    assert pii.thresholds(rows, trees) == {(0, 0): 2.0, (1, 0): float("inf")}
 
 
 def test_quality_on_held_out_documents(spark):

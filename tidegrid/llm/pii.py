@@ -2,8 +2,8 @@
 
 Generators of high recall propose spans (which may overlap), each with features of its format and
 context and with a label from a view that the features leave out: checksums and ranges for cards, addresses,
-phones and account numbers; words in front of it (a key such as token =, or mail, phone) for generators that
-no checksum covers. All candidates of all documents are counted by their features, a table of fixed size; boosted
+phones and account numbers; words in front of it (a key such as token =, or phone) for generators that
+no checksum covers. The form of a spelt address decides by itself. All candidates of all documents are counted by their features, a table of fixed size; boosted
 trees are fitted to these counts on the driver and become Column expressions. Scores are calibrated on the same
 counts by isotonic regression, and a generator's threshold is the least score that is right in PRECISION of the
 cases. Spans that pass a strict rule, or have such words in front, always stay; others join them from the threshold on,
@@ -102,7 +102,7 @@ def _spans(found: str, gaps: str, kind: str, form: int, view: str) -> Column:
             start.alias("start"),
             end.alias("end"),
             sure.alias("sure"),
-            (sure if view == "rule" else cue).alias("label"),
+            (sure if view == "rule" else cue if view == "cue" else F.lit(True)).alias("label"),
             F.lit(KINDS.index(kind)).alias("kind"),
             F.lit(form).alias("form"),
             _char(F.right(gap["tail"], F.lit(1))).alias("before"),
@@ -123,7 +123,7 @@ def _spans(found: str, gaps: str, kind: str, form: int, view: str) -> Column:
 #: kind, form, pattern, where labels come from, and what a text must contain to be searched
 _GENERATORS: tuple[tuple[str, int, str, str, Callable[[Column], Column]], ...] = (
     ("email", 0, EMAIL, "rule", lambda t: t.contains("@")),
-    ("email", 1, SPELT, "cue", lambda t: t.contains("at]") | t.contains("at)")),
+    ("email", 1, SPELT, "form", lambda t: t.contains("at]") | t.contains("at)")),
     ("ip", 0, IP, "rule", lambda t: t.rlike(r"[0-9]\.[0-9]")),
     ("card", 0, CARD, "rule", lambda t: t.rlike("[0-9]")),
     ("phone", 0, PHONE, "rule", lambda t: t.contains("+")),
@@ -195,7 +195,8 @@ def leaf(tree: Tree, row: Sequence[int]) -> float:
 def thresholds(rows: Sequence[tuple[tuple[int, ...], int, int]], trees: Sequence[Tree]) -> dict[tuple[int, int], float]:
     """For each generator (kind, form) the least score from which on PRECISION of the cases are right; infinite if none is.
 
-    Rates may not rise as scores fall: scores that break this are pooled, and a pool's rate is smoothed.
+    Rates may not rise as scores fall: scores that break this are pooled. Each pool must be right that often, and all
+    from the threshold on together, by a smoothed rate.
     """
     out = {}
     for maker in sorted({x[:2] for x, _, _ in rows}):
@@ -205,11 +206,13 @@ def thresholds(rows: Sequence[tuple[tuple[int, ...], int, int]], trees: Sequence
                 _, n2, good2 = pools.pop()
                 n, good = n + n2, good + good2
             pools.append((score, n, good))
-        least = math.inf
+        least, cases, right = math.inf, 0, 0
         for score, n, good in pools:
-            if (good + 1) / (n + 2) < PRECISION:
+            cases, right = cases + n, right + good
+            if good < PRECISION * n:
                 break
-            least = score
+            if (right + 1) / (cases + 2) >= PRECISION:
+                least = score
         out[maker] = least
     return out
 
