@@ -391,3 +391,20 @@ def test_top_k_of_any_finite_value(spark):
         scores = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in whole if i != q)[:5]
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert sorted(map(tuple, maxscore.top_k(df).collect())) == expected
+
+
+def test_stages_on_empty_and_odd_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_n int, part int, node string"
+    six = "one two three four five six"
+    odd = [(None, None, None, None, None, 1, 2, "a"), (None, six + " seven", "en", "s", 3, 1, 2, "b"), (1, "", "en", "s", 0, 1, 2, "c"), (2, six, "en", None, 9, 1, 2, "c"), (2, six, "en", None, 9, 1, 2, "c")]
+    for rows, left in (([], [0, 0, 0]), (odd, [5, 4, 4])):
+        docs, counts = spark.createDataFrame(rows, schema), []
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), schema)
+            counts.append(docs.count())
+        assert counts == left
+        mixed = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+        assert mixed.columns == docs.columns and mixed.count() >= counts[-1] - 1
+        assert corpus_pipeline.sharded(spark, docs, str(tmp_path)).count() == counts[-1]
