@@ -342,6 +342,14 @@ def test_hub_of_many(spark):
     assert {r.component_id for r in found if r.doc_id < 3000} == {0} and all(r.component_id == r.doc_id for r in found if r.doc_id >= 9000)
 
 
+@pytest.mark.parametrize("least", [1, 3, 30])
+def test_hot_columns(spark, rows, monkeypatch, least):
+    monkeypatch.setattr(jaccard_join, "HOT", 0)
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", least)
+    found = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
+    assert sorted(tuple(r) for r in found if r[0] is not None) == brute_components(rows)
+
+
 def test_keys_without_a_name_in_front(spark):
     rng = random.Random(4)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))

@@ -6,6 +6,7 @@ shingles. Multiplying it by its transpose counts overlaps. Sizes bound which pro
 * a pair at similarity t overlaps in at least t * size of either set, so each row keeps only the
   first size - ceil(t * size) + 1 columns of one fixed order (frequent columns last, by a sketch of
   fixed size) and the product over these columns alone meets every pair that can qualify;
+  Columns of very many rows are told by the sketch and a count, and never dealt by column;
 * a cell is discarded before it is counted if sizes and the places of a common column in that order
   bound its overlap below t, and after a count over the kept columns if that count is too low.
 
@@ -40,6 +41,9 @@ CANDIDATE_BITS = 23
 BLOCK_BITS = 2
 #: A bucket of sizes spans this many times the ratio that sizes of a link may have at most.
 SIZE_STEPS = 8
+#: A column is hot if it has more than this many times the mean of a counter of the sketch, and HOT_LEAST rows at least:
+#: there are at most 2**SKETCH_BITS / HOT of them, so that tables of hot columns may be broadcast.
+HOT, HOT_LEAST = 8, 4096
 #: A row in more cells than this is dealt out, a part of it for each so many cells.
 HUB_CELLS = 512
 #: A table of this many short rows (under 16 MB) is broadcast, a longer one joined by shuffle.
@@ -77,19 +81,26 @@ def _digests(s: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, weight: np.ndarray, hot: int) -> Iterator[pa.RecordBatch]:
+    """Size, digests and first columns of each set; of these, tail has the ones whose counter lets them be hot."""
+
+    def lists(doc: np.ndarray, s: np.ndarray, rows: int) -> pa.ListArray:
+        heads = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=rows))])
+        return pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(s.view(np.int64)))
+
     for batch in batches:
         for part, data, bounds in words.chunks(batch, "text"):
             doc, s = _sets(data, bounds, k)
             n = np.bincount(doc, minlength=part.num_rows)
             at = np.concatenate([[0], np.cumsum(n)])
             digests = _digests(s, at)
-            order = np.lexsort((s, weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
+            counter = weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            order = np.lexsort((s, counter, doc))
             rank = np.arange(len(s)) - at[doc]
             keep = rank < (n - (n * percent + 99) // 100 + 1)[doc]
-            heads = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=part.num_rows))])
-            prefix = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(s[order][keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), prefix], ["doc_id", "n_shingles", "d1", "d2", "prefix"])
+            late = counter[order] > hot  # rarest first, so these are a prefix's last
+            head, tail = (lists(doc[x], s[order][x], part.num_rows) for x in (keep & ~late, keep & late))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(digests[0]), pa.array(digests[1]), head, tail], ["doc_id", "n_shingles", "d1", "d2", "prefix", "tail"])
 
 
 def _candidate_blocks(batches: Iterator[pa.RecordBatch], k: int, flags) -> Iterator[pa.RecordBatch]:
@@ -172,12 +183,19 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     weight = np.zeros(1 << SKETCH_BITS, np.int64)
     for bucket, n in tally:
         weight[bucket] = n
-    signed = docs.mapInArrow(partial(_signatures, k=k, percent=percent, weight=weight), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
-    signed = stored(signed.select("doc_id", "n_shingles", _node().alias("node"), "prefix"))
+    most = max(HOT_LEAST, HOT * int(weight.sum()) >> SKETCH_BITS)
+    signed = docs.mapInArrow(partial(_signatures, k=k, percent=percent, weight=weight, hot=most), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, tail array<long>")
+    signed = stored(signed.select("doc_id", "n_shingles", _node().alias("node"), "prefix", "tail"))
     known = signed.where("doc_id is not null")
-    classes = stored(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix")))
-    tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "token")
+    classes = stored(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("tail").alias("tail")))
+    # a counter bounds its columns' rows: columns of a tail that have more than most are hot and never meet in one task,
+    # the others are dealt by column once and looked at in windows of at most that many rows
+    column = Window.partitionBy("token")
+    hot = F.broadcast(stored(classes.select(F.explode("tail").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > most).select("token")))
+    tail = classes.select("node", "n", F.size("prefix").alias("first"), F.posexplode("tail").alias("pos", "token")).select("node", "n", (F.col("first") + F.col("pos")).alias("pos"), "token")
+    cold = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).unionByName(tail.join(hot, "token", "left_anti"))
+    cold = cold.withColumn("df", F.count("*").over(column)).where("df > 1").drop("df").withColumn("hot", F.lit(False))
+    shared = cold.unionByName(tail.join(hot, "token", "left_semi").withColumn("hot", F.lit(True)))
     # the share of a row's columns that it has in common with others; a window of one row's columns, so no longer than a text
     central = (F.count("*").over(Window.partitionBy("node")) * 1000 / F.col("n")).cast("int")
     shared = stored(shared.withColumn("central", central))
@@ -197,8 +215,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
         return _meet(cells, kept, "kept").where(met >= F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))).select("a", "an", "b", "bn")
 
     # a column's hub: the member with the largest share of columns in common with others, which lies amid its near copies
-    hubs = shared.groupBy("token").agg(F.max(F.struct("central", F.col("node").alias("id"), "n", "pos")).alias("top"))
-    starred = shared.join(hubs.select("token", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.pos").alias("hub_pos")), "token")
+    cold, warm = shared.where("not hot"), shared.where("hot")
+    top = F.max(F.struct("central", F.col("node").alias("id"), "n", "pos"))
+    starred = cold.withColumn("top", top.over(column)).unionByName(warm.join(F.broadcast(warm.groupBy("token").agg(top.alias("top"))), "token"))
+    starred = starred.select("node", "n", "pos", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.pos").alias("hub_pos"))
     star = starred.where((F.col("hub") != F.col("node")) & possible("hub_n", "hub_pos", "n", "pos")).select(*_cell("hub", "hub_n", "node", "n")).distinct()
     star = stored(counted(stored(star)))
     # rows of one doc_id and different sets
@@ -209,11 +229,14 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     # second: columns that still meet more than one component
     near = math.log(100 / percent) + 1e-6  # logarithms of sizes that may link are at most this far apart
     bucket = lambda shift: F.floor((F.log("n") + shift) / (SIZE_STEPS * near))
-    at = shared.join(part, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    open_ = at.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    at = stored(at.join(open_, "token").withColumn("bucket", bucket(0.0)))
-    main = at.groupBy("token", "c").agg(F.count("*").alias("w")).groupBy("token").agg(F.max_by("c", F.struct("w", "c")).alias("main"))
-    at = at.join(main, "token")
+    at = shared.join(part, "node", "left").select("token", "hot", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
+    cold, warm = at.where("not hot"), at.where("hot")
+    cold = cold.withColumn("low", F.min("c").over(column)).withColumn("high", F.max("c").over(column)).where("low < high")
+    cold = cold.withColumn("w", F.count("*").over(Window.partitionBy("token", "c"))).withColumn("main", F.max(F.struct("w", "c")).over(column)["c"])
+    mains = warm.groupBy("token", "c").agg(F.count("*").alias("w")).groupBy("token").agg(F.max_by("c", F.struct("w", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high"))
+    warm = warm.join(F.broadcast(mains.where("low < high").select("token", "main")), "token")
+    columns = ["token", "node", "n", "pos", "c", "main"]
+    at = stored(cold.select(columns).unionByName(warm.select(columns)).withColumn("bucket", bucket(0.0)))
     few = at.where("c <> main").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"), F.explode(F.array_distinct(F.array(bucket(-near), bucket(0.0), bucket(near)))).alias("bucket"))
     # every cell between components has an end outside the column's main one; sizes that may link are in one of these buckets
     met = (F.col("xc") != F.col("c")) & possible("xn", "xp", "n", "pos") & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
