@@ -194,7 +194,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     hot = F.broadcast(stored(classes.select(F.explode("tail").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > most).select("token")))
     tail = classes.select("node", "n", F.size("prefix").alias("first"), F.posexplode("tail").alias("pos", "token")).select("node", "n", (F.col("first") + F.col("pos")).alias("pos"), "token")
     cold = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).unionByName(tail.join(hot, "token", "left_anti"))
-    cold = cold.withColumn("df", F.count("*").over(column)).where("df > 1").drop("df").withColumn("hot", F.lit(False))
+    # size and place travel as one long: these are the most rows that are dealt here
+    cold = cold.select("node", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("spot"))
+    cold = cold.withColumn("df", F.count("*").over(column)).where("df > 1")
+    cold = cold.select("node", F.shiftright("spot", 32).cast("int").alias("n"), F.col("spot").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "token", F.lit(False).alias("hot"))
     shared = cold.unionByName(tail.join(hot, "token", "left_semi").withColumn("hot", F.lit(True)))
     # the share of a row's columns that it has in common with others; a window of one row's columns, so no longer than a text
     central = (F.count("*").over(Window.partitionBy("node")) * 1000 / F.col("n")).cast("int")
