@@ -6,7 +6,7 @@ shingles. Multiplying it by its transpose counts overlaps. Sizes bound which pro
 * a pair at similarity t overlaps in at least t * size of either set, so each row keeps only the
   first size - ceil(t * size) + 1 columns of one fixed order (frequent columns last, by a sketch of
   fixed size) and the product over these columns alone meets every pair that can qualify;
-  Columns of very many rows are told by the sketch and a count, and never dealt by column;
+  Columns of very many rows are told by the sketch and a count; only the last join, over what is still open, deals them by column;
 * a cell is discarded before it is counted if sizes and the places of a common column in that order
   bound its overlap below t, and after a count over the kept columns if that count is too low.
 
@@ -188,7 +188,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     signed = stored(signed.select("doc_id", "n_shingles", _node().alias("node"), "prefix", "tail"))
     known = signed.where("doc_id is not null")
     classes = stored(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("tail").alias("tail")))
-    # a counter bounds its columns' rows: columns of a tail that have more than most are hot and never meet in one task,
+    # a counter bounds its columns' rows: columns of a tail that have more than most are hot and not dealt by column here,
     # the others are dealt by column once and looked at in windows of at most that many rows
     column = Window.partitionBy("token")
     hot = F.broadcast(stored(classes.select(F.explode("tail").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > most).select("token")))
