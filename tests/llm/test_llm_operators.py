@@ -350,6 +350,16 @@ def test_hot_columns(spark, rows, monkeypatch, least):
     assert sorted(tuple(r) for r in found if r[0] is not None) == brute_components(rows)
 
 
+def test_sizes_at_the_bound(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(140)]
+    rows = [(n, " ".join(words[:n]), "s") for n in (20, 23, 24, 28, 33, 40, 47, 48, 57, 67, 68, 80, 94, 95, 112, 113, 133, 134)]  # each begins the next one
+    rows += [(1000 + i, " ".join([*words[:8], *(f"z{i}_{j}" for j in range(rng.randint(5, 200)))]), "s") for i in range(60)]  # a passage in common
+    for some in (rows, rows[::2]):
+        found = jaccard_join.jaccard_classes(frame(spark, some)).collect()
+        assert sorted(tuple(r) for r in found) == brute_components(some)
+
+
 def test_keys_without_a_name_in_front(spark):
     rng = random.Random(4)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))

@@ -5,8 +5,9 @@ shingles. Multiplying it by its transpose counts overlaps. Sizes bound which pro
 
 * a pair at similarity t overlaps in at least t * size of either set, so each row keeps only the
   first size - ceil(t * size) + 1 columns of one fixed order (frequent columns last, by a sketch of
-  fixed size) and the product over these columns alone meets every pair that can qualify;
+  fixed size) and the product over these columns alone meets every pair that can qualify.
   Columns of very many rows are told by the sketch and a count; only the last join, over what is still open, deals them by column;
+* an entry of a column is discarded if no other set of that column is near enough in size;
 * a cell is discarded before it is counted if sizes and the places of a common column in that order
   bound its overlap below t, and after a count over the kept columns if that count is too low.
 
@@ -196,7 +197,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     cold = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).unionByName(tail.join(hot, "token", "left_anti"))
     # size and place travel as one long: these are the most rows that are dealt here
     cold = cold.select("node", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("spot"))
-    cold = cold.withColumn("df", F.count("*").over(column)).where("df > 1")
+    # an entry stays where the column's next smaller or next larger set is near enough in size; if neither is, no other one is
+    by_size = column.orderBy("spot")
+    n, less, more = (F.shiftright(x, 32) for x in ("spot", F.lag("spot").over(by_size), F.lead("spot").over(by_size)))
+    cold = cold.withColumn("near", (less * 100 >= n * percent) | (n * 100 >= more * percent)).where("near")
     cold = cold.select("node", F.shiftright("spot", 32).cast("int").alias("n"), F.col("spot").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "token", F.lit(False).alias("hot"))
     shared = cold.unionByName(tail.join(hot, "token", "left_semi").withColumn("hot", F.lit(True)))
     # the share of a row's columns that it has in common with others; a window of one row's columns, so no longer than a text
