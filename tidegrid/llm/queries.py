@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as registered queries, over whole tables."""
+"""The operators as registered queries, over whole tables, and DuckDB SQL for them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import decontaminate, jaccard_join, licenses, line_dedup, maxscore, mixing, pii, quality, sharding, url_filter
+from tidegrid.llm import decontaminate, jaccard_join, licenses, line_dedup, maxscore, merkle, mixing, packing, pii, quality, sharding, url_filter, variants
 from tidegrid.llm.common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only here: the library takes the vocabulary's path as a parameter
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_pii, op4_quality, op5_licenses, op6_line_dedup, op7_decontamination, op8_top_k, op9_mixing, op10_url_filter)}
+    found = (op1_sharding, op2_jaccard_join, op3_pii, op4_quality, op5_licenses, op6_line_dedup, op7_decontamination, op8_top_k, op9_mixing, op10_url_filter, op11_merkle_manifest, op12_spelling_variants, op13_packing)
+    return {f.__name__: f for f in found}
 
 
 def _quoted(text: str) -> str:
@@ -159,5 +174,74 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+#: The table of CRC-32, made by its rule, and the checksum of a list of bytes.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t"
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda a, b: xor(a // 256, t[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    """UTF-8 bytes of text below U+0100."""
+    return f"flatten(list_transform(list_transform(string_split({text}, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda u: CASE WHEN u < 128 THEN [u] ELSE [194 + (u - 128) // 64, 128 + u % 64] END))"
+
+
+_DOC_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf(**changed: str) -> str:
+    text = {c: f"CAST({changed.get(c, c)} AS VARCHAR)" for c in _DOC_FIELDS}
+    return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode({x})) AS VARCHAR) || ':' || {x}, '-')" for x in text.values()) + ")"
+
+
+def _tree(name: str, depth: int) -> str:
+    """Levels name0, ... of (g, i, h), each with what stands before and after a node in its run, and how many nodes there are."""
+    out = ""
+    for k in range(depth + 1):
+        rows = f"{name}_leaves" if k == 0 else f"(SELECT g, i // {merkle.FANOUT} AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k - 1} GROUP BY g, i // {merkle.FANOUT})"
+        out += f"""{name}{k} AS MATERIALIZED (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n, coalesce(string_agg(h, '') OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+ coalesce(string_agg(h, '') OVER (u ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {rows} WINDOW u AS (PARTITION BY g, i // {merkle.FANOUT} ORDER BY i)), """
+    return out
+
+
+def _climb(base: str, g: str, i: str, name: str, depth: int) -> str:
+    """base (g, i, folded, path) -> the same after all levels of a tree."""
+    for k in range(depth):
+        base = f"(SELECT c.* REPLACE (CASE WHEN n = 1 THEN folded ELSE sha256(a || folded || b) END AS folded, path || a || b AS path, c.{i} // {merkle.FANOUT} AS {i}) FROM {base} c JOIN {name}{k} t ON t.g = c.{g} AND t.i = c.{i})"
+    return base
+
+
+#: Deep enough for 16**6 rows of a source and 16**3 sources.
+_DEEP, _TOP = 6, 3
+OP11 = f"""
+WITH crc AS MATERIALIZED ({_CRC_TABLE}),
+d AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {_leaf()} AS h, CASE WHEN {_crc(_bytes("CAST(doc_id AS VARCHAR)"))} % 5 = 0 THEN {_leaf(text=_lower("text"))} ELSE {_leaf()} END AS now FROM documents, crc),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+s_leaves AS (SELECT g, i, h FROM l), {_tree("s", _DEEP)}r_leaves AS (SELECT 0 AS g, g AS i, h FROM s{_DEEP}), {_tree("r", _TOP)}
+c AS (SELECT *, 0 AS z, g AS place FROM {_climb("(SELECT doc_id, h AS leaf, g, i, now AS folded, '' AS path FROM l)", "g", "i", "s", _DEEP)}),
+e AS {_climb("c", "z", "place", "r", _TOP)}
+SELECT doc_id, leaf, s{_DEEP}.h AS subroot, r{_TOP}.h AS root, sha256(path) AS proof_sha256, folded AS folded_root, folded = r{_TOP}.h AS verified
+FROM e JOIN s{_DEEP} ON s{_DEEP}.g = e.g, r{_TOP}
+"""
+
+_RUNS = "regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')"
+OP12 = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+runs AS (SELECT doc_id, {_lower("run")} AS run, count(*) AS n FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc(_bytes("doc_id || ':' || run"))} AS h FROM runs, crc),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE len(word) >= {variants.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {variants.LEAST_COUNT}),
+k AS MATERIALIZED (SELECT word, n, i, word[:i] || word[i + 2:] AS key FROM (SELECT word, n, unnest(range(len(word))) AS i FROM w)),
+longer AS (SELECT DISTINCT k.word, k.n, w.word AS other, w.n AS other_n FROM k JOIN w ON k.key = w.word),
+p AS MATERIALIZED (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.key = b.key AND a.i = b.i AND a.word <> b.word UNION ALL SELECT * FROM longer UNION ALL SELECT other, other_n, word, n FROM longer),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN other_n >= {variants.FORM_RATIO} * w.n THEN other END AS form, CASE WHEN other_n >= {variants.FORM_RATIO} * w.n THEN other_n END AS form_n FROM w LEFT JOIN near ON near.word = w.word),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends ON ends.word = f.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2, "op5_licenses": OP5, "op6_line_dedup": OP6, "op7_decontamination": OP7, "op8_top_k": OP8, "op10_url_filter": OP10}
+    return {"op2_jaccard_join": OP2, "op5_licenses": OP5, "op6_line_dedup": OP6, "op7_decontamination": OP7, "op8_top_k": OP8, "op10_url_filter": OP10, "op11_merkle_manifest": OP11, "op12_spelling_variants": OP12}
