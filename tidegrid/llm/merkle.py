@@ -24,6 +24,8 @@ FANOUT, BYTES = 16, 32
 TOP = -1
 #: A table of so many sources (names and four numbers) is broadcast, a longer one joined by shuffle.
 BROADCAST_SOURCES = 1 << 14
+#: So many node rows (of at most 600 bytes) are broadcast.
+BROADCAST_NODES = 1 << 13
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -148,17 +150,6 @@ def build(docs: DataFrame, changed: Column | None = None, path: str | None = Non
     return Manifest(built, runs, trees, deepest, kinds == 1)
 
 
-def _unlimited(spark: SparkSession, made) -> DataFrame:
-    """made() stored, without Spark's bound on the rows of a recursive query: here they grow with the table."""
-    name = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "-1")
-    try:
-        return stored(made())
-    finally:
-        spark.conf.set(name, before)
-
-
 _CLIMB = f"""
 WITH RECURSIVE climb AS (
   SELECT tree, idx, folded, digest, subroot, path, up_tree, up_level, up_idx, place FROM {{starts}}
@@ -170,13 +161,31 @@ WITH RECURSIVE climb AS (
     n.up_tree, n.up_level, n.up_idx, n.place
   FROM climb c JOIN {{nodes}} n ON n.tree = c.up_tree AND n.level = c.up_level AND n.idx = c.up_idx
 )
-SELECT tree, idx, folded, digest AS root, subroot, path FROM climb WHERE up_level IS NULL
+SELECT * FROM climb WHERE up_level IS NULL OR up_level > {{beyond}}
 """
 
 
+def _climbed(starts: DataFrame, nodes: DataFrame, beyond: int) -> DataFrame:
+    """starts after they have climbed nodes, the levels up to `beyond`; stored.
+
+    Spark bounds the rows of a recursive query, which here grow with the table, and deals its result to as many tasks as its last,
+    empty step has, which adaptive plans make a single one: both are turned off for this query, and pruning, which recursion can't plan.
+    """
+    spark = starts.sparkSession
+    wanted = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        return stored(spark.sql(_CLIMB.replace("{beyond}", str(beyond)), starts=starts, nodes=nodes))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def climbed(manifest: Manifest) -> DataFrame:
     """tree, idx, folded (a root for each leaf of the run), root, subroot, path (the siblings of all steps but the first, joined)."""
-    spark, runs = manifest.runs.sparkSession, manifest.runs
+    runs = manifest.runs
     children = F.aggregate("leaves", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["leaf"]))
     runs = runs.withColumn("children", children)
 
@@ -201,7 +210,17 @@ def climbed(manifest: Manifest) -> DataFrame:
         F.when(above, F.expr(f"tree div {FANOUT}")).otherwise(F.col("up_idx")).alias("up_idx"),
         F.when(above, (F.col("tree") % FANOUT).cast("int")).otherwise(F.col("place")).alias("place"),
     )
-    return _unlimited(spark, lambda: spark.sql(_CLIMB, starts=stored(starts), nodes=manifest.nodes))
+    at = stored(starts)
+    # all rows of a source, and in the end of the table, meet in the upper nodes: these are few, and are broadcast
+    sizes = dict(manifest.nodes.groupBy("level").count().collect())  # a number for each level
+    upper, lower = 0, max(sizes, default=0)
+    while lower and upper + sizes[lower] <= BROADCAST_NODES:
+        upper, lower = upper + sizes[lower], lower - 1
+    if lower:
+        at = _climbed(at, manifest.nodes.where(F.col("level") <= lower), lower)
+    if upper:
+        at = _climbed(at, F.broadcast(manifest.nodes.where(F.col("level") > lower)), max(sizes))
+    return at.select("tree", "idx", "folded", F.col("digest").alias("root"), "subroot", "path")
 
 
 def proofs(manifest: Manifest) -> DataFrame:
