@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidegrid.functions import expressions as ex
-from tidegrid.operators import clean, diagnose, gate, ordering, profile, recipe
-from tidegrid.operators.quantiles import quantiles
-from tidegrid.sources import readers
+from tidegrid.functions import formats
+from tidegrid.operators import clean, diagnose, gate, measures, ordering, profile, recipe
+from tidegrid.operators.quantiles import grouped, quantiles
+from tidegrid.sources import readers, runs
 from tidegrid.spec import SeriesSpec
 
 SPEC = SeriesSpec("ts", ("id",))
@@ -151,13 +152,179 @@ def test_breaks_of_series(spark):
     assert [(r.s, r.break_at) for r in found if r.s == "a"] == [("a", days[59])] and not [r for r in found if r.s == "c"]
 
 
-def test_artifacts_on_disk(spark, tmp_path):
-    for run in ("run_1", "run_2"):
-        readers.write_artifact(spark.range(5), str(tmp_path), "raw", run)
-    readers.write_artifact(spark.range(3), str(tmp_path), "cleaned", "run_2")
-    (tmp_path / "raw" / "run_id=broken").mkdir()
-    found = readers.run_listing(readers.written_artifacts(spark, str(tmp_path))).collect()
-    assert [tuple(r) for r in found] == [("run_2", 5, False, True), ("run_1", 5, False, False)]
+RECIPE = "col string, missing_strategy string, outlier_strategy string, type_fix string, action string"
+
+
+def test_runs_replace_themselves(spark, tmp_path):
+    root = str(tmp_path)
+    for run in ("run_1", "run_2", "run_1"):  # the first one is written again
+        assert runs.write_raw(spark.range(5), root, run, f"of {run}").rows == 5
+    assert spark.read.parquet(f"{root}/raw").count() == 10
+    runs.write_artifact(spark.range(3), root, "recipe", "run_2")
+    (tmp_path / "metadata" / "run_id=run_3").mkdir()  # broke off
+    (tmp_path / "metadata" / "run_id=run_4").mkdir()
+    (tmp_path / "metadata" / "run_id=run_4" / "part-0.parquet").write_bytes(b"not a file of this kind")
+    (tmp_path / "metadata" / "run_id=run_4" / "_SUCCESS").touch()
+    found = runs.run_listing(spark, root).collect()
+    assert [tuple(r) for r in found] == [("run_2", 5, 1, "of run_2", False, True), ("run_1", 5, 1, "of run_1", False, False)]
+    summary = {r.run_id: r for r in runs.run_summary(spark, root).collect()}
+    assert len(summary["run_2"].recipe) == 3 and summary["run_1"].recipe is None and summary["run_1"].gate is None
+    with pytest.raises(ValueError):
+        runs.write_artifact(spark.range(1), root, "raw", "../x")
+
+
+def test_cleaned_run_is_measured_as_written(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=(7 * i) % 50), None if i % 5 == 0 else float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, v double").repartition(6)
+    seen = runs.write_cleaned(df, str(tmp_path), "run_1", "ts", ["id"], partitions=5, as_of="2024-01-01 00:00:00")
+    files = spark.read.parquet(f"{tmp_path}/cleaned")
+    read = measures.measured(files.drop("run_id"), "2024-01-01 00:00:00")
+    assert (seen.rows, seen.nulls, seen.late) == (read.rows, read.nulls, read.late) == (50, {"id": 0, "ts": 0, "v": 10}, {"ts": 25})
+    assert seen.std == pytest.approx(read.std)
+    assert runs.out_of_order(files, "ts").first().falls == 0
+    runs.write_artifact(df.coalesce(1), str(tmp_path), "shuffled", "run_1")
+    assert runs.out_of_order(spark.read.parquet(f"{tmp_path}/shuffled"), "ts").first().falls > 0
+
+
+def test_parts_are_ordered_by_number(spark, tmp_path):
+    for name, hour in (("part-99999-a.parquet", 1), ("part-100000-a.parquet", 2)):
+        pd.DataFrame({"ts": [dt.datetime(2024, 1, 1, hour)]}).astype("datetime64[us]").to_parquet(tmp_path / name)
+    assert gate.monotonic(spark.read.parquet(str(tmp_path)), "ts").first().passed
+
+
+STAMPS = {
+    "2024-03-01T10:20:30": (10, 20, 30, 0),
+    "2024-03-01 10:20:30.25": (10, 20, 30, 250_000),
+    "2024-03-01T10:20:30.123456789Z": (10, 20, 30, 123_456),
+    "2024-03-01T10:20:30+02:00": (8, 20, 30, 0),
+    "2024-03-01T10:20:30-0130": (11, 50, 30, 0),
+    "2024-03-01 10:20:30+02": (8, 20, 30, 0),
+    "2024-03-01 10:20": (10, 20, 0, 0),
+    " 2024-03-01 ": (0, 0, 0, 0),
+}
+
+
+def test_iso_stamps(spark):
+    df = spark.createDataFrame([(t,) for t in STAMPS], "t string")
+    assert formats.elected(df, ["t"]) == {"t": ("iso", len(STAMPS), len(STAMPS))}
+    found = [r[0] for r in df.select(formats.timestamps(df, ["t"])["t"]).collect()]
+    assert found == [dt.datetime(2024, 3, 1, *x) for x in STAMPS.values()]
+    for bad in ("2024-13-01", "10:20", "2024", "20240301", "x2024-03-01", ""):
+        assert spark.createDataFrame([(bad,)], "t string").select(formats.BY_NAME["iso"].read(F.col("t"))).first()[0] is None
+
+
+def test_one_format_for_a_column(spark):
+    rows = [("01/02/2024", "01/02/2024", "1.2.2024 5:07", None), ("03/04/2024", "25/02/2024", "31.12.2024 23:59:58", None), ("12/31/2024", "02/03/2024", "30.2.2024", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "us string, eu string, dots string, none string")
+    assert formats.elected(df, df.columns) == {"us": ("MM/dd/yyyy", 3, 3), "eu": ("dd/MM/yyyy", 3, 3), "dots": ("dd.MM.yyyy", 2, 3), "none": (None, 0, 0)}
+    t = formats.timestamps(df, df.columns)
+    found = df.select(*(t[c].alias(c) for c in df.columns)).collect()
+    assert [r.us for r in found] == [dt.datetime(2024, 1, 2), dt.datetime(2024, 3, 4), dt.datetime(2024, 12, 31), None]
+    assert [r.eu for r in found] == [dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 25), dt.datetime(2024, 3, 2), None]
+    assert [r.dots for r in found] == [dt.datetime(2024, 2, 1, 5, 7), dt.datetime(2024, 12, 31, 23, 59, 58), None, None] and {r.none for r in found} == {None}
+    assert {r.col: r.dtype_inferred for r in profile.dtypes(df).collect()} == {"us": "datetime", "eu": "datetime", "dots": "categorical", "none": "categorical"}
+
+
+def test_iso_text_loses_no_row(spark):
+    df = spark.createDataFrame([(i, t, float(i)) for i, t in enumerate(STAMPS)], "id long, ts string, v double")
+    steps = spark.createDataFrame([("v", "interpolate", "keep", "none", "keep")], RECIPE)
+    out = clean.apply_recipe(df, steps, SeriesSpec("ts", ("id",)), 24).collect()
+    assert len(out) == len(STAMPS) and [r.ts for r in out] == sorted(r.ts for r in out)
+
+
+def test_dropped_columns_are_gone_for_later_steps(spark):
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, at, "a", 1.0) for i in range(3)] + [(None, at, "a", 1.0), (9, at, "b", None), (10, None, "b", 2.0)], "id long, ts timestamp, s string, v double")
+    drop_id = [("id", "drop_row", "keep", "none", "drop")]
+    out = clean.apply_recipe(df, spark.createDataFrame(drop_id, RECIPE), SPEC, 24)
+    assert out.columns == ["ts", "s", "v"] and [tuple(r) for r in out.collect()] == [(at, "a", 1.0), (at, "b", None), (None, "b", 2.0)]
+    no_time = [*drop_id, ("ts", "drop_row", "keep", "none", "drop"), ("v", "forward_fill", "keep", "none", "keep")]
+    out = clean.apply_recipe(df, spark.createDataFrame(no_time, RECIPE), SPEC, 24, dedupe=False)
+    assert out.columns == ["s", "v"] and out.where("v is null").count() == 0 and out.count() == 6
+    no_series = [("s", "none", "keep", "none", "drop"), ("v", "mean_fill", "keep", "none", "keep")]
+    out = clean.apply_recipe(df, spark.createDataFrame(no_series, RECIPE), SeriesSpec("ts", ("id",), ("s",)), 24, dedupe=False)
+    assert out.columns == ["id", "ts", "v"] and {r.id: r.v for r in out.collect()}[9] == 2.0  # the mean of its own series
+
+
+def test_recipe_without_order_isn_t_sorted_and_stored(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "1", None), (2, dt.datetime(2024, 1, 2), "x", 3.0)], "id long, ts timestamp, t string, v double")
+    steps = spark.createDataFrame([("t", "none", "keep", "cast_numeric", "keep"), ("v", "mean_fill", "keep", "none", "keep")], RECIPE)
+    out = clean.apply_recipe(df, steps, SPEC, 24)
+    assert "FileScan" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r)[2:] for r in out.collect()] == [(1.0, 3.0), (None, 3.0)]
+
+
+@pytest.fixture(scope="module")
+def panel(spark):
+    rng, rows = random.Random(8), []
+    for s, n in (("a", 300), ("b", 120), (None, 40), ("d", 9), ("e", 3)):
+        for i in range(n):
+            value = None if s == "e" or rng.random() < 0.15 else (rng.gauss(0, 1) + 3 * (i % 6)) * {"a": 1, "b": 50}.get(s, 7) + (400 if rng.random() < 0.03 else 0)
+            rows.append((len(rows), s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), value))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "id long, s string, ts timestamp, v double").repartition(5)
+
+
+PANEL_STEPS = {
+    "winsorize": lambda d, spec: clean.winsorize(d, "v", series=spec.series),
+    "clip": lambda d, spec: clean.clip_iqr(d, "v", series=spec.series),
+    "remove": lambda d, spec: clean.without_outliers(d, "v", series=spec.series),
+    "mean": lambda d, spec: clean.fill_with(d, "mean", "v", series=spec.series),
+    "median": lambda d, spec: clean.fill_with(d, "median", "v", series=spec.series),
+    "rolling": lambda d, spec: clean.rolling_iqr(d, "v", spec, 24),
+    "seasonal": lambda d, spec: clean.seasonal_repair(d, "v", spec, 6),
+    "by length": lambda d, spec: clean.stl_residuals(d, "v", spec, 24),
+}
+
+
+@pytest.mark.parametrize("step", PANEL_STEPS)
+def test_panel_is_its_series_one_by_one(spark, panel, step):
+    found = {r.id: r.v for r in PANEL_STEPS[step](panel, PANEL).select("id", "v").collect()}
+    for s in ("a", "b", None, "d", "e"):
+        one = panel.where(F.col("s").eqNullSafe(F.lit(s)))
+        for r in PANEL_STEPS[step](one, SPEC).select("id", "v").collect():
+            assert found.pop(r.id) == (r.v if r.v is None else pytest.approx(r.v))
+    assert not found
+
+
+def test_panel_outliers_are_those_of_each_series(spark, panel):
+    found = {r.s: r for r in diagnose.outliers_by_series(panel, ["v"], ("s",)).collect()}
+    late = {r.s: r.temporal_pct for r in diagnose.outliers_temporal(panel, ["v"], PANEL, 24, by_series=True).collect()}
+    assert set(found) == {"a", "b", None, "d", "e"} and late["a"] > 0 and late["d"] is None
+    for s, r in found.items():
+        one = panel.where(F.col("s").eqNullSafe(F.lit(s)))
+        own = diagnose.outliers_global(one, ["v"]).first()
+        assert (r.iqr_pct, r.zscore_pct, r.mad_pct) == (own.iqr_pct, own.zscore_pct, own.mad_pct)
+        assert late.get(s) == diagnose.outliers_temporal(one, ["v"], SPEC, 24).first().temporal_pct
+
+
+def test_grouped_quantiles_in_bounded_memory(spark, panel):
+    values = {"v": F.col("v"), "even": F.when(F.col("id") % 2 == 0, F.lit(5.0)), "none": F.lit(None).cast("double")}
+    shares = [0.0, 0.1, 0.5, 0.999, 1.0]
+    key = lambda r: str(r.s)
+    plain, cut = (sorted(grouped(panel, ["s"], values, shares, most).collect(), key=key) for most in (1 << 16, 20))
+    p = panel.toPandas()
+    for a, b in zip(plain, cut, strict=True):
+        x = p[p.s.isna() if a.s is None else p.s == a.s].v.dropna()
+        assert (a.n_v, a.n_even, a.n_none, a.q_none) == (b.n_v, b.n_even, b.n_none, b.q_none) and a.n_v == len(x) and a.q_none is None
+        for q in (a.q_v, b.q_v):
+            assert (q is None) == (not len(x)) and (q is None or q == pytest.approx(list(np.quantile(x, shares))))
+        assert a.q_even == b.q_even
+
+
+def test_temporal_outliers_need_one_stored_order(spark, monkeypatch):
+    rows = [(i, None if i % 40 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), None if i % 3 else float(i % 7), 1000.0 if i == 77 else float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, a double, b double").repartition(3)
+    made, real = [], ordering.stored
+    monkeypatch.setattr(ordering, "stored", lambda d: made.append(1) or real(d))
+    found = {r.col: r.temporal_pct for r in diagnose.outliers_temporal(df, ["a", "b"], SPEC, 24).collect()}
+    assert len(made) == 1
+    p = pd.DataFrame(rows, columns=["id", "ts", "a", "b"]).sort_values(["ts", "id"], na_position="last")
+    for c in "ab":
+        x = p[c].dropna().reset_index(drop=True)
+        q1, q3 = ([x[max(0, i - 12) : i + 12].quantile(q) for i in range(len(x))] for q in (0.25, 0.75))
+        wide = 1.5 * (np.array(q3) - np.array(q1))
+        assert found[c] == pytest.approx(((x < q1 - wide) | (x > q3 + wide)).mean() * 100, abs=1e-5)
 
 
 def test_jdbc_relation():

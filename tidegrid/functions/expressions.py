@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 #: What counts as a number in text.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-#: Timestamp formats that are tried in this order.
-FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")
 
 
 def number(c: Column | str) -> Column:
@@ -24,11 +22,6 @@ def no_nan(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def timestamp(c: Column | str, formats: tuple[str, ...] = FORMATS) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(*(F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in formats))
-
-
 def micros(c: Column | str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
 

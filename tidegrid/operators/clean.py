@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import expressions as ex
+from tidegrid.functions import formats
 from tidegrid.operators import ordering
+from tidegrid.operators.measures import Measures, measured
 from tidegrid.operators.profile import _wide, numeric_columns, sane
-from tidegrid.operators.quantiles import quantiles
+from tidegrid.operators.quantiles import beside, grouped, quantiles
 from tidegrid.sources.scratch import stored
 from tidegrid.spec import DEFAULT, SeriesSpec
 
@@ -21,68 +21,82 @@ def _double(c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def _quantiles(df: DataFrame, columns: list[str], *shares: float) -> dict[str, list[float]]:
-    """Quantiles of columns as numbers; nulls are kept as nulls where a column has no values."""
-    found = quantiles(df, {c: ex.no_nan(_double(c)) for c in columns}, shares)
-    return {c: q or [math.nan] * len(shares) for c, q in found.items()}
+def _with_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...], series: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, tuple[Column, ...]], dict[str, Column]]:
+    """df, quantiles of values by name, and how many values there are; of each series for itself if there are any.
+
+    The returned frame may hold further columns that the expressions need. Without values quantiles are null.
+    """
+    if not series:
+        found, count = quantiles(df, values, shares), df.agg(*(F.count(v).alias(n) for n, v in values.items())).first() if values else {}
+        lits = {n: tuple(F.lit(x).cast("double") for x in (q or [None] * len(shares))) for n, q in found.items()}
+        return df, lits, {n: F.lit(count[n]) for n in values}
+    stats = grouped(df, series, values, shares)
+    return beside(df, stats, series), {n: tuple(F.col(f"q_{n}")[i] for i in range(len(shares))) for n in values}, {n: F.col(f"n_{n}") for n in values}
+
 
+def _numbers(columns: list[str]) -> dict[str, Column]:
+    return {c: ex.no_nan(_double(c)) for c in columns}
 
-def _clipped(c: str, low: float, high: float) -> Column:
+
+def _clipped(c: str, low: Column, high: Column) -> Column:
     """Outside values become the bound; without bounds (no values at all) nothing changes."""
-    return F.col(c) if math.isnan(low) else ex.clip(F.col(c), F.lit(low), F.lit(high))
+    return F.when(low.isNull(), F.col(c)).otherwise(ex.clip(F.col(c), low, high))
 
 
-def _wide_fences(q: list[float]) -> tuple[float, float]:
-    q1, q3 = q
+def _wide_fences(q1: Column, q3: Column) -> tuple[Column, Column]:
     return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
 
-def winsorize(df: DataFrame, *columns: str) -> DataFrame:
-    q = _quantiles(df, list(columns), *DEFAULT.winsor)
-    return df.withColumns({c: _clipped(c, *q[c]) for c in columns})
+def winsorize(df: DataFrame, *columns: str, series: tuple[str, ...] = ()) -> DataFrame:
+    """Values beyond the outer percentiles become these; with series, those of each series."""
+    rows, q, _ = _with_quantiles(df, _numbers(list(columns)), DEFAULT.winsor, series)
+    return rows.withColumns({c: _clipped(c, *q[c]) for c in columns}).select(*df.columns)
 
 
-def clip_iqr(df: DataFrame, *columns: str) -> DataFrame:
-    q = _quantiles(df, list(columns), *_FENCES)
-    return df.withColumns({c: _clipped(c, *_wide_fences(q[c])) for c in columns})
+def clip_iqr(df: DataFrame, *columns: str, series: tuple[str, ...] = ()) -> DataFrame:
+    """Values outside the fences become these; with series, those of each series."""
+    rows, q, _ = _with_quantiles(df, _numbers(list(columns)), _FENCES, series)
+    return rows.withColumns({c: _clipped(c, *_wide_fences(*q[c])) for c in columns}).select(*df.columns)
 
 
 def log_transform(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.log1p(F.greatest(F.col(c), F.lit(0.0)))) for c in columns})
 
 
-def outlier_masks(df: DataFrame, columns: list[str]) -> dict[str, Column]:
-    """For each column whether a row is outside its global fences; nulls are not."""
-    q = {c: _wide_fences(x) for c, x in _quantiles(df, columns, *_FENCES).items()}
-    return {c: F.coalesce((F.col(c) < q[c][0]) | (F.col(c) > q[c][1]), F.lit(False)) for c in columns}
+def marked(df: DataFrame, columns: list[str], series: tuple[str, ...] = ()) -> DataFrame:
+    """df with _out_{column}: whether the value is outside the fences (of its series); nulls are not."""
+    if not columns:
+        return df
+    rows, q, _ = _with_quantiles(df, _numbers(columns), _FENCES, series)
+    fences = {c: _wide_fences(*q[c]) for c in columns}
+    masks = {f"_out_{c}": F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False)) for c, (low, high) in fences.items()}
+    return rows.withColumns(masks).select(*df.columns, *masks)
 
 
-def outlier_mask(df: DataFrame, column: str) -> Column:
-    return outlier_masks(df, [column])[column]
+def without_outliers(df: DataFrame, *columns: str, series: tuple[str, ...] = ()) -> DataFrame:
+    out = marked(df, list(columns), series)
+    return drop_rows(out, [F.col(f"_out_{c}") for c in columns]).select(*df.columns)
 
 
 def rolling_iqr(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
-    """Clip to centred rolling fences; a column with fewer values than the window, to global ones."""
+    """Clip to centred rolling fences; where a series has fewer values of a column than the window, to that series' own ones."""
     columns, w = [columns] if isinstance(columns, str) else columns, max(period, 7)
-    count = df.agg(*(F.count(c).alias(c) for c in columns)).first() if columns else {}
-    few = [c for c in columns if count[c] < w]
-    local = [c for c in columns if count[c] >= w]
-    if local:
-        made = {f"_{q}_{c}": F.percentile(ex.no_nan(_double(c)), p) for c in local for q, p in (("q1", 0.25), ("q3", 0.75))}
-        out = ordering.rolling(df, spec, w, **made)
-        fences = {}
-        for c in local:
-            q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
-            fences[c] = ex.clip(F.col(c), F.coalesce(q1 - 1.5 * (q3 - q1), F.col(c)), F.coalesce(q3 + 1.5 * (q3 - q1), F.col(c)))
-        df = out.withColumns(fences).drop(*made)
-    return clip_iqr(df, *few) if few else df
+    rolled = ordering.rolling(df, spec, w, **{f"_q_{c}": ordering.quartiles(ex.no_nan(_double(c))) for c in columns})
+    rows, q, n = _with_quantiles(rolled, _numbers(columns), _FENCES, spec.series)
+    fences = {}
+    for c in columns:
+        low, high = _wide_fences(F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1])
+        local = ex.clip(F.col(c), F.coalesce(low, F.col(c)), F.coalesce(high, F.col(c)))
+        fences[c] = F.when(n[c] >= w, local).otherwise(_clipped(c, *_wide_fences(*q[c])))
+    return rows.withColumns(fences).select(*df.columns)
 
 
 def seasonal_repair(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
     """Values whose residual from trend and season is far off become trend plus season; all columns in one pass.
 
     A series is filled both ways first; the trend is a centred mean over an odd window, the season
-    the mean detrended value by ordinal modulo period. No spread of residuals: nothing changes.
+    the mean detrended value by ordinal modulo period. What is far off is measured by the median distance of a series'
+    own residuals; without any spread nothing changes.
     """
     columns = [columns] if isinstance(columns, str) else columns
     w = period + 1 if period % 2 == 0 else period
@@ -93,21 +107,31 @@ def seasonal_repair(df: DataFrame, columns: str | list[str], spec: SeriesSpec, p
     season = rows.groupBy(*spec.series, "_phase").agg(*(F.avg(F.col(f"_f_{c}") - F.col(f"_t_{c}")).alias(f"_s_{c}") for c in columns))
     key = F.struct(*spec.series, "_phase")  # of equal nulls, which a plain join would drop
     rows = rows.withColumn("_key", key).join(season.select(key.alias("_key"), *(f"_s_{c}" for c in columns)), "_key")
-    residual = {c: F.col(f"_f_{c}") - F.col(f"_t_{c}") - F.col(f"_s_{c}") for c in columns}
-    median = {c: q[0] if q else math.nan for c, q in quantiles(rows, residual, [0.5]).items()}
-    mad = {c: q[0] if q else 0.0 for c, q in quantiles(rows, {c: F.abs(residual[c] - median[c]) for c in columns}, [0.5]).items()}
-    off = {c: F.abs(residual[c] - median[c]) > DEFAULT.residual * mad[c] for c in columns if mad[c] > 0}
+    rows = rows.withColumns({f"_r_{c}": F.col(f"_f_{c}") - F.col(f"_t_{c}") - F.col(f"_s_{c}") for c in columns})
+    rows, median, _ = _with_quantiles(rows, {f"m_{c}": F.col(f"_r_{c}") for c in columns}, (0.5,), spec.series)
+    rows = stored(rows.withColumns({f"_d_{c}": F.abs(F.col(f"_r_{c}") - median[f"m_{c}"][0]) for c in columns}))
+    rows, mad, _ = _with_quantiles(rows, {f"a_{c}": F.col(f"_d_{c}") for c in columns}, (0.5,), spec.series)
+    off = {c: (mad[f"a_{c}"][0] > 0) & (F.col(f"_d_{c}") > DEFAULT.residual * mad[f"a_{c}"][0]) for c in columns}
     return rows.withColumns({c: F.when(x, F.col(f"_t_{c}") + F.col(f"_s_{c}")).otherwise(F.col(c)) for c, x in off.items()}).select(*df.columns)
 
 
 def stl_residuals(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
-    """seasonal_repair(), or rolling_iqr() for columns of fewer than two seasons of values: one count decides."""
+    """seasonal_repair(), or rolling_iqr() where a series has fewer than two seasons of a column's values."""
     columns = [columns] if isinstance(columns, str) else columns
-    count = df.agg(*(F.count(c).alias(c) for c in columns)).first()
-    long = [c for c in columns if count[c] >= 2 * period]
+    least = df.groupBy(*spec.series).agg(*(F.count(c).alias(c) for c in columns)) if spec.series else df.agg(*(F.count(c).alias(c) for c in columns))
+    least = least.agg(*(F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in columns)).first()
+    long = [c for c in columns if (least[c]["low"] or 0) >= 2 * period]
+    short = [c for c in columns if (least[c]["high"] or 0) < 2 * period]
+    mixed = [c for c in columns if c not in long and c not in short]  # series of both kinds
     out = seasonal_repair(df, long, spec, period) if long else df
-    short = [c for c in columns if c not in long]
-    return rolling_iqr(out, short, spec, period) if short else out
+    out = rolling_iqr(out, short, spec, period) if short else out
+    if mixed:
+        out = ordering.ordered(out, spec)
+        both = stored(rolling_iqr(out.withColumns({f"_w_{c}": F.col(c) for c in mixed}), [f"_w_{c}" for c in mixed], spec, period))
+        both = seasonal_repair(both.withColumns({f"_x_{c}": F.col(c) for c in mixed}), [f"_x_{c}" for c in mixed], spec, period)
+        rows, _, n = _with_quantiles(both, {c: F.col(c) for c in mixed}, (0.5,), spec.series)
+        out = rows.withColumns({c: F.when(n[c] >= 2 * period, F.col(f"_x_{c}")).otherwise(F.col(f"_w_{c}")) for c in mixed}).select(*out.columns)
+    return out.select(*df.columns)
 
 
 def _filled(df: DataFrame, ways: dict[str, tuple[str, str]], spec: SeriesSpec) -> DataFrame:
@@ -160,14 +184,18 @@ def interpolate(df: DataFrame, column: str, spec: SeriesSpec, by_time: bool = Tr
     return filled_in(df, spec, linear=[column], by_time=by_time)
 
 
-def fill_with(df: DataFrame, how: str, *columns: str) -> DataFrame:
-    """Nulls become the column's mean or median."""
-    if how == "mean":
-        row = df.agg(*(F.avg(ex.no_nan(_double(c))).alias(c) for c in columns)).first()
-        value = {c: row[c] for c in columns}
+def fill_with(df: DataFrame, how: str, *columns: str, series: tuple[str, ...] = ()) -> DataFrame:
+    """Nulls become the column's mean or median; with series, that of their series. Without values they stay."""
+    if how == "median":
+        rows, q, _ = _with_quantiles(df, _numbers(list(columns)), (0.5,), series)
+        value = {c: q[c][0] for c in columns}
+    elif series:
+        means = stored(df.groupBy(*series).agg(*(F.avg(v).alias(f"_m_{c}") for c, v in _numbers(list(columns)).items())))
+        rows, value = beside(df, means, series), {c: F.col(f"_m_{c}") for c in columns}
     else:
-        value = {c: q[0] if q else None for c, q in quantiles(df, {c: ex.no_nan(_double(c)) for c in columns}, [0.5]).items()}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in value.items() if v is not None})
+        row = df.agg(*(F.avg(v).alias(c) for c, v in _numbers(list(columns)).items())).first()
+        rows, value = df, {c: F.lit(row[c]) for c in columns}
+    return rows.withColumns({c: F.coalesce(F.col(c), v) for c, v in value.items()}).select(*df.columns)
 
 
 def drop_rows(df: DataFrame, masks: list[Column]) -> DataFrame:
@@ -179,9 +207,9 @@ def drop_rows(df: DataFrame, masks: list[Column]) -> DataFrame:
 
 
 def sorted_by_time(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """df in time order. A timestamp stored as text is parsed first, and rows that don't parse go; others stay, without a stamp too."""
+    """df in time order. A timestamp stored as text is read by its column's format first, and rows that it doesn't read go; others stay, without a stamp too."""
     if dict(df.dtypes)[spec.ts] == "string":
-        df = df.withColumn(spec.ts, ex.timestamp(spec.ts)).where(F.col(spec.ts).isNotNull())
+        df = df.withColumn(spec.ts, formats.timestamps(df, [spec.ts])[spec.ts]).where(F.col(spec.ts).isNotNull())
     return df.orderBy(F.col(spec.ts).asc_nulls_last(), *(c for c in spec.ties if c in df.columns))
 
 
@@ -192,11 +220,16 @@ def snapshot(df: DataFrame) -> DataFrame:
     return _wide(sane(df), df.columns, lambda c: {"null_pct": F.round(ex.pct(F.count("*") - F.count(F.col(c)), F.count("*")), 6), "std": std(c)})
 
 
-def report(before: DataFrame, after: DataFrame) -> DataFrame:
-    a, b = (x.agg(F.count("*")).scalar() for x in (before, after))
-    one = before.sparkSession.range(1).select(a.alias("rows_before"), b.alias("rows_after"))
-    gone = ",".join(c for c in before.columns if c not in after.columns)
-    return one.select("rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"), F.round(ex.pct(F.col("rows_before") - F.col("rows_after"), F.col("rows_before")), 6).alias("loss_pct"), F.lit(gone).alias("dropped_columns"))
+def report(before: DataFrame | Measures, after: DataFrame | Measures) -> DataFrame:
+    """One row; tables that were measured while they were written aren't read again."""
+    spark = SparkSession.active()
+    a, b = (x if isinstance(x, Measures) else measured(x) for x in (before, after))
+    gone = ",".join(c for c in a.nulls if c not in b.nulls)
+    loss = round((a.rows - b.rows) * 100.0 / a.rows, 6) if a.rows else 0.0
+    return spark.createDataFrame([(a.rows, b.rows, a.rows - b.rows, loss, gone)], "rows_before long, rows_after long, rows_removed long, loss_pct double, dropped_columns string")
+
+
+_ORDERED = {"outlier_strategy": ("rolling_iqr", "stl_residuals"), "missing_strategy": ("interpolate", "forward_fill", "backward_fill", "flag_and_fill")}
 
 
 def apply_recipe(df: DataFrame, recipe: DataFrame, spec: SeriesSpec, period: int, dedupe: bool = True, sort: bool = True) -> DataFrame:
@@ -204,43 +237,59 @@ def apply_recipe(df: DataFrame, recipe: DataFrame, spec: SeriesSpec, period: int
 
     The recipe has one row per column and is read by the driver to build the plans; data stays where it is. Each
     step handles all its columns at once and starts from a stored table where the one before needed the order.
+    Columns that the recipe drops are gone for every later step: where they order the series, rows get their place before
+    and keep it; names of series that are dropped are held aside under other names until the last step that needs them.
+    Without the timestamp nothing is sorted, and interpolation goes by position. Rows that repeat others in all kept columns
+    leave one, the first of them.
     """
     steps = {r["col"]: r for r in recipe.collect()}
-    # columns that order the series stay until the end
-    held = [c for c in steps if steps[c]["action"] == "drop" and c in df.columns]
-    out = df.drop(*(c for c in held if c not in [*spec.series, *spec.order]))
-    fixes = {"parse_datetime": ex.timestamp, "cast_numeric": ex.number, "encode_boolean": ex.boolean}
-    fixed = {c: fixes[steps[c]["type_fix"]](c) for c in out.columns if c in steps and steps[c]["type_fix"] in fixes}
-    out = ordering.ordered(sane(out.withColumns(fixed)) if fixed else sane(out), spec)
-    mine = [c for c in df.columns if c in out.columns and c in steps]
+    gone = {c for c in df.columns if c in steps and steps[c]["action"] == "drop"}
+    mine = [c for c in df.columns if c in steps and c not in gone]
+    fixes = {"cast_numeric": ex.number, "encode_boolean": ex.boolean}
+    fixed = {c: fixes[steps[c]["type_fix"]](c) for c in mine if steps[c]["type_fix"] in fixes} | formats.timestamps(df, [c for c in mine if steps[c]["type_fix"] == "parse_datetime"])
+    out = sane(df.withColumns(fixed)) if fixed else sane(df)
+    needed = any(steps[c][field] in names for c in mine for field, names in _ORDERED.items())
+    if needed or set(spec.order) & gone:
+        out = ordering.ordered(out, spec)
+    aside = {c: f"_held_{c}" for c in spec.series if c in gone}
+    own = SeriesSpec(spec.ts, spec.ties, tuple(aside.get(c, c) for c in spec.series))
+    series = own.series
+    out = out.withColumnsRenamed(aside).drop(*(c for c in gone if c not in aside))
     numeric = set(numeric_columns(out))
+    timed = dict(out.dtypes).get(spec.ts, "").startswith(("timestamp", "date"))
 
     def having(field: str, *wanted: str, only: set[str] | None = None) -> list[str]:
         return [c for c in mine if steps[c][field] in wanted and (only is None or c in only)]
 
-    marks = outlier_masks(out, having("outlier_strategy", "remove", only=numeric))
-    out = out.withColumns({f"_out_{c}": m for c, m in marks.items()})
-    for how, treat in (("winsorize", winsorize), ("clip_iqr", clip_iqr), ("log_transform", log_transform)):
+    removed = having("outlier_strategy", "remove", only=numeric)
+    out = marked(out, removed, series)
+    for how, treat in (("winsorize", winsorize), ("clip_iqr", clip_iqr)):
         columns = having("outlier_strategy", how, only=numeric)
-        out = treat(out, *columns) if columns else out
+        out = treat(out, *columns, series=series) if columns else out
+    columns = having("outlier_strategy", "log_transform", only=numeric)
+    out = log_transform(out, *columns) if columns else out
     for how, repair in (("rolling_iqr", rolling_iqr), ("stl_residuals", stl_residuals)):
         columns = having("outlier_strategy", how, only=numeric)
-        out = stored(repair(out, columns, spec, period)) if columns else out
+        out = stored(repair(out, columns, own, period)) if columns else out
     flagged = having("missing_strategy", "flag_and_fill")
     out = out.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in flagged})
     for how in ("mean", "median"):
         columns = having("missing_strategy", f"{how}_fill", only=numeric)
-        out = fill_with(out, how, *columns) if columns else out
+        out = fill_with(out, how, *columns, series=series) if columns else out
     between = having("missing_strategy", "interpolate")
     ways = {c: "forward" for c in [*having("missing_strategy", "forward_fill"), *flagged]} | {c: "backward" for c in having("missing_strategy", "backward_fill")} | {c: "both" for c in between if c not in numeric}
     linear = [c for c in between if c in numeric]
     if ways or linear:
-        out = filled_in(out, spec, ways, linear, by_time=dict(out.dtypes)[spec.ts].startswith("timestamp"))
-    gone = [F.col(c).isNull() for c in having("missing_strategy", "drop_row")]
-    out = drop_rows(out, [*gone, *(F.col(f"_out_{c}") for c in marks)])
-    out = out.drop(ordering.ROW, *(f"_out_{c}" for c in marks))
+        out = filled_in(out, own, ways, linear, by_time=timed)
+    out = drop_rows(out, [*(F.col(c).isNull() for c in having("missing_strategy", "drop_row")), *(F.col(f"_out_{c}") for c in removed)])
+    placed = ordering.ROW in out.columns
+    out = out.drop(*aside.values(), *(f"_out_{c}" for c in removed))
+    visible = [c for c in out.columns if c != ordering.ROW]
     if dedupe:
-        out = out.dropDuplicates()
-    if sort:
-        out = sorted_by_time(out, spec)
-    return out.drop(*(c for c in held if c != spec.ts))
+        # an aggregate keeps the first of equal rows, and its parts are joined before they are dealt
+        out = out.groupBy(*visible).agg(F.min(ordering.ROW).alias(ordering.ROW)) if placed else out.dropDuplicates()
+    if sort and spec.ts in visible:
+        # rows without ties of their own, which the recipe may have dropped, keep the place they had
+        ties = tuple(c for c in spec.ties if c in visible)
+        out = sorted_by_time(out, SeriesSpec(spec.ts, (*ties, ordering.ROW) if placed else ties))
+    return out.select(*visible)

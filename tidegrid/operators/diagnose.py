@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.functions.expressions import micros, pct, timestamp
+from tidegrid.functions import formats
+from tidegrid.functions.expressions import micros, pct
 from tidegrid.operators import ordering
-from tidegrid.operators.profile import _wide, cardinality, dtypes, frequency, nulls, numeric_columns, sane, statistics, text_issues, union_all, value_of
-from tidegrid.operators.quantiles import quantiles
+from tidegrid.operators.profile import _wide, cardinality, dtypes, duplicate_rows, frequency, nulls, numeric_columns, sane, statistics, text_issues, union_all, value_of
+from tidegrid.operators.quantiles import beside, grouped, quantiles
 from tidegrid.sources.scratch import stored
 from tidegrid.spec import DEFAULT, GAP_SECONDS, SeriesSpec
 
@@ -44,16 +45,50 @@ def outliers_global(df: DataFrame, columns: list[str]) -> DataFrame:
     return _wide(df, columns, made)
 
 
-def outliers_temporal(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int) -> DataFrame:
-    """col, temporal_pct against centred rolling quartiles of a column's values in time order; null below thirty of them."""
-    out = []
-    for c in [columns] if isinstance(columns, str) else columns:
-        sane = df.select(*spec.series, *spec.order, value_of(df, c).alias("_v")).where(F.col("_v").isNotNull() & F.col(spec.ts).isNotNull())
-        rolled = ordering.rolling(sane, spec, max(period, 7), _q1=F.percentile("_v", 0.25), _q3=F.percentile("_v", 0.75))
-        wide = 1.5 * (F.col("_q3") - F.col("_q1"))
-        share = F.round(F.count_if((F.col("_v") < F.col("_q1") - wide) | (F.col("_v") > F.col("_q3") + wide)) * 100.0 / F.count("*"), 6)
-        out.append(rolled.agg(F.lit(c).alias("col"), F.when(F.count("*") >= 30, share).alias("temporal_pct")))
-    return union_all(out)
+def outliers_by_series(df: DataFrame, columns: list[str], series: tuple[str, ...]) -> DataFrame:
+    """series..., col, iqr_pct, zscore_pct, mad_pct: outliers_global() for each series by its own statistics, all series at once."""
+    values = {c: value_of(df, c) for c in columns}
+    rows = df.select(*series, *(v.alias(f"v_{c}") for c, v in values.items()))
+    names = {c: F.col(f"v_{c}") for c in columns}
+    moments = stored(rows.groupBy(*series).agg(*(F.struct(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")).alias(f"m_{c}") for c, v in names.items())))
+    rows = beside(beside(rows, grouped(rows, series, names, (0.25, 0.5, 0.75)), series), moments, series)
+    rows = stored(rows.withColumns({f"d_{c}": F.abs(names[c] - F.col(f"q_{c}")[1]) for c in columns}))
+    spread = grouped(rows, series, {f"d_{c}": F.col(f"d_{c}") for c in columns}, (0.5,))
+    rows = beside(rows, spread.drop(*(f"n_d_{c}" for c in columns)), series)
+
+    def made(c: str) -> Column:
+        v, q, m, mad = names[c], F.col(f"q_{c}"), F.col(f"m_{c}"), F.col(f"q_d_{c}")[0]
+        wide = DEFAULT.iqr * (q[2] - q[0])
+        share = lambda x: F.round(pct(F.count_if(x), F.count(v)), 6)
+        far = (m["std"] > 0) & (F.abs(v - m["mean"]) > DEFAULT.z * m["std"])
+        return F.struct(F.lit(c).alias("col"), share((v < q[0] - wide) | (v > q[2] + wide)).alias("iqr_pct"), share(far).alias("zscore_pct"), share((mad > 0) & (F.col(f"d_{c}") > DEFAULT.mad * mad)).alias("mad_pct"))
+
+    return rows.groupBy(*series).agg(F.array(*map(made, columns)).alias("x")).select(*series, F.explode("x").alias("x")).select(*series, "x.*")
+
+
+def outliers_temporal(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int, by_series: bool = False) -> DataFrame:
+    """col, temporal_pct against centred rolling quartiles of a column's values in time order; null below thirty of them.
+
+    All columns in one pass over one stored order; rows without a stamp come last. With by_series a row for each series too.
+    """
+    columns = [columns] if isinstance(columns, str) else columns
+    if not columns:
+        return df.sparkSession.createDataFrame([], "col string, temporal_pct double")
+    names = {f"v{i}": c for i, c in enumerate(columns)}
+    rows = df.select(*spec.series, F.col(spec.ts).isNull().alias("_late"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(spec.order)), *(value_of(df, c).alias(v) for v, c in names.items()))
+    order = SeriesSpec("_late", tuple(f"_o{i}" for i in range(len(spec.order))), spec.series)
+    rolled = ordering.rolling_values(rows, list(names), order, max(period, 7), ordering.quartiles(F.col("v")))
+    q1, q3 = F.col("made")[0], F.col("made")[1]
+    wide = 1.5 * (q3 - q1)
+    share = F.round(F.count_if((F.col("v") < q1 - wide) | (F.col("v") > q3 + wide)) * 100.0 / F.count("*"), 6)
+    keys = [*spec.series, "col"] if by_series else ["col"]
+    found = rolled.groupBy(*keys).agg(F.when(F.count("*") >= 30, share).alias("temporal_pct"))
+    name = F.coalesce(*(F.when(F.col("col") == v, F.lit(c)) for v, c in names.items()))
+    found = found.withColumn("col", name)
+    if by_series:
+        return found
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "col string")
+    return every.join(found, "col", "left").select("col", "temporal_pct")
 
 
 def monotonic(df: DataFrame, ts: str, stored: SeriesSpec) -> DataFrame:
@@ -66,11 +101,12 @@ def monotonic(df: DataFrame, ts: str, stored: SeriesSpec) -> DataFrame:
 def integrity(df: DataFrame, spec: SeriesSpec, stored: SeriesSpec) -> DataFrame:
     """One row: frequency, is_monotonic (in the order of `stored`), duplicate_timestamps, gap_count.
 
-    A timestamp stored as text is parsed; if any of it doesn't parse: unknown, null, 0, 0.
+    A timestamp stored as text is read by the column's format; if that doesn't read all of it: unknown, null, 0, 0.
     """
     if dict(df.dtypes)[spec.ts] == "string":
-        parsed = timestamp(spec.ts)
-        if df.where(F.col(spec.ts).isNotNull() & parsed.isNull()).take(1):
+        name, read, n = formats.elected(df, [spec.ts])[spec.ts]
+        parsed = formats.BY_NAME[name].read(F.col(spec.ts)) if name else F.lit(None).cast("timestamp")
+        if read < n:
             return df.sparkSession.createDataFrame([("unknown", None, 0, 0)], "frequency string, is_monotonic boolean, duplicate_timestamps long, gap_count long")
         df = df.withColumn(spec.ts, parsed)
     stamps = df.where(F.col(spec.ts).isNotNull())
@@ -130,8 +166,37 @@ def facts(df: DataFrame, spec: SeriesSpec | None, period: int, measures: list[st
     return out.select("col", "dtype_raw", "dtype_inferred", "n", "null_count", "null_pct", "max_run", "pattern", "distinct_pct", "zero_pct", "skew", "iqr", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct", (found[0] | found[1] | found[2] | found[3]).alias("any_outlier"), "issue", F.coalesce("constant", F.lit(False)).alias("constant"))
 
 
-def payload(profile: DataFrame) -> DataFrame:
-    """profile (of facts()) -> col, kind, json: what a decision needs, aggregates only; columns with nothing to report are left out."""
+def grids(df: DataFrame, stamps: list[str]) -> DataFrame:
+    """col, frequency, pos: the grid of each of a table's timestamp columns, in their order."""
+    if not stamps:
+        return df.sparkSession.createDataFrame([], "col string, frequency string, pos int")
+    return union_all([frequency(df, c).select(F.lit(c).alias("col"), "frequency", F.lit(i).alias("pos")) for i, c in enumerate(stamps)])
+
+
+def table_facts(df: DataFrame, stamps: list[str], value: str | None = None) -> DataFrame:
+    """One row about a whole table: n_rows, duplicate_rows, frequency (by timestamp column), timestamp_col, duplicate_timestamps, breakpoints.
+
+    Breakpoints are dates at which the daily mean of value shifts; none without a value or a timestamp.
+    """
+    spark, known = df.sparkSession, grids(df, stamps).collect()  # a row for each timestamp column
+    found = {r["col"]: r["frequency"] for r in known}
+    ts = pick_timestamp(spark.createDataFrame(known, "col string, frequency string, pos int")).first()[0] if known else None
+    n, repeats, moved = df.count(), duplicate_rows(df).first()[0], None
+    if ts:
+        moved = df.where(F.col(ts).isNotNull()).agg((F.count("*") - F.count_distinct(F.col(ts))).alias("n")).first()[0]
+    dates: list[str] = []
+    if ts and value:
+        daily = df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).cast("date").alias("d")).agg(F.avg(value_of(df, value)).alias("y"))
+        dates = sorted(str(r["break_at"]) for r in breaks(daily, "d", "y").select("break_at").collect())
+    row = (n, repeats, found, ts, moved, dates)
+    return spark.createDataFrame([row], "n_rows long, duplicate_rows long, frequency map<string, string>, timestamp_col string, duplicate_timestamps long, breakpoints array<string>")
+
+
+def payload(profile: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """profile (of facts()) -> col, kind, json: what a decision needs, aggregates only; columns with nothing to report are left out.
+
+    With table (of table_facts()) one row more, of kind table and without a column.
+    """
     parts = [
         ("missing", "null_count > 0", ["null_pct", "max_run", "pattern"]),
         ("outliers", "any_outlier", ["iqr_pct", "zscore_pct", "mad_pct", "temporal_pct"]),
@@ -139,7 +204,10 @@ def payload(profile: DataFrame) -> DataFrame:
         ("issue", "issue is not null", ["issue"]),
         ("constant", "constant", ["constant"]),
     ]
-    return union_all([profile.where(keep).select("col", F.lit(kind).alias("kind"), F.to_json(F.struct(*names)).alias("json")) for kind, keep, names in parts])
+    rows = [profile.where(keep).select("col", F.lit(kind).alias("kind"), F.to_json(F.struct(*names)).alias("json")) for kind, keep, names in parts]
+    if table is not None:
+        rows.append(table.select(F.lit(None).cast("string").alias("col"), F.lit("table").alias("kind"), F.to_json(F.struct(*table.columns)).alias("json")))
+    return union_all(rows)
 
 
 def pick_timestamp(grids: DataFrame) -> DataFrame:

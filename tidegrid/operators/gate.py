@@ -1,4 +1,8 @@
-"""The validation gate: checks of a table before and after cleaning."""
+"""The validation gate: checks of a table before and after cleaning.
+
+Each table is measured once, by one aggregate or while it is written; only the order of stamps needs a pass of its own.
+Whatever a check takes as a table may also be measures that are there already.
+"""
 
 from __future__ import annotations
 
@@ -7,46 +11,65 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.expressions import micros
 from tidegrid.operators import ordering
-from tidegrid.operators.clean import snapshot
-from tidegrid.operators.profile import union_all
+from tidegrid.operators.measures import Measures, measured
 from tidegrid.spec import DEFAULT, SeriesSpec
 
+Measured = DataFrame | Measures
+_SCHEMA = "check string, passed boolean, severity string, detail string"
+#: A check's name, whether it passed, how grave a failure is, what it found.
+Outcome = tuple[str, bool, str, str]
+
+
+def _measures(x: Measured, as_of: str | None = None) -> Measures:
+    return x if isinstance(x, Measures) else measured(x, as_of)
+
+
+def row_loss(before: Measures, after: Measures) -> Outcome:
+    lost = before.rows - after.rows
+    return "row_loss", lost * 100 <= before.rows * DEFAULT.max_row_loss_pct, "blocking", str(lost)
+
 
-def _check(df: DataFrame, name: str, passed: Column, detail: Column, severity: str = "blocking") -> DataFrame:
-    return df.select(F.lit(name).alias("check"), passed.alias("passed"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+def series_length(after: Measures) -> Outcome:
+    return "series_length", after.rows >= DEFAULT.min_rows, "blocking", str(after.rows)
 
 
-def _counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    spark: SparkSession = before.sparkSession
-    return spark.range(1).select(before.agg(F.count("*")).scalar().alias("a"), after.agg(F.count("*")).scalar().alias("b"))
+def null_regression(before: Measures, after: Measures, fixed: list[str]) -> Outcome:
+    """A column may not have more nulls than it had, but for those whose type was fixed; one that is gone has none."""
+    worse = sorted(c for c in before.nulls if c not in fixed and round(after.null_pct(c), 6) - round(before.null_pct(c), 6) > 0.1)
+    return "no_null_regression", not worse, "blocking", ",".join(worse)
 
 
-def row_loss(before: DataFrame, after: DataFrame) -> DataFrame:
-    return _check(_counts(before, after), "row_loss", F.coalesce((F.col("a") - F.col("b")) * 100 <= F.col("a") * DEFAULT.max_row_loss_pct, F.lit(True)), F.col("a") - F.col("b"))
+def variance(before: Measures, after: Measures) -> Outcome:
+    flat = sorted(c for c, std in before.std.items() if c in after.std and (std or 0) > 0 and not round(after.std[c] or 0.0, 6))
+    return "numeric_variance", not flat, "blocking", ",".join(flat)
 
 
-def series_length(after: DataFrame) -> DataFrame:
-    return _check(after.agg(F.count("*").alias("n")), "series_length", F.col("n") >= DEFAULT.min_rows, F.col("n"))
+def ts_nulls(after: Measures, ts: str) -> Outcome:
+    return "timestamp_nulls", not after.nulls[ts], "blocking", str(after.nulls[ts])
 
 
-def null_regression(before: DataFrame, after: DataFrame, fixed: list[str]) -> DataFrame:
-    a, b = (x.select("col", F.col("null_pct").alias(n)) for x, n in ((snapshot(before), "a"), (snapshot(after), "b")))
-    worse = a.join(b, "col", "left").where(~F.col("col").isin(fixed) if fixed else F.lit(True)).where(F.coalesce("b", F.lit(0.0)) - F.col("a") > 0.1)
-    return _check(worse.agg(F.array_join(F.sort_array(F.collect_list("col")), ",").alias("cols")), "no_null_regression", F.col("cols") == "", F.col("cols"))
+def forecastable(after: Measures) -> Outcome:
+    n = sum(round(x or 0.0, 6) > 0 for x in after.std.values())
+    return "forecastable_columns", n >= 1, "blocking", str(n)
 
 
-def variance(before: DataFrame, after: DataFrame) -> DataFrame:
-    a, b = (x.select("col", F.col("std").alias(n)) for x, n in ((snapshot(before), "a"), (snapshot(after), "b")))
-    flat = a.join(b, "col").where("a > 0 and b = 0")
-    return _check(flat.agg(F.array_join(F.sort_array(F.collect_list("col")), ",").alias("cols")), "numeric_variance", F.col("cols") == "", F.col("cols"))
+def future(after: Measures, ts: str) -> Outcome:
+    """Stamps more than a day beyond the as_of that after was measured with; text holds none."""
+    n = after.late.get(ts, 0)
+    return "future_timestamps", not n, "warning", str(n)
 
 
-def ts_nulls(after: DataFrame, ts: str) -> DataFrame:
-    return _check(after.agg(F.count_if(F.col(ts).isNull()).alias("n")), "timestamp_nulls", F.col("n") == 0, F.col("n"))
+def seasonal_history(after: Measures, period: int) -> Outcome:
+    return "seasonal_history", after.rows >= 2 * period, "warning", str(after.rows)
 
 
-def forecastable(after: DataFrame) -> DataFrame:
-    return _check(snapshot(after).agg(F.count_if(F.col("std") > 0).alias("n")), "forecastable_columns", F.col("n") >= 1, F.col("n"))
+def checks(spark: SparkSession, *outcomes: Outcome) -> DataFrame:
+    """check, passed, severity, detail."""
+    return spark.createDataFrame(list(outcomes), _SCHEMA)
+
+
+def _check(df: DataFrame, name: str, passed: Column, detail: Column) -> DataFrame:
+    return df.select(F.lit(name).alias("check"), passed.alias("passed"), F.lit("blocking").alias("severity"), detail.cast("string").alias("detail"))
 
 
 def monotonic(after: DataFrame, ts: str, stored: SeriesSpec | None = None) -> DataFrame:
@@ -58,20 +81,13 @@ def monotonic(after: DataFrame, ts: str, stored: SeriesSpec | None = None) -> Da
     return _check(step.agg(falls.alias("n")), "timestamp_monotonic", F.col("n") == 0, F.col("n"))
 
 
-def future(after: DataFrame, ts: str, as_of: str) -> DataFrame:
-    late = F.count_if(F.col(ts).cast("timestamp") > F.to_timestamp(F.lit(as_of)) + F.expr("INTERVAL 1 DAY"))
-    return _check(after.agg(late.alias("n")), "future_timestamps", F.col("n") == 0, F.col("n"), "warning")
-
-
-def seasonal_history(after: DataFrame, period: int) -> DataFrame:
-    return _check(after.agg(F.count("*").alias("n")), "seasonal_history", F.col("n") >= 2 * period, F.col("n"), "warning")
-
-
 def verdict(checks: DataFrame) -> DataFrame:
     warnings = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("passed") & (F.col("severity") == "warning"), F.col("check")))), ",")
     return checks.agg(F.bool_and(F.col("passed") | (F.col("severity") == "warning")).alias("passed"), warnings.alias("warnings"))
 
 
-def validate(before: DataFrame, after: DataFrame, fixed: list[str], spec: SeriesSpec, period: int, as_of: str, stored: SeriesSpec | None = None) -> DataFrame:
-    """All checks as rows check, passed, severity, detail; stored is the order for monotonic()."""
-    return union_all([row_loss(before, after), series_length(after), null_regression(before, after, fixed), variance(before, after), ts_nulls(after, spec.ts), forecastable(after), monotonic(after, spec.ts, stored), future(after, spec.ts, as_of), seasonal_history(after, period)])
+def validate(before: Measured, after: DataFrame, fixed: list[str], spec: SeriesSpec, period: int, as_of: str, stored: SeriesSpec | None = None, seen: Measures | None = None) -> DataFrame:
+    """All checks as rows check, passed, severity, detail; stored is the order for monotonic(), seen what was observed of after when it was written."""
+    a, b = _measures(before), seen or measured(after, as_of)
+    outcomes = [row_loss(a, b), series_length(b), null_regression(a, b, fixed), variance(a, b), ts_nulls(b, spec.ts), forecastable(b), future(b, spec.ts), seasonal_history(b, period)]
+    return checks(after.sparkSession, *outcomes).unionByName(monotonic(after, spec.ts, stored))

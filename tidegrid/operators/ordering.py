@@ -2,9 +2,9 @@
 
 A frame is sorted by ranges of its order keys and stored once, with _row: a number that ascends through the
 ranges, whose high bits name the range (a block). Everything later starts from that table: work happens in the
-blocks, and one row per block (and series) carries what crosses them. Blocks are bounded by bytes, not by
-dates: a dense day, rows without a stamp and one long series are cut like anything else. All columns of one
-order are handled in one pass, so plans don't grow with their number.
+blocks, and one row per block (and series) carries what crosses them. There are as many blocks as shuffle partitions,
+cut by rows and not by dates: a dense day, rows without a stamp and one long series are cut like anything else. All
+columns of one order are handled in one pass, so plans don't grow with their number.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ def ordered(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def in_storage_order(df: DataFrame) -> tuple[DataFrame, SeriesSpec]:
     """A frame read from Parquet files with the place of each row, and the order in which it was written."""
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    path = F.col("_metadata.file_path")
+    part = F.lpad(F.regexp_extract(path, r"part-(\d+)[^/]*$", 1), 20, "0")  # parts are numbered; as text 100000 comes before 99999
+    placed = df.select("*", F.concat(part, F.lit(" "), path).alias("_file"), F.col("_metadata.row_index").alias("_place"))
     return placed, SeriesSpec("_file", ("_place",))
 
 
@@ -94,6 +96,11 @@ def lagged(df: DataFrame, value: Column, spec: SeriesSpec, name: str) -> DataFra
     return _done(rows.withColumn("_own", own).join(last, "_block").withColumn(name, F.coalesce("_own", "_carry")["_v"]), df, name)
 
 
+def quartiles(value: Column) -> Column:
+    """An aggregate for windows: an array of the first and third quartile (linear between neighbours), null without values."""
+    return F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+
+
 def rolling(df: DataFrame, spec: SeriesSpec, window: int, size: int = 4096, **made: Column) -> DataFrame:
     """df with aggregates over the centred frame of `window` rows: row i covers i - w div 2 to i - w div 2 + w - 1.
 
@@ -109,17 +116,40 @@ def rolling(df: DataFrame, spec: SeriesSpec, window: int, size: int = 4096, **ma
     return _done(out.where("_b = _home"), df, *made)
 
 
+def value_counts(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFrame:
+    """df with _k_{column}: how many values (not nulls) of each column its series has up to the row; one pass for all columns."""
+    rows = _blocked(ordered(df, spec), spec)
+    held = rows.groupBy("_block").agg(*(F.count(F.col(c)).alias(f"_n_{c}") for c in columns))
+    before = held.select("_block", *((F.sum(f"_n_{c}").over(_over_blocks(spec)) - F.col(f"_n_{c}")).alias(f"_p_{c}") for c in columns))
+    up = _in_block().rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select("*", *(F.count(F.col(c)).over(up).alias(f"_own_{c}") for c in columns)).join(before, "_block")
+    return _done(own.withColumns({f"_k_{c}": F.col(f"_own_{c}") + F.col(f"_p_{c}") for c in columns}), df, *(f"_k_{c}" for c in columns))
+
+
+def rolling_values(df: DataFrame, columns: list[str], spec: SeriesSpec, window: int, made: Column, size: int = 4096) -> DataFrame:
+    """series..., col, v, made: for each value of each column an aggregate of v over the centred frame of its column's values, nulls left out.
+
+    Values of all columns travel as cells, so there is one stored order and one pass, however many columns there are.
+    """
+    half, size = window // 2, max(size, window)
+    rows = value_counts(df, columns, spec)
+    cells = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("col"), (F.col(f"_k_{c}") - 1).alias("rn"), F.col(c).cast("double").alias("v"))) for c in columns)))
+    cells = rows.select(*spec.series, F.explode(cells).alias("x")).select(*spec.series, "x.*")
+    low, high = F.floor((F.col("rn") - (window - 1 - half)) / size), F.floor((F.col("rn") + half) / size)
+    spread = cells.withColumn("_b", F.explode(F.sequence(low, high)))
+    frame = Window.partitionBy(*spec.series, "col", "_b").orderBy("rn").rowsBetween(-half, window - 1 - half)
+    return spread.withColumn("made", made.over(frame)).where(F.col("_b") == F.floor(F.col("rn") / size)).select(*spec.series, "col", "v", "made")
+
+
 def null_runs(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFrame:
     """col (and series), max_run: the longest run of nulls of each column, 0 without any; one pass for all columns.
 
     Nulls with equally many values before them form a run.
     """
-    rows = _blocked(ordered(df.select(*spec.series, *(c for c in spec.order if c not in spec.series), *(c for c in columns if c not in [*spec.series, *spec.order]), *([ROW] if ROW in df.columns else [])), spec), spec)
-    held = rows.groupBy("_block").agg(*(F.count(F.col(c)).alias(f"_n_{c}") for c in columns))
-    before = held.select("_block", *((F.sum(f"_n_{c}").over(_over_blocks(spec)) - F.col(f"_n_{c}")).alias(f"_p_{c}") for c in columns))
-    up = _in_block().rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.select("*", *(F.count(F.col(c)).over(up).alias(f"_k_{c}") for c in columns)).join(before, "_block")
-    cells = F.array(*(F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("col"), (F.col(f"_k_{c}") + F.col(f"_p_{c}")).alias("run"))) for c in columns))
+    keys = [*spec.series, *spec.order]
+    rows = ordered(df.select(*dict.fromkeys([*keys, *columns, *([ROW] if ROW in df.columns else [])])), spec)
+    seen = value_counts(rows, columns, spec)
+    cells = F.array(*(F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("col"), F.col(f"_k_{c}").alias("run"))) for c in columns))
     runs = seen.select(*spec.series, F.explode(F.array_compact(cells)).alias("x")).groupBy(*spec.series, "x").agg(F.count("*").alias("len"))
     longest = runs.groupBy(*spec.series, "x.col").agg(F.max("len").alias("max_run"))
     every = (rows.select(*spec.series).distinct() if spec.series else df.sparkSession.range(1)).select(*spec.series, F.explode(F.array(*map(F.lit, columns))).alias("col"))

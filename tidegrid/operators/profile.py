@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidegrid.functions.expressions import kurtosis, micros, no_nan, number, pct, skew, timestamp
+from tidegrid.functions import formats
+from tidegrid.functions.expressions import kurtosis, micros, no_nan, number, pct, skew
 from tidegrid.operators.quantiles import quantiles
 from tidegrid.spec import DEFAULT
 
@@ -56,10 +57,28 @@ def nulls(df: DataFrame) -> DataFrame:
     return _wide(sane(df), df.columns, lambda c: {"null_count": F.count("*") - F.count(F.col(c)), "null_pct": F.round(pct(F.count("*") - F.count(F.col(c)), F.count("*")), 6)})
 
 
+def _texts(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+
+
+def text_rates(df: DataFrame) -> DataFrame:
+    """col, n, num, parsed, format of the text columns: cells, those that are numbers, those that the column's best format reads; one pass.
+
+    A format is one for the whole column (see formats): what reads in several of them isn't added up.
+    """
+    texts = _texts(df)
+    rates = {c: {"n": F.count(F.col(c)), "num": F.count(number(c)), "parsed": formats.counts(c)["parsed"], "format": formats.counts(c)["format"]} for c in texts}
+    return _wide(df, texts, rates.__getitem__) if texts else df.sparkSession.createDataFrame([], "col string, n long, num long, parsed long, format string")
+
+
+def _kind() -> Column:
+    """What the cells of a text column are: numbers above DEFAULT.parse, timestamps if one format reads all of them."""
+    n = F.col("n")
+    return F.when((n > 0) & (F.col("num") > n * DEFAULT.parse), "numeric").when((n > 0) & (F.col("parsed") == n), "datetime").otherwise("categorical")
+
+
 def dtypes(df: DataFrame) -> DataFrame:
-    """col, dtype_raw, dtype_inferred: text is numeric above DEFAULT.parse, datetime if all of it parses."""
-    stored = {f.name: f.dataType for f in df.schema}
-    texts = [c for c, t in stored.items() if isinstance(t, T.StringType)]
+    """col, dtype_raw, dtype_inferred; text by its cells, see text_rates()."""
 
     def fixed(t: T.DataType) -> str:
         if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -68,16 +87,9 @@ def dtypes(df: DataFrame) -> DataFrame:
             return "boolean"
         return "numeric" if isinstance(t, T.NumericType) else "nested" if isinstance(t, _NESTED) else "categorical"
 
-    rates = df.agg(F.count("*").alias("_all"), *(F.struct(F.count(F.col(c)).alias("n"), F.count(number(c)).alias("num"), F.count(timestamp(c)).alias("ts")).alias(c) for c in texts))
-
-    def inferred(c: str) -> Column:
-        if c not in texts:
-            return F.lit(fixed(stored[c]))
-        n = F.col(f"`{c}`.n")
-        return F.when((n > 0) & (F.col(f"`{c}`.num") > n * DEFAULT.parse), "numeric").when((n > 0) & (F.col(f"`{c}`.ts") == n), "datetime").otherwise("categorical")
-
-    rows = F.array(*(F.struct(F.lit(c).alias("col"), F.lit(t.simpleString()).alias("dtype_raw"), inferred(c).alias("dtype_inferred")) for c, t in stored.items()))
-    return rates.select(F.explode(rows).alias("r")).select("r.*")
+    texts = _texts(df)
+    others = [(f.name, f.dataType.simpleString(), fixed(f.dataType)) for f in df.schema if f.name not in texts]
+    return df.sparkSession.createDataFrame(others, "col string, dtype_raw string, dtype_inferred string").unionByName(text_rates(df).select("col", F.lit("string").alias("dtype_raw"), _kind().alias("dtype_inferred")))
 
 
 def datetime_columns(kinds: DataFrame) -> DataFrame:
@@ -87,11 +99,8 @@ def datetime_columns(kinds: DataFrame) -> DataFrame:
 
 def text_issues(df: DataFrame) -> DataFrame:
     """col, issue: text columns typed categorical that mostly hold numbers or dates."""
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    kind = dtypes(df.select(*texts)).select("col", "dtype_inferred")
-    rates = _wide(df, texts, lambda c: {"n": F.count(F.col(c)), "num": F.count(number(c)), "ts": F.count(timestamp(c))})
-    issue = F.when(F.col("num") > F.col("n") * DEFAULT.parse, "numeric_as_string").when(F.col("ts") > F.col("n") * DEFAULT.parse, "datetime_as_string")
-    return rates.join(kind, "col").where("dtype_inferred = 'categorical'").select("col", issue.alias("issue")).where("issue is not null")
+    issue = F.when(F.col("num") > F.col("n") * DEFAULT.parse, "numeric_as_string").when(F.col("parsed") > F.col("n") * DEFAULT.parse, "datetime_as_string")
+    return text_rates(df).where(_kind() == "categorical").select("col", issue.alias("issue")).where("issue is not null")
 
 
 def value_of(df: DataFrame, c: str) -> Column:

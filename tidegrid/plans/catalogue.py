@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import expressions as ex
+from tidegrid.functions import formats
 from tidegrid.operators import clean, diagnose, gate, ordering, profile, recipe
-from tidegrid.sources import readers
+from tidegrid.operators.measures import measured
+from tidegrid.sources import readers, runs
 from tidegrid.sources.scratch import fresh_folder, stored
 from tidegrid.spec import SeriesSpec
 
@@ -35,6 +37,14 @@ MEASURES = ["v", "v_trail", "v_zero", "const_num"]
 DUP = "SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 100 = 0"
 JOINED = "SELECT n.n_name AS nation, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name"
 
+#: One moment written in several ways; each column has one format, but for what isn't a date at all.
+STAMPS = """SELECT event_id, event_id AS place, value, CASE event_id % 6 WHEN 0 THEN replace(x, ' ', 'T') WHEN 1 THEN replace(x, ' ', 'T') || 'Z' WHEN 2 THEN replace(x, ' ', 'T') || '+02:00' WHEN 3 THEN substr(x, 1, 16) WHEN 4 THEN substr(x, 1, 10) ELSE x END AS iso_txt,
+ substr(x, 6, 2) || '/' || substr(x, 9, 2) || '/' || substr(x, 1, 4) AS us_txt, substr(x, 9, 2) || '/' || substr(x, 6, 2) || '/' || substr(x, 1, 4) AS eu_txt,
+ CASE WHEN event_id % 10 = 3 THEN 'n/a' ELSE substr(x, 9, 2) || '.' || substr(x, 6, 2) || '.' || substr(x, 1, 4) || ' ' || substr(x, 12, 5) END AS dot_txt
+ FROM (SELECT event_id, value, CAST(ts AS STRING) AS x FROM events)"""
+#: Its text columns, and the formats that read any of them.
+_WRITTEN = {"iso_txt": ("iso", "dd.MM.yyyy"), "us_txt": ("MM/dd/yyyy", "dd/MM/yyyy"), "eu_txt": ("MM/dd/yyyy", "dd/MM/yyyy"), "dot_txt": ("iso", "dd.MM.yyyy")}
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -156,8 +166,17 @@ _SHUFFLED = "SELECT *, event_id * 7919 % 10000 AS place FROM events"
 STORED = SeriesSpec("place", ("event_id",))
 for _name, _cols, _base in (("ts_integrity", "*", _GAP), ("ts_monotonic", "is_monotonic", _GAP), ("ts_monotonic_shuffled", "is_monotonic", _SHUFFLED), ("ts_integrity_shuffled", "*", _SHUFFLED), ("ts_duplicates", "duplicate_timestamps", _DUP_PLACED), ("ts_gaps", "gap_count", _GAP)):
     _on(_name, lambda d, c=_cols: diagnose.integrity(d, SPEC, STORED).select(c), f"SELECT {_cols} FROM ({_INT.replace(chr(39) + 'hourly' + chr(39), '(' + _FREQ.format(c='ts', f='d') + ')')})", _base)
+#: DuckDB's cast leaves an offset out.
+_ISO = "(try_cast({c} AS TIMESTAMP) - CASE WHEN {c} LIKE '%+02:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END)"
 _TEXT_TS = "SELECT event_id, event_id AS place, CASE WHEN event_id % 13 = 0 THEN 'bad' ELSE CAST(ts AS STRING) END AS ts FROM events"
-_on("ts_integrity_unparsed", lambda d: diagnose.integrity(d, SPEC, STORED), "SELECT CASE WHEN ok THEN '?' ELSE 'unknown' END AS frequency, CASE WHEN ok THEN true END AS is_monotonic, CAST(0 AS BIGINT) AS duplicate_timestamps, CAST(0 AS BIGINT) AS gap_count FROM (SELECT count(try_cast(ts AS TIMESTAMP)) = count(ts) AS ok FROM d)", _TEXT_TS)
+_ISO_TS = "SELECT event_id, place, iso_txt AS ts FROM (" + STAMPS + ")"
+_INT_OF = _INT.replace("'hourly'", "(" + _FREQ.format(c="ts", f="e") + ")").replace("FROM d", "FROM e")
+for _name, _base in (("ts_integrity_unparsed", _TEXT_TS), ("ts_integrity_iso", _ISO_TS)):
+    _on(_name, lambda d: diagnose.integrity(d, SPEC, STORED), f"SELECT CASE WHEN ok THEN frequency ELSE 'unknown' END AS frequency, CASE WHEN ok THEN is_monotonic END AS is_monotonic, CASE WHEN ok THEN duplicate_timestamps ELSE 0 END AS duplicate_timestamps, CASE WHEN ok THEN gap_count ELSE 0 END AS gap_count FROM (WITH e AS (SELECT event_id, place, {_ISO.format(c='ts')} AS ts FROM d) {_INT_OF}), (SELECT count(try_cast(ts AS TIMESTAMP)) = count(ts) AS ok FROM d)", _base)
+_READ = {"iso": _ISO, "MM/dd/yyyy": "try_strptime({c}, '%m/%d/%Y')", "dd/MM/yyyy": "try_strptime({c}, '%d/%m/%Y')", "dd.MM.yyyy": "try_strptime({c}, '%d.%m.%Y %H:%M')"}
+_on("format_election", lambda d: formats.election(d, list(_WRITTEN)), " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS col, unnest(['{a}', '{b}']) AS format, unnest([count({_READ[a].format(c=c)}), count({_READ[b].format(c=c)})]) AS parsed, count({c}) AS n FROM d) QUALIFY row_number() OVER (ORDER BY parsed DESC) = 1" for c, (a, b) in _WRITTEN.items()), STAMPS)
+_on("dtype_issues_dates", profile.text_issues, f"SELECT 'dot_txt' AS col, 'datetime_as_string' AS issue FROM d HAVING count({_READ['dd.MM.yyyy'].format(c='dot_txt')}) BETWEEN 0.8 * count(dot_txt) AND count(dot_txt) - 1", STAMPS)
+_on("profile_dtypes_dates", lambda d: profile.dtypes(d).select("col", "dtype_inferred"), "SELECT 'event_id' AS col, 'numeric' AS dtype_inferred UNION ALL SELECT 'place', 'numeric' UNION ALL SELECT 'value', 'numeric' UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', CASE WHEN greatest(count({_READ[a].format(c=c)}), count({_READ[b].format(c=c)})) = count({c}) THEN 'datetime' ELSE 'categorical' END FROM d" for c, (a, b) in _WRITTEN.items()), STAMPS)
 _on("dtype_issues", profile.text_issues, f"SELECT 'date_txt' AS col, 'datetime_as_string' AS issue FROM d HAVING count(try_cast(date_txt AS TIMESTAMP)) > 0.8 * count(date_txt) AND count(*) FILTER (WHERE {_NUMBER.replace('@', 'date_txt')}) <= 0.8 * count(date_txt)")
 _on("constant_columns", lambda d: diagnose.constants(d, MEASURES, ["const_txt", "flag_txt"]), _each(MEASURES, "SELECT '@' AS col FROM d HAVING (abs(avg(@)) > 0 AND stddev_samp(@) / abs(avg(@)) < 0.001) OR (avg(@) = 0 AND stddev_samp(@) < 1e-9)") + " UNION ALL " + _each(["const_txt", "flag_txt"], "SELECT '@' FROM d HAVING count(DISTINCT @) <= 1"))
 _PROFILED = ["v", "v_zero", "flag_txt"]
@@ -203,20 +222,21 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _known[key]
 
 
-def _reported(p: DataFrame) -> DataFrame:
+def _reported(p: DataFrame, table: DataFrame) -> DataFrame:
     field = lambda name: F.get_json_object("json", f"$.{name}")
-    return diagnose.payload(p).select("col", "kind", *(F.round(field(x).cast("double"), 6).alias(x) for x in ("null_pct", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct", "distinct_pct", "zero_pct", "skew")), field("max_run").cast("long").alias("max_run"), *(field(x).alias(x) for x in ("pattern", "issue", "dtype_inferred")))
+    return diagnose.payload(p, table).select("col", "kind", *(F.round(field(x).cast("double"), 6).alias(x) for x in ("null_pct", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct", "distinct_pct", "zero_pct", "skew")), field("max_run").cast("long").alias("max_run"), *(field(x).alias(x) for x in ("pattern", "issue", "dtype_inferred")), *(field(x).cast("long").alias(x) for x in ("n_rows", "duplicate_rows", "duplicate_timestamps")), field("frequency.ts").alias("frequency"), F.get_json_object("json", "$.breakpoints").alias("breakpoints"))
 
 
 def _part(kind: str, keep: str, *names: str) -> str:
     every = ("null_pct", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct", "distinct_pct", "zero_pct", "skew", "max_run", "pattern", "issue", "dtype_inferred")
-    return f"SELECT col, '{kind}' AS kind, " + ", ".join(x if x in names else f"NULL AS {x}" for x in every) + f" FROM f WHERE {keep}"
+    return f"SELECT col, '{kind}' AS kind, " + ", ".join(x if x in names else f"NULL AS {x}" for x in every) + f", {_NO_TABLE} FROM f WHERE {keep}"
 
 
-_add("column_facts", _facts, _DUCK_FACTS.rstrip(", ") + " SELECT * FROM f")
-_add("decision_payload", lambda s, d: _reported(_facts(s, d)), _DUCK_FACTS.rstrip(", ") + " " + " UNION ALL ".join((_part("missing", "null_count > 0", "null_pct", "max_run", "pattern"), _part("outliers", "any_outlier", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct"), _part("profile", "true", "dtype_inferred", "null_pct", "distinct_pct", "zero_pct", "skew"), _part("issue", "issue IS NOT NULL", "issue"), _part("constant", "constant"))))
+_NO_TABLE = "NULL AS n_rows, NULL AS duplicate_rows, NULL AS duplicate_timestamps, NULL AS frequency, NULL AS breakpoints"
+_DAILY = "SELECT CAST(ts AS DATE) AS d, avg(v) AS y FROM d GROUP BY ALL"
 
 
+_add("column_facts", _facts, _DUCK_FACTS.rstrip(", ") + " SELECT * FROM f")
 def _grids(d: DataFrame) -> DataFrame:
     """The grid of each timestamp column of lineitem-like data."""
     parts = [("ts", "ts"), ("day", "CAST(date_trunc('day', ts) AS TIMESTAMP)"), ("week", "date_trunc('week', ts)")]
@@ -240,6 +260,10 @@ def _rounds(q: str, rounds: int) -> str:
 
 _add("structural_breaks_all", lambda s, d: diagnose.breaks(_sql(s, d, _SHIFT), "d", "y").select(F.col("break_at").cast("string").alias("break_at"), "round"), _rounds(_SHIFT, 6))
 
+_ABOUT = "SELECT NULL AS col, 'table' AS kind, " + _part("x", "x", "").split("kind, ")[1].split(", " + _NO_TABLE)[0] + f""", (SELECT count(*) FROM d) AS n_rows, (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS duplicate_rows, (SELECT count(*) - count(DISTINCT ts) FROM d) AS duplicate_timestamps, ({_FREQ.format(c="ts", f="d")}) AS frequency,
+ (SELECT '[' || coalesce(string_agg('"' || break_at || '"', ',' ORDER BY break_at), '') || ']' FROM ({_rounds(_DAILY, 6)})) AS breakpoints"""
+_add("decision_payload", lambda s, d: _reported(_facts(s, d), diagnose.table_facts(_dirty(s, d), ["ts"], "v")), _DUCK_FACTS.rstrip(", ") + " " + " UNION ALL ".join((_part("missing", "null_count > 0", "null_pct", "max_run", "pattern"), _part("outliers", "any_outlier", "iqr_pct", "zscore_pct", "mad_pct", "temporal_pct"), _part("profile", "true", "dtype_inferred", "null_pct", "distinct_pct", "zero_pct", "skew"), _part("issue", "issue IS NOT NULL", "issue"), _part("constant", "constant"), _ABOUT)))
+
 # Recipe ------------------------------------------------------------------------------------------
 
 
@@ -329,7 +353,7 @@ _clean("clean_clip_iqr", lambda d: clean.clip_iqr(d, "v"), "CASE WHEN v IS NOT N
 _clean("clean_log1p", lambda d: clean.log_transform(d, "v"), "CASE WHEN v IS NOT NULL THEN ln(1 + greatest(v, 0)) END", "d")
 _clean("clean_mean_fill", lambda d: clean.fill_with(d, "mean", "v"), "coalesce(v, m)")
 _clean("clean_median_fill", lambda d: clean.fill_with(d, "median", "v"), "coalesce(v, md)")
-_clean("clean_remove_outliers", lambda d: clean.drop_rows(d, [clean.outlier_mask(d, "v")]), "v", f"d, {_VQ} WHERE NOT coalesce(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), false)")
+_clean("clean_remove_outliers", lambda d: clean.without_outliers(d, "v"), "v", f"d, {_VQ} WHERE NOT coalesce(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), false)")
 _clean("clean_ffill", lambda d: clean.fill(d, "v", SPEC, "forward"), "last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "d")
 _clean("clean_ffill_panel", lambda d: clean.fill(d, "v", PANEL, "forward"), "last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "d")
 _clean("clean_bfill", lambda d: clean.fill(d, "v", SPEC, "backward"), "first_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "d")
@@ -348,13 +372,16 @@ _SEASON = """, f AS (SELECT event_id, ts, v, coalesce(last_value(v IGNORE NULLS)
 for _name, _f in (("seasonal_decompose", clean.seasonal_repair), ("clean_seasonal", clean.stl_residuals)):
     _add(_name, lambda s, d, f=_f: _rounded(f(_dirty(s, d).select("event_id", "ts", "v"), "v", SPEC, 24).select("event_id", "v")), "WITH d AS MATERIALIZED (" + DIRTY.replace("AS STRING", "AS VARCHAR") + ")" + _SEASON)
 _on("clean_drop_columns", lambda d: d.drop("const_txt", "const_num").select("event_id", "ts", "v_zero"), "SELECT event_id, ts, v_zero FROM d")
-_on("clean_parse_datetime", lambda d: d.select("event_id", ex.timestamp("date_txt").cast("timestamp_ntz").alias("t")), "SELECT event_id, try_cast(date_txt AS TIMESTAMP) AS t FROM d")
+_on("clean_parse_datetime", lambda d: d.select("event_id", formats.timestamps(d, ["date_txt"])["date_txt"].cast("timestamp_ntz").alias("t")), "SELECT event_id, try_cast(date_txt AS TIMESTAMP) AS t FROM d")
+_STAMPED = "SELECT event_id, " + ", ".join(f"coalesce({_READ[b].format(c=c)}, NULL) AS {c}" if c in ("eu_txt", "dot_txt") else f"{_READ[a].format(c=c)} AS {c}" for c, (a, b) in _WRITTEN.items()) + " FROM d"
+_on("clean_parse_formats", lambda d: (lambda t: d.select("event_id", *(t[c].cast("timestamp_ntz").alias(c) for c in _WRITTEN)))(formats.timestamps(d, _WRITTEN)), _STAMPED, STAMPS)
 _on("clean_cast_numeric", lambda d: d.select("event_id", ex.number("num_txt").alias("x")), f"SELECT event_id, CASE WHEN {_NUMBER.replace('@', 'num_txt')} THEN try_cast(num_txt AS DOUBLE) END AS x FROM d")
 _on("clean_encode_boolean", lambda d: d.select("event_id", ex.boolean("flag_txt").alias("b")), "SELECT event_id, CASE WHEN lower(flag_txt) IN ('yes', 'true', '1') THEN true WHEN lower(flag_txt) IN ('no', 'false', '0') THEN false END AS b FROM d")
 _on("clean_drop_rows", lambda d: clean.drop_rows(d, [F.col("v").isNull(), F.col("v_zero") == 0]).select("event_id"), "SELECT event_id FROM d WHERE v IS NOT NULL AND NOT coalesce(v_zero = 0, false)")
 _on("clean_dedupe", lambda d: d.dropDuplicates(), "SELECT DISTINCT * FROM d", DUP)
 _on("clean_sort", lambda d: clean.sorted_by_time(d, SPEC).select("event_id", "ts"), "SELECT event_id, ts FROM d ORDER BY ts, event_id")
 _on("clean_sort_text", lambda d: clean.sorted_by_time(d.select("event_id", "date_txt"), SeriesSpec("date_txt", ("event_id",))).select("event_id", F.col("date_txt").cast("timestamp_ntz").alias("t")), "SELECT event_id, try_cast(date_txt AS TIMESTAMP) AS t FROM d WHERE try_cast(date_txt AS TIMESTAMP) IS NOT NULL")
+_on("clean_sort_iso", lambda d: clean.sorted_by_time(d.select("event_id", "iso_txt"), SeriesSpec("iso_txt", ("event_id",))).select("event_id", F.col("iso_txt").cast("timestamp_ntz").alias("t")), f"SELECT event_id, {_ISO.format(c='iso_txt')} AS t FROM d", STAMPS)
 _NULL_TS = DIRTY.replace("SELECT event_id, ts,", "SELECT event_id, CASE WHEN event_id % 50 = 7 THEN NULL ELSE ts END AS ts,")
 _on("clean_interpolate_null_ts", lambda d: _rounded(clean.interpolate(d, "v", SPEC).select("event_id", "v")), f"SELECT event_id, round({_BETWEEN}, 6) AS v FROM {_LINEAR.format(x='row_number() OVER (ORDER BY ts NULLS FIRST, event_id)').replace('ORDER BY ts, event_id ROWS', 'ORDER BY ts NULLS FIRST, event_id ROWS')}", _NULL_TS)
 _on("clean_snapshot", lambda d: clean.snapshot(d.select("v", "v_zero", "flag_txt")), "SELECT 'flag_txt' AS col, 0.0e0 AS null_pct, CAST(NULL AS DOUBLE) AS std UNION ALL " + _each(["v", "v_zero"], "SELECT '@', round((count(*) - count(@)) * 100.0e0 / count(*), 6), round(stddev_samp(@), 6) FROM d"))
@@ -362,13 +389,63 @@ _LOSSY = "event_id % 5 <> 0"
 _on("clean_report", lambda d: clean.report(d, d.where(_LOSSY).drop("const_txt")), f"SELECT count(*) AS rows_before, count(*) FILTER (WHERE {_LOSSY}) AS rows_after, count(*) FILTER (WHERE NOT {_LOSSY}) AS rows_removed, round(count(*) FILTER (WHERE NOT {_LOSSY}) * 100.0e0 / count(*), 6) AS loss_pct, 'const_txt' AS dropped_columns FROM d")
 
 
-def _plan(d: DataFrame) -> DataFrame:
-    spark = d.sparkSession
-    steps = [("v", "forward_fill", "clip_iqr", "none", "keep"), ("t_gap", "drop_row", "keep", "none", "keep"), ("num_txt", "none", "keep", "cast_numeric", "keep"), ("const_txt", "none", "keep", "none", "drop")]
-    return spark.createDataFrame(steps, "col string, missing_strategy string, outlier_strategy string, type_fix string, action string")
+_STEPS = "col string, missing_strategy string, outlier_strategy string, type_fix string, action string"
 
 
-_on("clean_apply_recipe", lambda d: _rounded(clean.apply_recipe(d.select("event_id", "ts", "v", "t_gap", "num_txt", "const_txt"), _plan(d), SPEC, 24)), f"SELECT event_id, ts, v, t_gap, x AS num_txt FROM (SELECT event_id, ts, t_gap, CASE WHEN {_NUMBER.replace('@', 'num_txt')} THEN try_cast(num_txt AS DOUBLE) END AS x, round(last_value(CASE WHEN v IS NOT NULL THEN greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), v)) END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS v FROM d, {_VQ}) WHERE t_gap IS NOT NULL")
+def _plan(d: DataFrame) -> DataFrame:
+    steps = [
+        ("v", "forward_fill", "clip_iqr", "none", "keep"),
+        ("v_trail", "median_fill", "winsorize", "none", "keep"),
+        ("v_block", "none", "remove", "none", "keep"),
+        ("v_zero", "none", "log_transform", "none", "keep"),
+        ("t_gap", "drop_row", "keep", "none", "keep"),
+        ("num_txt", "none", "keep", "cast_numeric", "keep"),
+        ("date_txt", "none", "keep", "parse_datetime", "keep"),
+        ("flag_txt", "none", "keep", "encode_boolean", "keep"),
+        ("const_txt", "none", "keep", "none", "drop"),
+    ]
+    return d.sparkSession.createDataFrame(steps, _STEPS)
+
+
+def _ntz(d: DataFrame) -> DataFrame:
+    return d.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in d.dtypes))
+
+
+_FENCE = "greatest({q}1 - 1.5 * ({q}3 - {q}1), least({q}3 + 1.5 * ({q}3 - {q}1), {c}))"
+_APPLIED = f"""SELECT event_id, ts, user_id, event_type, round(v, 6) AS v, round(coalesce(v_trail, (SELECT quantile_cont(v_trail, 0.5) FROM o)), 6) AS v_trail, round(v_block, 6) AS v_block, round(v_zero, 6) AS v_zero, num_txt, date_txt, flag_txt, t_gap, const_num FROM
+ (SELECT * REPLACE (last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v) FROM o) WHERE t_gap IS NOT NULL AND NOT coalesce(gone, false)"""
+_on("clean_apply_recipe", lambda d: _ntz(_rounded(clean.apply_recipe(d, _plan(d), SPEC, 24))), f""", q AS (SELECT quantile_cont(v, 0.25) AS v1, quantile_cont(v, 0.75) AS v3, quantile_cont(v_trail, 0.015) AS lo, quantile_cont(v_trail, 0.985) AS hi, quantile_cont(v_block, 0.25) AS b1, quantile_cont(v_block, 0.75) AS b3 FROM d),
+ o AS MATERIALIZED (SELECT event_id, ts, user_id, event_type, CASE WHEN v IS NOT NULL THEN {_FENCE.format(q="v", c="v")} END AS v, CASE WHEN v_trail IS NOT NULL THEN greatest(lo, least(hi, v_trail)) END AS v_trail, v_block, ln(1 + greatest(v_zero, 0)) AS v_zero,
+ CASE WHEN {_NUMBER.replace('@', 'num_txt')} THEN try_cast(num_txt AS DOUBLE) END AS num_txt, try_cast(date_txt AS TIMESTAMP) AS date_txt, CASE WHEN lower(flag_txt) IN ('yes', 'true', '1') THEN true WHEN lower(flag_txt) IN ('no', 'false', '0') THEN false END AS flag_txt, t_gap, const_num,
+ v_block < b1 - 1.5 * (b3 - b1) OR v_block > b3 + 1.5 * (b3 - b1) AS gone FROM d, q) {_APPLIED}""")
+#: Rows that repeat others but for the key that orders them, which the recipe drops, with nulls in it.
+_KEYED = "SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id END AS event_id, CAST(ts AS DATE) AS ts, user_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS event_type FROM (" + DUP + ")"
+_on("clean_apply_dropped_key", lambda d: clean.apply_recipe(d, d.sparkSession.createDataFrame([("event_id", "drop_row", "keep", "none", "drop")], _STEPS), SPEC, 24), "SELECT DISTINCT ts, user_id, event_type FROM d", _KEYED)
+_on("clean_apply_dropped_ts", lambda d: clean.apply_recipe(d, d.sparkSession.createDataFrame([("ts", "drop_row", "keep", "none", "drop"), ("event_id", "none", "keep", "none", "drop"), ("v", "forward_fill", "keep", "none", "keep")], _STEPS), SPEC, 24, dedupe=False).groupBy("user_id").agg(F.count("*").alias("n"), F.count("v").alias("v"), F.round(F.sum("v"), 6).alias("total")), "SELECT user_id, count(*) AS n, count(v) AS v, round(sum(v), 6) AS total FROM (SELECT user_id, last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM d) GROUP BY user_id")
+_on("clean_apply_iso", lambda d: _ntz(clean.apply_recipe(d.select("event_id", "iso_txt", "value"), d.sparkSession.createDataFrame([("value", "interpolate", "keep", "none", "keep")], _STEPS), SeriesSpec("iso_txt", ("event_id",)), 24)), f"SELECT event_id, {_ISO.format(c='iso_txt')} AS iso_txt, value FROM d", STAMPS)
+
+# Panels: statistics of each series for itself -----------------------------------------------------
+_BY, _MEASURED = ("user_id",), ["v", "v_trail", "v_block", "v_zero"]
+_PW = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING)"
+_PQ = "(SELECT *, {q} FROM d)".replace("{q}", ", ".join(f"quantile_cont(v, {p}) OVER (PARTITION BY user_id) AS {n}" for n, p in (("q1", 0.25), ("q3", 0.75), ("lo", 0.015), ("hi", 0.985), ("md", 0.5))) + ", avg(v) OVER (PARTITION BY user_id) AS m, count(v) OVER (PARTITION BY user_id) AS n")
+_clean("clean_winsorize_panel", lambda d: clean.winsorize(d, "v", series=_BY), "CASE WHEN v IS NOT NULL THEN greatest(lo, least(hi, v)) END", _PQ)
+_clean("clean_clip_panel", lambda d: clean.clip_iqr(d, "v", series=_BY), f"CASE WHEN v IS NOT NULL THEN {_FENCE.format(q='q', c='v')} END", _PQ)
+_clean("clean_remove_panel", lambda d: clean.without_outliers(d, "v", series=_BY), "v", f"{_PQ} WHERE NOT coalesce(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), false)")
+_clean("clean_mean_fill_panel", lambda d: clean.fill_with(d, "mean", "v", series=_BY), "coalesce(v, m)", _PQ)
+_clean("clean_median_fill_panel", lambda d: clean.fill_with(d, "median", "v", series=_BY), "coalesce(v, md)", _PQ)
+_PANEL_W = 80  # some series have fewer values than that at every size, others more
+_clean("clean_rolling_panel", lambda d: clean.rolling_iqr(d, "v", PANEL, _PANEL_W), f"CASE WHEN v IS NULL THEN NULL WHEN n >= {_PANEL_W} THEN greatest(a - 1.5 * (b - a), least(b + 1.5 * (b - a), v)) ELSE {_FENCE.format(q='q', c='v')} END", f"(SELECT *, quantile_cont(v, 0.25) OVER {_PW.format(a=_PANEL_W // 2, b=_PANEL_W // 2 - 1)} AS a, quantile_cont(v, 0.75) OVER {_PW.format(a=_PANEL_W // 2, b=_PANEL_W // 2 - 1)} AS b FROM {_PQ})")
+_UP, _DOWN = "(PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)", "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+_on("seasonal_decompose_panel", lambda d: _rounded(clean.seasonal_repair(d.select("event_id", "ts", "user_id", "v"), "v", PANEL, 6).select("event_id", "v")), f""", f AS (SELECT event_id, ts, user_id, v, coalesce(last_value(v IGNORE NULLS) OVER {_UP}, first_value(v IGNORE NULLS) OVER {_DOWN}) AS y FROM d),
+ t AS (SELECT *, avg(y) OVER {_PW.format(a=3, b=3)} AS trend, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 6 AS phase FROM f),
+ s AS (SELECT *, avg(y - trend) OVER (PARTITION BY user_id, phase) AS season FROM t), r AS (SELECT *, y - trend - season AS res FROM s),
+ m AS (SELECT *, quantile_cont(res, 0.5) OVER (PARTITION BY user_id) AS md FROM r), a AS (SELECT *, quantile_cont(abs(res - md), 0.5) OVER (PARTITION BY user_id) AS mad FROM m)
+ SELECT event_id, round(CASE WHEN mad > 0 AND abs(res - md) > 3.5 * 1.4826 * mad THEN trend + season ELSE v END, 6) AS v FROM a""")
+_on("outlier_panel", lambda d: diagnose.outliers_by_series(d, ["v", "v_zero"], _BY), " UNION ALL ".join(f"""SELECT user_id, '{c}' AS col, coalesce(round(count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) * 100.0e0 / nullif(count({c}), 0), 6), 0) AS iqr_pct,
+ coalesce(round(count(*) FILTER (WHERE s > 0 AND abs({c} - m) > 3 * s) * 100.0e0 / nullif(count({c}), 0), 6), 0) AS zscore_pct, coalesce(round(count(*) FILTER (WHERE mad > 0 AND abs({c} - md) > 3 * mad) * 100.0e0 / nullif(count({c}), 0), 6), 0) AS mad_pct
+ FROM (SELECT *, quantile_cont(abs({c} - md), 0.5) OVER (PARTITION BY user_id) AS mad FROM (SELECT user_id, {c}, avg({c}) OVER w AS m, stddev_samp({c}) OVER w AS s, quantile_cont({c}, 0.5) OVER w AS md, quantile_cont({c}, 0.25) OVER w AS q1, quantile_cont({c}, 0.75) OVER w AS q3 FROM d WINDOW w AS (PARTITION BY user_id))) GROUP BY user_id""" for c in ("v", "v_zero")))
+_on("outlier_temporal_panel", lambda d: diagnose.outliers_temporal(d, ["v", "v_block"], PANEL, 24, by_series=True), " UNION ALL ".join(f"SELECT user_id, '{c}' AS col, CASE WHEN count(*) >= 30 THEN round(count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) * 100.0e0 / count(*), 6) END AS temporal_pct FROM (SELECT user_id, {c}, quantile_cont({c}, 0.25) OVER w AS a, quantile_cont({c}, 0.75) OVER w AS b FROM d WHERE {c} IS NOT NULL WINDOW w AS {_PW.format(a=12, b=11)}) GROUP BY user_id" for c in ("v", "v_block")))
+_on("outlier_temporal_all", lambda d: diagnose.outliers_temporal(d, _MEASURED, SPEC, 24), _each(_MEASURED, f"SELECT '@' AS col, CASE WHEN count(*) >= 30 THEN round(count(*) FILTER (WHERE @ < a - 1.5 * (b - a) OR @ > b + 1.5 * (b - a)) * 100.0e0 / count(*), 6) END AS temporal_pct FROM (SELECT @, quantile_cont(@, 0.25) OVER w AS a, quantile_cont(@, 0.75) OVER w AS b FROM d WHERE @ IS NOT NULL WINDOW w AS (ORDER BY ts NULLS LAST, event_id ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING))"), _NULL_TS)
 
 # Gate --------------------------------------------------------------------------------------------
 _AS_OF = "2024-02-01 00:00:00"
@@ -391,16 +468,15 @@ _CHECKS = {
     "future_ts": f"SELECT 'future_timestamps', count(*) = 0, 'warning', CAST(count(*) AS VARCHAR) FROM a WHERE ts > TIMESTAMP '{_AS_OF}' + INTERVAL 1 DAY",
     "seasonal_history": "SELECT 'seasonal_history', count(*) >= 48, 'warning', CAST(count(*) AS VARCHAR) FROM a",
 }
-_GATE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "row_loss": gate.row_loss,
-    "series_length": lambda d, a: gate.series_length(a),
-    "null_regression": lambda d, a: gate.null_regression(d, a, []),
-    "variance": gate.variance,
-    "ts_nulls": lambda d, a: gate.ts_nulls(a, "ts"),
-    "forecastable": lambda d, a: gate.forecastable(a),
-    "monotonic": lambda d, a: gate.monotonic(a, "ts", BY_KEY),
-    "future_ts": lambda d, a: gate.future(a, "ts", _AS_OF),
-    "seasonal_history": lambda d, a: gate.seasonal_history(a, 24),
+_GATE: dict[str, Callable[[DataFrame, DataFrame], gate.Outcome]] = {
+    "row_loss": lambda d, a: gate.row_loss(measured(d), measured(a)),
+    "series_length": lambda d, a: gate.series_length(measured(a)),
+    "null_regression": lambda d, a: gate.null_regression(measured(d), measured(a), []),
+    "variance": lambda d, a: gate.variance(measured(d), measured(a)),
+    "ts_nulls": lambda d, a: gate.ts_nulls(measured(a), "ts"),
+    "forecastable": lambda d, a: gate.forecastable(measured(a)),
+    "future_ts": lambda d, a: gate.future(measured(a, _AS_OF), "ts"),
+    "seasonal_history": lambda d, a: gate.seasonal_history(measured(a), 24),
 }
 
 
@@ -412,7 +488,8 @@ def _gated(made: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return query
 
 
-for _n, _made in _GATE.items():
+_CHECKED = {n: lambda d, a, f=f: gate.checks(d.sparkSession, f(d, a)) for n, f in _GATE.items()} | {"monotonic": lambda d, a: gate.monotonic(a, "ts", BY_KEY)}
+for _n, _made in _CHECKED.items():
     _add(f"gate_{_n}", _gated(_made), f'{_AFT} c("check", passed, severity, detail) AS ({_CHECKS[_n]}) SELECT * FROM c')
 _add("gate_verdict", _gated(lambda d, a: gate.verdict(gate.validate(d, a, [], SPEC, 24, _AS_OF, BY_KEY))), f'{_AFT} c("check", passed, severity, detail) AS (' + " UNION ALL ".join(_CHECKS.values()) + """) SELECT bool_and(passed OR severity = 'warning') AS passed, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT passed AND severity = 'warning'), '') AS warnings FROM c""")
 
@@ -426,54 +503,98 @@ def _folder(spark: SparkSession) -> str:
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark) + "/orders.csv"
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
     df.write.option("header", True).csv(path)
-    return readers.read_source(spark, path, schema="o_orderkey long, o_totalprice double, o_orderpriority string")
+    return readers.read_source(spark, path, schema=", ".join(f"{c} {t}" for c, t in df.dtypes))
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark)
-    readers.write_cleaned(spark.read.parquet(f"{sf_dir}/events.parquet"), root, "run_1", "ts", ["event_id"])
-    return spark.read.parquet(f"{root}/cleaned")
+    runs.write_cleaned(spark.read.parquet(f"{sf_dir}/events.parquet"), root, "run_1", "ts", ["event_id"])
+    return runs.artifact(spark, root, "cleaned")
+
+
+def _cleaned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the files of a cleaned run, written from shuffled rows, hold them in time order."""
+    root = _folder(spark)
+    seen = runs.write_cleaned(spark.read.parquet(f"{sf_dir}/events.parquet").repartition(5, "user_id"), root, "run_1", "ts", ["event_id"], partitions=7)
+    files = spark.read.parquet(f"{root}/cleaned")
+    return runs.out_of_order(files, "ts").withColumn("rows", F.lit(seen.rows).cast("long")).withColumn("missing", F.lit(seen.nulls["ts"]).cast("long"))
 
 
 def _artifact(kind: str, made: Callable[[DataFrame], DataFrame]) -> Query:
+    """Written twice, as by a driver that was started again: one copy stays."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = _folder(spark)
-        readers.write_artifact(made(_dirty(spark, sf_dir)), root, kind, "run_1")
-        return spark.read.parquet(f"{root}/{kind}")
+        for _ in range(2):
+            runs.write_artifact(made(_dirty(spark, sf_dir)), root, kind, "run_1")
+        return runs.artifact(spark, root, kind)
 
     return query
 
 
-def _runs(d: DataFrame) -> DataFrame:
-    """Runs as users' events in place of artifact folders: one row per (run, kind)."""
-    kind = F.when(F.col("event_id") % 3 == 0, "raw").when(F.col("event_id") % 3 == 1, "diagnosis").otherwise("cleaned")
-    return d.groupBy(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"), kind.alias("kind")).agg(F.count("*").alias("rows"))
+_KINDS = ("run_0", "run_1", "run_2")
+
+
+def _written_runs(spark: SparkSession, sf_dir: str) -> str:
+    """Three runs, each over a third of the events, that got to the first, second and last stage; and one that broke off."""
+    root, d = _folder(spark), _dirty(spark, sf_dir)
+    for k, run in enumerate(_KINDS):
+        mine = d.where(F.col("event_id") % 3 == k).select("event_id", "ts", "v", "const_txt")
+        before = runs.write_raw(mine, root, run, f"events {k}")
+        if k > 0:
+            runs.write_artifact(profile.nulls(mine), root, "payload", run)
+        if k > 1:
+            steps = spark.createDataFrame([("v", "drop_row", "keep", "none", "keep"), ("const_txt", "none", "keep", "none", "drop")], _STEPS)
+            runs.write_artifact(steps, root, "recipe", run)
+            after = runs.write_cleaned(clean.apply_recipe(mine, steps, SPEC, 24), root, run, "ts", ["event_id"])
+            runs.write_artifact(clean.report(before, after), root, "report", run)
+    broken = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/metadata/run_id=run_9/_temporary")
+    broken.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(broken)
+    return root
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.run_summary(spark, _written_runs(spark, sf_dir))
+    lost = F.get_json_object(F.col("report")[0], "$.rows_removed").cast("long")
+    return out.select("run_id", "rows", "cols", "source", F.size("payload").cast("long").alias("payload_columns"), F.size("recipe").cast("long").alias("recipe_columns"), lost.alias("rows_removed"), F.col("gate").isNull().alias("not_gated"))
 
 
-_add("src_csv", _csv, "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
-_add("sink_raw", _artifact("raw", lambda d: d.select("event_id", "v")), f"SELECT event_id, v, 'run_1' AS run_id FROM ({DIRTY.replace('AS STRING', 'AS VARCHAR')})")
+_add("src_csv", _csv, "SELECT * FROM orders")
+_add("sink_raw", _artifact("raw", lambda d: d), f"SELECT *, 'run_1' AS run_id FROM ({DIRTY.replace('AS STRING', 'AS VARCHAR')})")
 _add("sink_artifacts", _artifact("profile", profile.nulls), f"WITH d AS MATERIALIZED ({DIRTY.replace('AS STRING', 'AS VARCHAR')}) " + _each(_ALL, "SELECT '@' AS col, count(*) - count(@) AS null_count, round((count(*) - count(@)) * 100.0e0 / count(*), 6) AS null_pct, 'run_1' AS run_id FROM d"))
 _add("sink_cleaned", _cleaned, "SELECT *, 'run_1' AS run_id FROM events")
-_KIND = "SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, CASE event_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'diagnosis' ELSE 'cleaned' END AS kind, count(*) AS rows FROM events GROUP BY ALL"
-_LIST = f"SELECT run_id, max(CASE WHEN kind = 'raw' THEN rows END) AS rows, bool_or(kind = 'diagnosis') AS has_stage2, bool_or(kind = 'cleaned') AS has_stage3 FROM ({_KIND}) GROUP BY run_id"
-_add("run_listing", lambda s, d: readers.run_listing(_runs(s.read.parquet(f"{d}/events.parquet"))), _LIST)
-_add("run_summary", lambda s, d: (lambda r: readers.run_summary(readers.run_listing(r), r, r.where("kind = 'raw'").select("run_id", F.col("rows").alias("report_rows")), r.where("kind = 'cleaned'").select("run_id", F.col("rows").alias("gate_rows"))))(_runs(s.read.parquet(f"{d}/events.parquet"))), f"WITH k AS ({_KIND}) SELECT l.*, (SELECT count(*) FROM k WHERE k.run_id = l.run_id) AS recipe_columns, (SELECT rows FROM k WHERE k.run_id = l.run_id AND kind = 'raw') AS report_rows, (SELECT rows FROM k WHERE k.run_id = l.run_id AND kind = 'cleaned') AS gate_rows FROM ({_LIST}) l")
+_add("sink_cleaned_order", _cleaned_order, "SELECT CAST(0 AS BIGINT) AS falls, count(*) AS rows, count(*) - count(ts) AS missing FROM events")
+_LIST = "SELECT 'run_' || CAST(event_id % 3 AS VARCHAR) AS run_id, count(*) AS rows, CAST(4 AS BIGINT) AS cols, 'events ' || CAST(event_id % 3 AS VARCHAR) AS source, event_id % 3 > 0 AS has_stage2, event_id % 3 > 1 AS has_stage3 FROM d GROUP BY event_id % 3"
+_add("run_listing", lambda s, d: runs.run_listing(s, _written_runs(s, d)), f"{_DUCK_DIRTY.rstrip(', ')} {_LIST}")
+_add("run_summary", _summary, f"{_DUCK_DIRTY.rstrip(', ')} SELECT run_id, rows, cols, source, CASE WHEN has_stage2 THEN 4 END AS payload_columns, CASE WHEN has_stage3 THEN 2 END AS recipe_columns, CASE WHEN has_stage3 THEN (SELECT count(*) FROM d WHERE event_id % 3 = 2 AND v IS NULL) END AS rows_removed, true AS not_gated FROM ({_LIST})")
 
 
-def _planned(p: DataFrame) -> DataFrame:
+def _planned(p: DataFrame, ts: str | None, period: int) -> DataFrame:
     """The recipe that follows from facts: defaults, forced casts, sanitized."""
-    return recipe.sanitized(recipe.forced_type_fix(_default(p), p), p, "ts")
+    return recipe.sanitized(recipe.forced_type_fix(recipe.default_recipe(p, ts, period), p), p, ts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile, diagnose, plan, clean and gate the dirty events, all their columns; the checks as rows."""
-    d, plan = _dirty(spark, sf_dir), stored(_planned(_facts(spark, sf_dir)))
-    path = _folder(spark)
-    clean.apply_recipe(d, plan, SPEC, 24).write.parquet(path)
+    """Profile, diagnose, plan, clean and gate the dirty events, all their columns; the checks as rows.
+
+    Timestamp, season and whether to remove repeats follow from the table; the cleaned run is measured while it is written.
+    """
+    d, root = _dirty(spark, sf_dir), _folder(spark)
+    before = runs.write_raw(d, root, "run_1", "events")
+    stamps = [r.col for r in profile.datetime_columns(profile.dtypes(d)).collect()]
+    about = diagnose.table_facts(d, stamps).first()
+    choice = recipe.options(diagnose.grids(d, stamps), duplicates=about.duplicate_rows).first()
+    spec = SeriesSpec(choice.timestamp_col, ("event_id",))
+    known = stored(diagnose.facts(d, spec, choice.period))
+    plan = stored(_planned(known, choice.timestamp_col, choice.period))
+    out = clean.apply_recipe(d, plan, spec, choice.period, choice.drop_duplicates, choice.sort_by_timestamp)
+    ties = [c for c in spec.ties if c in out.columns]
+    after = runs.write_cleaned(out, root, "run_1", spec.ts, ties, as_of=_AS_OF)
     fixed = [r.col for r in plan.where("type_fix <> 'none'").collect()]  # a row for each column
-    return gate.validate(d, spark.read.parquet(path), fixed, SPEC, 24, _AS_OF)
+    written = spark.read.parquet(runs.artifact_path(root, "cleaned", "run_1"))
+    return gate.validate(before, written, fixed, spec, choice.period, _AS_OF, seen=after)
 
 
 _add("pipeline_checks", flagship)

@@ -1,9 +1,8 @@
-"""Sources and sinks: files, tables, SQL queries, artifacts of runs."""
+"""Sources: files, tables, SQL queries, databases."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,41 +62,3 @@ def jdbc_table(spark: SparkSession, url: str, table: str, column: str | None = N
     if column and bounds:
         reader = reader.options(partitionColumn=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
     return reader.load()
-
-
-def write_artifact(df: DataFrame, root: str, kind: str, run_id: str) -> None:
-    """Rows of a run under root/kind/run_id=..., in addition to other runs."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/{kind}")
-
-
-def write_cleaned(df: DataFrame, root: str, run_id: str, ts: str, ties: list[str], partitions: int | None = None) -> None:
-    """Range-partitioned and sorted by time."""
-    ranged = df.repartitionByRange(partitions, ts, *ties) if partitions else df.repartitionByRange(ts, *ties)
-    write_artifact(ranged.sortWithinPartitions(ts, *ties), root, "cleaned", run_id)
-
-
-def written_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """run_id, kind, rows of the artifacts under root; runs whose files can't be read are left out."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for kind in sorted(x.getPath().getName() for x in fs.listStatus(folder)):
-        for run in sorted(x.getPath().getName() for x in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}"))):
-            if not run.startswith("run_id="):
-                continue
-            try:
-                found.append(spark.read.parquet(f"{root}/{kind}/{run}").agg(F.lit(run.partition("=")[2]).alias("run_id"), F.lit(kind).alias("kind"), F.count("*").alias("rows")))
-            except Exception:  # noqa: BLE001  a broken run is skipped, whatever the reader says about it
-                continue
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "run_id string, kind string, rows long")
-
-
-def run_listing(artifacts: DataFrame) -> DataFrame:
-    """artifacts (run_id, kind, rows) -> run_id, rows, has_stage2, has_stage3; newest first."""
-    return artifacts.groupBy("run_id").agg(F.max(F.when(F.col("kind") == "raw", F.col("rows"))).alias("rows"), F.bool_or(F.col("kind") == "diagnosis").alias("has_stage2"), F.bool_or(F.col("kind") == "cleaned").alias("has_stage3")).orderBy(F.desc("run_id"))
-
-
-def run_summary(runs: DataFrame, recipes: DataFrame, reports: DataFrame, gates: DataFrame) -> DataFrame:
-    """Everything of a run in one row, by run_id; what a run hasn't reached is null."""
-    r = recipes.groupBy("run_id").agg(F.count("*").alias("recipe_columns"))
-    return runs.join(r, "run_id", "left").join(reports, "run_id", "left").join(gates, "run_id", "left")
