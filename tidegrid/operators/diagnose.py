@@ -132,6 +132,11 @@ def column_profile(df: DataFrame) -> DataFrame:
     return nulls(df).join(share, "col").join(statistics(df, numeric).select("col", F.round("skew", 6).alias("skew")), "col", "left").select("col", "null_pct", "distinct_pct", "zero_pct", "skew")
 
 
+def catalogue_facts(tables: dict[str, DataFrame], specs: dict[str, SeriesSpec], periods: dict[str, int]) -> DataFrame:
+    """facts() of every table, with its name in front: what recipes of a whole catalogue are planned from."""
+    return union_all([facts(df, specs.get(t), periods.get(t, 7)).select(F.lit(t).alias("table"), "*") for t, df in tables.items()])
+
+
 def facts(df: DataFrame, spec: SeriesSpec | None, period: int, measures: list[str] | None = None) -> DataFrame:
     """All that recipes need to know, one row for each column: what profile and diagnosis find, joined by column.
 
@@ -210,10 +215,15 @@ def payload(profile: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return union_all(rows)
 
 
+def finest() -> Column:
+    """An aggregate of grids (col, frequency, pos): the column of the finest grid, ties by position."""
+    rank = F.coalesce(*(F.when(F.col("frequency") == name, i) for i, name in enumerate(GAP_SECONDS)), F.lit(len(GAP_SECONDS)))
+    return F.min_by("col", F.struct(rank.alias("rank"), "pos"))
+
+
 def pick_timestamp(grids: DataFrame) -> DataFrame:
     """grids (col, frequency, pos) -> the column of the finest grid, ties by position."""
-    rank = F.coalesce(*(F.when(F.col("frequency") == name, i) for i, name in enumerate(GAP_SECONDS)), F.lit(len(GAP_SECONDS)))
-    return grids.agg(F.min_by("col", F.struct(rank.alias("rank"), "pos")).alias("timestamp_col"))
+    return grids.agg(finest().alias("timestamp_col"))
 
 
 def breaks(daily: DataFrame, date: str, value: str, rounds: int | None = None, penalty: str = "bic", series: tuple[str, ...] = ()) -> DataFrame:

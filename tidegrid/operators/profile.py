@@ -15,6 +15,7 @@ from tidegrid.functions.expressions import kurtosis, micros, no_nan, number, pct
 from tidegrid.operators.quantiles import quantiles
 from tidegrid.spec import DEFAULT
 
+STATISTICS = ("min", "max", "mean", "median", "std", "skew", "kurtosis", "q1", "q3", "iqr")
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -123,7 +124,25 @@ def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     rows = {r.col: r for r in _wide(df, columns, made).collect()}  # a row for each column
     q = quantiles(df, values, (0.25, 0.5, 0.75))
     out = [(c, r.n, r.min, r.max, r.mean, q[c][1], r.std, r.skew, r.kurtosis, q[c][0], q[c][2], q[c][2] - q[c][0]) for c, r in rows.items() if r.n]
-    return df.sparkSession.createDataFrame(out, "col string, n long, " + ", ".join(f"{x} double" for x in ("min", "max", "mean", "median", "std", "skew", "kurtosis", "q1", "q3", "iqr")))
+    return df.sparkSession.createDataFrame(out, "col string, n long, " + ", ".join(f"{x} double" for x in STATISTICS))
+
+
+def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, col, dtype_raw, null_count, null_pct and, of numbers, statistics(): a row for each column of every table.
+
+    Columns that hold arrays, maps or structs have nulls counted only; a table without rows has rows without statistics.
+    """
+    out = []
+    for name, df in tables.items():
+        kinds = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "col string, dtype_raw string")
+        numbers = numeric_columns(df)
+        found = kinds.join(nulls(df), "col")
+        if numbers:
+            found = found.join(statistics(sane(df), numbers), "col", "left")
+        else:
+            found = found.withColumns({"n": F.lit(None).cast("long"), **{x: F.lit(None).cast("double") for x in STATISTICS}})
+        out.append(found.select(F.lit(name).alias("table"), "col", "dtype_raw", "null_count", "null_pct", "n", *STATISTICS))
+    return union_all(out)
 
 
 def cardinality(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:

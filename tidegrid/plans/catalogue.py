@@ -135,6 +135,32 @@ for _n, _h in (("week_and_half_day", 204), ("third_day", 72)):  # 8.5 days count
     _add(f"ts_frequency_{_n}", lambda s, d, h=_h: profile.frequency(_sql(s, d, _EIGHT.format(h=h)), "t"), _FREQ.format(c="t", f=f"({_EIGHT.format(h=_h)})"))
 _add("catalog_null_profile", _catalog, " UNION ALL ".join(f"""SELECT '{t}' AS "table", col, null_count FROM (UNPIVOT (SELECT count(*) - count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME col VALUE null_count)""" for t in TABLES))
 
+def _catalog_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _tables(spark, sf_dir)
+    return _rounded(profile.catalogue({t: readers.table_scan(spark, t) for t in readers.listed_tables(spark) if t in TABLES}))
+
+
+#: Numeric columns of the given tables; all other columns have nulls counted.
+_NUMBERS_OF = {
+    "region": "r_regionkey",
+    "nation": "n_nationkey n_regionkey",
+    "customer": "c_custkey c_nationkey c_acctbal",
+    "supplier": "s_suppkey s_nationkey s_acctbal",
+    "part": "p_partkey p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_totalprice",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax",
+    "events": "event_id user_id value",
+    "documents": "doc_id n_chars",
+    "embeddings": "vec_id label",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn",
+}
+_MANY = _STATS.replace("FROM lineitem", "FROM {t}").replace("min(@) AS min, max(@) AS max", "CAST(min(@) AS DOUBLE) AS min, CAST(max(@) AS DOUBLE) AS max")
+_OF_TABLE = """SELECT '{t}' AS "table", n.col, n.null_count, s.* EXCLUDE (col) FROM (UNPIVOT (SELECT count(*) - count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME col VALUE null_count) n LEFT JOIN ({s}) s ON s.col = n.col"""
+_add("catalog_statistics", lambda s, d: _catalog_statistics(s, d).drop("dtype_raw", "null_pct"), " UNION ALL ".join(_OF_TABLE.format(t=t, s=_each(c.split(), _MANY.format(t=t))) for t, c in _NUMBERS_OF.items()))
+
 # Diagnosis ---------------------------------------------------------------------------------------
 _RUN = "(SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT @, row_number() OVER (ORDER BY ts, event_id) - row_number() OVER (PARTITION BY @ IS NULL ORDER BY ts, event_id) AS k FROM d) WHERE @ IS NULL GROUP BY k))"
 _GAPPED = ["v", "v_trail", "v_block", "v_zero"]
@@ -337,6 +363,34 @@ _recipe("recipe_sanitize", lambda p: recipe.sanitized(_harsh(_turned(p)), _turne
  CASE WHEN null_pct >= 95 THEN 'clip_iqr' WHEN col = 'ts' OR coalesce(iqr = 0 OR zero_pct >= 50, false) THEN 'keep' ELSE 'clip_iqr' END AS outlier_strategy, t AS type_fix,
  CASE WHEN null_pct >= 95 THEN 'drop' WHEN col IN ('ts', 'v_trail') THEN 'keep' WHEN constant OR distinct_pct >= 99 THEN 'drop' ELSE 'keep' END AS action
  FROM (SELECT f.*, CASE WHEN constant OR null_pct <= 0 THEN 'none' ELSE 'mean_fill' END AS m, CASE WHEN col = 'flag_txt' THEN 'encode_boolean' WHEN issue = 'datetime_as_string' AND NOT constant THEN 'parse_datetime' WHEN null_pct < 95 AND dtype_raw = 'string' AND dtype_inferred = 'numeric' THEN 'cast_numeric' ELSE 'none' END AS t FROM {_TURN.format(f='f')} f)""")
+_GRID_ROWS = [("ts", "day", "daily", 0), ("ts", "ts", "hourly", 1), ("season", "ts", "hourly", 0), ("season", "b", "hourly", 1), ("short", "ts", "weekly", 0), ("own", "ts", "hourly", 0), ("own", "mine", "weekly", 1)]
+
+
+def _catalogue_plan(p: DataFrame) -> DataFrame:
+    """Five tables at once: with a timestamp, with none, with few rows, with another profile, and with a user's timestamp."""
+    spark = p.sparkSession
+    grids = spark.createDataFrame(_GRID_ROWS, "table string, col string, frequency string, pos int")
+    tables = spark.createDataFrame([("ts", 0, None), ("none", 3, ""), ("season", 0, None), ("short", 0, None), ("own", 1, "mine")], "table string, duplicates long, user_timestamp string")
+    options = recipe.catalogue_options(grids, tables)
+    few = p.withColumn("n", F.lit(20).cast("long"))
+    profiles = profile.union_all([x.withColumn("table", F.lit(t)) for t, x in (("ts", p), ("none", p), ("season", _turned(p)), ("short", few), ("own", p))])
+    return recipe.planned(profiles, options).join(options.select("table", "timestamp_col", "period", "drop_duplicates"), "table")
+
+
+def _sanitized_sql(made: str, f: str, ts: str | None) -> str:
+    """A default recipe with forced type fixes, sanitized."""
+    is_ts = f"col = '{ts}'" if ts else "false"
+    t = "CASE WHEN null_pct >= 95 OR fix <> 'none' THEN fix WHEN dtype_raw = 'string' AND dtype_inferred = 'numeric' THEN 'cast_numeric' WHEN dtype_raw = 'string' AND dtype_inferred = 'datetime' THEN 'parse_datetime' ELSE fix END"
+    fixed = f"SELECT f.*, d.missing_strategy AS m, d.outlier_strategy AS o, d.action AS a, CASE WHEN d.type_fix <> 'none' THEN d.type_fix WHEN issue = 'numeric_as_string' THEN 'cast_numeric' WHEN issue = 'datetime_as_string' THEN 'parse_datetime' ELSE 'none' END AS fix FROM {f} f JOIN ({made}) d ON d.col = f.col"
+    audit = "regexp_matches(lower(col), 'created|updated|loaded|inserted|modified|source_file|audit|batch')"
+    return f"""SELECT col, CASE WHEN null_pct >= 95 THEN m WHEN {is_ts} THEN 'drop_row' WHEN m IN ('interpolate', 'mean_fill', 'median_fill') AND NOT (dtype_inferred = 'numeric' OR t = 'cast_numeric') THEN 'forward_fill' ELSE m END AS missing_strategy,
+ CASE WHEN null_pct >= 95 THEN o WHEN {is_ts} THEN 'keep' WHEN o IN ('clip_iqr', 'rolling_iqr', 'stl_residuals', 'remove') AND coalesce(iqr = 0 OR zero_pct >= 50, false) THEN 'keep' ELSE o END AS outlier_strategy, t AS type_fix,
+ CASE WHEN null_pct >= 95 THEN 'drop' WHEN {is_ts} THEN 'keep' WHEN a = 'drop' AND NOT (constant OR distinct_pct >= 99 OR {audit}) THEN 'keep' ELSE a END AS action FROM (SELECT *, {t} AS t FROM ({fixed}))"""
+
+
+_FEW = "(SELECT * REPLACE (20 AS n) FROM f)"
+_TABLES_SQL = [("ts", "f", "ts", 24, False), ("none", "f", None, 7, True), ("season", _TURN.format(f="f"), "ts", 24, False), ("short", _FEW, "ts", 52, False), ("own", "f", "mine", 52, True)]
+_recipe("recipe_catalogue", _catalogue_plan, " UNION ALL ".join(f"SELECT *, '{t}' AS \"table\", {f'{chr(39)}{ts}{chr(39)}' if ts else 'NULL'} AS timestamp_col, CAST({n} AS BIGINT) AS period, {str(d).lower()} AS drop_duplicates FROM ({_sanitized_sql(_default_sql(ts is not None, n).replace(' FROM f', ' FROM ' + f), f, ts)})" for t, f, ts, n, d in _TABLES_SQL))
 _recipe("recipe_audit_cols", lambda p: p.select("col", recipe.is_audit(F.concat("col", F.when(F.col("col") == "v", "_Updated_at").otherwise(""))).alias("audit")), "SELECT col, col = 'v' AS audit FROM f")
 _on("recipe_period", lambda d: recipe.options(_grids(d), "week"), "SELECT 'week' AS timestamp_col, f AS frequency, CAST(CASE f WHEN 'weekly' THEN 52 WHEN 'daily' THEN 7 ELSE 7 END AS BIGINT) AS period, true AS sort_by_timestamp, false AS drop_duplicates FROM (SELECT (" + _FREQ.format(c="t", f="(SELECT date_trunc('week', ts) AS t FROM d)") + ") AS f)", "SELECT * FROM events")
 
