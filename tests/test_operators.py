@@ -328,9 +328,30 @@ def test_temporal_outliers_need_one_stored_order(spark, monkeypatch):
 
 
 def test_jdbc_relation():
-    assert readers.jdbc_relation("s.t") == "s.t" and readers.jdbc_relation("t", 5) == "(SELECT * FROM t LIMIT 5) AS limited"
-    with pytest.raises(ValueError):
-        readers.jdbc_relation("t; DROP TABLE x")
+    assert readers.jdbc_relation("s.t") == '"s"."t"' and readers.jdbc_relation("t", 5) == '(SELECT * FROM "t" FETCH FIRST 5 ROWS ONLY) AS picked'
+    assert readers.jdbc_relation("t", 5, ["a", "b"], ["b"]) == '(SELECT "a", "b" FROM "t" ORDER BY "b" FETCH FIRST 5 ROWS ONLY) AS picked'
+    for bad in (("t; DROP TABLE x",), ("t", None, ["a FROM x --"]), ("t", 1, None, ["a; DELETE"])):
+        with pytest.raises(ValueError):
+            readers.jdbc_relation(*bad)
+
+
+def test_jdbc_scan_is_split_by_the_databases_own_bounds(spark):
+    """Against the database that comes with Spark, held in memory."""
+    url, driver = "jdbc:derby:memory:scan;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = [(i, float(i) / 2, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), f"t{i}") for i in range(100)] + [(None, 0.0, None, "none")]
+    spark.createDataFrame(rows, "id long, v double, ts timestamp, name string").write.format("jdbc").options(url=url, dbtable='"readings"', driver=driver).mode("overwrite").save()
+    assert readers.jdbc_split(spark, url, "readings", "id", rows=1000, driver=driver) is None
+    assert readers.jdbc_split(spark, url, "readings", "id", rows=30, driver=driver) == readers.Split("id", 0, 99, 4)
+    assert readers.jdbc_split(spark, url, "readings", "id", rows=1, most=7, driver=driver).partitions == 7
+    df = readers.jdbc_table(spark, url, "readings", "id", rows=30, driver=driver)
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 101 and df.where("id is null").count() == 1
+    assert max(df.rdd.glom().map(len).collect()) < 40
+    by_time = readers.jdbc_table(spark, url, "readings", "ts", rows=50, driver=driver)
+    assert by_time.rdd.getNumPartitions() == 3 and by_time.where("ts >= timestamp '2024-01-02'").count() == 76
+    few = readers.jdbc_table(spark, url, "readings", "id", 5, ["id", "name"], ["id"], driver=driver)
+    assert few.columns == ["id", "name"] and [r[0] for r in few.collect()] == [0, 1, 2, 3, 4]
+    plan = df.where("v > 3").select("name")._jdf.queryExecution().executedPlan().toString()
+    assert "*GreaterThan(v,3.0)" in plan and "struct<name:string>" in plan
 
 
 def test_reader_errors(spark, tmp_path):
