@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tidegrid.functions import expressions as ex
 from tidegrid.functions import formats
-from tidegrid.operators import clean, diagnose, gate, measures, ordering, profile, recipe
+from tidegrid.operators import clean, diagnose, gate, measures, ordering, profile, recipe, sketches
 from tidegrid.operators.quantiles import grouped, quantiles
 from tidegrid.sources import readers, runs
 from tidegrid.spec import SeriesSpec
@@ -327,6 +327,27 @@ def test_temporal_outliers_need_one_stored_order(spark, monkeypatch):
         assert found[c] == pytest.approx(((x < q1 - wide) | (x > q3 + wide)).mean() * 100, abs=1e-5)
 
 
+def test_sketches_add_up(spark):
+    """Of parts that were sketched apart: errors of the sum against exact figures; empty and null columns, NaN, ties."""
+    rng = np.random.default_rng(6)
+    p = pd.DataFrame({"part": np.arange(60_000) % 7, "x": rng.lognormal(size=60_000), "u": rng.integers(0, 50_000, 60_000), "t": rng.choice(["a", "b", "c"], 60_000, p=[0.7, 0.2, 0.1])})
+    p.loc[::10, "x"] = np.nan
+    df = spark.createDataFrame(p).withColumn("none", F.lit(None).cast("string")).withColumn("list", F.array(F.lit(1)))
+    parts = sketches.sketched(df, "part")
+    assert parts.count() == 7 * 4
+    found = {r.col: r for r in sketches.estimated(sketches.merged(parts), [0.1, 0.5, 0.99], 2).collect()}
+    assert set(found) == {"x", "u", "t", "none"} and all(r.n == 60_000 for r in found.values())
+    assert found["x"].null_count == 6000 and found["none"].null_count == 60_000 and found["none"].top_values == [] and found["none"].quantiles is None
+    for c in ("x", "u"):
+        values = p[c].dropna()
+        assert abs(found[c].distinct_count / values.nunique() - 1) < 0.03
+        for q, share in zip(found[c].quantiles, (0.1, 0.5, 0.99), strict=True):
+            assert abs((values <= q).mean() - share) < 0.01
+    assert [(r.value, r.freq) for r in found["t"].top_values] == [(k, int(n)) for k, n in p.t.value_counts().head(2).items()] and found["t"].distinct_count == 3
+    empty = sketches.estimated(sketches.merged(sketches.sketched(df.limit(0).drop("part")))).collect()
+    assert {(r.n, r.distinct_count) for r in empty} == {(0, 0)}
+
+
 def test_jdbc_relation():
     assert readers.jdbc_relation("s.t") == '"s"."t"' and readers.jdbc_relation("t", 5) == '(SELECT * FROM "t" FETCH FIRST 5 ROWS ONLY) AS picked'
     assert readers.jdbc_relation("t", 5, ["a", "b"], ["b"]) == '(SELECT "a", "b" FROM "t" ORDER BY "b" FETCH FIRST 5 ROWS ONLY) AS picked'

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import expressions as ex
 from tidegrid.functions import formats
-from tidegrid.operators import clean, diagnose, gate, ordering, profile, recipe
+from tidegrid.operators import clean, diagnose, gate, ordering, profile, recipe, sketches
 from tidegrid.operators.measures import measured
 from tidegrid.sources import readers, runs
 from tidegrid.sources.scratch import fresh_folder, stored
@@ -615,11 +615,26 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "rows", "cols", "source", F.size("payload").cast("long").alias("payload_columns"), F.size("recipe").cast("long").alias("recipe_columns"), lost.alias("rows_removed"), F.col("gate").isNull().alias("not_gated"))
 
 
+def _sketch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four runs, each over a quarter of lineitem, leave sketches; counts that their sum tells, and whether its estimates are near what is exactly so."""
+    root, whole = _folder(spark), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    for k in range(4):
+        runs.write_artifact(sketches.sketched(whole.where(F.col("l_orderkey") % 4 == k)), root, "sketch", f"run_{k}")
+    found = sketches.estimated(sketches.merged(runs.artifact(spark, root, "sketch")))
+    exact = profile.cardinality(whole, whole.columns).withColumnRenamed("distinct_count", "distinct")
+    exact = exact.join(profile.statistics(whole).select("col", "q1", "median", "q3", (F.col("max") - F.col("min")).alias("range")), "col", "left")
+    near = [F.abs(F.col("quantiles")[i] - F.col(q)) <= 0.02 * F.col("range") for i, q in enumerate(("q1", "median", "q3"))]
+    few = F.col("distinct") <= 10
+    return found.join(exact, "col").select("col", "n", "null_count", (F.abs(F.col("distinct_count") / F.col("distinct") - 1) < 0.04).alias("distinct_near"), (near[0] & near[1] & near[2]).alias("quantiles_near"), F.when(few, F.get("top_values", F.lit(0))["freq"]).alias("top_freq"))
+
+
 _add("src_csv", _csv, "SELECT * FROM orders")
 _add("sink_raw", _artifact("raw", lambda d: d), f"SELECT *, 'run_1' AS run_id FROM ({DIRTY.replace('AS STRING', 'AS VARCHAR')})")
 _add("sink_artifacts", _artifact("profile", profile.nulls), f"WITH d AS MATERIALIZED ({DIRTY.replace('AS STRING', 'AS VARCHAR')}) " + _each(_ALL, "SELECT '@' AS col, count(*) - count(@) AS null_count, round((count(*) - count(@)) * 100.0e0 / count(*), 6) AS null_pct, 'run_1' AS run_id FROM d"))
 _add("sink_cleaned", _cleaned, "SELECT *, 'run_1' AS run_id FROM events")
 _add("sink_cleaned_order", _cleaned_order, "SELECT CAST(0 AS BIGINT) AS falls, count(*) AS rows, count(*) - count(ts) AS missing FROM events")
+_LINE_COLUMNS = [*_NUMBERS_OF["lineitem"].split(), "l_returnflag", "l_linestatus", "l_shipdate"]
+_add("profile_sketches", _sketch_runs, " UNION ALL ".join(f"SELECT '{c}' AS col, (SELECT count(*) FROM lineitem) AS n, (SELECT count(*) - count({c}) FROM lineitem) AS null_count, true AS distinct_near, {'true' if c in _NUMBERS_OF['lineitem'].split() else 'NULL'} AS quantiles_near, CASE WHEN (SELECT count(DISTINCT {c}) FROM lineitem) <= 10 THEN (SELECT max(k) FROM (SELECT count(*) AS k FROM lineitem GROUP BY {c})) END AS top_freq" for c in _LINE_COLUMNS))
 _LIST = "SELECT 'run_' || CAST(event_id % 3 AS VARCHAR) AS run_id, count(*) AS rows, CAST(4 AS BIGINT) AS cols, 'events ' || CAST(event_id % 3 AS VARCHAR) AS source, event_id % 3 > 0 AS has_stage2, event_id % 3 > 1 AS has_stage3 FROM d GROUP BY event_id % 3"
 _add("run_listing", lambda s, d: runs.run_listing(s, _written_runs(s, d)), f"{_DUCK_DIRTY.rstrip(', ')} {_LIST}")
 _add("run_summary", _summary, f"{_DUCK_DIRTY.rstrip(', ')} SELECT run_id, rows, cols, source, CASE WHEN has_stage2 THEN 4 END AS payload_columns, CASE WHEN has_stage3 THEN 2 END AS recipe_columns, CASE WHEN has_stage3 THEN (SELECT count(*) FROM d WHERE event_id % 3 = 2 AND v IS NULL) END AS rows_removed, true AS not_gated FROM ({_LIST})")
