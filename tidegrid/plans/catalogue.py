@@ -478,6 +478,23 @@ _on("clean_apply_dropped_key", lambda d: clean.apply_recipe(d, d.sparkSession.cr
 _on("clean_apply_dropped_ts", lambda d: clean.apply_recipe(d, d.sparkSession.createDataFrame([("ts", "drop_row", "keep", "none", "drop"), ("event_id", "none", "keep", "none", "drop"), ("v", "forward_fill", "keep", "none", "keep")], _STEPS), SPEC, 24, dedupe=False).groupBy("user_id").agg(F.count("*").alias("n"), F.count("v").alias("v"), F.round(F.sum("v"), 6).alias("total")), "SELECT user_id, count(*) AS n, count(v) AS v, round(sum(v), 6) AS total FROM (SELECT user_id, last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM d) GROUP BY user_id")
 _on("clean_apply_iso", lambda d: _ntz(clean.apply_recipe(d.select("event_id", "iso_txt", "value"), d.sparkSession.createDataFrame([("value", "interpolate", "keep", "none", "keep")], _STEPS), SeriesSpec("iso_txt", ("event_id",)), 24)), f"SELECT event_id, {_ISO.format(c='iso_txt')} AS iso_txt, value FROM d", STAMPS)
 
+# The frame of the baseline: lineitem in order of its dates and all other columns --------------------
+_LINE_ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+_BY_DATE = SeriesSpec("l_shipdate", _LINE_ORDER)
+_LW = "(ORDER BY l_shipdate, " + ", ".join(_LINE_ORDER) + " ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING)"
+_add("outlier_temporal_lineitem", lambda s, d: diagnose.outliers_temporal(s.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", _BY_DATE, 24), f"SELECT 'l_extendedprice' AS col, round(count(*) FILTER (WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) * 100.0e0 / count(*), 6) AS temporal_pct FROM (SELECT l_extendedprice AS v, quantile_cont(l_extendedprice, 0.25) OVER {_LW.format(a=12, b=11)} AS a, quantile_cont(l_extendedprice, 0.75) OVER {_LW.format(a=12, b=11)} AS b FROM lineitem)")
+
+
+def _seasonal_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("v", F.col("l_extendedprice"))
+    out = clean.seasonal_repair(line, "v", _BY_DATE, 7)
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("v") != F.col("l_extendedprice")).alias("repaired"), F.round(F.avg("v"), 4).alias("mean"))
+
+
+_add("seasonal_lineitem", _seasonal_lineitem, f"""WITH t AS (SELECT l_extendedprice AS y, avg(l_extendedprice) OVER {_LW.format(a=3, b=3)} AS trend, (row_number() OVER (ORDER BY l_shipdate, {", ".join(_LINE_ORDER)}) - 1) % 7 AS phase FROM lineitem),
+ r AS (SELECT y, trend, avg(y - trend) OVER (PARTITION BY phase) AS season FROM t), m AS (SELECT quantile_cont(y - trend - season, 0.5) AS md FROM r), a AS (SELECT quantile_cont(abs(y - trend - season - md), 0.5) AS mad FROM r, m),
+ v AS (SELECT y, CASE WHEN mad > 0 AND abs(y - trend - season - md) > 3.5 * 1.4826 * mad THEN trend + season ELSE y END AS v FROM r, m, a) SELECT count(*) AS n, count(*) FILTER (WHERE v <> y) AS repaired, round(avg(v), 4) AS mean FROM v""")
+
 # Panels: statistics of each series for itself -----------------------------------------------------
 _BY, _MEASURED = ("user_id",), ["v", "v_trail", "v_block", "v_zero"]
 _PW = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING)"
