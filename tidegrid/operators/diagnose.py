@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidegrid.functions import formats
 from tidegrid.functions.expressions import micros, pct
 from tidegrid.operators import ordering
-from tidegrid.operators.profile import _wide, cardinality, dtypes, duplicate_rows, frequency, nulls, numeric_columns, sane, statistics, text_issues, union_all, value_of
+from tidegrid.operators.profile import _wide, cardinality, distinct_counts, dtypes, duplicate_rows, frequency, nulls, numeric_columns, sane, statistics, text_issues, union_all, value_of
 from tidegrid.operators.quantiles import beside, grouped, quantiles
 from tidegrid.sources.scratch import stored
 from tidegrid.spec import DEFAULT, GAP_SECONDS, SeriesSpec
@@ -128,8 +128,9 @@ def constants(df: DataFrame, numeric: list[str], texts: list[str]) -> DataFrame:
 def column_profile(df: DataFrame) -> DataFrame:
     """col, null_pct, distinct_pct, zero_pct, skew (null for text)."""
     numeric = numeric_columns(df)
-    share = _wide(df, df.columns, lambda c: {"distinct_pct": F.round(pct(F.count_distinct(F.col(c)), F.count("*")), 6), "zero_pct": F.round(pct(F.count_if(F.col(c) == 0), F.count("*")), 6) if c in numeric else F.lit(None).cast("double")})
-    return nulls(df).join(share, "col").join(statistics(df, numeric).select("col", F.round("skew", 6).alias("skew")), "col", "left").select("col", "null_pct", "distinct_pct", "zero_pct", "skew")
+    share = _wide(df, df.columns, lambda c: {"n": F.count("*"), "zero_pct": F.round(pct(F.count_if(F.col(c) == 0), F.count("*")), 6) if c in numeric else F.lit(None).cast("double")})
+    different = share.join(distinct_counts(sane(df), df.columns), "col").select("col", F.round(pct(F.col("distinct_count"), F.col("n")), 6).alias("distinct_pct"), "zero_pct")
+    return nulls(df).join(different, "col").join(statistics(df, numeric).select("col", F.round("skew", 6).alias("skew")), "col", "left").select("col", "null_pct", "distinct_pct", "zero_pct", "skew")
 
 
 def catalogue_facts(tables: dict[str, DataFrame], specs: dict[str, SeriesSpec], periods: dict[str, int]) -> DataFrame:
@@ -152,16 +153,16 @@ def facts(df: DataFrame, spec: SeriesSpec | None, period: int, measures: list[st
     n = F.count("*")
 
     def share(c: str) -> dict[str, Column]:
-        flat = inferred[c] != "nested"
         zero = F.count_if(value_of(df, c) == 0) if c in numeric else F.lit(None).cast("long")
-        return {"n": n, "null_count": n - F.count(F.col(c)), "distinct": F.count_distinct(F.col(c)) if flat else F.lit(None).cast("long"), "zeros": zero}
+        return {"n": n, "null_count": n - F.count(F.col(c)), "zeros": zero}
 
-    held = _wide(df, df.columns, share)
+    different = stored(distinct_counts(df, [c for c in df.columns if inferred[c] != "nested"]))
+    held = _wide(df, df.columns, share).join(different.withColumnRenamed("distinct_count", "distinct"), "col", "left")
     held = held.select("col", "n", "null_count", F.round(pct(F.col("null_count"), F.col("n")), 6).alias("null_pct"), F.round(pct(F.col("distinct"), F.col("n")), 6).alias("distinct_pct"), F.when(F.col("zeros").isNotNull(), F.round(pct(F.col("zeros"), F.col("n")), 6)).alias("zero_pct"))
     stats = statistics(df, numeric)
     out = kinds.join(held, "col").join(stats.select("col", F.round("skew", 6).alias("skew"), F.round("iqr", 6).alias("iqr")), "col", "left").join(outliers_global(df, numeric), "col", "left")
     still = (F.abs("mean") > 0) & (F.col("std") / F.abs("mean") < DEFAULT.near_constant) | (F.col("mean") == 0) & (F.col("std") < 1e-9)
-    same = stats.where(still).select("col").union(cardinality(df, texts).where("distinct_count <= 1").select("col")) if texts else stats.where(still).select("col")
+    same = stats.where(still).select("col").union(different.where(F.col("col").isin(texts) & (F.col("distinct_count") <= 1)).select("col"))
     out = out.join(same.withColumn("constant", F.lit(True)), "col", "left").join(text_issues(df), "col", "left")
     if spec:
         out = out.join(missing_pattern(df, df.columns, spec).select("col", "max_run", "pattern"), "col").join(outliers_temporal(df, [c for c in numeric if c != spec.ts], spec, period), "col", "left")

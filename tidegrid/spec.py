@@ -11,15 +11,11 @@ GAP_SECONDS = {"hourly": 3600, "daily": 86400, "weekly": 7 * 86400, "monthly": 3
 
 @dataclass(frozen=True)
 class SeriesSpec:
-    """ts orders a series, ties make the order unique; series are columns that tell series apart.
-
-    A single long series is cut into blocks by `unit` of its timestamps.
-    """
+    """ts orders a series, ties make the order unique; series are columns that tell series apart."""
 
     ts: str
     ties: tuple[str, ...] = ()
     series: tuple[str, ...] = ()
-    unit: str = "day"
 
     @property
     def order(self) -> list[str]:
