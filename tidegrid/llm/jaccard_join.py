@@ -134,14 +134,16 @@ def _meet(cells: DataFrame, rows: DataFrame, value: str, *keys: str) -> DataFram
     left, right = (rows.select(F.col("node").alias(x), F.col(value).alias(f"{x}v"), *keys) for x in "ab")
     heavy = cells.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB_CELLS)
     heavy = stored(heavy.select("a", F.ceil(F.col("n") / HUB_CELLS).cast("int").alias("parts")))
+    # a cell is four numbers: where there are few enough they come to the sets, which then move once only, to their partners
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
     n = heavy.count()
     if not n:
-        return cells.join(right, "b").join(left, ["a", *keys])
+        return right.join(cells, "b").join(left, ["a", *keys])
     few = F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy  # 12 bytes a row
     parts = F.coalesce("parts", F.lit(1))
-    dealt = cells.join(few, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+    dealt = right.join(cells, "b").join(few, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
     left = left.join(few, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(right, "b").join(left, ["a", "part", *keys]).drop("part")
+    return dealt.join(left, ["a", "part", *keys]).drop("part")
 
 
 def _linked(cells: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -152,8 +154,9 @@ def _linked(cells: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << CANDIDATE_BITS))
     flags = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), CANDIDATE_BITS))
     found = docs.select("doc_id", "text", hashed.alias("spot")).mapInArrow(partial(_candidate_blocks, k=k, flags=flags), "doc_id long, n_shingles long, d1 long, d2 long, block int, shingles array<long>")
-    blocks = stored(found.withColumn("node", _node()).join(ids, ["doc_id", "node"], "left_semi").select("node", "block", "shingles"))
-    # of rows that repeat a document one stays; few do, as a rule, and the others' sets needn't be dealt out for it
+    # documents whose flag another one has set come along: they meet no cell, or are copies of one that does
+    blocks = stored(found.select(_node().alias("node"), "block", "shingles"))
+    # of copies one stays; few are flagged, as a rule, and the others' sets needn't be dealt out for it
     often = stored(blocks.groupBy("node", "block").agg(F.count("*").alias("n")).where("n > 1").select("node", "block"))
     if often.take(1):
         once = blocks.join(often, ["node", "block"], "left_semi").groupBy("node", "block").agg(F.min("shingles").alias("shingles"))
@@ -188,7 +191,12 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     signed = docs.mapInArrow(partial(_signatures, k=k, percent=percent, weight=weight, hot=most), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, tail array<long>")
     signed = stored(signed.select("doc_id", "n_shingles", _node().alias("node"), "prefix", "tail"))
     known = signed.where("doc_id is not null")
-    classes = stored(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("tail").alias("tail")))
+    # columns of copies meet; those of the others needn't be dealt out for it
+    copied = stored(known.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("node"))
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied  # 8 bytes a row
+    single = known.join(copied, "node", "left_anti").select("node", F.col("doc_id").alias("low"), F.col("n_shingles").cast("int").alias("n"), "prefix", "tail")
+    merged = known.join(copied, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("tail").alias("tail"))
+    classes = stored(single.unionByName(merged))
     # a counter bounds its columns' rows: columns of a tail that have more than most are hot and not dealt by column here,
     # the others are dealt by column once and looked at in windows of at most that many rows
     column = Window.partitionBy("token")
