@@ -62,13 +62,35 @@ def brute_components(rows):
     return sorted((i, len(s), c) for (i, _, _), s, c in zip(ids, sets, label, strict=True))
 
 
+def test_near_copies_without_an_id_go(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in (3, 90, 150)]
+    rows = [(None, near[0], "a"), (None, near[1], "a"), (7, " ".join(words), "a"), (None, "alone here", "a"), (None, "alone here", "b"), (None, None, "a"), (None, None, "a"), (None, "", "a"), (9, near[2], "a")]
+    kept = jaccard_join.one_per_class(frame(spark, rows), 5, 80).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, ""), (0, "alone here"), (7, " ".join(words))]
+    only = jaccard_join.one_per_class(frame(spark, [r for r in rows if r[0] is None]), 5, 80).collect()
+    assert len([r for r in only if r.text in near]) == 1 and len(only) == 4
+
+
+def test_contaminated_rows_go_by_their_own_text(spark):
+    passage = " ".join(f"q{i}" for i in range(30))
+    rows = [(None, f"x {passage} y", "a"), (None, "clean", "a"), (3, passage, "a"), (3, "clean too", "a"), (3, "clean too", "a"), (4, None, "a"), (None, None, "a")]
+    items = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    kept = decontaminate.decontaminated(frame(spark, rows), items)
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean"), (3, "clean too"), (3, "clean too"), (4, "")]
+    assert decontaminate.decontaminated(frame(spark, rows), items.limit(0)).count() == len(rows)
+
+
 def test_jaccard_classes(spark, rows):
     found = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
     assert sorted(tuple(r) for r in found if r[0] is not None) == brute_components(rows)
     assert [tuple(r) for r in found if r[0] is None] == [(None, 1, None)]
     assert jaccard_join.jaccard_classes(frame(spark, [])).collect() == []
     kept = jaccard_join.one_per_class(frame(spark, rows)).select("doc_id").collect()
-    assert {r[0] for r in kept} == {c for _, _, c in brute_components(rows)} | {None}
+    # the row without a doc_id is a copy of another one
+    assert {r[0] for r in kept} == {c for _, _, c in brute_components(rows)}
 
 
 def test_sharding(spark, rows):
@@ -295,7 +317,7 @@ def test_one_row_per_document(spark):
     rows = [(1, "a b c d e", "s")] * 3 + [(2, "A B C D E", "s"), (3, "x", "s"), (3, "y", "s"), (4, None, "s"), (4, None, "s")] + [(None, "x", "s")] * 2 + [(None, "z", "s"), (None, None, "s"), (None, None, "t"), (None, "", "s")]
     kept = [(r.doc_id, r.text) for r in jaccard_join.one_per_class(frame(spark, rows)).collect()]
     assert sorted(i for i, _ in kept if i is not None) == [1, 3, 4]
-    assert sorted((t for i, t in kept if i is None), key=str) == ["", None, "x", "z"]
+    assert sorted((t for i, t in kept if i is None), key=str) == ["", None, "z"]  # "x" is a copy of a text of 3
     out = jaccard_join.one_per_class(frame(spark, rows[3:5]))
     assert out.columns == frame(spark, []).columns and [tuple(r)[:2] for r in sorted(out.collect())] == [(2, "A B C D E"), (3, "x")]
 

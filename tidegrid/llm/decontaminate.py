@@ -120,6 +120,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Equal rows get equal results, rows with one doc_id and different texts their own. Empty tables
     give no rows or no hits. Other columns are ignored.
     """
+    return _judged(docs, benchmark, window).drop("text_hash")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """contamination() with text_hash, which tells texts of one doc_id, or of none, apart."""
     items = _worded(benchmark.where("item_id is not null"), F.col("item_id").cast("string").alias("item_id")).where(F.size("w") > 0).distinct()
     rows, hits = _hits(docs, items.where(F.size("w") >= SHINGLE), SHINGLE, window)
     # items of one or two words have no shingle of three: a branch for each length that exists
@@ -134,10 +139,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     by_doc = by_doc.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"), covered.alias("hit"), F.size("items").cast("long").alias("items"), F.array_join("items", ",").alias("list"))
     out = rows.join(by_doc, (F.col("text_hash") == F.col("h_hash")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: float = 0.0) -> DataFrame:
-    """docs without rows of whose words more than the share `most` is hit; all columns stay. A null doc_id stays."""
-    found = contamination(docs, benchmark, window).where(F.col("n_hit") > F.col("n_words") * most).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs without rows of whose words more than the share `most` is hit; all columns stay.
+
+    Rows are judged by their own text: of rows with one doc_id, or none, the contaminated go and the clean stay, repeated rows
+    alike. Null and empty texts stay. An empty benchmark takes nothing away; an empty table gives no rows.
+    """
+    found = _judged(docs.select("doc_id", "text"), benchmark, window).where(F.col("n_hit") > F.col("n_words") * most)
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(found, (own == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")

@@ -270,14 +270,21 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     )
 
 
+#: Where rows without a doc_id are numbered by their text from: they come after all documents that have one.
+_UNNAMED = 1 << 62
+
+
 def one_per_class(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """docs without all but the first document of each class; columns as in docs.
 
-    Rows that repeat a kept doc_id stay only once, whatever their texts: the one of the smallest hash. Of rows
-    with a null doc_id one stays for each text, a null text included.
+    Rows that repeat a kept doc_id stay only once, whatever their texts: the one of the smallest hash. Rows without a doc_id are
+    documents by their text, and come after those with one: near copies of these go, and of equal texts one stays, a null
+    text included. Texts without words are copies of nothing. An empty table gives no rows.
     """
-    gone = jaccard_classes(docs, k, percent).where("component_id <> doc_id").select("doc_id")
-    return _one_per_id(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    unnamed = F.lit(_UNNAMED).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)))
+    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    gone = jaccard_classes(named.select(F.col("_doc").alias("doc_id"), "text"), k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_doc"))
+    return _one_per_id(named.join(gone, "_doc", "left_anti").select(*docs.columns))
 
 
 def _one_per_id(docs: DataFrame) -> DataFrame:
