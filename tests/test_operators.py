@@ -312,6 +312,43 @@ def test_grouped_quantiles_in_bounded_memory(spark, panel):
         assert a.q_even == b.q_even
 
 
+def test_runs_of_a_series_without_a_name(spark, panel):
+    found = {r.s: r.max_run for r in ordering.null_runs(panel, ["v"], PANEL).collect()}
+    p = panel.toPandas().sort_values(["ts", "id"])
+    for s, longest in found.items():
+        v = p[p.s.isna() if s is None else p.s == s].v
+        assert longest == v.isna().astype(int).groupby(v.notna().cumsum()).sum().max() and (s is not None or longest > 0)
+
+
+def test_recipes_of_a_catalogue_are_those_of_its_tables(spark):
+    fields = "col string, dtype_raw string, dtype_inferred string, n long, null_pct double, distinct_pct double, zero_pct double, skew double, iqr double, iqr_pct double, temporal_pct double, any_outlier boolean, issue string, constant boolean"
+    rows = [("ts", "timestamp", "datetime", 900, 0.0, 99.5, None, None, None, None, None, False, None, False), ("v", "double", "numeric", 900, 3.0, 50.0, 1.0, 0.2, 4.0, 8.0, 1.0, True, None, False), ("t", "string", "categorical", 900, 0.5, 10.0, None, None, None, None, None, False, "numeric_as_string", False), ("k", "string", "categorical", 900, 0.0, 0.1, None, None, None, None, None, False, None, True)]
+    one = spark.createDataFrame(rows, fields)
+    options = spark.createDataFrame([("a", "ts", 24), ("b", None, 7), ("c", "ts", 1000)], "table string, timestamp_col string, period long")
+    every = one.crossJoin(options.select("table"))
+    choices = ["col", "missing_strategy", "outlier_strategy", "type_fix", "action"]
+    for rules, made in (("default", recipe.default_recipe), ("evidence", recipe.evidence_recipe)):
+        found = recipe.planned(every, options, rules)
+        for t, ts, period in (("a", "ts", 24), ("b", None, 7), ("c", "ts", 1000)):
+            alone = recipe.sanitized(recipe.forced_type_fix(made(one, ts, period), one), one, ts)
+            assert sorted(map(tuple, found.where(F.col("table") == t).select(choices).collect())) == sorted(map(tuple, alone.select(choices).collect()))
+    given = spark.createDataFrame([("a", "v", "keep", "none", "none", "drop")], "table string, " + RECIPE)
+    found = {(r.table, r.col): tuple(r)[2:] for r in recipe.planned(every, options, given=given).collect()}
+    assert len(found) == 12 and found["a", "v"] == ("none", "keep", "none", "keep") and found["b", "t"][2] == "cast_numeric"
+
+
+def test_options_of_every_table(spark):
+    grids = spark.createDataFrame([("a", "day", "daily", 0), ("a", "hour", "hourly", 1), ("b", "x", "weekly", 0), ("b", "y", "weekly", 1)], "table string, col string, frequency string, pos int")
+    tables = spark.createDataFrame([("a", 0, None), ("b", 2, "y"), ("c", None, ""), ("d", 0, "mine")], "table string, duplicates long, user_timestamp string")
+    found = {r.table: tuple(r)[1:] for r in recipe.catalogue_options(grids, tables).collect()}
+    assert found == {"a": ("hour", "hourly", 24, True, False), "b": ("y", "weekly", 52, True, True), "c": (None, "unknown", 7, False, False), "d": ("mine", "unknown", 7, True, False)}
+
+
+def test_distinct_counts(spark):
+    df = spark.createDataFrame([(1, "a", 0.0, None), (1, "b", -0.0, None), (2, None, 1.5, None)], "i int, s string, d double, n string")
+    assert {r.col: r.distinct_count for r in profile.distinct_counts(df, df.columns).collect()} == {"i": 2, "s": 2, "d": 2, "n": 0}
+
+
 def test_temporal_outliers_need_one_stored_order(spark, monkeypatch):
     rows = [(i, None if i % 40 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), None if i % 3 else float(i % 7), 1000.0 if i == 77 else float(i % 5)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, ts timestamp, a double, b double").repartition(3)

@@ -153,7 +153,10 @@ def null_runs(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFrame:
     runs = seen.select(*spec.series, F.explode(F.array_compact(cells)).alias("x")).groupBy(*spec.series, "x").agg(F.count("*").alias("len"))
     longest = runs.groupBy(*spec.series, "x.col").agg(F.max("len").alias("max_run"))
     every = (rows.select(*spec.series).distinct() if spec.series else df.sparkSession.range(1)).select(*spec.series, F.explode(F.array(*map(F.lit, columns))).alias("col"))
-    return every.join(longest, [*spec.series, "col"], "left").withColumn("max_run", F.coalesce("max_run", F.lit(0)).cast("long"))
+    same = F.col("e.col") == F.col("l.col")
+    for k in spec.series:
+        same = same & F.col(f"e.{k}").eqNullSafe(F.col(f"l.{k}"))
+    return every.alias("e").join(longest.alias("l"), same, "left").select("e.*", F.coalesce("max_run", F.lit(0)).cast("long").alias("max_run"))
 
 
 def gaps(df: DataFrame, spec: SeriesSpec, seconds: float) -> DataFrame:
