@@ -155,6 +155,33 @@ def test_breaks_of_series(spark):
 RECIPE = "col string, missing_strategy string, outlier_strategy string, type_fix string, action string"
 
 
+def test_breaks_do_not_depend_on_blocks(spark):
+    """One series over many blocks, against plain binary segmentation."""
+    rng = np.random.default_rng(4)
+    y = np.concatenate([rng.normal(m, 1, n) for m, n in ((0, 150), (6, 90), (5.9, 60), (-4, 200), (2, 40))])
+    y[5] = np.nan
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(len(y))]
+    df = spark.createDataFrame([(d, None if np.isnan(v) else float(v)) for d, v in zip(days, y, strict=True)], "d date, y double").repartition(3)
+    x = pd.Series(y).ffill().to_numpy()
+    x, bar, expected, todo = x - x.mean(), np.log(len(x)) * x.var(), set(), [(0, len(x))]
+    while todo:
+        a, b = todo.pop()
+        s, n = np.cumsum(x[a:b]), b - a
+        i = np.arange(1, n)
+        gain = s[:-1] ** 2 / i + (s[-1] - s[:-1]) ** 2 / (n - i) - s[-1] ** 2 / n
+        if n > 1 and gain.max() > bar:
+            at = a + int(gain.argmax())
+            expected.add(days[at])
+            todo += [(a, at + 1), (at + 1, b)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.break_at for r in diagnose.breaks(df, "d", "y").collect()} == expected and len(expected) >= 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_runs_replace_themselves(spark, tmp_path):
     root = str(tmp_path)
     for run in ("run_1", "run_2", "run_1"):  # the first one is written again

@@ -230,33 +230,41 @@ def pick_timestamp(grids: DataFrame) -> DataFrame:
 def breaks(daily: DataFrame, date: str, value: str, rounds: int | None = None, penalty: str = "bic", series: tuple[str, ...] = ()) -> DataFrame:
     """daily (one row per date and series) -> series, break_at, gain, round: level shifts by least-squares binary segmentation.
 
-    Missing values take the last one before, else 0. A segment is a window partition; each round splits every segment
-    of every series whose best gain exceeds the penalty, until none does (or rounds is reached). Series under
-    DEFAULT.break_rows rows have none. The grid has one row per date and series, so a series stays small.
+    Missing values take the last one before, else 0. Each round splits every segment of every series whose best gain exceeds the
+    penalty, until none does (or rounds is reached). Series under DEFAULT.break_rows rows have none. Rows are ordered and stored
+    once; sums run within blocks of that order, one row a block carries what is before it, and the best split of a segment is the
+    best of its blocks': so a long series is many tasks' work.
     """
-    keys = list(series)
-    up = Window.partitionBy(*keys).orderBy("d")
+    keys, spec = list(series), SeriesSpec("d", (), series)
     y = daily.where(F.col(date).isNotNull()).select(*keys, F.col(date).alias("d"), F.col(value).cast("double").alias("y"))
-    y = y.withColumn("y", F.coalesce(F.last("y", True).over(up.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    whole = Window.partitionBy(*keys)
-    n, var = F.count("*").over(whole), F.var_pop("y").over(whole)
-    var = F.when(var == 0, 1.0).otherwise(var)
-    bar = {"bic": F.log(n.cast("double")) * var, "aic": 2 * var}.get(penalty, var)
-    y = y.select(*keys, "d", (F.col("y") - F.avg("y").over(whole)).alias("y"), n.alias("n"), bar.alias("bar"), F.lit("").alias("seg"))
-    seg, found, k = stored(y.where(F.col("n") >= DEFAULT.break_rows)), None, 0
-    own, upto = Window.partitionBy(*keys, "seg"), Window.partitionBy(*keys, "seg").orderBy("d")
+    y = ordering.carried(ordering.ordered(y, spec), spec, {"_f": F.col("y")}).withColumn("y", F.coalesce("_f", F.lit(0.0)))
+    whole = y.groupBy(*keys).agg(F.count("*").alias("_n"), F.var_pop("y").alias("_var"), F.avg("y").alias("_mean"))
+    var = F.when(F.col("_var") == 0, 1.0).otherwise(F.col("_var"))
+    bar = {"bic": F.log(F.col("_n").cast("double")) * var, "aic": 2 * var}.get(penalty, var)
+    whole = stored(whole.where(F.col("_n") >= DEFAULT.break_rows).withColumn("_bar", bar))
+    part = F.shiftright(ordering.ROW, 33).alias("_part")
+    y = beside(y, whole, keys).where(F.col("_n").isNotNull())
+    seg = stored(y.select(*keys, "d", ordering.ROW, part, (F.col("y") - F.col("_mean")).alias("y"), "_bar", F.lit("").alias("seg")))
+    found, k = None, 0
+    group = [*keys, "seg"]
+    earlier, all_ = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
+    upto = Window.partitionBy(*group, "_part").orderBy(ordering.ROW).rowsBetween(Window.unboundedPreceding, 0)
     while rounds is None or k < rounds:
         k += 1
-        i, s = F.row_number().over(upto), F.sum("y").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-        m, total = F.count("*").over(own), F.sum("y").over(own)
-        gain = s * s / i + (total - s) * (total - s) / (m - i) - total * total / m
-        best = seg.withColumn("gain", F.when(i < m, gain)).where("gain > bar").groupBy(*keys, "seg").agg(F.max_by(F.struct("d", "gain"), F.struct("gain", F.col("d"))).alias("b"))
-        best = stored(best.select(*keys, "seg", F.col("b.d").alias("break_at"), F.col("b.gain").alias("gain")))
+        sums = seg.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.sum("y").alias("_s"))
+        before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{c}")
+        sums = stored(sums.select(*group, "_part", before("_n"), before("_s"), F.sum("_n").over(all_).alias("_m"), F.sum("_s").over(all_).alias("_t")))
+        at = beside(seg, sums, [*group, "_part"])
+        at = at.select(*group, "d", "_bar", "_m", "_t", (F.col("_b_n") + F.count("*").over(upto)).alias("_i"), (F.col("_b_s") + F.sum("y").over(upto)).alias("_u"))
+        i, u, m, total = (F.col(c) for c in ("_i", "_u", "_m", "_t"))
+        gain = u * u / i + (total - u) * (total - u) / (m - i) - total * total / m
+        best = at.where("_i < _m").withColumn("gain", gain).where("gain > _bar").groupBy(*group).agg(F.max_by(F.struct("d", "gain"), F.struct("gain", F.col("d"))).alias("b"))
+        best = stored(best.select(*group, F.col("b.d").alias("break_at"), F.col("b.gain").alias("gain")))
         rows = best.select(*keys, "break_at", "gain", F.lit(k).cast("long").alias("round"))
         found = rows if found is None else found.union(rows)
         if not best.take(1):
             break
         # segments that weren't split can't be later
-        split = seg.join(best.select(*keys, "seg", "break_at"), [*keys, "seg"])
+        split = beside(seg, best.drop("gain"), group).where(F.col("break_at").isNotNull())
         seg = stored(split.withColumn("seg", F.concat("seg", F.when(F.col("d") > F.col("break_at"), "r").otherwise("l"))).drop("break_at"))
     return found
