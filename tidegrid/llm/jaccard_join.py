@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.llm import words
-from tidegrid.llm.common import bitmap, stored
+from tidegrid.llm.common import stored
 from tidegrid.llm.components import components
 
 SKETCH_BITS = 18
@@ -49,6 +49,8 @@ HOT, HOT_LEAST = 8, 4096
 HUB_CELLS = 512
 #: A table of this many short rows (under 16 MB) is broadcast, a longer one joined by shuffle.
 BROADCAST_ROWS = 1 << 20
+#: The same for cells, which are wider and are built into a table on the driver.
+BROADCAST_CELLS = 1 << 18
 
 
 def _tally(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, percent: int, weight:
 
 
 def _candidate_blocks(batches: Iterator[pa.RecordBatch], k: int, flags) -> Iterator[pa.RecordBatch]:
-    bits = np.array(flags.value, np.int64)
+    bits = flags.value
     for batch in batches:
         spot = batch.column(2).to_numpy()
         batch = batch.filter(pa.array((bits[spot >> 6] >> (spot & 63)) & 1 == 1))
@@ -135,7 +137,7 @@ def _meet(cells: DataFrame, rows: DataFrame, value: str, *keys: str) -> DataFram
     heavy = cells.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB_CELLS)
     heavy = stored(heavy.select("a", F.ceil(F.col("n") / HUB_CELLS).cast("int").alias("parts")))
     # a cell is four numbers: where there are few enough they come to the sets, which then move once only, to their partners
-    cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     n = heavy.count()
     if not n:
         return right.join(cells, "b").join(left, ["a", *keys])
@@ -152,7 +154,11 @@ def _linked(cells: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     met = cells.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = stored(classes.select("node", F.col("low").alias("doc_id")).join(met, "node", "left_semi"))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << CANDIDATE_BITS))
-    flags = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), CANDIDATE_BITS))
+    spot = ids.select(hashed.alias("b"))
+    words_ = spot.groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m")).toArrow()
+    bits = np.zeros(1 << CANDIDATE_BITS >> 6, np.int64)
+    bits[words_["w"].to_numpy()] = words_["m"].to_numpy()
+    flags = spark.sparkContext.broadcast(bits)
     found = docs.select("doc_id", "text", hashed.alias("spot")).mapInArrow(partial(_candidate_blocks, k=k, flags=flags), "doc_id long, n_shingles long, d1 long, d2 long, block int, shingles array<long>")
     # documents whose flag another one has set come along: they meet no cell, or are copies of one that does
     blocks = stored(found.select(_node().alias("node"), "block", "shingles"))
@@ -183,10 +189,9 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     component. Other columns of docs are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tally = docs.select("text").mapInArrow(partial(_tally, k=k), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    weight = np.zeros(1 << SKETCH_BITS, np.int64)
-    for bucket, n in tally:
-        weight[bucket] = n
+    tally = docs.select("text").mapInArrow(partial(_tally, k=k), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    weight = np.zeros(1 << SKETCH_BITS, np.int64)  # columns of numbers, as rows of the driver's Python would take a hundred times the room
+    weight[tally["bucket"].to_numpy()] = tally["n"].to_numpy()
     most = max(HOT_LEAST, HOT * int(weight.sum()) >> SKETCH_BITS)
     signed = docs.mapInArrow(partial(_signatures, k=k, percent=percent, weight=weight, hot=most), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, tail array<long>")
     signed = stored(signed.select("doc_id", "n_shingles", _node().alias("node"), "prefix", "tail"))
