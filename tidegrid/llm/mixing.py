@@ -94,12 +94,18 @@ def _per_source(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one block, in permuted order, as many copies of each record as still fit into the rest."""
+    """Of one block, in permuted order, as many copies of each record as still fit into the rest.
+
+    The shortest one left out is taken too where the sum then is nearer to the rest than without it.
+    """
     rows = rows.sort_values(["h", "doc_id", "size"], na_position="first")
     left, chosen = int(rows["left"].iloc[0]), []
     for size, copies in zip(rows["size"], rows["copies"], strict=True):
         chosen.append(min(int(copies), left // int(size)) if size else 0)
         left -= int(size) * chosen[-1]
+    out = [(int(size), i) for i, (size, copies) in enumerate(zip(rows["size"], rows["copies"], strict=True)) if size and chosen[i] < copies]
+    if out and min(out)[0] - left < left:
+        chosen[min(out)[1]] += 1
     return rows.assign(n=chosen)[["doc_id", "key", "h", "size", "n"]]
 
 
@@ -181,8 +187,8 @@ def mix_sizes(docs: DataFrame, n_shards: int = 16, seed: int = 7, **options) ->
     The rows of mix(), one for each document instead of each draw: mix_shard and mix_order are arrays, an
     element a draw, empty where there is none. size counts words (null text: 0), target is the source's
     (see targets()), taken sums size over the draws, at most cap times size for a whole cap. Documents are
-    taken whole; a source's sum stays below its target by less than its smallest document left out of the
-    last block. A hash of doc_id and text decides, so reruns agree. A null source is a source of its own, an
+    taken whole; the last block's share is rounded to the nearer side, so a source's sum is off its target by at most
+    half of the smallest document that the last block has left (one word more, as the rest is a whole number). A hash of doc_id and text decides, so reruns agree. A null source is a source of its own, an
     empty one too. Sources without words have target 0. Equal rows count each; an empty table gives no
     rows. Other columns are ignored.
     """
