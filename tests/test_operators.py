@@ -412,6 +412,16 @@ def test_sketches_add_up(spark):
     assert {(r.n, r.distinct_count) for r in empty} == {(0, 0)}
 
 
+def test_sketched_quantiles_of_few_values(spark):
+    """At shares where one value ends and the next begins, a rank that is off by little is another value: counts must tell."""
+    p = pd.DataFrame({"part": np.arange(4000) % 4, "half": (np.arange(4000) >= 2000).astype(float), "step": np.where(np.arange(4000) < 1001, 0.02, 0.03), "key": np.arange(4000) % 50, "wide": np.arange(4000) * 1.0})
+    p.loc[::9, "step"] = np.nan
+    found = {r.col: r.quantiles for r in sketches.estimated(sketches.merged(sketches.sketched(spark.createDataFrame(p), "part"))).collect()}
+    for c in ("half", "step", "key"):
+        assert found[c] == pytest.approx([p[c].quantile(q) for q in (0.25, 0.5, 0.75)], abs=1e-12)
+    assert found["wide"] == pytest.approx([1000, 2000, 3000], abs=80)
+
+
 def test_jdbc_relation():
     assert readers.jdbc_relation("s.t") == '"s"."t"' and readers.jdbc_relation("t", 5) == '(SELECT * FROM "t" FETCH FIRST 5 ROWS ONLY) AS picked'
     assert readers.jdbc_relation("t", 5, ["a", "b"], ["b"]) == '(SELECT "a", "b" FROM "t" ORDER BY "b" FETCH FIRST 5 ROWS ONLY) AS picked'

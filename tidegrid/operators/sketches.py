@@ -19,6 +19,8 @@ from tidegrid.spec import DEFAULT
 #: Registers of distinct values (2 to this power: about 0.8 % standard error), size of a distribution (about 0.4 % of ranks),
 #: values tracked as frequent (exact for columns of up to three quarters as many distinct ones).
 DISTINCT_BITS, RANKS, TRACKED = 14, 800, 4096
+#: Up to so many distinct values, as estimated, all are surely tracked: quantiles come from their counts.
+COUNTED = TRACKED // 2
 
 
 def sketched(df: DataFrame, *keys: str) -> DataFrame:
@@ -56,11 +58,28 @@ def merged(sketches: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _counted(share: float) -> Column:
+    """The quantile at share (linear between neighbours) of _values: all values of a column in their order, with their counts."""
+    at = "aggregate(_values, named_struct('n', 0L, 'v', CAST(NULL AS DOUBLE)), (a, x) -> named_struct('n', a.n + x.c, 'v', IF(a.n <= {k} AND a.n + x.c > {k}, x.v, a.v)), a -> a.v)"
+    rank = f"({share!r}D * (n - null_count - 1))"
+    low, high = at.format(k=f"floor({rank})"), at.format(k=f"ceil({rank})")
+    return F.expr(f"{low} + ({high} - {low}) * ({rank} - floor({rank}))")
+
+
 def estimated(sketches: DataFrame, shares: Sequence[float] = (0.25, 0.5, 0.75), top: int = DEFAULT.top) -> DataFrame:
-    """What sketches tell: keys, col, n, null_count, distinct_count, quantiles (at shares; null but for numbers with values), top_values (value, freq)."""
+    """What sketches tell: keys, col, n, null_count, distinct_count, quantiles (at shares; null but for numbers with values), top_values (value, freq).
+
+    Quantiles of columns with few distinct values (see COUNTED) are exact: a rank that is off by little may be another value there, far from the right one.
+    """
     keys = [f.name for f in sketches.schema if f.name not in ("col", "n", "null_count", "distinct", "frequent", "ranks")]
     held = F.col("n") > F.col("null_count")
-    at = F.array(*(F.kll_sketch_get_quantile_double("ranks", F.lit(float(p))) for p in shares))
+    sketched = [F.kll_sketch_get_quantile_double("ranks", F.lit(float(p))) for p in shares]
     best = F.expr(f"transform(approx_top_k_estimate(frequent, {int(top)}), x -> named_struct('value', x.item, 'freq', x.count))")
     schema = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("freq", T.LongType())]))
-    return sketches.select(*keys, "col", "n", "null_count", F.hll_sketch_estimate("distinct").alias("distinct_count"), F.when(F.kll_sketch_get_n_double("ranks") > 0, at).alias("quantiles"), F.when(held, best).otherwise(F.array().cast(schema)).alias("top_values"))
+    numbers = held & (F.kll_sketch_get_n_double("ranks") > 0)
+    every = F.expr(f"array_sort(transform(approx_top_k_estimate(frequent, {TRACKED}), x -> named_struct('v', CAST(x.item AS DOUBLE), 'c', x.count)))")
+    known = sketches.withColumn("_distinct", F.hll_sketch_estimate("distinct")).withColumn("_values", F.when(numbers & (F.col("_distinct") <= COUNTED), every))
+    # counts that sum up to the values: nothing was left out
+    whole = F.expr("aggregate(_values, 0L, (a, x) -> a + x.c)") == F.col("n") - F.col("null_count")
+    at = F.when(F.coalesce(whole, F.lit(False)), F.array(*(_counted(float(p)) for p in shares))).otherwise(F.array(*sketched))
+    return known.select(*keys, "col", "n", "null_count", F.col("_distinct").alias("distinct_count"), F.when(F.kll_sketch_get_n_double("ranks") > 0, at).alias("quantiles"), F.when(held, best).otherwise(F.array().cast(schema)).alias("top_values"))
