@@ -391,6 +391,29 @@ def test_temporal_outliers_need_one_stored_order(spark, monkeypatch):
         assert found[c] == pytest.approx(((x < q1 - wide) | (x > q3 + wide)).mean() * 100, abs=1e-5)
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_facts_read_and_order_a_table_once(spark, monkeypatch, late):
+    """As the operators find them one by one, with text read and rows sorted once (twice where rows lack a stamp)."""
+    rng = random.Random(8)
+    rows = [(i, None if late and i % 9 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=i // 2), None if 20 <= i < 50 else rng.gauss(0, 1) * (50 if i % 31 == 0 else 1), str(i * i) if i % 9 else "n/a", rng.choice("ab")) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, v double, t string, k string").repartition(5)
+    known = {
+        "text": {r.col: r.dtype_inferred for r in profile.dtypes(df).collect()},
+        "runs": {r.col: (r.max_run, r.pattern) for r in diagnose.missing_pattern(df, df.columns, SPEC).collect()},
+        "far": {r.col: r.temporal_pct for r in diagnose.outliers_temporal(df, ["id", "v", "t"], SPEC, 24).collect()},
+        "off": {r.col: (r.iqr_pct, r.zscore_pct, r.mad_pct) for r in diagnose.outliers_global(df, ["id", "v", "t"]).collect()},
+    }
+    calls = []
+    for module, name in ((profile, "text_rates"), (diagnose, "text_rates"), (diagnose, "statistics")):
+        if hasattr(module, name):
+            monkeypatch.setattr(module, name, lambda *a, was=getattr(module, name), n=name: calls.append(n) or was(*a))
+    monkeypatch.setattr(ordering, "stored", lambda x, was=ordering.stored: calls.append("order") or was(x))
+    found = {r.col: r for r in diagnose.facts(df, SPEC, 24).collect()}
+    assert sorted(calls) == ["order"] * (1 + late) + ["statistics", "text_rates"]
+    assert {c: r.dtype_inferred for c, r in found.items()} == known["text"] and {c: (r.max_run, r.pattern) for c, r in found.items()} == known["runs"]
+    assert {c: found[c].temporal_pct for c in known["far"]} == known["far"] and {c: (found[c].iqr_pct, found[c].zscore_pct, found[c].mad_pct) for c in known["off"]} == known["off"]
+
+
 def test_sketches_add_up(spark):
     """Of parts that were sketched apart: errors of the sum against exact figures; empty and null columns, NaN, ties."""
     rng = np.random.default_rng(6)

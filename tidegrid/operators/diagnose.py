@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidegrid.functions import formats
 from tidegrid.functions.expressions import micros, pct
 from tidegrid.operators import ordering
-from tidegrid.operators.profile import _wide, cardinality, distinct_counts, dtypes, duplicate_rows, frequency, nulls, numeric_columns, sane, statistics, text_issues, union_all, value_of
+from tidegrid.operators.profile import _wide, cardinality, distinct_counts, dtypes, duplicate_rows, frequency, nulls, numeric_columns, sane, statistics, text_issues, text_rates, union_all, value_of
 from tidegrid.operators.quantiles import beside, grouped, quantiles
 from tidegrid.sources.scratch import stored
 from tidegrid.spec import DEFAULT, GAP_SECONDS, SeriesSpec
@@ -18,18 +18,22 @@ from tidegrid.spec import DEFAULT, GAP_SECONDS, SeriesSpec
 def missing_pattern(df: DataFrame, columns: str | list[str], spec: SeriesSpec) -> DataFrame:
     """col, n, null_count, max_run, pattern (none, block, trailing or random): all columns in one pass over the order."""
     columns = [columns] if isinstance(columns, str) else columns
-    rows = ordering.ordered(df.select(*spec.series, *(c for c in spec.order if c not in spec.series), *(c for c in columns if c not in [*spec.series, *spec.order])), spec)
+    held = dict.fromkeys([*spec.series, *spec.order, *columns, *([ordering.ROW] if ordering.ROW in df.columns else [])])
+    rows = ordering.ordered(df.select(*held), spec)
     n = rows.count()
     tail = F.col("rn") >= n - max(1, n // 10)
     counts = _wide(ordering.ordinal(rows, spec), columns, lambda c: {"n": F.count("*"), "null_count": F.count_if(F.col(c).isNull()), "tail_nulls": F.count_if(F.col(c).isNull() & tail), "tail": F.count_if(tail)})
-    both = counts.join(ordering.null_runs(rows, columns, spec), "col")
+    counts = stored(counts)
+    gappy = {r["col"] for r in counts.where("null_count > 0").select("col").collect()}  # a row for each column: the others have no runs
+    looked = [c for c in columns if c in gappy or spec.series] or columns[:1]
+    both = counts.join(ordering.null_runs(rows, looked, spec), "col", "left").withColumn("max_run", F.coalesce("max_run", F.lit(0).cast("long")))
     pattern = F.when(F.col("null_count") == 0, "none").when(F.col("max_run") > 0.4 * F.col("null_count"), "block").when(F.col("tail_nulls") > 0.5 * F.col("tail"), "trailing").otherwise("random")
     return both.select("col", "n", "null_count", "max_run", pattern.alias("pattern"))
 
 
-def outliers_global(df: DataFrame, columns: list[str]) -> DataFrame:
-    """col, iqr_pct, zscore_pct, mad_pct: statistics, then the median distance, then one aggregate of counts; 0 without values."""
-    stats = {r.col: r for r in statistics(df, columns).collect()}  # a row for each column
+def outliers_global(df: DataFrame, columns: list[str], known: DataFrame | None = None) -> DataFrame:
+    """col, iqr_pct, zscore_pct, mad_pct: statistics (known, if they are there already), then the median distance, then one aggregate of counts; 0 without values."""
+    stats = {r.col: r for r in (statistics(df, columns) if known is None else known).collect()}  # a row for each column
     values = {c: value_of(df, c) for c in columns}
     mads = quantiles(df, {c: F.abs(values[c] - stats[c].median) for c in stats}, [0.5])
 
@@ -66,16 +70,17 @@ def outliers_by_series(df: DataFrame, columns: list[str], series: tuple[str, ...
     return rows.groupBy(*series).agg(F.array(*map(made, columns)).alias("x")).select(*series, F.explode("x").alias("x")).select(*series, "x.*")
 
 
-def outliers_temporal(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int, by_series: bool = False) -> DataFrame:
+def outliers_temporal(df: DataFrame, columns: str | list[str], spec: SeriesSpec, period: int, by_series: bool = False, numbers: dict[str, Column] | None = None) -> DataFrame:
     """col, temporal_pct against centred rolling quartiles of a column's values in time order; null below thirty of them.
 
     All columns in one pass over one stored order; rows without a stamp come last. With by_series a row for each series too.
+    numbers are the columns' values, if these are there already; a frame that has _row is taken in that order.
     """
     columns = [columns] if isinstance(columns, str) else columns
     if not columns:
         return df.sparkSession.createDataFrame([], "col string, temporal_pct double")
     names = {f"v{i}": c for i, c in enumerate(columns)}
-    rows = df.select(*spec.series, F.col(spec.ts).isNull().alias("_late"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(spec.order)), *(value_of(df, c).alias(v) for v, c in names.items()))
+    rows = df.select(*spec.series, F.col(spec.ts).isNull().alias("_late"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(spec.order)), *((numbers[c] if numbers else value_of(df, c)).alias(v) for v, c in names.items()), *([ordering.ROW] if ordering.ROW in df.columns else []))
     order = SeriesSpec("_late", tuple(f"_o{i}" for i in range(len(spec.order))), spec.series)
     rolled = ordering.rolling_values(rows, list(names), order, max(period, 7), ordering.quartiles(F.col("v")))
     q1, q3 = F.col("made")[0], F.col("made")[1]
@@ -146,26 +151,36 @@ def facts(df: DataFrame, spec: SeriesSpec | None, period: int, measures: list[st
     columns but the timestamp unless given), temporal ones and runs only with a spec.
     """
     df = sane(df)
-    kinds = dtypes(df)
+    rates = stored(text_rates(df))
+    kinds = dtypes(df, rates)
     inferred = {r.col: r.dtype_inferred for r in kinds.collect()}  # a row for each column, to choose the plan
     numeric = [c for c in (measures or df.columns) if inferred[c] == "numeric"]
     texts = [c for c in df.columns if inferred[c] == "categorical"]
     n = F.count("*")
+    # numbers are read from text once, and one order serves all that follows
+    read = {c: f"_number{i}" for i, c in enumerate(numeric) if dict(df.dtypes)[c] == "string"}
+    rows = df.withColumns({name: value_of(df, c) for c, name in read.items()})
+    rows = ordering.ordered(rows, spec) if spec else stored(rows) if read else rows
+    number = {c: F.col(read.get(c, c)).cast("double") for c in numeric}
+    numbers = rows.select(*(number[c].alias(c) for c in numeric))
 
     def share(c: str) -> dict[str, Column]:
-        zero = F.count_if(value_of(df, c) == 0) if c in numeric else F.lit(None).cast("long")
+        zero = F.count_if(number[c] == 0) if c in numeric else F.lit(None).cast("long")
         return {"n": n, "null_count": n - F.count(F.col(c)), "zeros": zero}
 
-    different = stored(distinct_counts(df, [c for c in df.columns if inferred[c] != "nested"]))
-    held = _wide(df, df.columns, share).join(different.withColumnRenamed("distinct_count", "distinct"), "col", "left")
+    different = stored(distinct_counts(rows, [c for c in df.columns if inferred[c] != "nested"]))
+    held = stored(_wide(rows, df.columns, share)).join(different.withColumnRenamed("distinct_count", "distinct"), "col", "left")
     held = held.select("col", "n", "null_count", F.round(pct(F.col("null_count"), F.col("n")), 6).alias("null_pct"), F.round(pct(F.col("distinct"), F.col("n")), 6).alias("distinct_pct"), F.when(F.col("zeros").isNotNull(), F.round(pct(F.col("zeros"), F.col("n")), 6)).alias("zero_pct"))
-    stats = statistics(df, numeric)
-    out = kinds.join(held, "col").join(stats.select("col", F.round("skew", 6).alias("skew"), F.round("iqr", 6).alias("iqr")), "col", "left").join(outliers_global(df, numeric), "col", "left")
+    stats = statistics(numbers, numeric)
+    out = kinds.join(held, "col").join(stats.select("col", F.round("skew", 6).alias("skew"), F.round("iqr", 6).alias("iqr")), "col", "left").join(outliers_global(numbers, numeric, stats), "col", "left")
     still = (F.abs("mean") > 0) & (F.col("std") / F.abs("mean") < DEFAULT.near_constant) | (F.col("mean") == 0) & (F.col("std") < 1e-9)
     same = stats.where(still).select("col").union(different.where(F.col("col").isin(texts) & (F.col("distinct_count") <= 1)).select("col"))
-    out = out.join(same.withColumn("constant", F.lit(True)), "col", "left").join(text_issues(df), "col", "left")
+    out = out.join(same.withColumn("constant", F.lit(True)), "col", "left").join(text_issues(df, rates), "col", "left")
     if spec:
-        out = out.join(missing_pattern(df, df.columns, spec).select("col", "max_run", "pattern"), "col").join(outliers_temporal(df, [c for c in numeric if c != spec.ts], spec, period), "col", "left")
+        # rows without a stamp are first in this order, temporal outliers take them last: only where there are some a second one is needed
+        late = held.where((F.col("col") == spec.ts) & (F.col("null_count") > 0)).take(1)
+        local = outliers_temporal(rows.drop(ordering.ROW) if late else rows, [c for c in numeric if c != spec.ts], spec, period, numbers=number)
+        out = out.join(missing_pattern(rows, df.columns, spec).select("col", "max_run", "pattern"), "col").join(local, "col", "left")
     else:
         out = out.withColumns({"max_run": F.lit(None).cast("long"), "pattern": F.lit(None).cast("string"), "temporal_pct": F.lit(None).cast("double")})
     found = [F.coalesce(F.col(x) > 0, F.lit(False)) for x in ("iqr_pct", "zscore_pct", "mad_pct", "temporal_pct")]

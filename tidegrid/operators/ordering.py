@@ -9,11 +9,12 @@ columns of one order are handled in one pass, so plans don't grow with their num
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidegrid.functions.expressions import micros
 from tidegrid.sources.scratch import stored
@@ -63,7 +64,8 @@ def ordinal(df: DataFrame, spec: SeriesSpec, name: str = "rn") -> DataFrame:
     rows = _blocked(ordered(df, spec), spec)
     sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"), F.min(ROW).alias("_first"))
     offset = sizes.select("_block", (F.sum("_n").over(_over_blocks(spec)) - F.col("_n") - F.col("_first")).alias("_offset"))
-    return _done(rows.join(offset, "_block").withColumn(name, F.col(ROW) + F.col("_offset")), df, name)
+    # without series there is a row for each range: rows stay where they are
+    return _done(rows.join(offset if spec.series else F.broadcast(offset), "_block").withColumn(name, F.col(ROW) + F.col("_offset")), df, name)
 
 
 def carried(df: DataFrame, spec: SeriesSpec, forward: Mapping[str, Column] | None = None, backward: Mapping[str, Column] | None = None) -> DataFrame:
@@ -96,12 +98,44 @@ def lagged(df: DataFrame, value: Column, spec: SeriesSpec, name: str) -> DataFra
     return _done(rows.withColumn("_own", own).join(last, "_block").withColumn(name, F.coalesce("_own", "_carry")["_v"]), df, name)
 
 
-def quartiles(value: Column) -> Column:
-    """An aggregate for windows: an array of the first and third quartile (linear between neighbours), null without values."""
-    return F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+@dataclass(frozen=True)
+class Sorted:
+    """What is made of a frame's values in ascending order, nulls left out; for frames of few rows, which are sorted as they are."""
 
+    value: Column
+    made: Callable[[Column], Column]
 
-def rolling(df: DataFrame, spec: SeriesSpec, window: int, size: int = 4096, **made: Column) -> DataFrame:
+
+def _quartiles(values: Column) -> Column:
+    n = F.size(values)
+
+    def at(share: float) -> Column:
+        place = F.lit(share) * (n - 1)
+        low, high = F.floor(place), F.ceil(place)
+        a, b = F.get(values, low.cast("int")), F.get(values, high.cast("int"))
+        return F.when(a == b, a).otherwise((high - place) * a + (place - low) * b)
+
+    return F.when(n > 0, F.array(at(0.25), at(0.75)))
+
+
+def quartiles(value: Column) -> Sorted:
+    """For frames: an array of the first and third quartile (linear between neighbours), null without values.
+
+    A percentile would fill and sort a hash map for each row.
+    """
+    return Sorted(value, _quartiles)
+
+
+def _framed(rows: DataFrame, made: Mapping[str, Column | Sorted], frame: WindowSpec, keep: Column) -> DataFrame:
+    """Rows to be kept, with aggregates over their frames."""
+    lists = {k: v for k, v in made.items() if isinstance(v, Sorted)}
+    out = rows.withColumns({k: (F.collect_list(v.value) if k in lists else v).over(frame) for k, v in made.items()}).where(keep)
+    if lists:  # each a projection of its own: a list is sorted once, however often it is read
+        out = out.withColumns({k: F.sort_array(k) for k in lists}).withColumns({k: v.made(F.col(k)) for k, v in lists.items()})
+    return out
+
+
+def rolling(df: DataFrame, spec: SeriesSpec, window: int, size: int = 4096, **made: Column | Sorted) -> DataFrame:
     """df with aggregates over the centred frame of `window` rows: row i covers i - w div 2 to i - w div 2 + w - 1.
 
     Blocks of `size` ordinals; rows near a border are copied into the neighbour. Frames shrink at the ends.
@@ -112,8 +146,7 @@ def rolling(df: DataFrame, spec: SeriesSpec, window: int, size: int = 4096, **ma
     low, high = F.floor((F.col("_rn") - (window - 1 - half)) / size), F.floor((F.col("_rn") + half) / size)
     spread = rows.withColumn("_b", F.explode(F.sequence(low, high)))
     frame = Window.partitionBy(*spec.series, "_b").orderBy("_rn").rowsBetween(-half, window - 1 - half)
-    out = spread.withColumns({k: v.over(frame) for k, v in made.items()})
-    return _done(out.where("_b = _home"), df, *made)
+    return _done(_framed(spread, made, frame, F.expr("_b = _home")), df, *made)
 
 
 def value_counts(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFrame:
@@ -126,19 +159,19 @@ def value_counts(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFra
     return _done(own.withColumns({f"_k_{c}": F.col(f"_own_{c}") + F.col(f"_p_{c}") for c in columns}), df, *(f"_k_{c}" for c in columns))
 
 
-def rolling_values(df: DataFrame, columns: list[str], spec: SeriesSpec, window: int, made: Column, size: int = 4096) -> DataFrame:
+def rolling_values(df: DataFrame, columns: list[str], spec: SeriesSpec, window: int, made: Column | Sorted, size: int = 4096) -> DataFrame:
     """series..., col, v, made: for each value of each column an aggregate of v over the centred frame of its column's values, nulls left out.
 
     Values of all columns travel as cells, so there is one stored order and one pass, however many columns there are.
     """
     half, size = window // 2, max(size, window)
     rows = value_counts(df, columns, spec)
-    cells = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("col"), (F.col(f"_k_{c}") - 1).alias("rn"), F.col(c).cast("double").alias("v"))) for c in columns)))
-    cells = rows.select(*spec.series, F.explode(cells).alias("x")).select(*spec.series, "x.*")
+    cells = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("col"), (F.col(f"_k_{c}") - 1).alias("rn"), F.col(c).cast("double").alias("v"))) for c in columns))
+    cells = rows.select(*spec.series, F.explode(cells).alias("x")).where("x IS NOT NULL").select(*spec.series, "x.*")
     low, high = F.floor((F.col("rn") - (window - 1 - half)) / size), F.floor((F.col("rn") + half) / size)
     spread = cells.withColumn("_b", F.explode(F.sequence(low, high)))
     frame = Window.partitionBy(*spec.series, "col", "_b").orderBy("rn").rowsBetween(-half, window - 1 - half)
-    return spread.withColumn("made", made.over(frame)).where(F.col("_b") == F.floor(F.col("rn") / size)).select(*spec.series, "col", "v", "made")
+    return _framed(spread, {"made": made}, frame, F.col("_b") == F.floor(F.col("rn") / size)).select(*spec.series, "col", "v", "made")
 
 
 def null_runs(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFrame:
@@ -150,7 +183,7 @@ def null_runs(df: DataFrame, columns: list[str], spec: SeriesSpec) -> DataFrame:
     rows = ordered(df.select(*dict.fromkeys([*keys, *columns, *([ROW] if ROW in df.columns else [])])), spec)
     seen = value_counts(rows, columns, spec)
     cells = F.array(*(F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("col"), F.col(f"_k_{c}").alias("run"))) for c in columns))
-    runs = seen.select(*spec.series, F.explode(F.array_compact(cells)).alias("x")).groupBy(*spec.series, "x").agg(F.count("*").alias("len"))
+    runs = seen.select(*spec.series, F.explode(cells).alias("x")).where("x IS NOT NULL").groupBy(*spec.series, "x").agg(F.count("*").alias("len"))
     longest = runs.groupBy(*spec.series, "x.col").agg(F.max("len").alias("max_run"))
     every = (rows.select(*spec.series).distinct() if spec.series else df.sparkSession.range(1)).select(*spec.series, F.explode(F.array(*map(F.lit, columns))).alias("col"))
     same = F.col("e.col") == F.col("l.col")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tidegrid.functions import formats
 from tidegrid.functions.expressions import kurtosis, micros, no_nan, number, pct, skew
 from tidegrid.operators.quantiles import quantiles
+from tidegrid.sources.scratch import stored
 from tidegrid.spec import DEFAULT
 
 STATISTICS = ("min", "max", "mean", "median", "std", "skew", "kurtosis", "q1", "q3", "iqr")
@@ -78,8 +79,8 @@ def _kind() -> Column:
     return F.when((n > 0) & (F.col("num") > n * DEFAULT.parse), "numeric").when((n > 0) & (F.col("parsed") == n), "datetime").otherwise("categorical")
 
 
-def dtypes(df: DataFrame) -> DataFrame:
-    """col, dtype_raw, dtype_inferred; text by its cells, see text_rates()."""
+def dtypes(df: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """col, dtype_raw, dtype_inferred; text by its cells, see text_rates(): rates, if these are there already."""
 
     def fixed(t: T.DataType) -> str:
         if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -90,7 +91,7 @@ def dtypes(df: DataFrame) -> DataFrame:
 
     texts = _texts(df)
     others = [(f.name, f.dataType.simpleString(), fixed(f.dataType)) for f in df.schema if f.name not in texts]
-    return df.sparkSession.createDataFrame(others, "col string, dtype_raw string, dtype_inferred string").unionByName(text_rates(df).select("col", F.lit("string").alias("dtype_raw"), _kind().alias("dtype_inferred")))
+    return df.sparkSession.createDataFrame(others, "col string, dtype_raw string, dtype_inferred string").unionByName((text_rates(df) if rates is None else rates).select("col", F.lit("string").alias("dtype_raw"), _kind().alias("dtype_inferred")))
 
 
 def datetime_columns(kinds: DataFrame) -> DataFrame:
@@ -98,10 +99,10 @@ def datetime_columns(kinds: DataFrame) -> DataFrame:
     return kinds.where("dtype_inferred = 'datetime'").select("col")
 
 
-def text_issues(df: DataFrame) -> DataFrame:
-    """col, issue: text columns typed categorical that mostly hold numbers or dates."""
+def text_issues(df: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """col, issue: text columns typed categorical that mostly hold numbers or dates; rates as in dtypes()."""
     issue = F.when(F.col("num") > F.col("n") * DEFAULT.parse, "numeric_as_string").when(F.col("parsed") > F.col("n") * DEFAULT.parse, "datetime_as_string")
-    return text_rates(df).where(_kind() == "categorical").select("col", issue.alias("issue")).where("issue is not null")
+    return (text_rates(df) if rates is None else rates).where(_kind() == "categorical").select("col", issue.alias("issue")).where("issue is not null")
 
 
 def value_of(df: DataFrame, c: str) -> Column:
@@ -152,7 +153,7 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     for each column, nor do equal values meet in one task before they are one.
     """
     cells = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(1), F.col(f"`{c}`")).alias("a"), F.xxhash64(F.lit(2), F.col(f"`{c}`")).alias("b"))) for i, c in enumerate(columns)]
-    seen = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*").distinct().groupBy("i").agg(F.count("*").alias("n"))
+    seen = df.select(F.explode(F.array(*cells)).alias("x")).where("x IS NOT NULL").select("x.*").distinct().groupBy("i").agg(F.count("*").alias("n"))
     names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, col string")
     return names.join(seen, "i", "left").select("col", F.coalesce("n", F.lit(0)).alias("distinct_count"))
 
@@ -186,7 +187,7 @@ def frequency(df: DataFrame, ts: str) -> DataFrame:
 
     stamps = df.select(F.col(ts).cast("timestamp").alias("_t")).where("_t is not null").distinct()
     step = lagged(stamps, micros("_t"), SeriesSpec("_t"), "_b").select((micros("_t") - F.col("_b")).alias("gap"))
-    gap = quantiles(step, {"gap": F.col("gap")}, [0.5])["gap"]
+    gap = quantiles(stored(step), {"gap": F.col("gap")}, [0.5])["gap"]
     return df.sparkSession.createDataFrame([(grid_name(gap[0] if gap else None),)], "frequency string")
 
 

@@ -46,13 +46,18 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[floa
 
     while open_:
         keys = list(open_)
-        asks = []
+        ranges: dict[tuple, list[float]] = {}  # shares between the same bounds are one aggregate's
         for c, p in keys:
             low, high, below, n = open_[c, p]
             at = (p * (count[c] - 1) - below) / max(n - 1, 1)
             margin = 3 / _ACCURACY + 2 / n
-            asks.append(F.percentile_approx(within(c, low, high), F.array(F.lit(max(0.0, at - margin)), F.lit(min(1.0, at + margin))), F.lit(_ACCURACY)))
-        bounds = df.agg(*(x.alias(f"b{i}") for i, x in enumerate(asks))).first()
+            ranges.setdefault((c, low, high), []).extend((max(0.0, at - margin), min(1.0, at + margin)))
+        asks = [F.percentile_approx(F.col(c) if low == -math.inf else within(c, low, high), F.array(*map(F.lit, shares_)), F.lit(_ACCURACY)) for (c, low, high), shares_ in ranges.items()]
+        given = dict(zip(ranges, df.agg(*(x.alias(f"b{i}") for i, x in enumerate(asks))).first(), strict=True))
+        bounds = []
+        for c, p in keys:
+            pair = given[c, open_[c, p][0], open_[c, p][1]]
+            bounds.append((pair.pop(0), pair.pop(0)))
         tally = df.agg(*(F.struct(F.count_if(F.col(c) < bounds[i][0]).alias("below"), F.count(within(c, *bounds[i])).alias("n")).alias(f"t{i}") for i, (c, _) in enumerate(keys))).first()
         last, later = [], {}
         for i, key in enumerate(keys):
