@@ -105,8 +105,8 @@ def seasonal_repair(df: DataFrame, columns: str | list[str], spec: SeriesSpec, p
     rows = ordering.ordinal(ordering.rolling(stored(rows), spec, w, **{f"_t_{c}": F.avg(f"_f_{c}") for c in columns}), spec, "_i")
     rows = stored(rows.withColumn("_phase", F.col("_i") % period).drop("_i"))
     season = rows.groupBy(*spec.series, "_phase").agg(*(F.avg(F.col(f"_f_{c}") - F.col(f"_t_{c}")).alias(f"_s_{c}") for c in columns))
-    key = F.struct(*spec.series, "_phase")  # of equal nulls, which a plain join would drop
-    rows = rows.withColumn("_key", key).join(season.select(key.alias("_key"), *(f"_s_{c}" for c in columns)), "_key")
+    # stored, so that few phases are broadcast: dealt by phase, rows would meet in as many tasks as a season has steps
+    rows = beside(rows, stored(season), [*spec.series, "_phase"])
     rows = rows.withColumns({f"_r_{c}": F.col(f"_f_{c}") - F.col(f"_t_{c}") - F.col(f"_s_{c}") for c in columns})
     rows, median, _ = _with_quantiles(rows, {f"m_{c}": F.col(f"_r_{c}") for c in columns}, (0.5,), spec.series)
     rows = stored(rows.withColumns({f"_d_{c}": F.abs(F.col(f"_r_{c}") - median[f"m_{c}"][0]) for c in columns}))

@@ -1,8 +1,8 @@
 """Operators that need row order, without putting a long series into one task.
 
 A frame is sorted by ranges of its order keys and stored once, with _row: a number that ascends through the
-ranges, whose high bits name the range (a block). Everything later starts from that table: work happens in the
-blocks, and one row per block (and series) carries what crosses them. There are as many blocks as shuffle partitions,
+ranges, whose high bits name the range and a run of at most 2^BLOCK_BITS rows in it (a block). Everything later starts from that table: work
+happens in the blocks, and one row per block (and series) carries what crosses them. Blocks don't grow with the table. They are
 cut by rows and not by dates: a dense day, rows without a stamp and one long series are cut like anything else. All
 columns of one order are handled in one pass, so plans don't grow with their number.
 """
@@ -21,6 +21,7 @@ from tidegrid.sources.scratch import stored
 from tidegrid.spec import SeriesSpec
 
 ROW = "_row"
+BLOCK_BITS = 20
 
 
 def ordered(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -40,7 +41,7 @@ def in_storage_order(df: DataFrame) -> tuple[DataFrame, SeriesSpec]:
 
 
 def _blocked(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return df.withColumn("_block", F.struct(*(F.col(c) for c in spec.series), F.shiftright(ROW, 33).alias("_part")))
+    return df.withColumn("_block", F.struct(*(F.col(c) for c in spec.series), F.shiftright(ROW, BLOCK_BITS).alias("_part")))
 
 
 def _in_block(backward: bool = False):
