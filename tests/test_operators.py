@@ -414,6 +414,29 @@ def test_facts_read_and_order_a_table_once(spark, monkeypatch, late):
     assert {c: found[c].temporal_pct for c in known["far"]} == known["far"] and {c: (found[c].iqr_pct, found[c].zscore_pct, found[c].mad_pct) for c in known["off"]} == known["off"]
 
 
+def test_seasons_are_brought_to_the_rows(spark, monkeypatch):
+    """Dealt by phase, all rows would meet in as many tasks as a season has steps; blocks don't depend on the result."""
+    df = spark.range(500).select("id", F.expr("timestamp '2024-01-01' + id * interval 1 hour").alias("ts"), (F.col("id") % 7 + F.when(F.col("id") % 50 == 3, 90.0).otherwise(0.1 * (F.col("id") % 5))).alias("v")).repartition(3)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    seen = []
+    monkeypatch.setattr(clean, "stored", lambda x, was=clean.stored: seen.append(plan(x)) or was(x))
+    once = result(clean.seasonal_repair(df, "v", SPEC, 7))
+    joined = [x for x in seen if "_s_v" in x and "Join" in x]
+    assert joined and all("strategy=broadcast" in x for x in joined)
+    monkeypatch.setattr(ordering, "BLOCK_BITS", 4)
+    np.testing.assert_allclose(result(clean.seasonal_repair(df, "v", SPEC, 7)), once)
+    assert (once < 40).all()  # spikes of 90 are gone
+
+
+def test_flagship_finds_grids_and_text_once(spark, monkeypatch):
+    calls = []
+    for module, name in ((diagnose, "frequency"), (diagnose, "text_rates"), (profile, "text_rates")):
+        if hasattr(module, name):
+            monkeypatch.setattr(module, name, lambda *a, was=getattr(module, name), n=name: calls.append(n) or was(*a))
+    assert __spark_entry__.queries()["pipeline_checks"](spark, "/root/testdata/sf0.001").count() == 9
+    assert sorted(calls) == ["frequency", "text_rates"]
+
+
 def test_sketches_add_up(spark):
     """Of parts that were sketched apart: errors of the sum against exact figures; empty and null columns, NaN, ties."""
     rng = np.random.default_rng(6)

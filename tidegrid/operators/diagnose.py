@@ -143,15 +143,16 @@ def catalogue_facts(tables: dict[str, DataFrame], specs: dict[str, SeriesSpec],
     return union_all([facts(df, specs.get(t), periods.get(t, 7)).select(F.lit(t).alias("table"), "*") for t, df in tables.items()])
 
 
-def facts(df: DataFrame, spec: SeriesSpec | None, period: int, measures: list[str] | None = None) -> DataFrame:
+def facts(df: DataFrame, spec: SeriesSpec | None, period: int, measures: list[str] | None = None, rates: DataFrame | None = None) -> DataFrame:
     """All that recipes need to know, one row for each column: what profile and diagnosis find, joined by column.
 
     col, dtype_raw, dtype_inferred, n, null_count, null_pct, max_run, pattern, distinct_pct, zero_pct, skew, iqr, iqr_pct,
     zscore_pct, mad_pct, temporal_pct, any_outlier, issue, constant. Outliers are looked for in measures (all numeric
     columns but the timestamp unless given), temporal ones and runs only with a spec.
+    rates are those of profile.text_rates(), if they are there already.
     """
     df = sane(df)
-    rates = stored(text_rates(df))
+    rates = stored(text_rates(df)) if rates is None else rates
     kinds = dtypes(df, rates)
     inferred = {r.col: r.dtype_inferred for r in kinds.collect()}  # a row for each column, to choose the plan
     numeric = [c for c in (measures or df.columns) if inferred[c] == "numeric"]
@@ -194,12 +195,13 @@ def grids(df: DataFrame, stamps: list[str]) -> DataFrame:
     return union_all([frequency(df, c).select(F.lit(c).alias("col"), "frequency", F.lit(i).alias("pos")) for i, c in enumerate(stamps)])
 
 
-def table_facts(df: DataFrame, stamps: list[str], value: str | None = None) -> DataFrame:
+def table_facts(df: DataFrame, stamps: list[str], value: str | None = None, frequencies: DataFrame | None = None) -> DataFrame:
     """One row about a whole table: n_rows, duplicate_rows, frequency (by timestamp column), timestamp_col, duplicate_timestamps, breakpoints.
 
-    Breakpoints are dates at which the daily mean of value shifts; none without a value or a timestamp.
+    Breakpoints are dates at which the daily mean of value shifts; none without a value or a timestamp. frequencies are
+    those of grids(), if they are there already.
     """
-    spark, known = df.sparkSession, grids(df, stamps).collect()  # a row for each timestamp column
+    spark, known = df.sparkSession, (grids(df, stamps) if frequencies is None else frequencies).collect()  # a row for each timestamp column
     found = {r["col"]: r["frequency"] for r in known}
     ts = pick_timestamp(spark.createDataFrame(known, "col string, frequency string, pos int")).first()[0] if known else None
     n, repeats, moved = df.count(), duplicate_rows(df).first()[0], None

@@ -669,11 +669,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d, root = _dirty(spark, sf_dir), _folder(spark)
     before = runs.write_raw(d, root, "run_1", "events")
-    stamps = [r.col for r in profile.datetime_columns(profile.dtypes(d)).collect()]
-    about = diagnose.table_facts(d, stamps).first()
-    choice = recipe.options(diagnose.grids(d, stamps), duplicates=about.duplicate_rows).first()
+    rates = stored(profile.text_rates(d))
+    stamps = [r.col for r in profile.datetime_columns(profile.dtypes(d, rates)).collect()]
+    frequencies = stored(diagnose.grids(d, stamps))
+    about = diagnose.table_facts(d, stamps, frequencies=frequencies).first()
+    choice = recipe.options(frequencies, duplicates=about.duplicate_rows).first()
     spec = SeriesSpec(choice.timestamp_col, ("event_id",))
-    known = stored(diagnose.facts(d, spec, choice.period))
+    known = stored(diagnose.facts(d, spec, choice.period, rates=rates))
     plan = stored(_planned(known, choice.timestamp_col, choice.period))
     out = clean.apply_recipe(d, plan, spec, choice.period, choice.drop_duplicates, choice.sort_by_timestamp)
     ties = [c for c in spec.ties if c in out.columns]
